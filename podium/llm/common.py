@@ -16,18 +16,18 @@ CHUNK_CHARS = 1_500_000
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+_POWERS = np.ones((2, 1), np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) modulo 2**64; the array is kept by the worker and grows by doubling."""
+    """BASE**0 .. BASE**(n-1) modulo 2**64, and below them their inverses; kept by the worker and grown by doubling."""
     global _POWERS
-    if len(_POWERS) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        p = np.full(size, BASE)
-        p[0] = 1
-        _POWERS = np.cumprod(p)
-    return _POWERS[:n]
+    if _POWERS.shape[1] < n:
+        p = np.repeat(np.array([[BASE], [INVERSE]]), 1 << max(16, (n - 1).bit_length()), axis=1)
+        p[:, 0] = 1
+        _POWERS = np.cumprod(p, axis=1)
+    return _POWERS[:, :n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,10 +44,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     n = len(values)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p = powers(n + 1)
+    p, inverse = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_CODE[values] * p[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * p[n - starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -1,11 +1,15 @@
 """The training-data queries and, where SQL can express one, its SQL."""
 
-from podium.llm import language, lines, quality, secrets
+from podium.llm import bpe, ctph, flac, language, lines, packing, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_quality_ranking": quality.query,
     "op3_language_ppm": language.query,
+    "op4_piecewise_hash": ctph.query,
     "op5_line_spread": lines.query,
+    "op8_bpe_speculate": bpe.query,
+    "op9_best_fit_packing": packing.query,
+    "op10_flac_media": flac.query,
 }
 ORACLES = {"op5_line_spread": lines.ORACLE_SQL}

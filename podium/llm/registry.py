@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express one, its SQL."""
 
-from podium.llm import bpe, ctph, flac, language, lines, packing, quality, secrets
+from podium.llm import backoff, bpe, ctph, flac, language, lines, nearjoin, packing, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -8,8 +8,10 @@ QUERIES = {
     "op3_language_ppm": language.query,
     "op4_piecewise_hash": ctph.query,
     "op5_line_spread": lines.query,
+    "op6_jaccard_components": nearjoin.query,
+    "op7_stupid_backoff": backoff.query,
     "op8_bpe_speculate": bpe.query,
     "op9_best_fit_packing": packing.query,
     "op10_flac_media": flac.query,
 }
-ORACLES = {"op5_line_spread": lines.ORACLE_SQL}
+ORACLES = {"op5_line_spread": lines.ORACLE_SQL, "op6_jaccard_components": nearjoin.ORACLE_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL}

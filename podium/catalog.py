@@ -1,4 +1,4 @@
 """The registered queries of this library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from podium.plans import aggregate_queries, clean_queries, series_queries  # noqa: F401
+from podium.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -106,7 +106,7 @@ def w8(spark, d):
 
 
 _KNOTS = f"""WITH an AS (SELECT contest_id, tier, max(hours) AS ah, arg_max(score, hours) AS sc FROM canon WHERE hours <= 48 GROUP BY ALL HAVING arg_max(score, hours) > 0 AND max(hours) > 0),
-kn AS (SELECT contest_id, tier, sc, ah, i * 6.0 AS hours FROM an, LATERAL (SELECT unnest(range(0, CAST(ceil(ah / 6) AS BIGINT))) AS i) UNION ALL SELECT contest_id, tier, sc, ah, ah FROM an),
+kn AS (SELECT contest_id, tier, sc, ah, i * 6.0::DOUBLE AS hours FROM an, LATERAL (SELECT unnest(range(0, CAST(ceil(ah / 6) AS BIGINT))) AS i) UNION ALL SELECT contest_id, tier, sc, ah, ah FROM an),
 kv AS (SELECT *, row_number() OVER (PARTITION BY contest_id, tier ORDER BY hours) - 2 AS knot, lag(v) OVER (PARTITION BY contest_id, tier ORDER BY hours) AS pv FROM {interp("SELECT * FROM kn")})"""
 
 

@@ -97,6 +97,8 @@ class Trees:
         self.langs = sorted(set(lang.tolist()))
         size = len(self.langs)
         of = np.searchsorted(np.array(self.langs, object), lang) if size else np.zeros(0, int)
+        if size:  # the padding before a text is a context, too, though nothing ends there
+            of, gram, n = np.append(of, 0), np.append(gram, 0), np.append(n, 0.0)
         totals = np.zeros((SYMBOLS, size))
         np.add.at(totals, (gram % SYMBOLS, of), n)
         lower = self._costs(totals.sum(0)[None], (totals > 0).sum(0)[None], totals, np.zeros(SYMBOLS, int), np.full((SYMBOLS, size), 8.0))

@@ -41,14 +41,17 @@ def simplex_least_squares(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
     return best
 
 
+#: For one to four unknowns: which are free (0), at the lower (1) or at the upper bound (2); those with few bounds first.
+_STATES = {n: [np.array(s) for s in sorted(product((0, 1, 2), repeat=n), key=lambda s: sum(map(bool, s)))] for n in range(1, 5)}
+
+
 def box_least_squares(gram: np.ndarray, moment: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
     """argmin of x'Gx - 2 x'b over a box, exactly: the best feasible of the solutions with each unknown free or at a bound (four at most)."""
     n = len(moment)
     scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
     g, b, lo, hi = gram / scale[:, None] / scale, moment / scale, lower * scale, upper * scale
     best, value = np.clip(np.zeros(n), lo, hi), np.inf
-    for state in product((0, 1, 2), repeat=n):
-        state = np.array(state)
+    for state in _STATES[n]:
         x = np.where(state == 1, lo, np.where(state == 2, hi, 0.0))
         f = np.flatnonzero(state == 0)
         if len(f):
@@ -56,6 +59,9 @@ def box_least_squares(gram: np.ndarray, moment: np.ndarray, lower: np.ndarray, u
             if (x[f] < lo[f] - 1e-9).any() or (x[f] > hi[f] + 1e-9).any():
                 continue
             x[f] = np.clip(x[f], lo[f], hi[f])
+        slope = g @ x - b
+        if ((state != 1) | (slope >= -1e-12)).all() and ((state != 2) | (slope <= 1e-12)).all():
+            return x / scale  # no bound pulls the wrong way: this is the minimum
         if (v := x @ g @ x - 2 * x @ b) < value:
             best, value = x, v
     return best / scale

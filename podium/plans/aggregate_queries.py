@@ -13,6 +13,7 @@ from podium.plans.clean_queries import DAY_TYPE, LOCAL
 from podium.plans.registry import query
 from podium.plans.series_queries import scales
 from podium.schema import HOUR_MS, K
+from podium.session import cut
 
 T0 = A.T0
 
@@ -28,7 +29,7 @@ def profile(spark, d):
 
 
 def skeletons(spark, d):
-    return G.attach_season_factor(normalised(spark, d), G.season_factors(profile(spark, d)))
+    return cut(G.attach_season_factor(normalised(spark, d), G.season_factors(profile(spark, d))))
 
 
 NORM = f""", nrm AS (SELECT w1.*, start_at, end_at, (time_ms - start_at) / 3600000.0 AS hours, scale, speed / scale AS norm_speed, {DAY_TYPE} AS day_type, hour({LOCAL}) AS hr FROM w1 JOIN contests USING (contest_id) JOIN scales USING (contest_id) WHERE scale > 0

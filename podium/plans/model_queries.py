@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from podium.operators import aggregates as G
@@ -13,6 +14,7 @@ from podium.plans.aggregate_queries import HIST, NORM, history, profile, ratios,
 from podium.plans.registry import query
 from podium.plans.series_queries import CANON, canonical, interp, scales
 from podium.schema import HOUR_MS, K
+from podium.session import cut
 
 HOURS = "(end_at - start_at) / 3600000.0"
 LOCAL0 = "((start_at + 28800000) / 3600000.0) % 24"
@@ -43,7 +45,7 @@ def m1(spark, d):
 
 
 def pace_fits(spark, d):
-    return M.fit_pace_weights(canonical(spark, d), A.contests(spark, d), pressure(spark, d))
+    return cut(M.fit_pace_weights(cut(canonical(spark, d)), A.contests(spark, d), pressure(spark, d)))
 
 
 @query("m2_fit_pace_weights")
@@ -96,7 +98,7 @@ def m5(spark, d):
 
 def cohort_masses(spark, d):
     c = A.contests(spark, d)
-    return M.fit_cohort_mass(M.mass_basis(canonical(spark, d), c), c)
+    return cut(M.fit_cohort_mass(M.mass_basis(canonical(spark, d), c), c))
 
 
 @query("m6_fit_cohort_mass")
@@ -123,14 +125,14 @@ def m7(spark, d):
 def knots(spark, d):
     """Knots of the 48-hour prefixes with cohort bases, for forecast_cohort."""
     c = A.contests(spark, d)
-    s = canonical(spark, d)
+    s = cut(canonical(spark, d))
     seen = s.where("hours <= 48")
     anchor = seen.groupBy(*K).agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor")).where("anchor > 0 and anchor_h > 0")
     inc = S.prefix_increments(s, 48).select(*K, (F.col("knot") + 1).alias("i"), F.col("hi").alias("hours"), "share")
     zero = anchor.select(*K, F.lit(0).alias("i"), F.lit(0.0).alias("hours"), F.lit(0.0).alias("share"))
     at = M.mass_basis(inc.unionByName(zero), c)
     end = M.mass_basis(c.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours")), c).select("contest_id", F.col("basis").alias("end_basis"))
-    return at.join(anchor, K).join(F.broadcast(end), "contest_id").join(F.broadcast(c.select("contest_id", "start_at", "contest_type")), "contest_id").join(pressure(spark, d), K).withColumn("origin_h", F.lit(48))
+    return cut(at).join(anchor, K).join(F.broadcast(end), "contest_id").join(F.broadcast(c.select("contest_id", "start_at", "contest_type")), "contest_id").join(pressure(spark, d), K).withColumn("origin_h", F.lit(48))
 
 
 @query("m8_forecast_cohort")
@@ -215,15 +217,17 @@ def m16(spark, d):
     return skeletons(spark, d).select(*K, "time_ms", F.round(M.compress_speed(F.col("norm_speed") * 20), 6).alias("v"))
 
 
-@query("m11_kalman_strength", f"""WITH sp AS (SELECT contest_id, tier, min(hours) AS lo, max(hours) AS hi FROM canon GROUP BY ALL), gg AS (SELECT contest_id, tier, i, lo + i AS hours FROM sp, LATERAL (SELECT unnest(range(0, CAST(floor(hi - lo + 1e-9) AS BIGINT) + 1)) AS i) WHERE hi - lo >= 1),
-st AS (SELECT contest_id, tier, i - 1 AS k, v - pv AS d, 40 + 2.0 * (i - 1) AS m FROM (SELECT *, lag(v) OVER (PARTITION BY contest_id, tier ORDER BY i) AS pv FROM {interp("SELECT * FROM gg")}) WHERE pv IS NOT NULL),
-kf(contest_id, tier, k, s, t, a, b, d) AS (SELECT contest_id, tier, CAST(-1 AS BIGINT), 1.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.01::DOUBLE FROM sp WHERE hi - lo >= 1
+@query("m11_kalman_strength", f"""WITH hh AS (SELECT contest_id, tier, CAST(floor(hours) AS BIGINT) AS h, max(score) AS top FROM canon GROUP BY ALL),
+st AS (SELECT contest_id, tier, row_number() OVER (PARTITION BY contest_id, tier ORDER BY h) - 1 AS k, top - coalesce(lag(top) OVER (PARTITION BY contest_id, tier ORDER BY h), 0) AS d, 40 + 2.0::DOUBLE * h AS m FROM hh),
+kf(contest_id, tier, k, s, t, a, b, d) AS (SELECT DISTINCT contest_id, tier, CAST(-1 AS BIGINT), 1.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.01::DOUBLE FROM st
   UNION ALL SELECT contest_id, tier, k, CASE WHEN m > 50 THEN l + k1 * (z - l) ELSE l END, CASE WHEN m > 50 THEN t + k2 * (z - l) ELSE t END, CASE WHEN m > 50 THEN (1 - k1) * p11 ELSE p11 END, CASE WHEN m > 50 THEN (1 - k1) * p12 ELSE p12 END, CASE WHEN m > 50 THEN p22 - k2 * p12 ELSE p22 END
   FROM (SELECT *, p11 / (p11 + r) AS k1, p12 / (p11 + r) AS k2 FROM (SELECT st.contest_id, st.tier, st.k, st.m, kf.t, kf.s + kf.t AS l, kf.a + 2 * kf.b + kf.d + 1e-5 AS p11, kf.b + kf.d AS p12, kf.d + 1e-7 AS p22, greatest(0.1, least(5, st.d / st.m)) AS z,
     0.1 + 20 / (st.m + 1) + CASE WHEN abs(st.d / st.m - greatest(0.1, least(5, st.d / st.m))) > 0.1 THEN 100 ELSE 0 END AS r FROM kf JOIN st ON st.contest_id = kf.contest_id AND st.tier = kf.tier AND st.k = kf.k + 1)))
 SELECT contest_id, tier, round(arg_max(s, k), 6) AS scale, round(arg_max(t, k), 6) AS trend FROM kf GROUP BY ALL""", extra=CANON)
 def m11(spark, d):
-    steps = S.hourly_deltas(canonical(spark, d)).withColumn("model", 40 + 2.0 * F.col("step"))
+    hourly = canonical(spark, d).groupBy(*K, F.floor("hours").alias("h")).agg(F.max("score").alias("top"))
+    w = W.partitionBy(*K).orderBy("h")
+    steps = hourly.select(*K, (F.row_number().over(w) - 1).alias("step"), (F.col("top") - F.coalesce(F.lag("top").over(w), F.lit(0.0))).alias("delta"), (40 + 2.0 * F.col("h")).alias("model"))
     return M.kalman_strength(steps).select(*K, F.round("scale", 6).alias("scale"), F.round("trend", 6).alias("trend"))
 
 
@@ -239,13 +243,13 @@ def m13(spark, d):
 
 @query("m17_forecast_skeleton_fixed")
 def m17_fixed(spark, d):
-    return M.forecast_skeleton(fixed_params(spark, d).drop("start_at", "total_h"), canonical(spark, d).where("hours <= 48"), A.contests(spark, d), scales(spark, d), factors(spark, d))
+    return M.forecast_skeleton(fixed_params(spark, d).drop("start_at", "total_h"), cut(canonical(spark, d)).where("hours <= 48"), A.contests(spark, d), cut(scales(spark, d)), cut(factors(spark, d)))
 
 
 def skeleton_params(spark, d):
     """History means of the fits, aligned in duration and strength: targets without history have none."""
     c = A.contests(spark, d).select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("h"))
-    fits = M.fit_skeleton(skeletons(spark, d), A.contests(spark, d)).join(c.withColumnRenamed("h", "history_h"), "contest_id")
+    fits = cut(M.fit_skeleton(skeletons(spark, d), A.contests(spark, d))).join(c.withColumnRenamed("h", "history_h"), "contest_id")
     mean = history(spark, d).join(fits, "contest_id").groupBy("target_id", "tier").agg(*[F.avg(x).alias(x) for x in M.PARAMS], F.avg("history_h").alias("history_h"))
     p = mean.join(ratios(spark, d), ["target_id", "tier"]).join(c.select(F.col("contest_id").alias("target_id"), F.col("h").alias("target_h")), "target_id")
     return M.align_duration(p).withColumnRenamed("target_id", "contest_id").withColumn("total_h", F.col("target_h"))
@@ -254,7 +258,7 @@ def skeleton_params(spark, d):
 @query("m17_forecast_skeleton")
 def m17(spark, d):
     p = M.refit_local(S.refit_window(skeletons(spark, d).where("hours <= 48")), skeleton_params(spark, d).select(*K, *M.PARAMS, "total_h"))
-    return M.forecast_skeleton(p, canonical(spark, d).where("hours <= 48"), A.contests(spark, d), scales(spark, d), factors(spark, d))
+    return M.forecast_skeleton(cut(p), cut(canonical(spark, d)).where("hours <= 48"), A.contests(spark, d), cut(scales(spark, d)), cut(factors(spark, d)))
 
 
 @query("m18_what_if_path")

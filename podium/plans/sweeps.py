@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from podium.operators import models as M
 from podium.schema import K
+from podium.session import cut
 
 
 def sweep_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, truth: DataFrame, configs: list[tuple[float, bool]], holdout_from: int = 7) -> DataFrame:
-    """(config_id, split, objective): losses of cohort configurations (strength, transfer); what they share is persisted once. A negative strength is rejected without a run."""
-    knots, templates = knots.persist(), templates.persist()
+    """(config_id, split, objective): losses of cohort configurations (strength, transfer); what they share is made once. A negative strength is rejected without a run."""
+    knots, templates = cut(knots), cut(templates)
     good = [(s, t) for s, t in configs if s >= 0]
     runs = [M.forecast_cohort(knots, templates, contests, strength=s, transfer=t).withColumn("config_id", F.lit(f"k{s:g}" + "t" * t)) for s, t in good]
     rows = reduce(DataFrame.unionByName, runs).join(truth, K).withColumn("split", F.when(F.col("contest_id") >= holdout_from, "holdout").otherwise("train"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
 _SHIPPED: set[str] = set()
@@ -27,6 +27,14 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder: what several branches read is made once, and survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(True)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets UTC and AQE, and sends this package to the executors once in a context, so that tasks can import it."""
     for k, v in SETTINGS.items():

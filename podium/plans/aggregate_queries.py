@@ -159,7 +159,7 @@ _REPORT = f"""WITH r AS (SELECT contest_id, tier, time_ms, score, available_at,
 r2 AS (SELECT *, NOT bv AND time_ms > om AS late, NOT bv AND time_ms <= om AND available_at > om AS fut FROM r), r3 AS (SELECT *, NOT bv AND NOT late AND NOT fut AS ok FROM r2),
 r4 AS (SELECT *, count(*) OVER (PARTITION BY contest_id, tier, ok, time_ms) AS same, ok AND row_number() OVER (PARTITION BY contest_id, tier, ok, time_ms ORDER BY available_at DESC, seq DESC) = 1 AS one FROM r3),
 r5 AS (SELECT *, one AND coalesce(score < lag(score) OVER (PARTITION BY contest_id, tier, one ORDER BY time_ms), false) AS falls FROM r4),
-g AS (SELECT contest_id, tier, count(*) AS raw_rows, count_if(bv) AS invalid_value, count_if(late) AS post_origin, count_if(fut) AS future_available, count_if(ok AND same > 1) AS duplicate_rows, count_if(falls) AS falls, count_if(one) AS usable FROM r5 GROUP BY ALL),
+g AS (SELECT contest_id, tier, count(*) AS raw_rows, count(*) FILTER (WHERE bv) AS invalid_value, count(*) FILTER (WHERE late) AS post_origin, count(*) FILTER (WHERE fut) AS future_available, count(*) FILTER (WHERE ok AND same > 1) AS duplicate_rows, count(*) FILTER (WHERE falls) AS falls, count(*) FILTER (WHERE one) AS usable FROM r5 GROUP BY ALL),
 q AS (SELECT c.contest_id, t.tier, coalesce(raw_rows, 0) AS raw_rows, coalesce(invalid_value, 0) AS invalid_value, coalesce(post_origin, 0) AS post_origin, coalesce(future_available, 0) AS future_available, coalesce(duplicate_rows, 0) AS duplicate_rows, coalesce(falls, 0) AS falls, coalesce(usable, 0) AS usable,
   CASE WHEN raw_rows IS NULL THEN 'missing' WHEN usable = 0 THEN 'no_usable_as_of_records' ELSE 'ok' END AS status FROM contests c CROSS JOIN (VALUES (10), (50), (500), (1000)) t(tier) LEFT JOIN g ON g.contest_id = c.contest_id AND g.tier = t.tier)"""
 
@@ -175,7 +175,7 @@ def a11(spark, d):
     return report(spark, d).drop("invalid_time", "unknown_available")
 
 
-@query("a11_quality_rollup", _REPORT + " SELECT contest_id, CAST(sum(raw_rows) AS BIGINT) AS raw_rows, CAST(sum(usable) AS BIGINT) AS usable, CAST(sum(post_origin) AS BIGINT) AS post_origin, CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, CAST(sum(falls) AS BIGINT) AS falls, count_if(status = 'ok') AS observed, count(*) AS requested, count_if(status = 'ok') / count(*) AS completeness FROM q GROUP BY 1")
+@query("a11_quality_rollup", _REPORT + " SELECT contest_id, CAST(sum(raw_rows) AS BIGINT) AS raw_rows, CAST(sum(usable) AS BIGINT) AS usable, CAST(sum(post_origin) AS BIGINT) AS post_origin, CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, CAST(sum(falls) AS BIGINT) AS falls, count(*) FILTER (WHERE status = 'ok') AS observed, count(*) AS requested, count(*) FILTER (WHERE status = 'ok') / count(*) AS completeness FROM q GROUP BY 1")
 def a11_rollup(spark, d):
     return G.quality_rollup(report(spark, d))
 

@@ -24,17 +24,17 @@ def f2(spark, d):
     return kept.withColumn("side", F.lit("kept")).unionByName(rest.withColumn("side", F.lit("rejected"))).groupBy("side", "tier").agg(F.count("*").alias("n"))
 
 
-@query("f3_observation_defects", "SELECT contest_id, tier, count(*) AS n, count_if(time_ms < 0) AS invalid_time, count_if(score < 0) AS invalid_value FROM dirty GROUP BY ALL")
+@query("f3_observation_defects", "SELECT contest_id, tier, count(*) AS n, count(*) FILTER (WHERE time_ms < 0) AS invalid_time, count(*) FILTER (WHERE score < 0) AS invalid_value FROM dirty GROUP BY ALL")
 def f3(spark, d):
     return C.flag_observation_defects(A.obs_dirty(spark, d)).groupBy(*K).agg(F.count("*").alias("n"), F.count_if("invalid_time").alias("invalid_time"), F.count_if("invalid_value").alias("invalid_value"))
 
 
 @query("f4_strict_contest_gate", """
 , k AS (SELECT d.contest_id, d.tier, max(CAST(score < 0 AS INT)) AS bad, count(*) - count(DISTINCT time_ms) AS dup, max(CAST(time_ms < start_at AS INT)) AS early,
-  count_if(time_ms BETWEEN start_at AND end_at) AS inside FROM dirty d JOIN contests USING (contest_id) WHERE d.contest_id % 2 = 0 OR d.seq % 97 <> 0 GROUP BY d.contest_id, d.tier)
+  count(*) FILTER (WHERE time_ms BETWEEN start_at AND end_at) AS inside FROM dirty d JOIN contests USING (contest_id) WHERE d.contest_id % 2 = 0 OR d.seq % 97 <> 0 GROUP BY d.contest_id, d.tier)
 SELECT contest_id, list_aggregate(r, 'string_agg', ',') IS NULL AS accepted, coalesce(list_aggregate(r, 'string_agg', ','), '') AS reasons FROM (
   SELECT contest_id, list_sort(list_filter([CASE WHEN max(bad) = 1 THEN 'bad_value' END, CASE WHEN max(CAST(tier = 999 AS INT)) = 1 THEN 'unknown_tier' END, CASE WHEN max(dup) > 0 THEN 'duplicate_time' END,
-    CASE WHEN max(early) = 1 THEN 'row_before_start' END, CASE WHEN min(inside) < 2 THEN 'too_few_rows' END, CASE WHEN count_if(tier IN (50,100,300,500,1000,2000)) < 6 THEN 'missing_training_tier' END], lambda x: x IS NOT NULL)) AS r
+    CASE WHEN max(early) = 1 THEN 'row_before_start' END, CASE WHEN min(inside) < 2 THEN 'too_few_rows' END, CASE WHEN count(*) FILTER (WHERE tier IN (50,100,300,500,1000,2000)) < 6 THEN 'missing_training_tier' END], lambda x: x IS NOT NULL)) AS r
   FROM k GROUP BY contest_id)""".replace(", k AS", "WITH k AS", 1))
 def f4(spark, d):
     obs = A.obs_dirty(spark, d).where("contest_id % 2 = 0 or seq % 97 <> 0")
@@ -114,7 +114,7 @@ def f15(spark, d):
 
 @query("f16_evaluation_gate", f"""
 WITH t AS (SELECT DISTINCT contest_id, to_rank AS tier FROM rewards WHERE reward_type = 'deco_pins' AND contest_id <> 5), p AS (SELECT contest_id, tier, max(CAST(time_ms > end_at AS INT)) AS post FROM obs JOIN contests USING (contest_id) WHERE tier <> 500 OR contest_id <> 3 GROUP BY ALL)
-SELECT c.contest_id, CASE WHEN count(t.tier) = 0 THEN 'not_applicable' WHEN max(end_at) >= {T0} + 2300000000 THEN 'not_completed' WHEN count_if(t.tier IS NOT NULL AND p.post IS NULL) > 0 THEN 'reward_tier_without_tracker' WHEN count_if(p.post = 0) > 0 THEN 'reward_tier_without_final' ELSE 'evaluable' END AS status
+SELECT c.contest_id, CASE WHEN count(t.tier) = 0 THEN 'not_applicable' WHEN max(end_at) >= {T0} + 2300000000 THEN 'not_completed' WHEN count(*) FILTER (WHERE t.tier IS NOT NULL AND p.post IS NULL) > 0 THEN 'reward_tier_without_tracker' WHEN count(*) FILTER (WHERE p.post = 0) > 0 THEN 'reward_tier_without_final' ELSE 'evaluable' END AS status
 FROM contests c LEFT JOIN t USING (contest_id) LEFT JOIN p ON p.contest_id = t.contest_id AND p.tier = t.tier GROUP BY c.contest_id""")
 def f16(spark, d):
     tiers = A.rewards(spark, d).where("reward_type = 'deco_pins' and contest_id <> 5").select("contest_id", F.col("to_rank").alias("tier"))

@@ -86,9 +86,9 @@ def a16(spark, d):
     return _rounded(E.sliced_metrics(errors(spark, d), ["contest_type", "phase"]))
 
 
-@query("a17_coverage_report", """SELECT method, contest_id, count(*) AS scheduled, count_if(actual IS NOT NULL) AS evaluable, count_if(actual IS NOT NULL) AS attempted, count_if(actual IS NOT NULL AND status = 'success') AS success, count_if(actual IS NOT NULL AND status <> 'success') AS failure,
-  CASE WHEN count_if(status <> 'success') > 0 THEN '{"no_forecast":' || count_if(status <> 'success') || '}' END AS reasons, count_if(actual IS NOT NULL AND status = 'success') / nullif(count_if(actual IS NOT NULL), 0) AS success_share,
-  CASE WHEN count_if(actual IS NOT NULL) = 0 THEN 'n.a.' WHEN count_if(actual IS NOT NULL AND status = 'success') = count_if(actual IS NOT NULL) THEN 'complete' WHEN count_if(actual IS NOT NULL AND status = 'success') > 0 THEN 'partial' ELSE 'unavailable' END AS support FROM er GROUP BY method, contest_id""", extra=SCORED)
+@query("a17_coverage_report", """SELECT method, contest_id, count(*) AS scheduled, count(*) FILTER (WHERE actual IS NOT NULL) AS evaluable, count(*) FILTER (WHERE actual IS NOT NULL) AS attempted, count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') AS success, count(*) FILTER (WHERE actual IS NOT NULL AND status <> 'success') AS failure,
+  CASE WHEN count(*) FILTER (WHERE status <> 'success') > 0 THEN '{"no_forecast":' || count(*) FILTER (WHERE status <> 'success') || '}' END AS reasons, count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') / nullif(count(*) FILTER (WHERE actual IS NOT NULL), 0) AS success_share,
+  CASE WHEN count(*) FILTER (WHERE actual IS NOT NULL) = 0 THEN 'n.a.' WHEN count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') = count(*) FILTER (WHERE actual IS NOT NULL) THEN 'complete' WHEN count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') > 0 THEN 'partial' ELSE 'unavailable' END AS support FROM er GROUP BY method, contest_id""", extra=SCORED)
 def a17(spark, d):
     return E.coverage_report(errors(spark, d), ["contest_id"])
 
@@ -97,7 +97,7 @@ _PAIR = """WITH p AS (SELECT contest_id, tier, origin_h, max(CASE WHEN method =
 q AS (SELECT contest_id, avg(x) AS a, avg(y) AS b FROM (SELECT contest_id, tier, avg(x) AS x, avg(y) AS y FROM p GROUP BY ALL) GROUP BY 1)"""
 
 
-@query("a18_paired_comparison", _PAIR + " SELECT round(avg(a), 4) AS mape_a, round(avg(b), 4) AS mape_b, round(avg(b - a), 4) AS delta, count_if(a < b) AS wins_a, count(*) AS contests FROM q", extra=SCORED)
+@query("a18_paired_comparison", _PAIR + " SELECT round(avg(a), 4) AS mape_a, round(avg(b), 4) AS mape_b, round(avg(b - a), 4) AS delta, count(*) FILTER (WHERE a < b) AS wins_a, count(*) AS contests FROM q", extra=SCORED)
 def a18(spark, d):
     p = E.paired_comparison(errors(spark, d), "average_speed", "last_slope")
     return p.select(*[F.round(c, 4).alias(c) for c in ("mape_a", "mape_b", "delta")], "wins_a", "contests")
@@ -140,7 +140,7 @@ def a23(spark, d):
     return m.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "max", "min", "std")])
 
 
-@query("a25_coverage_gate", "WITH j AS (SELECT contest_id, contest_id IN (SELECT contest_id FROM tr) AS ok FROM contests) SELECT count(*) AS requested, count_if(ok) AS included, CAST(greatest(3, ceil(count(*) * 0.6)) AS BIGINT) AS required, count_if(ok) / count(*) AS share, count_if(ok) >= greatest(3, ceil(count(*) * 0.6)) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN contest_id || '' END, ',' ORDER BY contest_id || ''), '') AS excluded FROM j", extra=SCORED)
+@query("a25_coverage_gate", "WITH j AS (SELECT contest_id, contest_id IN (SELECT contest_id FROM tr) AS ok FROM contests) SELECT count(*) AS requested, count(*) FILTER (WHERE ok) AS included, CAST(greatest(3, ceil(count(*) * 0.6)) AS BIGINT) AS required, count(*) FILTER (WHERE ok) / count(*) AS share, count(*) FILTER (WHERE ok) >= greatest(3, ceil(count(*) * 0.6)) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN contest_id || '' END, ',' ORDER BY contest_id || ''), '') AS excluded FROM j", extra=SCORED)
 def a25(spark, d):
     c = A.contests(spark, d)
     return E.coverage_gate(c, G.final_truth(A.obs(spark, d), c, "bucket20"), 3, 0.6)

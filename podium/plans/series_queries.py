@@ -45,7 +45,7 @@ def interp(points: str) -> str:
     FROM ({points}) p ASOF JOIN segs s ON p.contest_id = s.contest_id AND p.tier = s.tier AND p.hours >= s.a)"""
 
 
-@query("w1_interval_speed_zero", "SELECT contest_id, tier, count(*) AS n, round(sum(speed), 4) AS total, count_if(speed = 0) AS zeros FROM w1 GROUP BY ALL", speed=True)
+@query("w1_interval_speed_zero", "SELECT contest_id, tier, count(*) AS n, round(sum(speed), 4) AS total, count(*) FILTER (WHERE speed = 0) AS zeros FROM w1 GROUP BY ALL", speed=True)
 def w1(spark, d):
     return S.interval_speed(A.obs(spark, d)).groupBy(*K).agg(F.count("*").alias("n"), F.round(F.sum("speed"), 4).alias("total"), F.count_if(F.col("speed") == 0).alias("zeros"))
 
@@ -60,7 +60,7 @@ def w2(spark, d):
     return S.latest_revision(A.obs_dirty(spark, d)).select(*K, "time_ms", "score", "available_at")
 
 
-@query("w3_cummax_repair", "SELECT contest_id, tier, round(sum(m), 2) AS total, count_if(f) AS falls FROM (SELECT contest_id, tier, max(score) OVER (k ROWS UNBOUNDED PRECEDING) AS m, coalesce(score < lag(score) OVER k, false) AS f FROM obs WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms, seq)) GROUP BY ALL")
+@query("w3_cummax_repair", "SELECT contest_id, tier, round(sum(m), 2) AS total, count(*) FILTER (WHERE f) AS falls FROM (SELECT contest_id, tier, max(score) OVER (k ROWS UNBOUNDED PRECEDING) AS m, coalesce(score < lag(score) OVER k, false) AS f FROM obs WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms, seq)) GROUP BY ALL")
 def w3(spark, d):
     return S.cummax_repair(A.obs(spark, d)).groupBy(*K).agg(F.round(F.sum("repaired"), 2).alias("total"), F.count_if("falls").alias("falls"))
 
@@ -70,7 +70,7 @@ def w4(spark, d):
     return canonical(spark, d).select(*K, F.round(F.col("hours") * 3_600_000).cast("long").alias("at_ms"), "score")
 
 
-@query("w4_training_diagnostics", """SELECT contest_id, tier, max(CAST(aft AS INT)) = 1 AS mapped, min(CASE WHEN aft THEN time_ms - end_at END) AS delay_ms, count_if(aft AND score <> fin) AS disagreements, count_if(falls) AS repaired_steps FROM (
+@query("w4_training_diagnostics", """SELECT contest_id, tier, max(CAST(aft AS INT)) = 1 AS mapped, min(CASE WHEN aft THEN time_ms - end_at END) AS delay_ms, count(*) FILTER (WHERE aft AND score <> fin) AS disagreements, count(*) FILTER (WHERE falls) AS repaired_steps FROM (
   SELECT o.contest_id, o.tier, o.time_ms, o.score, c.end_at, time_ms > end_at AND time_ms <= end_at + 1200000 AS aft, coalesce(o.score < lag(o.score) OVER w, false) AND time_ms <= end_at AS falls, cl.closing AS fin
   FROM obs o JOIN contests c USING (contest_id) LEFT JOIN cl ON cl.contest_id = o.contest_id AND cl.tier = o.tier WINDOW w AS (PARTITION BY o.contest_id, o.tier ORDER BY time_ms, seq)) GROUP BY ALL""", extra=CANON)
 def w4d(spark, d):
@@ -174,7 +174,7 @@ def u4(spark, d):
     return A.obs_dirty(spark, d).select(*K, "time_ms", "score").dropDuplicates()
 
 
-@query("u1_union_tiers", "SELECT contest_id, count(*) AS n, sum(CAST(s AS INT)) AS synthetic FROM (SELECT contest_id, false AS s FROM obs WHERE tier IN (1000, 2000) UNION ALL SELECT contest_id, true FROM obs WHERE tier = 1000) GROUP BY 1")
+@query("u1_union_tiers", "SELECT contest_id, count(*) AS n, count(*) FILTER (WHERE s) AS synthetic FROM (SELECT contest_id, false AS s FROM obs WHERE tier IN (1000, 2000) UNION ALL SELECT contest_id, true FROM obs WHERE tier = 1000) GROUP BY 1")
 def u1(spark, d):
     o = A.obs(spark, d)
     own = o.where("tier in (1000, 2000)").select("contest_id", F.lit(0).alias("s"))

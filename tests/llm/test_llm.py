@@ -401,3 +401,40 @@ def test_pipeline_keeps_and_drops_what_it_should(spark, docs, tmp_path):
         if name == "near_duplicates":
             at = {r["doc_id"] for r in d.collect()}
     assert {5, 8, 13} <= at and not {1, 2, 3, 6} & at and {r["doc_id"] for r in d.collect()} == at
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(21)
+    common_line, data = "all rights reserved by the quiet hills", []
+    for i in range(70):
+        body = [prose(r.randint(8, 20), r) for _ in range(r.randint(2, 6))]
+        if i % 3 == 0:
+            body.insert(r.randint(0, len(body)), common_line)
+        if i % 4 == 0:
+            body.append(f'{prose(6, r)} token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}" {prose(4, r)}')
+        data.append((i, "\n".join(body), f"s{i % 8}"))
+    data += [(100 + i, data[5 * i][1] + " and more", f"s{i}") for i in range(8)] + [(200, None, "s1"), (201, "123 456", "s2"), (202, common_line, "s3")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = [(i, t, s) for i, t, s in data if t and re.search("[a-z]", t)]
+    sites, first = {}, {}
+    for i, t, s in kept:
+        for k, line in enumerate(t.split("\n")):
+            sites.setdefault(line, set()).add(s)
+            first.setdefault(line, (i, k))
+    gone = {x for x, v in sites.items() if len(v) >= lines.MIN_SITES and len(x) >= lines.MIN_CHARS}
+    kept = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if x not in gone or first[x] == (i, k))) for i, t, _ in kept]
+    kept = [(i, t) for i, t in kept if t.strip()]
+    parts = brute_components(kept)
+    kept = [(i, t) for (i, t), (_, n, c) in zip(kept, parts, strict=True) if n == 0 or c == i]
+    kept = [(i, re.sub('token = "[0-9a-f]{40}"', f'token = "{secrets.MASK}"', t)) for i, t in kept]
+    lib = Tokenizer.from_file(bpe.vocabulary_file("word_bpe_49k.json"))
+    assert gone == {common_line} and len(kept) < len(data) - 8
+    want = {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept}
+    assert {p["doc_id"]: p["doc_tokens"] for p in got} == want and sum(p["length"] for p in got) == sum(want.values())

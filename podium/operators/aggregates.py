@@ -98,14 +98,18 @@ def blended_window_stats(pairs: DataFrame, history: DataFrame) -> DataFrame:
     """
     keys = ["target_id", *K]
     p = pairs.withColumn("w", duration_weight(F.col("target_hours"), F.col("history_hours"), DEFAULTS["window_align_max"]))
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    by_hours = history.join(p, K)
-    mapped = by_hours.withColumns({"t0": clip(F.col("t0") / F.col("target_hours")) * F.col("history_hours"), "t1": clip(F.col("t1") / F.col("target_hours")) * F.col("history_hours")})
-    parts = p.select(*keys, "w")
-    for rows, tag in ((by_hours, "a"), (mapped, "p")):
-        parts = parts.join(window_intensity(rows, keys, f"i_{tag}"), keys, "left").join(window_mean(rows, "norm_speed", keys, f"n_{tag}"), keys, "left")
-    blend = lambda x: F.when(F.col("w") <= 0, F.col(f"{x}_a")).otherwise(F.coalesce((1 - F.col("w")) * F.col(f"{x}_a") + F.col("w") * F.col(f"{x}_p"), F.col(f"{x}_a"), F.col(f"{x}_p")))
-    return parts.select(*keys, blend("i").alias("intensity"), blend("n").alias("norm_mean"))
+    mapped = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(t) / F.col("target_hours"))) * F.col("history_hours")
+    both = F.array(F.struct(F.lit("hours").alias("kind"), F.col("t0").cast("double").alias("lo"), F.col("t1").cast("double").alias("hi")), F.struct(F.lit("progress").alias("kind"), mapped("t0").alias("lo"), mapped("t1").alias("hi")))
+    finite = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = history.join(p.select(*keys, F.explode(both).alias("k")), K).where("hours between k.lo and k.hi").select(*keys, "k.kind", finite("norm_speed").alias("n"), finite("skeleton_speed").alias("s"))
+    w = W.partitionBy(*keys, "kind")
+    rows = rows.withColumns({"m": F.avg("s").over(w), "d": F.stddev_samp("s").over(w)})
+    inner = F.avg(F.when(F.abs(F.col("s") - F.col("m")) < 2 * F.col("d"), F.col("s")))
+    g = rows.groupBy(*keys, "kind").agg(F.avg("n").alias("n"), F.when(F.max("d") > 0.001, F.coalesce(inner, F.max("m"))).otherwise(F.max("m")).alias("i"))
+    of = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    g = g.groupBy(*keys).agg(*[of(c, kind).alias(f"{c}_{kind}") for c in ("i", "n") for kind in ("hours", "progress")])
+    blend = lambda x: F.when(F.col("w") <= 0, F.col(f"{x}_hours")).otherwise(F.coalesce((1 - F.col("w")) * F.col(f"{x}_hours") + F.col("w") * F.col(f"{x}_progress"), F.col(f"{x}_hours"), F.col(f"{x}_progress")))
+    return p.select(*keys, "w").join(g, keys, "left").select(*keys, blend("i").alias("intensity"), blend("n").alias("norm_mean"))
 
 
 def strength_ratio(targets: DataFrame, stats: DataFrame) -> DataFrame:

@@ -100,12 +100,13 @@ def history(spark, d, k=3):
     return J.select_history(A.contests(spark, d), scales(spark, d), k, (2,))
 
 
-def blended(spark, d):
+def blended(spark, d, rows=None):
     c = A.contests(spark, d).select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("h"))
     pairs = history(spark, d).join(c.withColumnRenamed("h", "history_hours"), "contest_id").join(c.select(F.col("contest_id").alias("target_id"), F.col("h").alias("target_hours")), "target_id")
     tiers = A.obs(spark, d).select(*K).distinct()
     pairs = pairs.join(tiers, "contest_id").withColumns({"t0": F.lit(6.0), "t1": F.lit(48.0)}).drop("rank")
-    return G.blended_window_stats(pairs, skeletons(spark, d).select(*K, "hours", "norm_speed", "skeleton_speed"))
+    rows = skeletons(spark, d) if rows is None else rows
+    return G.blended_window_stats(pairs, rows.select(*K, "hours", "norm_speed", "skeleton_speed"))
 
 
 HIST = """, h0 AS (SELECT c.contest_id, lower(contest_type) AS ty, start_at, end_at, (end_at - start_at) / 3600000.0 AS dur, scale > 0 AND contest_id <> 2 AS good FROM contests c LEFT JOIN scales USING (contest_id)
@@ -127,7 +128,7 @@ def ratios(spark, d):
     sk = skeletons(spark, d)
     rows = sk.withColumns({"t0": F.lit(6.0), "t1": F.lit(48.0)})
     t = sk.groupBy(*K).agg(F.max("hours").alias("observed_h")).join(G.window_intensity(rows, K), K, "left").join(G.window_mean(rows, "norm_speed", K, "norm_mean"), K, "left")
-    return G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), blended(spark, d))
+    return G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), blended(spark, d, sk))
 
 
 @query("a8_strength_ratio", f"""WITH tg AS (SELECT o.contest_id AS target_id, o.tier, o.oh, x.i, n.nm, h.hi, h.hn FROM (SELECT contest_id, tier, max(hours) AS oh FROM sk GROUP BY ALL) o LEFT JOIN ({_INTENSITY}) x USING (contest_id, tier) LEFT JOIN (SELECT contest_id, tier, avg(norm_speed) AS nm FROM nrm WHERE hours BETWEEN 6 AND 48 GROUP BY ALL) n USING (contest_id, tier)

@@ -9,7 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+#: Whole texts go to Python: batches of 1000 rows keep what a worker holds small.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _SHIPPED: set[str] = set()
 
 

@@ -257,3 +257,15 @@ def test_rejected_prefixes_say_why(spark):
     p = S.prefix_join(bad, o).join(c.select("contest_id", "start_at", "end_at"), "contest_id")
     got = {r["tier"]: r["reason"] for r in C.prefix_gate(p).collect()}
     assert got == {500: "decreasing_score", 1000: "duplicate_time", 50: "no_score", 100: None}
+
+
+def test_live_scale_equals_its_batch_twin(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(1, u, t * H, float(v * t * t), u * 10 + t) for u, v in ((1, 6000), (2, 6200), (3, 6100)) for t in range(4)]
+    base = frame(spark, rows, "contest_id long, uid long, time_ms long, value double, seq long")
+    base.repartitionByRange(2, "time_ms").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(base.schema).parquet(str(tmp_path / "in"))
+    q = L.live_scale(stream).writeStream.outputMode("update").format("memory").queryName("scales").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert spark.table("scales").collect()[-1]["scale"] == pytest.approx(G.scale_from_points(base).first()["scale"])

@@ -50,15 +50,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts that hold about `limit` code points together."""
+def text_chunks(texts: list[str | bytes | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive texts that hold up to about `limit` code points together, all ranges about alike."""
+    sizes = [len(t) + 1 if t else 1 for t in texts]
+    total = sum(sizes)
+    target = total / max(1, -(-total // limit))
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > limit:
-            yield at, i
-            at, size = i, 0
-        size += n + 1
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= target:
+            yield at, i + 1
+            at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
 

@@ -22,7 +22,7 @@ from podium.llm.common import arrow_schema, batch_of, text_chunks
 
 UNIT, BLOCK, RATE, PARTITION_ORDER = 192, 1152, 8000, 2
 #: Code points that are coded together.
-STEP_CHARS = 1_500_000
+STEP_CHARS = 1_800_000
 
 
 def _crc_table(poly: int, width: int) -> np.ndarray:
@@ -431,14 +431,7 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def _by_size(streams: list[bytes]):
-    at, size = 0, 0
-    for i, s in enumerate(streams):
-        if size and size + len(s) > STEP_CHARS:
-            yield at, i
-            at, size = i, 0
-        size += len(s)
-    if at < len(streams):
-        yield at, len(streams)
+    return text_chunks(streams, STEP_CHARS)
 
 
 def pcm_blocks(stored: DataFrame, samples: int = 8 * BLOCK) -> DataFrame:

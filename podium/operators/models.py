@@ -339,8 +339,8 @@ def forecast_grid(params: DataFrame, points: int = 1000) -> DataFrame:
     return g.withColumn("skeleton", skeleton_shape(F.col("hours"), [F.col(c) for c in PARAMS], F.col("total_h")))
 
 
-def forecast_skeleton(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame) -> DataFrame:
-    """(contest_id, tier, now_h, score_now, strength, final): the growth curve with season and strength, integrated from the last row on.
+def skeleton_path(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame) -> DataFrame:
+    """(contest_id, tier, now_h, score_now, strength, hours, gain): the growth curve with season and strength on the grid; gain is what a place from the last row on adds to the score.
 
     params: aligned and refitted (contest_id, tier, base .. panic); prefix: (contest_id, tier, hours, score).
     Targets without params are left out: no history, no forecast. Integration adds a full step at the first
@@ -359,7 +359,17 @@ def forecast_skeleton(params: DataFrame, prefix: DataFrame, contests: DataFrame,
     strength = kalman_strength(model.join(cut, K).select(*K, "step", "delta", (F.col("v") * F.col("v10") * 60).alias("model")))
     g = grid.join(strength, K, "left").withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "trend": F.coalesce("trend", F.lit(0.0))})
     g = future_scale_curve(g).withColumn("speed", compress_speed(F.col("speed_norm") * F.col("curve")) * F.col("v10"))
-    return g.groupBy(*K).agg(F.max("now_h").alias("now_h"), F.max("score_now").alias("score_now"), F.max("scale").alias("strength"), (F.max("score_now") + F.sum(F.when(F.col("hours") >= F.col("now_h"), F.col("speed") * F.col("total_h") / 999 * 60).otherwise(0.0))).alias("final"))
+    return g.select(*K, "now_h", "score_now", F.col("scale").alias("strength"), "hours", F.when(F.col("hours") >= F.col("now_h"), F.col("speed") * F.col("total_h") / 999 * 60).otherwise(0.0).alias("gain"))
+
+
+def path_end(path: DataFrame) -> DataFrame:
+    """(contest_id, tier, now_h, score_now, strength, final) of skeleton_path."""
+    return path.groupBy(*K).agg(*[F.max(c).alias(c) for c in ("now_h", "score_now", "strength")], (F.max("score_now") + F.sum("gain")).alias("final"))
+
+
+def forecast_skeleton(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame) -> DataFrame:
+    """(contest_id, tier, now_h, score_now, strength, final): skeleton_path, integrated."""
+    return path_end(skeleton_path(params, prefix, contests, scales, factors))
 
 
 def what_if_path(targets: DataFrame, points: DataFrame, factors: DataFrame) -> DataFrame:

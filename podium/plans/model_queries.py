@@ -10,6 +10,7 @@ from podium.operators import evaluate as E
 from podium.operators import models as M
 from podium.operators import series as S
 from podium.plans import adapters as A
+from podium.plans import replays as R
 from podium.plans.aggregate_queries import HIST, NORM, history, profile, ratios, skeletons
 from podium.plans.registry import query
 from podium.plans.series_queries import CANON, canonical, interp, scales
@@ -68,9 +69,7 @@ def prefix(spark, d):
 
 @query("m4_forecast_pace")
 def m4(spark, d):
-    c = A.contests(spark, d)
-    prior = M.causal_prior(c, pace_fits(spark, d).join(c.select("contest_id", "end_at"), "contest_id"), ["w1", "w2", "w3"])
-    return M.forecast_pace(prefix(spark, d), prior, c, pressure(spark, d))
+    return M.forecast_pace(prefix(spark, d), causal_pace(spark, d), A.contests(spark, d), pressure(spark, d))
 
 
 @query("m19_causal_prior", "SELECT contest_id, round(avg(w1) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w1, round(avg(w2) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w2, round(avg(w3) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w3, count(*) AS n FROM (SELECT t.contest_id, (1 + f.contest_id) / 20.0 AS w1, 0.3 AS w2, 0.7 - (1 + f.contest_id) / 20.0 AS w3 FROM contests t JOIN contests f ON f.end_at < t.start_at AND f.contest_id <= 7) GROUP BY 1")
@@ -122,17 +121,31 @@ def m7(spark, d):
     return templates(spark, d)
 
 
-def knots(spark, d):
-    """Knots of the 48-hour prefixes with cohort bases, for forecast_cohort."""
-    c = A.contests(spark, d)
-    s = cut(canonical(spark, d))
-    seen = s.where("hours <= 48")
+def prefix_knots(seen, c):
+    """Knots of prefixes with cohort bases: what forecast_cohort needs, but for end_basis, pressure and origin_h."""
+    seen = cut(seen)
     anchor = seen.groupBy(*K).agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor")).where("anchor > 0 and anchor_h > 0")
-    inc = S.prefix_increments(s, 48).select(*K, (F.col("knot") + 1).alias("i"), F.col("hi").alias("hours"), "share")
+    inc = S.prefix_increments(seen, float("inf")).select(*K, (F.col("knot") + 1).alias("i"), F.col("hi").alias("hours"), "share")
     zero = anchor.select(*K, F.lit(0).alias("i"), F.lit(0.0).alias("hours"), F.lit(0.0).alias("share"))
     at = M.mass_basis(inc.unionByName(zero), c)
-    end = M.mass_basis(c.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours")), c).select("contest_id", F.col("basis").alias("end_basis"))
-    return cut(at).join(anchor, K).join(F.broadcast(end), "contest_id").join(F.broadcast(c.select("contest_id", "start_at", "contest_type")), "contest_id").join(pressure(spark, d), K).withColumn("origin_h", F.lit(48))
+    return cut(at).join(anchor, K).join(F.broadcast(c.select("contest_id", "start_at", "contest_type")), "contest_id")
+
+
+def end_basis(c):
+    end = c.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours"))
+    return F.broadcast(M.mass_basis(end, c).select("contest_id", F.col("basis").alias("end_basis")))
+
+
+def knots(spark, d):
+    """Knots of the 48-hour prefixes, for forecast_cohort."""
+    c = A.contests(spark, d)
+    k = prefix_knots(canonical(spark, d).where("hours <= 48"), c).join(end_basis(c), "contest_id")
+    return k.join(pressure(spark, d), K).withColumn("origin_h", F.lit(48))
+
+
+def run_knots(spark, d, r):
+    """Knots of the prefixes of replays, by contest and origin; without end_basis."""
+    return R.unrun(prefix_knots(R.seen_by(canonical(spark, d), r), r.drop("of", "origin_h", "origin_ms"))).join(pressure(spark, d), K)
 
 
 @query("m8_forecast_cohort")
@@ -269,35 +282,50 @@ def m18(spark, d):
     return M.what_if_path(t, pts, factors(spark, d))
 
 
+def causal_pace(spark, d):
+    c = A.contests(spark, d)
+    return M.causal_prior(c, pace_fits(spark, d).join(c.select("contest_id", "end_at"), "contest_id"), ["w1", "w2", "w3"])
+
+
 def backtest(spark, d):
-    """Scores of pace, cohort and naive forecasts at one origin, truth joined last."""
-    pace = m4(spark, d).where("origin_h = 48").select(*K, F.lit("pace").alias("method"), F.col("final").alias("prediction"))
-    cohort = m8(spark, d).select(*K, F.lit("cohort").alias("method"), F.col("final").alias("prediction"))
-    skeleton = m17(spark, d).select(*K, F.lit("skeleton").alias("method"), F.col("final").alias("prediction"))
-    naive = prefix(spark, d).where("origin_h = 48").groupBy(*K).agg(F.max_by("score", "hours").alias("prediction")).select(*K, F.lit("persistence").alias("method"), "prediction")
-    f = pace.unionByName(cohort).unionByName(skeleton).unionByName(naive).withColumn("origin_h", F.lit(48))
-    f = f.withColumns({"status": F.lit("success"), "reason": F.lit(None).cast("string")})
-    return E.error_metrics(f.join(G.final_truth(A.obs(spark, d), A.contests(spark, d), "bucket20").select(*K, "actual"), K, "left"))
+    """Scores of pace, cohort, skeleton and the naive forecasts at every daily origin, with status and reason, truth joined last."""
+    c = A.contests(spark, d)
+    return R.scored(spark, d, cut(causal_pace(spark, d)), templates(spark, d), lambda r: run_knots(spark, d, r).join(end_basis(c), "contest_id"), cut(pressure(spark, d)))
 
 
 @query("e4_rolling_backtest")
 def e4(spark, d):
-    return E.hierarchical_metrics(backtest(spark, d)).where("level = 'overall'")
+    """Overall means of each method, beside how many of its scheduled forecasts failed and why."""
+    b = cut(backtest(spark, d))
+    return E.coverage_report(b, []).join(E.hierarchical_metrics(b).where("level = 'overall'"), "method", "left")
 
 
 @query("e3_backtest_snapshots")
 def e3(spark, d):
-    b = backtest(spark, d).where("method = 'skeleton' and actual is not null").withColumn("curve_mse", F.lit(None).cast("double"))
-    return E.per_contest_summary(b)
+    """The plan's snapshots by contest, beside the number of planned and of skipped ones."""
+    b = cut(R.snapshots(spark, d))
+    n = b.groupBy("contest_id").agg(F.count("*").alias("planned"), F.count_if(F.col("status") == "skipped").alias("skipped"))
+    return n.join(E.per_contest_summary(b.where("status = 'success' and actual is not null")), "contest_id", "left").orderBy(F.desc_nulls_last("rel_mse"), "contest_id")
 
 
 @query("e5_config_sweep")
 def e5(spark, d):
-    """Cohort strengths and transfer as configurations; the knots and templates are made once."""
+    """Cohort strengths and transfer as configurations over the snapshot plan; the knots and templates are made once.
+
+    A snapshot is forecast to its three checks and to the end: origin_h holds the origin and the hour forecast.
+    """
     from podium.plans.sweeps import sweep_cohort
 
-    truth = G.final_truth(A.obs(spark, d), A.contests(spark, d), "last").select(*K, "actual")
-    return sweep_cohort(knots(spark, d), templates(spark, d), A.contests(spark, d), truth, [(0.0, False), (16.0, False), (64.0, False), (16.0, True)])
+    c = A.contests(spark, d)
+    r = cut(R.runs(c, R.planned(spark, d)))
+    truth = G.final_truth(A.obs(spark, d), c, "last").select(*K, "actual")
+    ends = r.select(F.col("of").alias("contest_id"), F.col("contest_id").alias("run"), R.total_h().alias("hours")).join(truth, "contest_id").select(*K, "run", F.lit(-1).alias("check"), "hours", "actual")
+    drawn = R.checks(spark, d).select(*K, "run", "check", F.col("check_hour").alias("hours"), F.col("actual_at").alias("actual"))
+    at = ends.unionByName(drawn).withColumn("origin_h", F.struct((F.col("run").bitwiseAND(R.RUN - 1) / 4.0).alias("origin"), "check"))
+    at = cut(M.mass_basis(at, c))
+    k = run_knots(spark, d, r).withColumnRenamed("origin_h", "origin")
+    k = k.join(at.select(*K, F.col("origin_h.origin").alias("origin"), "origin_h", F.col("basis").alias("end_basis")), [*K, "origin"]).drop("origin")
+    return sweep_cohort(k, templates(spark, d), c, at.select(*K, "origin_h", "actual"), [(0.0, False), (16.0, False), (64.0, False), (16.0, True)])
 
 
 @query("e6_benchmark")

@@ -48,7 +48,7 @@ def rewards(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/part.parquet")
     kind = _pick(("voice_stamp", "deco_pins", "item", "degree", "star", "stamp"), F.col("p_partkey") % 6)
     to_rank = _pick(TRAINING_TIERS, F.floor(F.col("p_partkey") / 7) % 6).cast("int")
-    return p.where("p_partkey < 20000").select((F.col("p_partkey") % 10).cast("long").alias("contest_id"), kind.alias("reward_type"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") * 37 % 20011).cast("long").alias("reward_id"), to_rank.alias("to_rank"))
+    return p.select((F.col("p_partkey") % 10).cast("long").alias("contest_id"), kind.alias("reward_type"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") * 37 % 20011).cast("long").alias("reward_id"), to_rank.alias("to_rank"))
 
 
 def obs_lineitem(spark: SparkSession, d: str) -> DataFrame:

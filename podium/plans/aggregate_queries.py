@@ -285,7 +285,7 @@ def u2(spark, d):
 @query("j11_map_reward_class", """WITH c AS (SELECT * FROM cls WHERE rank IS NOT NULL), own AS (SELECT contest_id AS target_id, rank AS tier, max(reward_class) AS reward_class FROM c GROUP BY contest_id, rank HAVING count(*) = 1)
 SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id) JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + CLASSES.replace("@", "reward_id % 97 < 4"))
 def j11(spark, d):
-    cls = G.reward_class_ranks(A.rewards(spark, d).where("reward_id % 97 < 4"))
+    cls = G.reward_class_ranks(A.rewards(spark, d))
     targets = cls.where("rank is not null").select(F.col("contest_id").alias("target_id"), F.col("rank").alias("tier")).distinct()
     return J.map_reward_class(targets, cls, history(spark, d))
 

@@ -40,7 +40,7 @@ def m1_pressure(spark, d):
 
 @query("m1_pace_components")
 def m1(spark, d):
-    p = canonical(spark, d).where("hours in (0) or tier = 1000").select(*K, "hours")
+    p = canonical(spark, d).select(*K, "hours")
     out = M.pace_components(p, A.contests(spark, d), pressure(spark, d))
     return out.select(*K, *[F.round(c, 6).alias(c) for c in ("hours", "c1", "c2", "c3", "a1", "a2", "a3")])
 

@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes the false positives among strings that look like secrets.
 
-A candidate is a run of at least MIN_LENGTH of the characters that keys consist of, with a digit in it or
-mixed case; what precedes the last `=` or `:` in it is its key word. Features: length and character shares,
+A candidate is a part, of at least MIN_LENGTH, of a run of the characters that keys consist of; parts lie between
+`=`, `:` and `@` (a part with short pieces around its `@` stays whole). The run has a digit or mixed case in it, or the
+part a known key format. Features: length and character shares,
 entropy, transitions between character classes and the surprise of letter pairs, the share covered by
 dictionary words, the path, and the neighbouring words. The forest learns from labelled findings, that is
 rows (text, start, end, path, label). The dictionary and the letter pairs come from `DICTIONARY_DOCS`
@@ -37,6 +38,18 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 1, 2, 3, 4
 KEYWORDS = re.compile(r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)\W{0,4}$", re.I)
 EXAMPLES = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|x{4}|test", re.I)
 KNOWN = re.compile(r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})$")
+#: The same anywhere in bytes.
+KNOWN_IN = re.compile(KNOWN.pattern[1:-1].encode())
+
+
+def parts(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that are long enough."""
+    out = []
+    for m in re.finditer(rb"[^=:]+", run):
+        pieces = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(rb"[^@]+", m[0])]
+        long = [(a, b) for a, b in pieces if b - a >= MIN_LENGTH]
+        out += long or [(a, b) for a, b in [m.span()] if b - a >= MIN_LENGTH]
+    return out
 
 
 def candidates(texts: list[str | None]) -> list[tuple[int, bytes, int, int]]:
@@ -52,17 +65,18 @@ def candidates(texts: list[str | None]) -> list[tuple[int, bytes, int, int]]:
         digits, upper, lower = (np.concatenate([[0], np.cumsum(kind == k)]) for k in (1, 2, 3))
         within = lambda c: c[ends] - c[starts]
         odd = (within(digits) > 0) | ((ends - starts >= 20) & (within(upper) > 1) & (within(lower) > 1))
+        known = np.array([m.start() for m in KNOWN_IN.finditer(data.tobytes())], np.int64)
+        run = np.searchsorted(starts, known, "right") - 1
+        keep = odd.copy()
+        keep[run[(run >= 0) & (known < np.append(ends, 0)[run])]] = True
         doc = np.searchsorted(bounds, starts, "right") - 1
         at, own = -1, b""
-        for d, s, e in zip(doc[odd].tolist(), starts[odd].tolist(), ends[odd].tolist(), strict=True):
+        for d, s, e, o in zip(doc[keep].tolist(), starts[keep].tolist(), ends[keep].tolist(), odd[keep].tolist(), strict=True):
             if d != at:  # a text's candidates share one copy of it
                 at, own = d, data[bounds[d] : bounds[d + 1] - 1].tobytes()
             lo, hi = s - int(bounds[d]), e - int(bounds[d])
-            run = own[lo:hi].rstrip(b".:=-/@")
-            cut = max(run.rfind(b"="), run.rfind(b":")) + 1
-            lo, hi = lo + cut, lo + len(run)
-            if hi - lo >= MIN_LENGTH:
-                out.append((a + d, own, lo, hi))
+            text = own[lo:hi].rstrip(b".:=-/@")
+            out += [(a + d, own, lo + x, lo + y) for x, y in parts(text) if o or KNOWN_IN.search(text, x, y)]
     return out
 
 

@@ -5,9 +5,9 @@ A candidate is a part, of at least MIN_LENGTH, of a run of the characters that k
 part a known key format. Features: length and character shares,
 entropy, transitions between character classes and the surprise of letter pairs, the share covered by
 dictionary words, the path, and the neighbouring words. The forest learns from labelled findings, that is
-rows (text, start, end, path, label). The dictionary and the letter pairs come from `DICTIONARY_DOCS`
-documents, the forest from at most `FINDINGS` findings, both by hash (bounded samples for the fit); every
-whole text is scanned.
+rows (text, start, end, path, label). The dictionary (the `DICTIONARY_WORDS` most
+frequent words) and the letter pairs count all documents; the forest learns from at most `FINDINGS` findings, chosen by
+hash (a bounded sample for the fit); every whole text is scanned.
 
 Null texts have no findings; repeated rows give repeated findings; an empty table gives none.
 """
@@ -21,13 +21,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from podium.llm.common import arrow_schema, batch_of, join_bytes, text_chunks
 from podium.llm.forest import Forest
+from podium.session import cut
 
 MIN_LENGTH, LEVEL = 12, 0.5
-DICTIONARY_DOCS, DICTIONARY_WORDS, FINDINGS = 400, 3000, 6000
+DICTIONARY_WORDS, FINDINGS = 3000, 6000
 MASK = "[SECRET]"
 
 _CHARS = np.zeros(256, bool)
@@ -105,19 +107,15 @@ def featurise(own: bytes, start: int, end: int, path: str | None, model: dict) -
 
 
 def dictionary(docs: DataFrame) -> dict:
-    """{"words", "pairs"} of a bounded sample: its most frequent words, and the bits of a letter after another."""
-    some = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(DICTIONARY_DOCS)
-    texts = docs.join(F.broadcast(some.select(F.col("doc_id").alias("__sampled"))), F.col("doc_id") == F.col("__sampled"), "left_semi").select("text")
-    words = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) >= 2").groupBy("w").agg(F.count("*").alias("n"))
-    rows = words.orderBy(F.desc("n"), "w").limit(10 * DICTIONARY_WORDS).collect()
-    pairs: Counter = Counter()
-    for r in rows:
-        for i in range(len(r["w"]) - 1):
-            pairs[r["w"][i : i + 2]] += r["n"]
-    first: Counter = Counter()
-    for p, n in pairs.items():
-        first[p[0]] += n
-    return {"words": {r["w"] for r in rows[:DICTIONARY_WORDS] if len(r["w"]) >= 3}, "pairs": {p: float(-np.log2(n / first[p[0]])) for p, n in pairs.items()}}
+    """{"words", "pairs"} of all documents: the most frequent words, and the bits of a letter after another."""
+    each = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) >= 2")
+    words = cut(each.groupBy("w").agg(F.count("*").alias("n")))
+    top = words.orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect()
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    first = F.sum("n").over(W.partitionBy(F.substring("p", 1, 1)))
+    # values have ASCII letters only: no other pair is looked up, but all count in the totals of their first letter
+    bits = pairs.where("p rlike '^[a-z]'").withColumn("all", first).where("p rlike '^[a-z]{2}$'").collect()
+    return {"words": {r["w"] for r in top if len(r["w"]) >= 3}, "pairs": {r["p"]: float(-np.log2(r["n"] / r["all"])) for r in bits}}
 
 
 def rule_label(own: bytes, start: int, end: int) -> int:

@@ -1,20 +1,25 @@
-"""LM scoring: stupid-backoff scores of order two, from n-gram count tables partitioned by hash.
-
-A text is BOS w1 .. wn EOS. The score of a word after another is count(pair)/count(first) where the pair
-occurs at least MIN_COUNT times in the corpus, else BACKOFF * count(second)/events; a document's score is
-the mean logarithm over its n + 1 events. Counts are those of all documents.
-
-1. Unigrams: each task sums its words, Spark sums them by hash.
-2. Pairs are exploded and dealt to `parts` by the hash of their first word; those of words too frequent for
-   one part (more than 1/16 of its share; at most 16 * parts words) by that of the second. A part is a piece
-   of the count table and of the exploded pairs alike: it counts its pairs, joins the counts to them and
-   sums by document. What travels are arrays, grouped by first word, pair and document.
-3. Backoff needs the second word's count: for the TOP most frequent words from a broadcast table, for the
-   others from the unigram table, to which those events are dealt by hash.
-4. Partial sums return to their chunk of documents and are added up.
-
-Words are runs of anything but the ASCII blanks, A-Z in lower case, known by 48 bits of a hash. Documents
-without words (null texts too) have no score. Repeated rows count and are scored once each.
+"""LM scoring: stupid-backoff scores from n-gram count tables partitioned by hash.
+
+A text is BOS w1 .. wn EOS. The score of a word is count(gram)/count(context) for the longest gram of up to
+`order` words that ends at it and occurs at least MIN_COUNT times in the corpus, times BACKOFF for each word
+that the gram was shortened by; a single word has count(word)/events. A document's score is the mean logarithm
+over its n + 1 events. Counts are those of all documents.
+
+1. `exploded`: consecutive documents make chunks of bounded size. A chunk's distinct grams, with how often it
+   has them, are dealt to `parts`, which are ranges of the grams' 64-bit hashes; the chunk's own words go along
+   as places among its distinct words.
+2. `joined`: a part is a piece of the count tables and of the exploded grams alike. It adds up what the chunks
+   have and sends each chunk the corpus counts of its grams.
+3. `scored`: a chunk has the counts of all its grams, scores its events and sums them by document.
+
+A gram is one entry a chunk, however frequent it is, so no word or pair makes a part large: parts are even as
+hashes are. Grams travel as sorted arrays, by differences; a row for each would take more disk than the texts
+do. Rows are chunks times parts, of at least one gram each. The driver gets one number, the corpus' size.
+
+Words are runs of anything but the ASCII blanks, A-Z in lower case. Grams are known by 64 bits: some of
+10 ** 10 distinct ones share a hash with even odds, which adds their counts. Documents without words (null texts
+too) have no score. Repeated rows count, and are scored, once each; a null doc_id is a document like others.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,227 +29,155 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm.common import arrow_schema, batch_of, checkpoint, join_bytes, mix, span_hashes, text_chunks
+from podium.llm.common import arrow_schema, batch_of, join_bytes, mix, span_hashes, text_chunks
 
-BACKOFF, MIN_COUNT = 0.4, 2
-#: Most frequent words whose counts are broadcast (12 bytes each), events a part should have, code points and documents of a chunk.
-TOP, PART_EVENTS, CHUNK, CHUNK_DOCS = 1 << 18, 3_000_000, 3_000_000, 60_000
+ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
+#: Code points of a chunk, and of the corpus for each part; the fewest parts.
+CHUNK, PART_CHARS, LEAST_PARTS = 6_000_000, 20_000_000, 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-BOS, EOS = 1, 2
+BOS, EOS = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+#: The gram of no words: how many events there are.
+NONE = np.uint64(0)
 
 
 def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts, each text between BOS and EOS, and the text of each; texts without words have none."""
+    """The words of all texts, each text between BOS and EOS, and how many each text has with those; texts without words have none."""
     data, bounds = join_bytes(texts)
     data = _LOWER[data]
     inside = np.diff((~_BLANK[data]).astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
-    w = (span_hashes(data, starts, ends) >> np.uint64(16)).astype(np.int64)
-    w[w <= EOS] += 3
-    doc = np.searchsorted(bounds, starts, "right") - 1
-    n = np.bincount(doc, minlength=len(texts))
-    some = n > 0
-    at = np.cumsum(np.where(some, n + 2, 0))
-    out, of = np.zeros(int(at[-1]) if len(at) else 0, np.int64), np.repeat(np.arange(len(texts)), np.where(some, n + 2, 0))
-    first, last = (at - n - 2)[some], (at - 1)[some]
+    w = span_hashes(data, starts, ends)
+    n = np.diff(np.searchsorted(starts, bounds))
+    size = np.where(n > 0, n + 2, 0)
+    at = np.cumsum(size)
+    out = np.zeros(int(at[-1]) if len(at) else 0, np.uint64)
+    first, last = (at - size)[n > 0], at[n > 0] - 1
     body = np.ones(len(out), bool)
     body[first] = body[last] = False
     out[body], out[first], out[last] = w, BOS, EOS
-    return out, of
+    return out, size
 
 
-def _chunks(texts):
-    for lo, hi in text_chunks(texts, CHUNK):
-        for a in range(lo, hi, CHUNK_DOCS):
-            yield a, min(hi, a + CHUNK_DOCS)
+def grams(words: np.ndarray, size: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = 1 .. order the hash of the k words that end at each place; where a document has fewer before it, that of all of them."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+    out = [words]
+    for k in range(2, order + 1):
+        longer = out[-1].copy()
+        fit = np.flatnonzero(place >= k - 1)
+        longer[fit] = mix(out[-1][fit] * np.uint64(0x9E3779B97F4A7C15) + mix(words[fit - k + 1] + np.uint64(k)))
+        out.append(longer)
+    return out
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(w, c): how often each word occurs; BOS and EOS too."""
-    schema = arrow_schema("w long, c long")
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of equal weight of all numbers together: those that are mostly zero compress."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in _chunks(texts):
-                yield batch_of(schema, list(np.unique(sequences(texts[lo:hi])[0], return_counts=True)))
 
-    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+def numbers(b: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
 
+_ROWS = "part long, chunk long, keys binary, counts binary, ids binary, known binary, size binary"
 
-def _grouped(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> list[bytes]:
-    """Events as arrays: first words and pairs under each; second words (48 bits) and documents under each pair; documents and times."""
-    order = np.lexsort((doc, second, first))
-    f, s, d = first[order], second[order], doc[order]
-    new_f = np.diff(f, prepend=-1) != 0
-    new_s = new_f | (np.diff(s, prepend=-1) != 0)
-    new_d = new_s | (np.diff(d, prepend=-1) != 0)
-    at_d = np.flatnonzero(new_d)
-    per = lambda outer, inner: np.diff(np.append(np.flatnonzero(outer[inner]), inner.sum())).astype("<u4").tobytes()
-    w2 = s[new_s]
-    return [f[new_f].astype("<u8").tobytes(), per(new_f, new_s), (w2 & 0xFFFFFFFF).astype("<u4").tobytes(), (w2 >> 32).astype("<u2").tobytes(), per(new_s, new_d), d[at_d].astype("<u2").tobytes(), np.diff(np.append(at_d, len(f))).astype("<u4").tobytes()]
 
+def exploded(docs: DataFrame, parts: int, order: int = ORDER, chunk_chars: int = CHUNK) -> DataFrame:
+    """Rows (part, chunk, keys, counts): a chunk's grams of a part; with part -1 - chunk: its distinct words, the places of its words among them, and its documents."""
+    schema = arrow_schema(_ROWS)
 
-def exploded(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """(part, chunk, w1, n2, w2, w2h, nd, doc, times): a chunk's events of a part; part -1 - k has the chunk's doc_ids and numbers of events."""
-    ddl = "part int, chunk long, w1 binary, n2 binary, w2 binary, w2h binary, nd binary, doc binary, times binary"
-    schema = arrow_schema(ddl)
+    def rows(chunk: int, ids: list, texts: list):
+        words, size = sequences(texts)
+        every = grams(words, size, order)
+        own, at = np.unique(words, return_inverse=True)
+        number = np.array([0 if i is None else i for i in ids], "<i8")
+        yield (-1 - chunk, chunk, planes(np.diff(own, prepend=NONE)), planes(at.astype("<u4")), number.tobytes(), bytes(i is not None for i in ids), planes(size.astype("<u4")))
+        keys, counts = np.unique(np.concatenate(every[:1] + [g[g != h] for g, h in zip(every[1:], every, strict=False)]), return_counts=True)
+        keys, counts = np.append(NONE, keys), np.append((size > 0) @ (size - 1), counts)
+        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cut = np.searchsorted(part, np.arange(parts + 1)).tolist()
+        for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+            if y > x:
+                yield (p, chunk, planes(np.diff(keys[x:y], prepend=NONE)), planes(counts[x:y].astype("<u4")), None, None, None)
 
     def run(batches):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def flush():
+            nonlocal chunk, ids, texts, held
+            out = list(rows(chunk, ids, texts))
+            chunk, ids, texts, held = chunk + 1, [], [], 0
+            for k in range(0, len(out), 64):
+                yield batch_of(schema, list(zip(*out[k : k + 64], strict=True)))
+
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            known, numbers = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-            for lo, hi in _chunks(texts):
-                w, of = sequences(texts[lo:hi])
-                inner = np.flatnonzero(of[1:] == of[:-1])
-                first, second, doc = w[inner], w[inner + 1], of[inner]
-                i = np.minimum(np.searchsorted(hot, first), len(hot) - 1) if len(hot) else None
-                spread = hot[i] == first if len(hot) else np.zeros(len(first), bool)
-                part = (mix(np.where(spread, second, first).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                rows = [(-1 - chunk % parts, chunk, known[lo:hi].tobytes(), None, None, None, None, numbers[lo:hi].astype("<i8").tobytes(), np.bincount(doc, minlength=hi - lo).astype("<u4").tobytes())]
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-                for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-                    if y > x:
-                        own = order[x:y]
-                        rows.append((p, chunk, *_grouped(first[own], second[own], doc[own])))
-                chunk += 1
-                for k in range(0, len(rows), 64):
-                    yield batch_of(schema, list(zip(*rows[k : k + 64], strict=True)))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The value of each x, 0 where it has none; keys are sorted."""
-    if not len(keys):
-        return np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, values[at], 0)
-
-
-_OUT = "part2 int, chunk long, w binary, doc binary, value binary"
-
-
-def joined(events: DataFrame, parts: int, top: tuple[np.ndarray, np.ndarray], hot: np.ndarray, total: int) -> DataFrame:
-    """A part's counts joined to its events: sums by chunk and document (part2 null), and events that wait for a rare word's count (times as value)."""
-    shared = events.sparkSession.sparkContext.broadcast(top)  # at most TOP words
+            new_ids, new = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in text_chunks(new, chunk_chars):
+                chars = sum(len(t) + 1 if t else 1 for t in new[lo:hi])
+                if ids and held + chars > chunk_chars:
+                    yield from flush()
+                ids, texts, held = ids + new_ids[lo:hi], texts + new[lo:hi], held + chars
+        if ids:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROWS)
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """The rows of exploded, with the corpus counts of each chunk's grams in the place of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = [None] * len(pdf)
         if pdf["part"].iloc[0] < 0:
-            return pd.DataFrame({"part2": none, "chunk": pdf["chunk"], "w": pdf["w1"], "doc": pdf["doc"], "value": pdf["times"]})
-        pdf = pdf.sort_values("chunk")
-        words, counts = shared.value
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in pdf[c]]
-        cat = lambda a: np.concatenate(a).astype(np.int64)
-        w1, n2, nd, docs = cat(read("w1", "<u8")), cat(read("n2", "<u4")), cat(read("nd", "<u4")), read("doc", "<u2")
-        second = cat(read("w2h", "<u2")) << 32 | cat(read("w2", "<u4"))
-        first = np.repeat(w1, n2)
-        times = cat(read("times", "<u4"))
-        of_pair = np.add.reduceat(times, np.cumsum(nd) - nd)  # in its chunk
-        order = np.lexsort((second, first))
-        new_f = np.diff(first[order], prepend=-1) != 0
-        new = new_f | (np.diff(second[order], prepend=-1) != 0)
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        n = np.bincount(pair, of_pair)
-        context = np.empty(len(order), np.int64)
-        context[order] = np.cumsum(new_f) - 1
-        c1 = np.bincount(context, of_pair)
-        a, b = first[order[new]], second[order[new]]
-        in_all = np.isin(a, hot)
-        below = np.where(in_all, _lookup(words, counts, a), c1[context[order[new]]])
-        c2 = _lookup(words, counts, b)
-        seen = n >= MIN_COUNT
-        value = np.where(seen, np.log(n / below), np.log(BACKOFF * np.maximum(c2, 1) / total))
-        waits = ~seen & (c2 == 0)
-        value[waits] = 0
-        chunk = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        doc = cat(docs)
-        per_event = np.repeat(pair, nd)
-        key = chunk << 16 | doc
-        keys, at = np.unique(key, return_inverse=True)
-        sums = np.bincount(at, value[per_event] * times)
-        chunks = pdf["chunk"].to_numpy()
-        cut = np.searchsorted(keys, np.arange(len(docs) + 1) << 16).tolist()
-        rows = [(None, chunks[i], None, (keys[x:y] & 0xFFFF).astype("<u2").tobytes(), sums[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-        late = np.flatnonzero(waits[per_event])
-        if len(late):
-            w = b[per_event[late]]
-            to = (mix(w.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((key[late], to))
-            late, w, to = late[order], w[order], to[order]
-            group = to << 32 | chunk[late]
-            for x, y in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()), strict=True):
-                rows.append((int(to[x]), chunks[chunk[late[x]]], w[x:y].astype("<u8").tobytes(), doc[late[x:y]].astype("<u2").tobytes(), times[late[x:y]].astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["part2", "chunk", "w", "doc", "value"])
-
-    return events.groupBy("part").applyInPandas(run, _OUT)
-
-
-def rare(words: DataFrame, waiting: DataFrame, parts: int, total: int) -> DataFrame:
-    """Sums by chunk and document of the events whose second word is not among the most frequent."""
-
-    def run(counts: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        counts = counts.sort_values("w")
-        keys, c = counts["w"].to_numpy(np.int64), counts["c"].to_numpy(np.int64)
-        rows = []
-        for chunk, w, doc, times in zip(events["chunk"], events["w"], events["doc"], events["value"], strict=True):
-            v = np.log(BACKOFF * _lookup(keys, c, np.frombuffer(w, "<u8").astype(np.int64)) / total) * np.frombuffer(times, "<u4")
-            docs, at = np.unique(np.frombuffer(doc, "<u2"), return_inverse=True)
-            rows.append((None, chunk, None, docs.astype("<u2").tobytes(), np.bincount(at, v).tobytes()))
-        return pd.DataFrame(rows, columns=["part2", "chunk", "w", "doc", "value"])
-
-    return words.groupBy("part2").cogroup(waiting.groupBy("part2")).applyInPandas(run, _OUT)
-
-
-def _part_of(parts: int):
-    @F.pandas_udf("int")
-    def part(w: pd.Series) -> pd.Series:
-        return pd.Series((mix(w.to_numpy(np.int64).astype(np.uint64)) % np.uint64(parts)).astype(np.int32))
-
-    return part("w")
-
-
-def added(sums: DataFrame) -> DataFrame:
-    """(doc_id, n_events, score): the partial sums of each chunk's documents added up."""
+            return pdf
+        keys = [np.cumsum(numbers(k, "<u8")) for k in pdf["keys"]]
+        counts = np.concatenate([numbers(c, "<u4") for c in pdf["counts"]])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        of_all = np.bincount(at, counts).astype("<u8")[at]  # whole numbers up to 2 ** 53
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        return pdf.assign(keys=None, counts=[planes(c) for c in np.split(of_all, cut)])
+
+    return rows.groupBy("part").applyInPandas(run, _ROWS)
+
+
+def scored(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, n_events, score): the events of each chunk's documents, by the counts of its grams."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        info = pdf[pdf["w"].notna()].iloc[0]
-        ids, n = np.frombuffer(info["doc"], "<i8"), np.frombuffer(info["value"], "<u4").astype(np.int64)
-        known = np.frombuffer(info["w"], bool)
-        total = np.zeros(len(ids))
-        rest = pdf[pdf["w"].isna()].sort_values(["doc", "value"])  # a fixed order, for equal sums however the rows arrive
-        for doc, value in zip(rest["doc"], rest["value"], strict=True):
-            total[np.frombuffer(doc, "<u2")] += np.frombuffer(value)
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64").copy() if known.all() else pd.array(np.where(known, ids, 0), "Int64"), "n_events": n, "score": np.where(n > 0, total / np.maximum(n, 1), np.nan), "known": known})
-
-    out = sums.groupBy("chunk").applyInPandas(run, "doc_id long, n_events long, score double, known boolean")
+        own = pdf[pdf["part"] < 0].iloc[0]
+        counts = np.concatenate([numbers(c, "<u8") for c in pdf[pdf["part"] >= 0].sort_values("part")["counts"]])
+        words, size = np.cumsum(numbers(own["keys"], "<u8"))[numbers(own["counts"], "<u4")], numbers(own["size"], "<u4").astype(np.int64)
+        every = grams(words, size, order)
+        keys = np.append(NONE, np.unique(np.concatenate(every)))
+        n = [counts[np.searchsorted(keys, g)] for g in every]
+        begins = np.cumsum(size) - size
+        place = np.arange(len(words)) - np.repeat(begins, size)
+        value = np.log(n[0] / max(int(counts[0]), 1)) if len(words) else np.zeros(0)
+        for k in range(2, order + 1):
+            fit = np.flatnonzero(place >= k - 1)
+            seen = n[k - 1][fit] >= MIN_COUNT
+            value[fit] += np.log(BACKOFF)
+            value[fit[seen]] = np.log(n[k - 1][fit[seen]] / n[k - 2][fit[seen] - 1])
+        value[place == 0] = 0  # BOS is no event
+        events = np.maximum(size - 1, 0)
+        sums = np.add.reduceat(np.append(value, 0.0), begins)
+        ids, known = np.frombuffer(own["ids"], "<i8"), np.frombuffer(own["known"], bool)
+        return pd.DataFrame({"doc_id": ids, "known": known, "n_events": events, "score": np.where(events > 0, sums / np.maximum(events, 1), 0.0)})
+
+    out = rows.groupBy("chunk").applyInPandas(run, "doc_id long, known boolean, n_events long, score double")
     return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_events", F.when(F.col("n_events") > 0, F.col("score")).alias("score"))
 
 
-def scores(docs: DataFrame, part_events: int = PART_EVENTS, top_words: int = TOP) -> DataFrame:
-    """(doc_id, n_events, score) of each row of docs."""
-    words = checkpoint(unigrams(docs))
-    total = words.where(F.col("w") != BOS).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    if not total:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_events"), F.lit(None).cast("double").alias("score"))
-    parts = max(2, -(-total // part_events))
-    most = words.orderBy(F.desc("c"), "w").limit(top_words).toPandas().sort_values("w")
-    keys, counts = most["w"].to_numpy(np.int64), most["c"].to_numpy(np.int64)
-    hot = keys[counts * 16 * parts > total]
-    sums = checkpoint(joined(exploded(docs, parts, hot), parts, (keys, counts), hot, total))
-    least = int(counts.min())
-    others = words.where(F.col("c") <= least).withColumn("part2", _part_of(parts))
-    late = rare(others, sums.where("part2 is not null"), parts, total)
-    return added(sums.where("part2 is null").unionByName(late))
+def scores(docs: DataFrame, order: int = ORDER, part_chars: int = PART_CHARS, chunk_chars: int = CHUNK) -> DataFrame:
+    """(doc_id, n_events, score) of each row of docs. order: most words of a gram, from 2."""
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, -(-chars // part_chars))
+    return scored(joined(exploded(docs, parts, order, chunk_chars)), order)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

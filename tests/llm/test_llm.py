@@ -271,23 +271,45 @@ def test_near_duplicates_on_odd_rows(docs, empty):
 # -- 7 language model
 
 
-@pytest.mark.parametrize(("events", "top"), [(backoff.PART_EVENTS, backoff.TOP), (60, 4)])
-def test_backoff_against_brute_force(docs, events, top):
+def plain_backoff(texts, order):
+    """(events, mean score) of each text, gram by gram."""
     seqs = []
-    for i, t, *_ in ODD:
+    for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
-        seqs.append((i, ["<", *w, ">"] if w else []))
-    pairs = Counter(p for _, s in seqs for p in itertools.pairwise(s))
-    ones = Counter(x for _, s in seqs for x in s)
-    total = sum(ones.values()) - ones["<"]
-    want = []
-    for i, s in seqs:
-        v = [math.log(pairs[a, b] / ones[a]) if pairs[a, b] >= 2 else math.log(0.4 * ones[b] / total) for a, b in itertools.pairwise(s)]
-        want.append((i, len(v), round(sum(v) / len(v), 9) if v else None))
-    got = [(r["doc_id"], r["n_events"], None if r["score"] is None else round(r["score"], 9)) for r in backoff.scores(docs, events, top).collect()]
+        seqs.append(["<", *w, ">"] if w else [])
+    n = Counter(tuple(s[i - k + 1 : i + 1]) for s in seqs for i in range(len(s)) for k in range(1, order + 1) if k <= i + 1)
+    total = sum(len(s) - 1 for s in seqs if s)
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log(n[gram] / total)
+        return math.log(n[gram] / n[gram[:-1]]) if n[gram] >= 2 else math.log(0.4) + score(gram[1:])
+
+    out = []
+    for s in seqs:
+        v = [score(tuple(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s))]
+        out.append((len(v), round(sum(v) / len(v), 9) if v else None))
+    return out
+
+
+@pytest.mark.parametrize(("order", "part_chars", "chunk_chars"), [(2, backoff.PART_CHARS, backoff.CHUNK), (2, 300, 900), (3, 2000, 100), (4, 500, 10**6)])
+def test_backoff_against_brute_force(docs, order, part_chars, chunk_chars):
+    """Up to about 130 parts, and chunks of a document or of all."""
+    want = [(i, *v) for (i, *_), v in zip(ODD, plain_backoff([t for _, t, *_ in ODD], order), strict=True)]
+    got = [(r["doc_id"], r["n_events"], None if r["score"] is None else round(r["score"], 9)) for r in backoff.scores(docs, order, part_chars, chunk_chars).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_backoff_of_a_pair_that_most_documents_share(spark):
+    texts = ["same pair " * 30 + prose(5, random.Random(k)) for k in range(120)] + [None, "", "same"]
+    d = spark.createDataFrame([(k % 100, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, part string").repartition(7)
+    got = [(r["doc_id"], r["n_events"], None if r["score"] is None else round(r["score"], 9)) for r in backoff.scores(d, part_chars=400, chunk_chars=700).collect()]
+    assert sorted(got, key=repr) == sorted([(k % 100, *v) for k, v in enumerate(plain_backoff(texts, 2))], key=repr)
+    rows_of = backoff.joined(backoff.exploded(d, 50, chunk_chars=700)).groupBy("part").count().where("part >= 0").collect()
+    chunks = d.count()
+    assert len(rows_of) <= 50 and max(r["count"] for r in rows_of) <= chunks  # a frequent pair is an entry a chunk
+
+
 def test_backoff_of_nothing(empty):
     assert backoff.scores(empty).count() == 0
 

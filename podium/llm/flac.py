@@ -3,14 +3,21 @@
 The format is FLAC as published: a STREAMINFO block, a SEEKTABLE with a point for every frame (sample
 number, byte offset, samples), and frames of BLOCK samples, each with a CRC-8 over its header and a CRC-16
 over all of it. A frame is constant, verbatim, or predicted by a fixed polynomial of order 0 to 4 or by
-linear coefficients, with the residual in Rice partitions. Bytes become samples by subtracting 128.
+LINEAR coefficients of its own (from its autocorrelation, where these seem shorter), with the residual in Rice
+partitions. Bytes become samples by subtracting 128. Reading back verifies every checksum, and writes PCM blocks
+whose sample offsets find any sample.
 
 All frames of a chunk of texts are coded together with numpy: residuals, code lengths and bit positions by
 array operations, and decoding one code of every frame at a step. A stream depends on its own payload alone.
+
+A null text is empty, and an empty text is UNIT blanks. Repeated rows and ids keep a row each, a null doc_id too;
+an empty table gives none. A stored stream that is not what its checksums say gets a row with its status and
+nulls; the others are not touched by it.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 
@@ -21,6 +28,8 @@ from pyspark.sql import functions as F
 from podium.llm.common import arrow_schema, batch_of, text_chunks
 
 UNIT, BLOCK, RATE, PARTITION_ORDER = 192, 1152, 8000, 2
+#: Coefficients of a linear predictor, and bits behind their point; samples of a PCM block.
+LINEAR, SHIFT, PCM = 4, 6, 8 * BLOCK
 #: Code points that are coded together.
 STEP_CHARS = 1_800_000
 
@@ -95,8 +104,22 @@ def _residual(x: np.ndarray, order: int) -> np.ndarray:
     return x
 
 
-def encode(payloads: list[bytes], block: int = BLOCK, linear: tuple[list[int], int] | None = None) -> list[bytes]:
-    """A FLAC stream for each payload (of a positive multiple of UNIT bytes). linear: coefficients and shift for a linear predictor instead of the fixed ones."""
+def _predictors(x: np.ndarray, start: np.ndarray, size: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """LINEAR coefficients (times 2 ** SHIFT, 8 bits) for each frame, the least squares ones of its samples."""
+    r = np.empty((len(start), LINEAR + 1))
+    for lag in range(LINEAR + 1):
+        p = x.copy()
+        p[lag:] *= x[: len(x) - lag]
+        if lag:
+            p[within < lag] = 0
+        r[:, lag] = np.add.reduceat(p, start, dtype=np.int64)
+    lags = np.abs(np.arange(LINEAR)[:, None] - np.arange(LINEAR))
+    m = r[:, lags] + np.eye(LINEAR) * (r[:, :1, None] * 1e-6 + 1)
+    return np.clip(np.rint(np.linalg.solve(m, r[:, 1:, None])[:, :, 0] * (1 << SHIFT)), -128, 127).astype(np.int32)
+
+
+def encode(payloads: list[bytes], block: int = BLOCK, linear: bool | tuple[list[int], int] = True) -> list[bytes]:
+    """A FLAC stream for each payload (of a positive multiple of UNIT bytes). linear: whether frames may have linear predictors, or coefficients and shift for all."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     x = raw.astype(np.int32) - 128
@@ -107,21 +130,29 @@ def encode(payloads: list[bytes], block: int = BLOCK, linear: tuple[list[int], i
     start = first[doc] + index * block
     size = np.minimum(block, first[doc] + sizes[doc] - start)
     n = len(doc)
-    if linear:
-        coefs, shift = linear
-        order = np.full(n, len(coefs))
-        p = np.zeros(len(x), np.int64)
-        for j, c in enumerate(coefs):
-            p[j + 1 :] += c * x[: -j - 1].astype(np.int64)
-        res = (x - (p >> shift)).astype(np.int32)
-    else:
-        every = [_residual(x, o) for o in range(5)]
+    within = np.arange(len(x), dtype=np.int32) - np.repeat(start, size).astype(np.int32)
+    every, least = [x], np.add.reduceat(np.abs(x), start, dtype=np.int64) if n else np.zeros(0)
+    order, res, lin, shift = np.zeros(n, np.int64), x, np.zeros(n, bool), SHIFT
+    if linear in (True, False):
+        every += [_residual(x, o) for o in range(1, 5)]
         cost = np.stack([np.add.reduceat(np.abs(r), start, dtype=np.int64) for r in every])
-        order = cost.argmin(0)
+        order, least = cost.argmin(0), cost.min(0)
         res = np.choose(np.repeat(order, size), every)
+    if linear:
+        coefs = _predictors(x, start, size, within) if linear is True else np.tile(np.array(linear[0], np.int32), (n, 1))
+        shift = SHIFT if linear is True else linear[1]
+        p = np.zeros(len(x), np.int32)
+        for j, c in enumerate(coefs.T):
+            p[j + 1 :] += np.repeat(c, size)[j + 1 :] * x[: -j - 1]
+        own = x - (p >> shift)
+        own_cost = np.add.reduceat(np.abs(own), start, dtype=np.int64)
+        k = coefs.shape[1]
+        gain = size * np.log2((least + 1) / (own_cost + 1))  # about the bits saved, against those of the coefficients
+        lin = (gain > 9 + 8 * k + 8 * (k - order)) if linear is True else np.ones(n, bool)
+        order = np.where(lin, k, order)
+        res = np.where(np.repeat(lin, size), own, res)
     flat = np.add.reduceat((x != np.repeat(x[start], size)).astype(np.int64), start) == 0
     u = ((res << 1) ^ (res >> 31)).astype(np.int64)
-    within = np.arange(len(x)) - np.repeat(start, size)
     warm = within < np.repeat(order, size)
     u[warm] = 0
     # Rice parameter of each partition: about the logarithm of the mean
@@ -134,7 +165,7 @@ def encode(payloads: list[bytes], block: int = BLOCK, linear: tuple[list[int], i
     q = u >> k_of
     length = q + 1 + k_of
     length[warm] = 0
-    overhead = 8 + order * 8 + 6 + 4 * parts + (9 + order * 8 if linear else 0)
+    overhead = 8 + order * 8 + 6 + 4 * parts + np.where(lin, 9 + order * 8, 0)
     bits = np.add.reduceat(length, start) + overhead
     plain = ~flat & (bits >= 8 + 8 * size)
     body = np.where(flat, 16, np.where(plain, 8 + 8 * size, bits))
@@ -155,7 +186,7 @@ def encode(payloads: list[bytes], block: int = BLOCK, linear: tuple[list[int], i
             bit[where + j] = value >> (width - 1 - j) & 1
 
     coded = np.flatnonzero(~flat & ~plain)
-    kind = np.where(flat, 0, np.where(plain, 1, (32 + order - 1) if linear else 8 + order))
+    kind = np.where(flat, 0, np.where(plain, 1, np.where(lin, 31, 8) + order))
     put(base, kind << 1, 8)
     put(base[flat] + 8, raw[start[flat]].astype(np.int64) ^ 128, 8)
     s_plain = np.repeat(plain, size)
@@ -165,11 +196,12 @@ def encode(payloads: list[bytes], block: int = BLOCK, linear: tuple[list[int], i
     put(np.repeat(base, size)[w] + 8 + 8 * within[w], raw[w].astype(np.int64) ^ 128, 8)
     after = base + 8 + 8 * order
     if linear:
-        put(after[coded], np.full(len(coded), 7), 4)  # 8-bit coefficients
-        put(after[coded] + 4, np.full(len(coded), shift), 5)
-        for j, c in enumerate(coefs):
-            put(after[coded] + 9 + 8 * j, np.full(len(coded), c & 255), 8)
-        after = after + 9 + 8 * order
+        own = coded[lin[coded]]
+        put(after[own], np.full(len(own), 7), 4)  # 8-bit coefficients
+        put(after[own] + 4, np.full(len(own), shift), 5)
+        for j, c in enumerate(coefs.T):
+            put(after[own] + 9 + 8 * j, c[own] & 255, 8)
+        after = np.where(lin, after + 9 + 8 * order, after)
     put(after[coded] + 2, np.full(len(coded), PARTITION_ORDER), 4)
     # code positions: lengths before it in its frame, and 4 bits for each partition that has begun
     run = np.cumsum(length) - length
@@ -267,34 +299,35 @@ def decode_frames(data: np.ndarray, start: np.ndarray, verify: bool = True) -> t
     pos = np.where(kind == 0, pos + 8, np.where(kind == 1, pos + 8 * size, pos))
     order = np.where((kind >= 8) & (kind <= 12), kind - 8, np.where(kind >= 32, kind - 31, 0))
     coded = np.flatnonzero(kind >= 8)
-    if len(coded):
-        shape = size[coded] << 20 | kind[coded]
-        for s in np.unique(shape):
-            own = coded[shape == s]
-            pos[own] = _decode_like(reader, x, first[own], int(size[own[0]]), int(kind[own[0]]), int(order[own[0]]), pos[own])
+    for s in np.unique(size[coded]):
+        own = coded[size[coded] == s]
+        pos[own] = _decode_like(reader, x, first[own], int(s), kind[own], order[own], pos[own])
     end = (pos + 7) // 8
     if verify and (_crc(data, start, end - start, _CRC16, 16) != (data[end].astype(np.uint32) << 8 | data[end + 1])).any():
         raise Corrupt("frame checksum")
     return x, size, end + 2
 
 
-def _decode_like(reader: Reader, x: np.ndarray, first: np.ndarray, size: int, kind: int, order: int, pos: np.ndarray) -> np.ndarray:
-    """Decodes frames of one size and one kind into x, all of them a sample at a step; returns where their bodies end."""
-    n = len(first)
+def _decode_like(reader: Reader, x: np.ndarray, first: np.ndarray, size: int, kind: np.ndarray, order: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Decodes frames of one size into x, all of them a sample at a step; returns where their bodies end."""
+    n, longest = len(first), int(order.max())
     r = np.zeros((size, n), np.int64)
-    for t in range(order):
-        r[t] = (reader.take(pos, 8) ^ 128) - 128
-        pos = pos + 8
-    coefs = shift = None
-    if kind >= 32:
-        width = reader.take(pos, 4) + 1
-        shift = reader.take(pos + 4, 5)
-        pos = pos + 9
-        coefs = []
-        for _ in range(order):
-            c = reader.take(pos, width)
-            coefs.append(np.where(c >> (width - 1) & 1, c - (1 << width), c))
-            pos = pos + width
+    for t in range(longest):
+        own = np.flatnonzero(t < order)
+        r[t, own] = (reader.take(pos[own], 8) ^ 128) - 128
+        pos[own] += 8
+    lin = np.flatnonzero(kind >= 32)
+    coefs, shift = np.zeros((longest, n), np.int64), np.zeros(n, np.int64)
+    if len(lin):
+        width = reader.take(pos[lin], 4) + 1
+        shift[lin] = reader.take(pos[lin] + 4, 5)
+        pos[lin] += 9
+        for j in range(int(order[lin].max())):
+            some = j < order[lin]
+            own, bits = lin[some], width[some]
+            c = reader.take(pos[own], bits)
+            coefs[j, own] = np.where(c >> (bits - 1) & 1, c - (1 << bits), c)
+            pos[own] += bits
     if reader.take(pos, 2).any():
         raise Corrupt("residual coding method")
     depth = reader.take(pos + 2, 4)
@@ -303,8 +336,8 @@ def _decode_like(reader: Reader, x: np.ndarray, first: np.ndarray, size: int, ki
     begins = 1 << int(depth.max())
     every = size // begins  # frames with fewer partitions read a parameter less often
     stride = size >> depth
-    k = np.zeros(n, np.int64)
-    raw = np.full(n, -1, np.int64)
+    k, raw = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    escapes = False
     for t in range(size):
         if t % every == 0:
             due = np.flatnonzero(t % stride == 0)
@@ -312,42 +345,45 @@ def _decode_like(reader: Reader, x: np.ndarray, first: np.ndarray, size: int, ki
             k[due] = reader.take(p, 4)
             raw[due] = np.where(k[due] == 15, reader.take(p + 4, 5), -1)
             pos[due] = p + np.where(k[due] == 15, 9, 4)
-            escaped = np.flatnonzero(raw >= 0)
-        if t < order:
-            continue
-        w = words[pos >> 3] << (pos & 7) & 0xFFFFFFFF
+            escapes = bool((raw >= 0).any())
+        own = np.flatnonzero(t >= order) if t < longest else slice(None)
+        at, kk = pos[own], k[own]
+        w = words[at >> 3] << (at & 7) & 0xFFFFFFFF
         q = _ZEROS16[w >> 16]
-        used = q + 1 + k
-        u = q << k | (w << (q + 1) & 0xFFFFFFFF) >> (32 - k)
-        if used.max() > 24 or q.max() == 16 or len(escaped):
-            for f in np.flatnonzero((used > 24) | (q == 16) | (raw >= 0)).tolist():
-                at = pos[f : f + 1].copy()
-                if raw[f] >= 0:
-                    v = int(reader.take(at, int(raw[f]))[0]) if raw[f] else 0
-                    v -= (v >> int(raw[f]) - 1 & 1) << int(raw[f]) if raw[f] else 0
-                    u[f], used[f] = (v << 1) ^ (v >> 63), raw[f]
+        used = q + 1 + kk
+        u = q << kk | (w << (q + 1) & 0xFFFFFFFF) >> (32 - kk)
+        if escapes or len(used) and (used.max() > 24 or q.max() == 16):
+            for f in np.flatnonzero((used > 24) | (q == 16) | (raw[own] >= 0)).tolist():
+                one, bits, rice = at[f : f + 1].copy(), int(raw[own][f]), int(kk[f])
+                if bits >= 0:
+                    v = int(reader.take(one, bits)[0]) if bits else 0
+                    v -= (v >> bits - 1 & 1) << bits if bits else 0
+                    u[f], used[f] = (v << 1) ^ (v >> 63), bits
                     continue
                 zeros = 0
-                while not int(reader.take(at, 1)[0]):
-                    zeros, at = zeros + 1, at + 1
-                u[f] = zeros << int(k[f]) | (int(reader.take(at + 1, int(k[f]))[0]) if k[f] else 0)
-                used[f] = zeros + 1 + k[f]
-        pos = pos + used
-        r[t] = (u >> 1) ^ -(u & 1)
-    if kind >= 32:
-        for t in range(order, size):
-            r[t] += sum(c * r[t - 1 - j] for j, c in enumerate(coefs)) >> shift
-    else:
-        # undo the differences one order after the other; each begins with what the warm-up says of it
-        starts = []
-        w = r[:order].copy()
-        for _ in range(order):
-            starts.append(w[-1].copy())
-            w = w[1:] - w[:-1]
-        tail = r[order:]
-        for s in reversed(starts):
-            tail = np.cumsum(tail, axis=0) + s
-        r[order:] = tail
+                while not int(reader.take(one, 1)[0]):
+                    zeros, one = zeros + 1, one + 1
+                u[f] = zeros << rice | (int(reader.take(one + 1, rice)[0]) if rice else 0)
+                used[f] = zeros + 1 + rice
+        pos[own] = at + used
+        r[t, own] = (u >> 1) ^ -(u & 1)
+    for o in np.unique(order[lin]).tolist():
+        own = lin[order[lin] == o]
+        v, c, by = r[:, own], coefs[:o, own], shift[own]
+        for t in range(o, size):
+            v[t] += (c[::-1] * v[t - o : t]).sum(0) >> by
+        r[:, own] = v
+    for o in np.unique(order[kind < 32]).tolist():
+        if o:  # undo the differences one order after the other; each begins with what the warm-up says of it
+            own = np.flatnonzero((kind < 32) & (order == o))
+            starts, w = [], r[:o, own]
+            for _ in range(o):
+                starts.append(w[-1].copy())
+                w = w[1:] - w[:-1]
+            tail = r[o:, own]
+            for s in reversed(starts):
+                tail = np.cumsum(tail, axis=0) + s
+            r[o:, own] = tail
     x[(first[None, :] + np.arange(size)[:, None])] = r
     return pos
 
@@ -404,6 +440,8 @@ def payload(text: str | None) -> bytes:
 
 def features(payloads: list[bytes]) -> list[str]:
     """mean, energy, peak and crossings (changes of sign around the mean) of each payload's samples."""
+    if not payloads:
+        return []
     x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128
     size = np.array([len(p) for p in payloads], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -434,8 +472,27 @@ def _by_size(streams: list[bytes]):
     return text_chunks(streams, STEP_CHARS)
 
 
-def pcm_blocks(stored: DataFrame, samples: int = 8 * BLOCK) -> DataFrame:
-    """(doc_id, sample_offset, n_samples, pcm): the stored streams' samples (as unsigned bytes) in blocks that a sample offset finds."""
+def blocks_of(streams: list[bytes], samples: int = PCM) -> list[list[tuple[int, bytes]] | str]:
+    """For each stream its PCM blocks (sample offset, unsigned samples), or what is wrong with it."""
+    try:
+        return [[(k, p[k : k + samples]) for k in range(0, len(p), samples)] for p in decode(streams)]
+    except (Corrupt, IndexError, ValueError) as e:
+        if len(streams) == 1:
+            return [f"corrupt: {e if isinstance(e, Corrupt) else 'cut short'}"]
+        half = len(streams) // 2
+        return blocks_of(streams[:half], samples) + blocks_of(streams[half:], samples)
+
+
+def samples_at(blocks: list[tuple[int, bytes]], sample: int, count: int) -> bytes:
+    """Samples [sample, sample + count), from the blocks that hold them."""
+    lo = max(0, bisect.bisect_right(blocks, sample, key=lambda b: b[0]) - 1)
+    hi = bisect.bisect_left(blocks, sample + count, key=lambda b: b[0])
+    at = sample - blocks[lo][0]
+    return b"".join(b for _, b in blocks[lo:hi])[at : at + count]
+
+
+def pcm_blocks(stored: DataFrame, samples: int = PCM) -> DataFrame:
+    """(doc_id, sample_offset, n_samples, pcm): the stored streams' samples (as unsigned bytes) in blocks that a sample offset finds; none of a corrupt stream."""
     ddl = "doc_id long, sample_offset long, n_samples long, pcm binary"
     schema = arrow_schema(ddl)
 
@@ -443,25 +500,36 @@ def pcm_blocks(stored: DataFrame, samples: int = 8 * BLOCK) -> DataFrame:
         for b in batches:
             ids, streams = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in _by_size(streams):
-                rows = [(i, s, len(p[s : s + samples]), p[s : s + samples]) for i, p in zip(ids[lo:hi], decode(streams[lo:hi]), strict=True) for s in range(0, len(p), samples)]
-                yield batch_of(schema, list(zip(*rows, strict=True)))
+                rows = [(i, k, len(p), p) for i, own in zip(ids[lo:hi], blocks_of(streams[lo:hi], samples), strict=True) if not isinstance(own, str) for k, p in own]
+                if rows:
+                    yield batch_of(schema, list(zip(*rows, strict=True)))
 
     return stored.select("doc_id", "media").mapInArrow(run, ddl)
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What reading the stored streams back gives: sizes, checksums and features."""
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """What the PCM blocks of the stored streams give: sizes, checksums and features, and whether the stream is sound."""
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, status string"
     schema = arrow_schema(ddl)
-    sha = lambda x: hashlib.sha256(x).hexdigest()
+
+    def of_blocks(own) -> tuple:
+        if isinstance(own, str):
+            return None, None, None
+        sha = hashlib.sha256()
+        for _, p in own:
+            sha.update(p)
+        size = own[-1][0] + len(own[-1][1])
+        return size, sha.hexdigest(), zlib.crc32(samples_at(own, size - 16, 16))
 
     def run(batches):
         for b in batches:
             ids, n, streams = (b.column(k).to_pylist() for k in range(3))
             for lo, hi in _by_size(streams):
                 own = streams[lo:hi]
-                back = decode(own)
-                yield batch_of(schema, [ids[lo:hi], n[lo:hi], [len(p) for p in back], [sha(p) for p in back], [zlib.crc32(p[-16:]) for p in back], [len(s) for s in own], [sha(s) for s in own], features(back)])
+                back = blocks_of(own)
+                sound = [not isinstance(x, str) for x in back]
+                of_sound = iter(features([b"".join(p for _, p in x) for x, ok in zip(back, sound, strict=True) if ok]))
+                yield batch_of(schema, [ids[lo:hi], n[lo:hi], *zip(*map(of_blocks, back), strict=True), [len(s) for s in own], [hashlib.sha256(s).hexdigest() for s in own], [next(of_sound) if ok else None for ok in sound], ["ok" if ok else x for x, ok in zip(back, sound, strict=True)]])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
 

@@ -382,7 +382,10 @@ def test_flac_round_trips_and_checks():
     payloads = [flac.payload(t) for t in odd_texts()] + [r.integers(0, 256, 192 * 7, dtype=np.uint8).tobytes(), bytes(192), bytes([0] * 191 + [255]), bytes([0, 255] * 960)]
     streams = flac.encode(payloads)
     assert flac.decode(streams) == payloads and flac.encode(payloads[3:5]) == streams[3:5]
-    assert flac.decode(flac.encode(payloads, linear=([120, -60], 6))) == payloads
+    assert flac.decode(flac.encode(payloads, linear=([120, -60], 6))) == payloads == flac.decode(flac.encode(payloads, linear=False))
+    kinds = lambda s: {s[i["frames"] + int(o) + 6] >> 1 & 63 for i in [flac.stream_info(s)] for o in i["points"]["o"][i["points"]["n"] == flac.BLOCK]} | {0}
+    assert max(map(max, map(kinds, streams))) == 31 + flac.LINEAR and max(map(max, map(kinds, flac.encode(payloads, linear=False)))) < 13
+    assert sum(map(len, streams)) < sum(map(len, flac.encode(payloads, linear=False)))
     long = max(range(len(payloads)), key=lambda k: len(payloads[k]))
     assert flac.read_from(streams[long], 3000, 700) == payloads[long][3000:3700]
     s = streams[long]
@@ -396,6 +399,25 @@ def test_flac_round_trips_and_checks():
         flac.decode([bytes(broken)])
 
 
+def test_flac_of_another_encoder():
+    """The 8-bit example stream of RFC 9639: a linear predictor of order 3, one Rice partition, a block size of its own; its MD5 is checked."""
+    stream = bytes.fromhex("664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3")
+    assert [x - 128 for x in flac.decode([stream])[0]] == [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+
+
+def test_a_corrupt_stream_is_a_row_with_its_status(spark):
+    texts = [prose(300 + k) for k in range(6)]
+    streams = flac.encode([flac.payload(t) for t in texts])
+    streams[1], streams[3], streams[4] = streams[1][:-60] + b"?" + streams[1][-59:], streams[3][:700], b"no stream"
+    stored = spark.createDataFrame([(k, len(t), bytearray(m)) for k, (t, m) in enumerate(zip(texts, streams, strict=True))], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in flac.digests(stored).collect()}
+    assert {k for k, r in got.items() if r["status"] == "ok"} == {0, 2, 5} and all(got[k]["status"].startswith("corrupt") and got[k]["payload_sha256"] is None for k in (1, 3, 4))
+    assert all(got[k]["payload_sha256"] == hashlib.sha256(flac.payload(texts[k])).hexdigest() for k in (0, 2, 5))
+    assert {r["doc_id"] for r in flac.pcm_blocks(stored).collect()} == {0, 2, 5}
+    blocks = flac.blocks_of(streams[:1], 500)[0]
+    assert flac.samples_at(blocks, 480, 600) == flac.payload(texts[0])[480:1080] and flac.samples_at(blocks, 0, 10**6) == flac.payload(texts[0])
+
+
 def test_media_columns(docs, empty):
     stored = flac.media(docs)
     got = {r["doc_id"]: r for r in flac.digests(stored).collect()}

@@ -1,22 +1,27 @@
 """Secret scans: a random forest removes the false positives among strings that look like secrets.
 
-A candidate is a part, of at least MIN_LENGTH, of a run of the characters that keys consist of; parts lie between
-`=`, `:` and `@` (a part with short pieces around its `@` stays whole). The run has a digit or mixed case in it, or the
-part a known key format. Features: length and character shares,
-entropy, transitions between character classes and the surprise of letter pairs, the share covered by
-dictionary words, the path, and the neighbouring words. The forest learns from labelled findings, that is
-rows (text, start, end, path, label). The dictionary (the `DICTIONARY_WORDS` most
-frequent words) and the letter pairs count all documents; the forest learns from at most `FINDINGS` findings, chosen by
-hash (a bounded sample for the fit); every whole text is scanned.
-
-Null texts have no findings; repeated rows give repeated findings; an empty table gives none.
+Candidates are of two kinds. A part, of at least MIN_LENGTH, of a run of the characters that keys consist of:
+parts lie between `=`, `:` and `@` (a part with short pieces around its `@` stays whole), and the run has a digit
+or mixed case in it, or the part a known key format. And a value of at least MIN_SHORT bytes of any kind that a
+key word and `=` or `:` announce, such as a password. Shorter ones, and runs of lower-case letters alone that
+nothing announces, are not scanned.
+
+Features: length and character shares, entropy, transitions between character classes and the surprise of letter
+pairs, the share covered by dictionary words, the path, and the neighbouring words. The forest learns from
+labelled findings, that is rows (text, start, end, path, label): reviewed ones, or secrets and look-alikes
+planted in the corpus' own texts (`planted`; about `FINDINGS`, a bounded sample for the fit), of which `split`
+holds a fifth out. The dictionary (the `DICTIONARY_WORDS` most frequent words) and the letter pairs count all
+documents; every whole text is scanned.
+
+Null texts have no findings, null paths none of a path's features; repeated rows give repeated findings; an empty
+table gives none, and a corpus without texts a model that finds nothing. Findings of a text do not overlap.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from podium.llm.common import arrow_schema, batch_of, join_bytes, text_chunks
+from podium.llm import planted
+from podium.llm.common import arrow_schema, batch_of, join_bytes, span_hashes, text_chunks
 from podium.llm.forest import Forest
 from podium.session import cut
 
-MIN_LENGTH, LEVEL = 12, 0.5
+MIN_LENGTH, MIN_SHORT, LEVEL = 12, 6, 0.5
 DICTIONARY_WORDS, FINDINGS = 3000, 6000
 MASK = "[SECRET]"
 
@@ -39,9 +45,12 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 1, 2, 3, 4
 #: Words that announce a secret, and such as stand in examples.
 KEYWORDS = re.compile(r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)\W{0,4}$", re.I)
 EXAMPLES = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|x{4}|test", re.I)
-KNOWN = re.compile(r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})$")
-#: The same anywhere in bytes.
-KNOWN_IN = re.compile(KNOWN.pattern[1:-1].encode())
+#: Known key formats, anywhere in bytes.
+KNOWN_IN = re.compile(rb"(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
+_BEFORE = re.compile(rb"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth|credentials?|private[_-]?key)[\"'` ]{0,2}$", re.I)
+_VALUE = re.compile(rb"[ \t]{0,3}[\"'`]?([^\s\"'`,;<>(){}\[\]]{%d,})" % MIN_SHORT)
+_LAST = np.zeros(256, bool)  # what an announcing word ends with, or stands between it and the sign
+_LAST[np.frombuffer(b"dDeEtTnNyYhHlLsS\"'` ", np.uint8)] = True
 
 
 def parts(run: bytes) -> list[tuple[int, int]]:
@@ -54,6 +63,23 @@ def parts(run: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def announced(data: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the values that a key word and a sign announce, in order; of two that overlap the inner one."""
+    at = np.flatnonzero((data == 61) | (data == 58))
+    at = at[at > 0]
+    at = at[_LAST[data[at - 1]]].tolist()
+    raw = data.tobytes() if at else b""
+    out: list[tuple[int, int]] = []
+    for i in at:
+        if _BEFORE.search(raw, max(0, i - 20), i) and (m := _VALUE.match(raw, i + 1)):
+            lo, hi = m.start(1), m.start(1) + len(m[1].rstrip(b".:=-/@"))
+            if hi - lo >= MIN_SHORT:
+                if out and lo < out[-1][1]:
+                    out.pop()
+                out.append((lo, hi))
+    return out
+
+
 def candidates(texts: list[str | None]) -> list[tuple[int, bytes, int, int]]:
     """(index of text, its bytes, start, end) of each candidate value, in order; offsets count bytes."""
     out = []
@@ -67,102 +93,121 @@ def candidates(texts: list[str | None]) -> list[tuple[int, bytes, int, int]]:
         digits, upper, lower = (np.concatenate([[0], np.cumsum(kind == k)]) for k in (1, 2, 3))
         within = lambda c: c[ends] - c[starts]
         odd = (within(digits) > 0) | ((ends - starts >= 20) & (within(upper) > 1) & (within(lower) > 1))
-        known = np.array([m.start() for m in KNOWN_IN.finditer(data.tobytes())], np.int64)
+        raw = data.tobytes()
+        known = np.array([m.start() for m in KNOWN_IN.finditer(raw)], np.int64)
         run = np.searchsorted(starts, known, "right") - 1
         keep = odd.copy()
         keep[run[(run >= 0) & (known < np.append(ends, 0)[run])]] = True
-        doc = np.searchsorted(bounds, starts, "right") - 1
+        told = announced(data)
+        spans = list(told)
+        for s, e, o in zip(starts[keep].tolist(), ends[keep].tolist(), odd[keep].tolist(), strict=True):
+            text = raw[s:e].rstrip(b".:=-/@")
+            spans += [(s + x, s + y) for x, y in parts(text) if o or KNOWN_IN.search(text, x, y)]
+        if told:  # what an announced value overlaps is a part of it
+            lo, hi = np.array(told).T
+            first = np.searchsorted(hi, [s for s, _ in spans], "right")
+            spans = told + [x for x, k in zip(spans[len(told) :], first[len(told) :].tolist(), strict=True) if k == len(lo) or x[1] <= lo[k]]
+        spans.sort()
         at, own = -1, b""
-        for d, s, e, o in zip(doc[keep].tolist(), starts[keep].tolist(), ends[keep].tolist(), odd[keep].tolist(), strict=True):
+        doc = (np.searchsorted(bounds, [s for s, _ in spans], "right") - 1).tolist()
+        for d, (s, e) in zip(doc, spans, strict=True):
             if d != at:  # a text's candidates share one copy of it
-                at, own = d, data[bounds[d] : bounds[d + 1] - 1].tobytes()
-            lo, hi = s - int(bounds[d]), e - int(bounds[d])
-            text = own[lo:hi].rstrip(b".:=-/@")
-            out += [(a + d, own, lo + x, lo + y) for x, y in parts(text) if o or KNOWN_IN.search(text, x, y)]
+                at, own = d, raw[bounds[d] : bounds[d + 1] - 1]
+            out.append((a + d, own, s - int(bounds[d]), e - int(bounds[d])))
     return out
 
 
-def featurise(own: bytes, start: int, end: int, path: str | None, model: dict) -> list[float]:
-    """Features of one candidate from its characters, the dictionary, the path and the words before and after."""
-    v = own[start:end]
-    n = len(v)
-    kind = _KIND[np.frombuffer(v, np.uint8)]
-    count = Counter(v)
-    before, after = own[max(0, start - 40) : start].decode("utf-8", "ignore"), own[end : end + 24].decode("utf-8", "ignore")
-    word = v.decode("ascii", "ignore").lower()
-    pairs = model["pairs"]
-    letters = [pairs.get(word[i : i + 2], 14.0) for i in range(n - 1) if word[i : i + 2].isalpha()]
-    covered = np.zeros(n, bool)
-    for size in range(3, min(12, n) + 1):
-        for i in range(n - size + 1):
-            if word[i : i + size] in model["words"]:
-                covered[i : i + size] = True
-    where = (path or "").lower()
-    return [
-        n, (kind == 1).mean(), (kind == 2).mean(), (kind == 3).mean(), (kind == 0).mean(), sum(c in b"0123456789abcdef" for c in v) / n,
-        -sum(c / n * np.log2(c / n) for c in count.values()), (kind[1:] != kind[:-1]).sum() / n, float(np.mean(letters)) if letters else 0.0, covered.mean(),
-        float("@" in word), word.count("."), word.count("/"), float(KEYWORDS.search(before) is not None), float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'", "`")),
-        float(EXAMPLES.search(word) is not None or EXAMPLES.search(before + " " + after) is not None), float(before[-2:-1] == ")" or "+" in before[-8:]), float(bool(re.search(r"test|example|doc|sample", where))), where.count("/"),
-    ]
+def _windows(words: list[bytes]) -> dict[int, np.ndarray]:
+    """Sorted hashes of the words of each length."""
+    by: dict[int, list[bytes]] = defaultdict(list)
+    for w in words:
+        by[len(w)].append(w)
+    ends = {n: np.arange(1, len(ws) + 1) * n for n, ws in by.items()}
+    return {n: np.sort(span_hashes(np.frombuffer(b"".join(ws), np.uint8), ends[n] - n, ends[n])) for n, ws in by.items()}
+
+
+def featurise(found: list[tuple[bytes, int, int, str | None]], model: dict) -> np.ndarray:
+    """A row of features for each candidate (text, start, end, path), from its characters, the dictionary, the path and the words before and after."""
+    if not found:
+        return np.zeros((0, 1))
+    size = np.array([e - s for _, s, e, _ in found])
+    first = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(found)), size)
+    v = np.frombuffer(b"".join(own[s:e] for own, s, e, _ in found), np.uint8)
+    low = np.where((v >= 65) & (v <= 90), v + 32, v).astype(np.uint8)
+    kind = _KIND[v]
+    share = lambda mask: np.add.reduceat(mask.astype(np.int64), first) / size
+    key, count = np.unique(of * 256 + v, return_counts=True)
+    p = count / size[key // 256]
+    entropy = np.bincount(key // 256, -p * np.log2(p), len(found))
+    inner = np.flatnonzero(of[1:] == of[:-1])
+    changes = np.bincount(of[inner], kind[inner + 1] != kind[inner], len(found))
+    letter = (low >= 97) & (low <= 122)
+    pair = inner[letter[inner] & letter[inner + 1]]
+    bits = np.bincount(of[pair], model["pairs"][low[pair].astype(np.int64) - 97, low[pair + 1].astype(np.int64) - 97], len(found))
+    letters = np.bincount(of[pair], minlength=len(found))
+    last = first[of] + size[of]
+    cover = np.zeros(len(v) + 1, np.int64)
+    for n, hashes in model["windows"].items():
+        at = np.flatnonzero(np.arange(len(v)) + n <= last)
+        h = span_hashes(low, at, at + n)
+        hit = at[hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h]
+        np.add.at(cover, hit, 1)
+        np.add.at(cover, hit + n, -1)
+    rows = []
+    for own, s, e, path in found:
+        before, after = own[max(0, s - 40) : s].decode("utf-8", "ignore"), own[e : e + 24].decode("utf-8", "ignore")
+        word, where = own[s:e].decode("ascii", "ignore").lower(), (path or "").lower()
+        rows.append((
+            word.count("@"), word.count("."), word.count("/"), KEYWORDS.search(before) is not None, before.rstrip(" \"'")[-1:] in ("=", ":"), before[-1:] in ("\"", "'", "`"),
+            EXAMPLES.search(word) is not None or EXAMPLES.search(before + " " + after) is not None, before[-2:-1] == ")" or "+" in before[-8:], re.search(r"test|example|doc|sample", where) is not None, where.count("/"),
+        ))
+    hexes = ((low >= 48) & (low <= 57)) | ((low >= 97) & (low <= 102))
+    numeric = [size, *(share(kind == k) for k in (1, 2, 3, 0)), share(hexes), entropy, changes / size, bits / np.maximum(letters, 1), share(np.cumsum(cover[:-1]) > 0)]
+    return np.column_stack([*numeric, np.array(rows, float)])
 
 
 def dictionary(docs: DataFrame) -> dict:
-    """{"words", "pairs"} of all documents: the most frequent words, and the bits of a letter after another."""
+    """{"words", "windows", "pairs"} of all documents: the most frequent words, their hashes by length, and the bits of a letter after another."""
     each = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("length(w) >= 2")
     words = cut(each.groupBy("w").agg(F.count("*").alias("n")))
-    top = words.orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect()
+    # only words of counts that can be among the first are sorted: a bound from how many words have about which count
+    level = F.floor(8 * F.log2("n"))
+    least, so_far = 0, 0
+    for r in sorted(words.groupBy(level.alias("k")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["k"]):
+        least, so_far = r["k"], so_far + r["m"]
+        if so_far >= DICTIONARY_WORDS:
+            break
+    top = words.where(level >= least).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect()
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
     first = F.sum("n").over(W.partitionBy(F.substring("p", 1, 1)))
     # values have ASCII letters only: no other pair is looked up, but all count in the totals of their first letter
     bits = pairs.where("p rlike '^[a-z]'").withColumn("all", first).where("p rlike '^[a-z]{2}$'").collect()
-    return {"words": {r["w"] for r in top if len(r["w"]) >= 3}, "pairs": {r["p"]: float(-np.log2(r["n"] / r["all"])) for r in bits}}
-
-
-def rule_label(own: bytes, start: int, end: int) -> int:
-    """A label for a finding that nobody has reviewed: a known key format, or a high-entropy value that a key word announces."""
-    v = own[start:end].decode("ascii", "ignore")
-    if KNOWN.match(v):
-        return 1
-    count = Counter(v)
-    entropy = -sum(c / len(v) * np.log2(c / len(v)) for c in count.values())
-    before = own[max(0, start - 40) : start].decode("utf-8", "ignore")
-    return int(KEYWORDS.search(before) is not None and entropy >= 2.8 and not EXAMPLES.search(v))
-
+    table = np.full((26, 26), 14.0)
+    for r in bits:
+        table[ord(r["p"][0]) - 97, ord(r["p"][1]) - 97] = -np.log2(r["n"] / r["all"])
+    known = {r["w"] for r in top if len(r["w"]) >= 3}
+    return {"words": known, "windows": _windows(sorted(w.encode() for w in known if w.isascii() and len(w) <= 12)), "pairs": table}
 
-def findings(docs: DataFrame, limit: int = FINDINGS) -> list[tuple[str, int, int, str | None, int]]:
-    """At most `limit` labelled findings (context, start, end, path, label), chosen by hash among all candidates of all texts."""
-    ddl = "ctx binary, lo int, hi int, path string, label int"
-    schema = arrow_schema(ddl)
 
-    def run(batches):
-        for b in batches:
-            path = b.column(1).to_pylist()
-            rows = [(own[max(0, s - 48) : e + 32], min(s, 48), min(s, 48) + e - s, path[i], rule_label(own, s, e)) for i, own, s, e in candidates(b.column(0).to_pylist())]
-            if rows:
-                yield batch_of(schema, list(zip(*rows, strict=True)))
-
-    found = docs.select("text", "source").mapInArrow(run, ddl).dropDuplicates(["ctx"])
-    of = lambda k: found.where(F.col("label") == k).orderBy(F.xxhash64("ctx")).limit(limit // 2)
-    return [(bytes(r["ctx"]), r["lo"], r["hi"], r["path"], r["label"]) for r in of(1).unionByName(of(0)).collect()]
-
-
-def with_placeholders(rows: list[tuple]) -> list[tuple]:
-    """The findings, and for every other true one a false one in its place: a placeholder, a run or plain words after the same key word."""
-    out = list(rows)
-    plain = [b"changeme-please-now", b"your_token_goes_here", b"xxxxxxxxxxxxxxxxxxxxxxxx", b"000000000000000000000000", b"123456789012345678901234", b"example-secret-value-1", b"thepasswordisnothere", b"insert-your-key-here-2"]
-    true = [r for r in rows if r[4] == 1]
-    for i, (ctx, lo, hi, path, _) in enumerate(true[::2]):
-        v = plain[i % len(plain)]
-        out.append((ctx[:lo] + v + ctx[hi:], lo, lo + len(v), path, 0))
-    return out
+def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The findings to learn from, and the fifth that is held out, by a hash of the finding."""
+    out = [hashlib.md5(own + b"%d" % s).digest()[0] % 5 == 0 for own, s, *_ in rows]
+    return [r for r, o in zip(rows, out, strict=True) if not o], [r for r, o in zip(rows, out, strict=True) if o]
 
 
 def fit(docs: DataFrame, labelled: list[tuple] | None = None) -> dict:
-    """{"forest", "words", "pairs"}. labelled: findings that were reviewed; else those of the documents, labelled by rules."""
+    """The model: forest, dictionary, letter pairs, and precision and recall on the held-out fifth (None without any).
+
+    labelled: findings that were reviewed; else secrets and look-alikes planted in the documents' texts.
+    """
     model = dictionary(docs)
-    rows = labelled if labelled is not None else with_placeholders(findings(docs))
-    x = np.array([featurise(c, s, e, p, model) for c, s, e, p, _ in rows]) if rows else np.zeros((0, 1))
-    return model | {"forest": Forest().fit(x, np.array([r[4] for r in rows], float))}
+    rows, held = split(labelled if labelled is not None else planted.findings(docs, candidates, FINDINGS))
+    model["forest"] = Forest().fit(featurise([r[:4] for r in rows], model), np.array([r[4] for r in rows], float))
+    said = model["forest"].predict(featurise([r[:4] for r in held], model)) >= LEVEL
+    true = np.array([r[4] for r in held], bool)
+    hits = int((said & true).sum())
+    return model | {"precision": hits / said.sum() if said.any() else None, "recall": hits / true.sum() if true.any() else None}
 
 
 def scan_texts(texts: list[str | None], paths: list[str | None], model: dict) -> list[tuple[int, bytes, int, int, float]]:
@@ -170,7 +215,7 @@ def scan_texts(texts: list[str | None], paths: list[str | None], model: dict) ->
     found = candidates(texts)
     if not found:
         return []
-    p = model["forest"].predict(np.array([featurise(own, s, e, paths[i], model) for i, own, s, e in found]))
+    p = model["forest"].predict(featurise([(own, s, e, paths[i]) for i, own, s, e in found], model))
     return [(*c, float(q)) for c, q in zip(found, p, strict=True) if q >= LEVEL]
 
 
@@ -182,7 +227,11 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = [(ids[i], len(own[:s].decode()), e - s, q, hashlib.sha256(own[s:e]).hexdigest()) for i, own, s, e, q in scan_texts(b.column(1).to_pylist(), b.column(2).to_pylist(), shared.value)]
+            rows, at = [], (-1, 0, 0)  # text, bytes and code points so far
+            for i, own, s, e, q in scan_texts(b.column(1).to_pylist(), b.column(2).to_pylist(), shared.value):
+                _, done, chars = at if at[0] == i else (i, 0, 0)
+                at = (i, s, chars + len(own[done:s].decode("utf-8", "surrogatepass")))
+                rows.append((ids[i], at[2], len(own[s:e].decode("utf-8", "surrogatepass")), q, hashlib.sha256(own[s:e]).hexdigest()))
             if rows:
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
@@ -199,13 +248,12 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column(at).to_pylist()
-            cut: dict[int, list] = {}
+            gone: dict[int, list] = {}
             for i, own, s, e, _ in scan_texts(texts, b.column(path).to_pylist(), shared.value):
-                cut.setdefault(i, [own]).append((s, e))
-            for i, (own, *spans) in cut.items():
-                for s, e in reversed(spans):
-                    own = own[:s] + MASK.encode() + own[e:]
-                texts[i] = own.decode()
+                gone.setdefault(i, [own]).append((s, e))
+            for i, (own, *spans) in gone.items():
+                kept = [own[x:y] for (_, x), (y, _) in zip([(0, 0), *spans], [*spans, (len(own), 0)], strict=True)]
+                texts[i] = MASK.encode().join(kept).decode("utf-8", "surrogatepass")
             yield pa.RecordBatch.from_arrays([pa.array(texts, schema.field(k).type) if k == at else c.cast(schema.field(k).type) for k, c in enumerate(b.columns)], schema=schema)
 
     return docs.mapInArrow(run, docs.schema)

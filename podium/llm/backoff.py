@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm.common import arrow_schema, batch_of, join_bytes, mix, span_hashes, text_chunks
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
-#: Code points of a chunk, and of the corpus for each part; the fewest parts.
+#: Code points from which a chunk is full (a batch more at most), and those of the corpus for each part; the fewest parts.
 CHUNK, PART_CHARS, LEAST_PARTS = 6_000_000, 20_000_000, 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,13 +75,14 @@ def grams(words: np.ndarray, size: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The bytes of equal weight of all numbers together: those that are mostly zero compress."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    """The bytes of equal weight of all numbers together, compressed: high ones are mostly zero. The length comes first."""
+    raw = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def numbers(b: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 _ROWS = "part long, chunk long, keys binary, counts binary, ids binary, known binary, size binary"
@@ -91,7 +93,7 @@ def exploded(docs: DataFrame, parts: int, order: int = ORDER, chunk_chars: int =
     schema = arrow_schema(_ROWS)
 
     def rows(chunk: int, ids: list, texts: list):
-        words, size = sequences(texts)
+        words, size = (np.concatenate(x) for x in zip(*(sequences(texts[lo:hi]) for lo, hi in text_chunks(texts)), strict=True))
         every = grams(words, size, order)
         own, at = np.unique(words, return_inverse=True)
         number = np.array([0 if i is None else i for i in ids], "<i8")
@@ -120,9 +122,9 @@ def exploded(docs: DataFrame, parts: int, order: int = ORDER, chunk_chars: int =
             new_ids, new = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in text_chunks(new, chunk_chars):
                 chars = sum(len(t) + 1 if t else 1 for t in new[lo:hi])
-                if ids and held + chars > chunk_chars:
-                    yield from flush()
                 ids, texts, held = ids + new_ids[lo:hi], texts + new[lo:hi], held + chars
+                if held >= chunk_chars:
+                    yield from flush()
         if ids:
             yield from flush()
 

@@ -85,10 +85,13 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; only where it names none, to a new one."""
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; a local session that names none gets a new one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -97,6 +100,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df (in any case) has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

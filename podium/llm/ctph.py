@@ -7,7 +7,9 @@ Fingerprints are compared at compatible block sizes (equal ones, or one twice th
 1 - distance / longer length, the best of what can be compared; 0 where nothing can. The last letter covers
 the rest of the text, so whole texts count.
 
-Null texts are empty; empty texts have the fingerprint `0::`.
+Null texts are empty; empty texts have the fingerprint `0::`. The next document of the last is the first, a single
+row's its own. Null ids come last, and rows of one id in the order of their texts' hashes; repeated rows keep a row
+each. An empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from podium.llm.common import arrow_schema, batch_of, partitions, span_hashes, text_chunks
 
 WINDOW, SIGNATURE, LEVELS = 7, 64, 40
+#: Code points of a range of documents, about.
+RANGE_CHARS = 12_000_000
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _CODE = np.zeros(256, np.int64)
 _CODE[LETTERS] = np.arange(64)
@@ -142,32 +146,45 @@ def likeness(one: list[str], two: list[str]) -> np.ndarray:
     return best
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, borrowed, doc_id, text), dealt by ranges of doc_id and sorted by it downwards within each.
+def place(keys: np.ndarray, hashes: np.ndarray, top_keys: np.ndarray, top_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each (key, hash), the first whose top is not below it, and whether it is that top; tops are sorted."""
+    lo, hi = np.searchsorted(top_keys, keys, "left"), np.searchsorted(top_keys, keys, "right")
+    out = lo.copy()
+    tied = np.flatnonzero(hi > lo)
+    for k in np.unique(keys[tied]):
+        own = tied[keys[tied] == k]
+        a, b = lo[own[0]], hi[own[0]]
+        out[own] = a + np.searchsorted(top_hashes[a:b], hashes[own], "left")
+    at = np.minimum(out, len(top_keys) - 1)
+    return out, (out < len(top_keys)) & (top_keys[at] == keys) & (top_hashes[at] == hashes)
+
+
+def in_order(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """(bucket, borrowed, doc_id, text), dealt by ranges of (doc_id, hash of text) and sorted by these downwards within each.
 
     Each bucket ends with a borrowed row, the document that follows its last: the first of the next range,
-    after the last range the first of all. Only the ranges' upper ends (one id a bucket) reach the driver.
-    Null ids come last; rows of one id are sorted by their texts.
+    after the last range the first of all. The number of ranges follows the size of the texts, and hashes split an
+    id that many rows have; only the ranges' upper ends (two numbers each) reach the driver.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = docs.select(key.alias("key"))
-    ends = ids.repartitionByRange(2 * partitions(docs.sparkSession), "key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("key").alias("top")).collect()
-    tops = np.array(sorted({r["top"] for r in ends}), np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(tops, ids.to_numpy(np.int64), "left").astype(np.int32))
-
-    @F.pandas_udf("boolean")
-    def is_top(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(ids.to_numpy(np.int64), tops))
-
-    rows = docs.select(key.alias("__key"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"__bucket": bucket("__key"), "__top": is_top("__key")})
-    own = F.struct(F.col("__bucket").alias("bucket"), F.lit(0).alias("borrowed"))
-    lent = F.struct(F.pmod(F.col("__bucket") + 1, F.lit(max(len(tops), 1))).alias("bucket"), F.lit(1).alias("borrowed"))
-    rows = rows.select(F.explode(F.when(F.col("__top"), F.array(own, lent)).otherwise(F.array(own))).alias("to"), "__key", "doc_id", "text")
-    rows = rows.select("to.bucket", "to.borrowed", "__key", "doc_id", "text").repartition("bucket")
-    return rows.sortWithinPartitions("bucket", "borrowed", F.desc("__key"), F.asc_nulls_first("text")).drop("__key")
+    key, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    ranges = max(2 * partitions(docs.sparkSession), -(-chars // range_chars))
+    ids = docs.select(key.alias("key"), text_hash.alias("hash"))
+    ends = ids.repartitionByRange(ranges, "key", "hash").groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("key", "hash")).alias("top")).collect()
+    tops = sorted({tuple(r["top"]) for r in ends})
+    top_keys, top_hashes = np.array([t[0] for t in tops], np.int64), np.array([t[1] for t in tops], np.int64)
+
+    @F.pandas_udf("bucket int, top boolean")
+    def placed(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        bucket, top = place(keys.to_numpy(np.int64), hashes.to_numpy(np.int64), top_keys, top_hashes)
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "top": top})
+
+    rows = docs.select(key.alias("key"), text_hash.alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", placed("key", "hash"))
+    own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(0).alias("borrowed"))
+    lent = F.struct(F.pmod(F.col("at.bucket") + 1, F.lit(max(len(tops), 1))).alias("bucket"), F.lit(1).alias("borrowed"))
+    rows = rows.select(F.explode(F.when(F.col("at.top"), F.array(own, lent)).otherwise(F.array(own))).alias("to"), "key", "hash", "doc_id", "text")
+    rows = rows.select("to.bucket", "to.borrowed", "key", "hash", "doc_id", "text").repartition("bucket")
+    return rows.sortWithinPartitions("bucket", "borrowed", F.desc("key"), F.desc("hash")).drop("key", "hash")
 
 
 def compared(docs: DataFrame) -> DataFrame:

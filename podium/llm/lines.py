@@ -18,22 +18,22 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm.common import checkpoint
+from podium.llm.common import checkpoint, fresh
 
 MIN_SITES, MIN_CHARS, LG_K = 5, 10, 12
-#: Boilerplate lines that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
+#: Boilerplate lines that are broadcast at most (about 50 bytes each); more are joined by a shuffle, whose hot lines Spark splits.
 BROADCAST_LINES = 200_000
 
 
 def exploded(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(__id, __t, __site, __at, __h, __n): a row for each line that counts. __id and __t name the document's row."""
     line = F.trim(F.col("__line"))
-    rows = docs.select(*_row_key(), F.col("source").alias("__site"), F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
+    rows = docs.select(*_row_key("__id", "__t"), F.col("source").alias("__site"), F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
     return rows.where(F.length(line) >= min_chars).select("__id", "__t", "__site", "__at", F.xxhash64(line).alias("__h"), F.length(line).alias("__n"))
 
 
-def _row_key() -> tuple[Column, Column]:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64("text").alias("__t")
+def _row_key(id_name: str, text_name: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(id_name), F.xxhash64("text").alias(text_name)
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -52,31 +52,35 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.select("__h", "__n", "__first").unionByName(near.join(exact, ["__h", "__n"], "left_semi").select("__h", "__n", "__first"))
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with boilerplate lines taken out of text, and __lines (of the text as it was) and __removed."""
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, counts: tuple[str, str] | None = None, broadcast: int = BROADCAST_LINES) -> DataFrame:
+    """docs with boilerplate lines taken out of text. counts: names of two more columns, the lines of the text as it was and how many are gone."""
     lines = exploded(docs, min_chars)
     marked = checkpoint(boilerplate(lines, min_sites))
-    if marked.count() <= BROADCAST_LINES:
+    if marked.count() <= broadcast:
         marked = F.broadcast(marked)
     gone = lines.join(marked, ["__h", "__n"]).where(~F.struct("__id", "__at").eqNullSafe(F.col("__first")))
-    gone = gone.select("__id", "__t", "__at").distinct().groupBy("__id", "__t").agg(F.collect_list("__at").alias("__gone"))
-    rows = docs.select("*", *_row_key()).join(gone, ["__id", "__t"], "left")
+    id_, t, places = fresh(docs, "__id", "__t", "__gone")
+    gone = gone.select("__id", "__t", "__at").distinct().groupBy(F.col("__id").alias(id_), F.col("__t").alias(t)).agg(F.collect_list("__at").alias(places))
+    rows = docs.select("*", *_row_key(id_, t)).join(gone, [id_, t], "left")
     parts = F.split("text", "\n")
-    numbered = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    kept = F.transform(F.filter(numbered, lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"])
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
+    # places, not lines, are taken away: by hash, so that a text of many lines takes time in proportion
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    more = [F.coalesce(F.size(parts), F.lit(0)).alias(counts[0]), F.coalesce(F.size(places), F.lit(0)).alias(counts[1])] if counts else []
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *more)
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
     """docs with boilerplate removed; documents of which nothing but blanks is left go."""
-    c = clean(docs)
-    return c.where((F.col("__removed") == 0) | (F.length(F.trim(F.translate("text", "\n", " "))) > 0)).select(*docs.columns)
+    n, removed = fresh(docs, "__lines", "__removed")
+    c = clean(docs, counts=(n, removed))
+    return c.where((F.col(removed) == 0) | (F.length(F.trim(F.translate("text", "\n", " "))) > 0)).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return clean(docs).select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    c = clean(docs, counts=("n_lines", "n_removed"))
+    return c.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 ORACLE_SQL = f"""

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from podium.llm import backoff, bpe, common, ctph, flac, language, lines, nearjoin, packing, quality, secrets
 
@@ -183,7 +184,8 @@ def test_edit_distances():
 
 def test_fingerprints_compare_edited_texts(docs, empty):
     got = ctph.compared(docs).collect()
-    order = sorted(ODD, key=lambda x: (-(x[0] if x[0] is not None else -(2**63)), x[1] is not None, x[1] or ""))
+    of_text = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(ODD, key=lambda x: (-(x[0] if x[0] is not None else -(2**63)), -of_text[x[1]]))
     texts = [x[1] or "" for x in order]
     want = Counter()
     for k, t in enumerate(texts):
@@ -197,9 +199,72 @@ def test_fingerprints_compare_edited_texts(docs, empty):
     assert ctph.likeness([one], [two])[0] > 0.7 and ctph.fingerprints(["junk " * 9, BASE])[1] == one and ctph.fingerprints([None]) == ["0::"]
 
 
+def plain_fingerprint(text):
+    """By the definition, a byte at a time."""
+    data = text.encode("utf-8", "surrogatepass")
+    ends = []  # (end of a piece, largest k at which it ends)
+    for i in range(len(data)):
+        h = sum(int(ctph._BYTE[data[i - j]]) * pow(0x9E3779B1, j, 2**32) for j in range(ctph.WINDOW) if i >= j) % 2**32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % 2**32
+        h = (h ^ h >> 13) + 1
+        if h % 3 == 0:
+            m = h // 3
+            ends.append((i + 1, (m & -m).bit_length() - 1))
+    k = max(0, math.ceil(math.log2(max(len(data), 1) / (3 * ctph.SIGNATURE))))
+    while k and sum(level >= k for _, level in ends) < ctph.SIGNATURE // 2:
+        k -= 1
+
+    def signature(k):
+        cuts = [e for e, level in ends if level >= k][: ctph.SIGNATURE - 1]
+        cuts += [len(data)] if data and (not cuts or cuts[-1] < len(data)) else []
+        pieces = [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return "".join(chr(ctph.LETTERS[int(common.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) >> 58]) for x in pieces)
+
+    return f"{k}:{signature(k)}:{signature(k + 1)}"
+
+
+def test_fingerprints_by_their_definition():
+    texts = [t for _, t, *_ in ODD if t and len(t) < 6000] + ["", "a", prose(700), "ab" * 900]
+    assert ctph.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
+def test_an_id_that_most_rows_have_is_split(spark):
+    rows_of = [(7 if k % 3 else k, f"{prose(3)} {k}") for k in range(300)] + [(None, f"n {k}") for k in range(100)]
+    d = spark.createDataFrame(rows_of, "doc_id long, text string").repartition(5)
+    of_text = {r["text"]: r["h"] for r in d.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows_of, key=lambda x: (-(x[0] if x[0] is not None else -(2**63)), -of_text[x[1]]))
+    want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()) for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in ctph.compared(d).collect()) == want
+    assert max(r["count"] for r in ctph.in_order(d, 300).groupBy("bucket").count().collect()) < 60
+
+
 # -- 5 lines
 
 
+CLASHES = ["__id", "__t", "__h", "__n", "__at", "__gone", "__first", "__lines", "__removed", "i", "t", "one", "many", "n", "comp", "rep", "key", "hash", "bucket", "borrowed", "at", "w", "p", "chunk", "known", "label", "x"]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, tmp_path):
+    """Every stage that returns documents, over columns that have the names the operators use inside, and over no rows."""
+    import corpus_pipeline
+
+    texts = ["\n".join(["a line that all the sites have", prose(40, random.Random(k % 20))]) for k in range(60)]
+    data = [(k, t, "en", f"s{k % 7}", len(t), *(1000 * k + j for j in range(len(CLASHES)))) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHES)).repartition(3)
+    own = {r[0]: r[5:] for r in data}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, str(tmp_path))
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} <= set(own)
+        else:
+            assert out.columns == d.columns and all(tuple(r[5:]) == own[r["doc_id"]] for r in out.collect()) and out.count() in (20, 60)
+        none = stage(spark, d.where("false"), str(tmp_path))
+        assert none.count() == 0 and (name == "packing" or none.columns == d.columns)
+    assert corpus_pipeline.STAGES[2][1](spark, d, str(tmp_path)).count() == 20
+
+
+
 def test_lines_against_brute_force(spark, docs, empty):
     r = random.Random(4)
     pool = [prose(6, r) for _ in range(12)]
@@ -264,7 +329,9 @@ def test_near_duplicates_against_brute_force(spark, family):
 def test_near_duplicates_on_odd_rows(docs, empty):
     assert rows(nearjoin.components_of(docs), "doc_id", "n_shingles", "component_id") == sorted(brute_components([(i, t) for i, t, *_ in ODD]), key=repr)
     kept = nearjoin.one_of_each(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 8, 9, 10, None, 11, 13}
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 8, 8, 9, 10, None, 11, 13])
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id is not null").withColumn("doc_id", F.lit(None).cast("long")))
+    assert Counter(r["doc_id"] for r in nearjoin.one_of_each(twice).collect()) == Counter([1, 1, 2, 2, 3, 3, 4, 5, 8, 8, 9, 10, None, 11, 13] + [None] * 3)
     assert nearjoin.components_of(empty).count() == 0
 
 

@@ -19,14 +19,19 @@ def _top_three(speeds: DataFrame, keys: list[str], tie: str) -> DataFrame:
 
 
 def scale_from_points(points: DataFrame, origins: DataFrame | None = None, first_n: int | None = None) -> DataFrame:
-    """(contest_id, scale): the top players' speed, in points a minute. origins: (contest_id, origin_ms) cuts first; first_n keeps the first arrivals of each contest."""
+    """(contest_id[, origin_ms], scale): the top players' speed, in points a minute.
+
+    origins: (contest_id, origin_ms) cut first, with one scale for each; first_n keeps the first arrivals of each
+    contest (or origin).
+    """
+    keys = ["contest_id"]
     if origins is not None:
-        points = points.join(F.broadcast(origins.select("contest_id", "origin_ms")), "contest_id").where("time_ms <= origin_ms")
+        points, keys = points.join(origins.select("contest_id", "origin_ms"), "contest_id").where("time_ms <= origin_ms"), ["contest_id", "origin_ms"]
     if first_n:
-        points = points.withColumn("__r", F.row_number().over(W.partitionBy("contest_id").orderBy("seq"))).where(F.col("__r") <= first_n)
-    w = W.partitionBy("contest_id", "uid").orderBy("time_ms", "seq")
+        points = points.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy("seq"))).where(F.col("__r") <= first_n)
+    w = W.partitionBy(*keys, "uid").orderBy("time_ms", "seq")
     speed = F.try_divide(F.col("value") - F.lag("value").over(w), (F.col("time_ms") - F.lag("time_ms").over(w)) / 60000.0)
-    return _top_three(points.select("contest_id", "uid", speed.alias("speed")), ["contest_id"], "uid")
+    return _top_three(points.select(*keys, "uid", speed.alias("speed")), keys, "uid")
 
 
 def scale_from_tracker(obs: DataFrame, tier: int = 10, origins: DataFrame | None = None) -> DataFrame:
@@ -36,7 +41,7 @@ def scale_from_tracker(obs: DataFrame, tier: int = 10, origins: DataFrame | None
     rows = obs.where(F.col("tier") == tier).select("contest_id", "time_ms", speed.alias("speed"))
     if origins is None:
         return _top_three(rows, ["contest_id"], "time_ms")
-    scaled = _top_three(rows.join(F.broadcast(origins), "contest_id").where("time_ms <= origin_ms"), ["contest_id", "origin_h"], "time_ms")
+    scaled = _top_three(rows.join(origins, "contest_id").where("time_ms <= origin_ms"), ["contest_id", "origin_h"], "time_ms")
     return origins.select("contest_id", "origin_h").join(scaled, ["contest_id", "origin_h"], "left")
 
 
@@ -85,19 +90,21 @@ def window_intensity(rows: DataFrame, keys: list[str], out: str = "intensity") -
     return r.groupBy(*keys).agg(F.when(F.max("__s") > 0.001, F.coalesce(inner, F.max("__m"))).otherwise(F.max("__m")).alias(out))
 
 
-def duration_weight(source_h: Column, reference_h: Column, most: float) -> Column:
-    """0 to `most` by how far two durations differ on the logarithmic scale; 0 if one is not positive."""
-    gap = F.least(F.abs(F.ln(source_h / reference_h)) / DEFAULTS["duration_gap"], F.lit(1.0))
+def duration_weight(source_h: Column, reference_h: Column, most: float, config: dict = DEFAULTS) -> Column:
+    """0 to `most` by how far two durations differ on the logarithmic scale; 0 if one, or a setting, is not positive."""
+    if config["duration_align_log_full_weight"] <= 0 or most <= 0:
+        return F.lit(0.0)
+    gap = F.least(F.abs(F.ln(source_h / reference_h)) / config["duration_align_log_full_weight"], F.lit(1.0))
     return F.when((source_h > 0) & (reference_h > 0), F.least(gap * most, F.lit(most))).otherwise(0.0)
 
 
-def blended_window_stats(pairs: DataFrame, history: DataFrame) -> DataFrame:
+def blended_window_stats(pairs: DataFrame, history: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """(target_id, contest_id, tier, intensity, norm_mean): a history's window statistics, by hours and by progress, blended by the difference of durations.
 
     pairs: (target_id, target_hours, contest_id, history_hours, tier, t0, t1); history: rows with hours, norm_speed, skeleton_speed.
     """
     keys = ["target_id", *K]
-    p = pairs.withColumn("w", duration_weight(F.col("target_hours"), F.col("history_hours"), DEFAULTS["window_align_max"]))
+    p = pairs.withColumn("w", duration_weight(F.col("target_hours"), F.col("history_hours"), config["duration_window_align_max_weight"], config))
     mapped = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(t) / F.col("target_hours"))) * F.col("history_hours")
     both = F.array(F.struct(F.lit("hours").alias("kind"), F.col("t0").cast("double").alias("lo"), F.col("t1").cast("double").alias("hi")), F.struct(F.lit("progress").alias("kind"), mapped("t0").alias("lo"), mapped("t1").alias("hi")))
     finite = lambda c: F.when(~F.isnan(c), F.col(c))
@@ -112,7 +119,7 @@ def blended_window_stats(pairs: DataFrame, history: DataFrame) -> DataFrame:
     return p.select(*keys, "w").join(g, keys, "left").select(*keys, blend("i").alias("intensity"), blend("n").alias("norm_mean"))
 
 
-def strength_ratio(targets: DataFrame, stats: DataFrame) -> DataFrame:
+def strength_ratio(targets: DataFrame, stats: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """(target_id, tier, ratio): how strong a target is against its histories.
 
     targets: (target_id, tier, intensity, norm_mean, observed_h); stats: blended_window_stats. 1 where an intensity is missing.
@@ -121,9 +128,9 @@ def strength_ratio(targets: DataFrame, stats: DataFrame) -> DataFrame:
     j = targets.join(h, ["target_id", "tier"], "left")
     skeleton = F.when(F.col("h_int") > 0, F.col("intensity") / F.col("h_int")).otherwise(1.0)
     norm = F.when(F.col("h_norm") > 0, F.coalesce("norm_mean", F.lit(0.0)) / F.col("h_norm")).otherwise(1.0)
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("observed_h") / DEFAULTS["t_end_cap"]))
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("observed_h") / config["t_end_cap"]))
     w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.2 + 0.6 * F.cos((s - 1) * F.pi())))
-    ratio = F.greatest(F.lit(DEFAULTS["ratio_min"]), F.least(F.lit(DEFAULTS["ratio_max"]), skeleton * (1 - w) + norm * w))
+    ratio = F.greatest(F.lit(config["ratio_min"]), F.least(F.lit(config["ratio_max"]), skeleton * (1 - w) + norm * w))
     return j.select("target_id", "tier", F.when(F.col("intensity").isNull() | F.col("h_int").isNull(), 1.0).otherwise(ratio).alias("ratio"))
 
 
@@ -147,44 +154,62 @@ def reward_class_ranks(rewards: DataFrame) -> DataFrame:
 
 
 def tier_quality_report(obs: DataFrame, origins: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Counts for each (contest_id, tier) of the grid contests x tiers as of origin_ms, in the order of the cuts: validity, origin, availability, repeated times, falls."""
-    grid = origins.select("contest_id", "origin_ms").crossJoin(F.broadcast(tiers.select("tier")))  # 24 tiers at most
-    r = obs.select(*K, "time_ms", "score", "available_at", "seq").join(F.broadcast(origins.select("contest_id", "origin_ms")), "contest_id")
+    """Counts for each (contest_id, origin_ms, tier) of the grid origins x tiers, in the order of the cuts: validity, origin, availability, repeated times, falls.
+
+    obs without a column available_at is judged by time alone, with response_at (if there is such a column) as
+    the time of the whole response. status: ok, missing, invalid_schema (a tier whose rows have no time, or no
+    score, at all) or no_usable_as_of_records. availability: explicit_row_level, explicit_response_level,
+    degraded_partial_row_level_available_at (some rows lack it and are left out), unknown_degraded_timestamp_only, or
+    unknown_degraded_missing_tier.
+    """
+    keys = ["contest_id", "origin_ms", "tier"]
+    at = origins.select("contest_id", "origin_ms").distinct()
+    grid = at.crossJoin(F.broadcast(tiers.select("tier")))  # 24 tiers at most
+    by_row, by_response = "available_at" in obs.columns, "response_at" in obs.columns
+    optional = lambda c, there: F.col(c) if there else F.lit(None).cast("long").alias(c)
+    r = obs.select(*K, "time_ms", "score", optional("available_at", by_row), optional("response_at", by_response), "seq").join(at, "contest_id")
     bad_t, bad_v = F.coalesce(F.col("time_ms") < 0, F.lit(True)), F.coalesce((F.col("score") < 0) | F.isnan("score"), F.lit(True))
     r = r.withColumns({"bt": bad_t, "bv": bad_v, "late": ~bad_t & ~bad_v & (F.col("time_ms") > F.col("origin_ms"))})
     r = r.withColumn("seen", ~F.col("bt") & ~F.col("bv") & ~F.col("late"))
-    r = r.withColumns({"unknown": F.col("seen") & F.col("available_at").isNull(), "future": F.col("seen") & F.coalesce(F.col("available_at") > F.col("origin_ms"), F.lit(False))})
+    known = F.col("available_at") if by_row else F.col("response_at")
+    r = r.withColumns({"unknown": F.col("seen") & F.lit(by_row) & known.isNull(), "future": F.col("seen") & F.coalesce(known > F.col("origin_ms"), F.lit(False))})
     r = r.withColumn("ok", F.col("seen") & ~F.col("unknown") & ~F.col("future"))
-    w = W.partitionBy(*K, "ok", "time_ms")
+    w = W.partitionBy(*keys, "ok", "time_ms")
     r = r.withColumns({"same": F.count("*").over(w), "newest": F.row_number().over(w.orderBy(F.desc("available_at"), F.desc("seq")))})
     r = r.withColumn("one", F.col("ok") & (F.col("newest") == 1))
-    r = r.withColumn("falls", F.col("one") & F.coalesce(F.col("score") < F.lag("score").over(W.partitionBy(*K, "one").orderBy("time_ms")), F.lit(False)))
-    g = r.groupBy(*K).agg(
+    r = r.withColumn("falls", F.col("one") & F.coalesce(F.col("score") < F.lag("score").over(W.partitionBy(*keys, "one").orderBy("time_ms")), F.lit(False)))
+    g = r.groupBy(*keys).agg(
         F.count("*").alias("raw_rows"), F.count_if("bt").alias("invalid_time"), F.count_if("bv").alias("invalid_value"), F.count_if("late").alias("post_origin"), F.count_if("unknown").alias("unknown_available"),
         F.count_if("future").alias("future_available"), F.count_if(F.col("ok") & (F.col("same") > 1)).alias("duplicate_rows"), F.count_if("falls").alias("falls"), F.count_if("one").alias("usable"),
+        (F.count("time_ms") * F.count("score") == 0).alias("no_column"), F.count("response_at").alias("responses"),
     )
-    out = grid.join(g, K, "left")
-    status = F.when(F.col("raw_rows").isNull(), "missing").when(F.col("usable") == 0, "no_usable_as_of_records").otherwise("ok")
-    counts = [c for c in g.columns if c not in K]
-    return out.select(*K, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], status.alias("status"))
+    out = grid.join(g, keys, "left")
+    status = F.when(F.col("raw_rows").isNull(), "missing").when(F.col("no_column"), "invalid_schema").when(F.col("usable") == 0, "no_usable_as_of_records").otherwise("ok")
+    explicit = F.when(F.col("unknown_available") > 0, "degraded_partial_row_level_available_at").otherwise("explicit_row_level")
+    response = F.when(F.col("responses") > 0, "explicit_response_level").otherwise("unknown_degraded_timestamp_only")
+    availability = F.when(F.col("raw_rows").isNull(), "unknown_degraded_missing_tier").otherwise(explicit if by_row else response)
+    counts = [c for c in g.columns if c not in (*keys, "no_column", "responses")]
+    return out.select(*keys, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], status.alias("status"), availability.alias("availability"))
 
 
 def quality_rollup(report: DataFrame) -> DataFrame:
-    """Per contest: sums, observed and missing tiers, and the observed share."""
+    """Per contest and origin: sums, observed and missing tiers, the observed share, and whether all that was used had a known time of availability."""
     sums = [F.sum(c).alias(c) for c in ("raw_rows", "usable", "post_origin", "duplicate_rows", "falls")]
-    g = report.groupBy("contest_id").agg(*sums, F.count_if(F.col("status") == "ok").alias("observed"), F.count("*").alias("requested"))
-    return g.withColumn("completeness", F.col("observed") / F.col("requested"))
+    missing = F.array_sort(F.collect_list(F.when(F.col("status") != "ok", F.col("tier"))))
+    g = report.groupBy("contest_id", "origin_ms").agg(*sums, F.count_if(F.col("status") == "ok").alias("observed"), F.count("*").alias("requested"), missing.alias("missing"), F.count_if(~F.col("availability").startswith("explicit")).alias("__odd"))
+    availability = F.when(F.col("__odd") > 0, "degraded_timestamp_only").otherwise("explicit_available_at")
+    return g.withColumns({"completeness": F.col("observed") / F.col("requested"), "availability": availability}).drop("__odd")
 
 
 def contest_cache_index(obs: DataFrame, scales: DataFrame, contests: DataFrame, tier: int) -> DataFrame:
     """(contest_id, contest_type, record_count, final_score, scale) over one tier's series."""
     g = obs.where(F.col("tier") == tier).groupBy("contest_id").agg(F.count("*").alias("record_count"), F.max_by("score", F.struct("time_ms", "seq")).alias("final_score"))
-    return g.join(F.broadcast(contests.select("contest_id", "contest_type")), "contest_id").join(F.broadcast(scales), "contest_id", "left").select("contest_id", "contest_type", "record_count", "final_score", "scale")
+    return g.join(contests.select("contest_id", "contest_type"), "contest_id").join(scales, "contest_id", "left").select("contest_id", "contest_type", "record_count", "final_score", "scale")
 
 
 def final_truth(obs: DataFrame, contests: DataFrame, rule: str = "first_post_end") -> DataFrame:
     """(contest_id, tier, actual, ambiguous): the score of the first row after the end (bucket20: within 20 minutes), or the last row's (last). Several rows at that time are ambiguous."""
-    rows = obs.join(F.broadcast(contests.select("contest_id", "end_at")), "contest_id")
+    rows = obs.join(contests.select("contest_id", "end_at"), "contest_id")
     if rule == "last":
         return rows.groupBy(*K).agg(F.max_by("score", F.struct("time_ms", "seq")).alias("actual")).withColumn("ambiguous", F.lit(False))
     rows = rows.where("time_ms > end_at")
@@ -206,12 +231,17 @@ def rank_shape_profile(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tiers, fits.withColumn("alpha", -F.col("slope"))
 
 
-def activity_features(obs: DataFrame, contests: DataFrame, truth: DataFrame) -> DataFrame:
-    """(contest_id, tier, points, coverage, signed_rel): how densely a series is observed, and how far its last row in the contest is from the truth."""
-    rows = obs.join(F.broadcast(contests.select("contest_id", "start_at", "end_at")), "contest_id").where("time_ms between start_at and end_at")
+def activity_features(obs: DataFrame, contests: DataFrame, truth: DataFrame, panic_start: DataFrame | None = None) -> DataFrame:
+    """(contest_id, tier, points, coverage, signed_rel[, panic_h]): how densely a series is observed, and how far its last row in the contest is from the truth.
+
+    panic_start: (contest_id, tier, panic_start_h), which gives the length of the final phase.
+    """
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id").where("time_ms between start_at and end_at")
     g = rows.groupBy(*K).agg(F.count("*").alias("points"), F.max((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours"), F.max_by("score", F.struct("time_ms", "seq")).alias("last"))
     j = g.join(truth.select(*K, "actual"), K, "left")
-    return j.select(*K, "points", (F.col("points") / F.greatest(F.col("hours"), F.lit(1.0))).alias("coverage"), ((F.col("last") - F.col("actual")) / F.greatest(F.col("actual"), F.lit(1.0))).alias("signed_rel"))
+    j = j if panic_start is None else j.join(panic_start, K, "left").withColumn("panic_h", F.col("hours") - F.coalesce("panic_start_h", F.lit(0.0)))
+    coverage, rel = F.col("points") / F.greatest(F.col("hours"), F.lit(1.0)), (F.col("last") - F.col("actual")) / F.greatest(F.col("actual"), F.lit(1.0))
+    return j.select(*K, "points", coverage.alias("coverage"), rel.alias("signed_rel"), *(["panic_h"] if panic_start is not None else []))
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:

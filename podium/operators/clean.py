@@ -47,7 +47,7 @@ def strict_contest_gate(obs: DataFrame, contests: DataFrame, training: tuple = T
     """
     c = contests.select("contest_id", "start_at", "end_at")
     flagged = flag_observation_defects(obs)
-    rows = flagged.join(F.broadcast(c), "contest_id")
+    rows = flagged.join(c, "contest_id")
     tiers = rows.groupBy(*K).agg(
         F.max((F.col("invalid_time") | F.col("invalid_value")).cast("int")).alias("bad"),
         (F.count("*") - F.count_distinct("time_ms")).alias("dup"),
@@ -73,7 +73,7 @@ def as_of_filter(obs: DataFrame, origins: DataFrame, response_at: str | None = N
     response_at names a column with one availability for the whole tier instead: beyond the origin it empties
     the tier. Without any, all rows in time are visible and availability is `degraded`.
     """
-    rows = obs.join(F.broadcast(origins.select("contest_id", "origin_ms")), "contest_id").where("time_ms <= origin_ms")
+    rows = obs.join(origins.select("contest_id", "origin_ms"), "contest_id").where("time_ms <= origin_ms")
     if response_at:
         return rows.where(F.col(response_at) <= F.col("origin_ms")).withColumn("availability", F.lit("response_level"))
     if "available_at" in obs.columns:
@@ -83,7 +83,7 @@ def as_of_filter(obs: DataFrame, origins: DataFrame, response_at: str | None = N
 
 def window_class(obs: DataFrame, contests: DataFrame) -> DataFrame:
     """`window`: pre, in (both ends belong) or post; `in_grace`: post, but within 20 minutes."""
-    rows = obs.join(F.broadcast(contests.select("contest_id", "start_at", "end_at")), "contest_id")
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id")
     w = F.when(F.col("time_ms") < F.col("start_at"), "pre").when(F.col("time_ms") <= F.col("end_at"), "in").otherwise("post")
     return rows.withColumns({"window": w, "in_grace": (F.col("time_ms") > F.col("end_at")) & (F.col("time_ms") <= F.col("end_at") + GRACE_MS)})
 
@@ -129,7 +129,7 @@ def corrected_start(obs: DataFrame, contests: DataFrame) -> DataFrame:
 
 
 def elapsed_and_phase(obs: DataFrame, contests: DataFrame) -> DataFrame:
-    rows = obs.join(F.broadcast(contests.select("contest_id", "start_at", "end_at")), "contest_id")
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id")
     rows = rows.withColumns({"hours": (F.col("time_ms") - F.col("start_at")) / float(HOUR_MS), "total_hours": (F.col("end_at") - F.col("start_at")) / float(HOUR_MS)})
     rows = rows.withColumn("progress", F.try_divide("hours", "total_hours"))
     return rows.withColumn("phase", F.when(F.col("progress") < 1 / 3, "early").when(F.col("progress") < 2 / 3, "middle").otherwise("late"))
@@ -188,7 +188,7 @@ def prefix_gate(prefixes: DataFrame, expected: DataFrame | None = None) -> DataF
 
 def evaluation_gate(contests: DataFrame, obs: DataFrame, reward_tiers: DataFrame, as_of_ms: int) -> DataFrame:
     """(contest_id, status): evaluable, or the first thing that prevents it. reward_tiers: (contest_id, tier)."""
-    post = obs.join(F.broadcast(contests.select("contest_id", "end_at")), "contest_id").groupBy(*K).agg(F.max(F.col("time_ms") > F.col("end_at")).alias("has_post"))
+    post = obs.join(contests.select("contest_id", "end_at"), "contest_id").groupBy(*K).agg(F.max(F.col("time_ms") > F.col("end_at")).alias("has_post"))
     per = reward_tiers.distinct().join(post, K, "left").groupBy("contest_id").agg(F.count("*").alias("tiers"), F.count_if(F.col("has_post").isNull()).alias("untracked"), F.count_if(~F.col("has_post")).alias("unfinished"))
     status = (
         F.when(F.coalesce("tiers", F.lit(0)) == 0, "not_applicable").when(F.col("end_at") >= as_of_ms, "not_completed")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from podium.schema import HOUR_MS, K
+from podium.session import cut
 
 CELL = ["contest_id", "tier", "method"]
 
@@ -68,16 +69,24 @@ def contest_deltas(scores: DataFrame, a: str, b: str) -> DataFrame:
     return cell.groupBy("contest_id").agg(F.avg("x").alias("mape_a"), F.avg("y").alias("mape_b")).withColumn("delta", F.col("mape_b") - F.col("mape_a"))
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """df with `i`, its place from 0 in the order of a column without repeats, and `n`, how many rows it has; ranges are numbered apart."""
+    r = cut(df.repartitionByRange(column).withColumn("__p", F.spark_partition_id()))
+    size = r.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = size.select("__p", F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)).alias("__b"), F.sum("__c").over(W.partitionBy()).alias("n"))  # a row a range
+    own = F.row_number().over(W.partitionBy("__p").orderBy(column))
+    return r.join(before, "__p").withColumn("i", F.coalesce("__b", F.lit(0)) + own - 1).drop("__p", "__b")
+
+
 def bootstrap_ci(deltas: DataFrame, n: int = 2000, seed: int = 7) -> DataFrame:
     """(mean, lo, hi, draws): resampled means of contest deltas and their 2.5 and 97.5 % quantiles.
 
-    Draws are hashes of (seed, replicate, draw); a replicate draws as many contests as there are. The
-    contests are numbered in one window: there are few of them beside the rows they sum up.
+    Draws are hashes of (seed, replicate, draw); a replicate draws as many contests as there are.
     """
-    numbered = deltas.select("delta", (F.row_number().over(W.orderBy("contest_id")) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
-    draws = numbered.select("n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "rep", "draw"), F.col("n")))
-    means = draws.select("rep", "i").join(F.broadcast(numbered.select("i", "delta")), "i").groupBy("rep").agg(F.avg("delta").alias("m"))
+    known = numbered(deltas.select("contest_id", "delta"), "contest_id")
+    draws = known.select("n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
+    draws = draws.withColumn("i", F.floor(uniform(seed, F.col("rep"), F.col("draw")) * F.col("n")).cast("long"))
+    means = draws.select("rep", "i").join(known.select("i", "delta"), "i").groupBy("rep").agg(F.avg("delta").alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.count("*").alias("draws"))
 
 
@@ -128,8 +137,8 @@ def time_split(contests: DataFrame, ratio: float = 0.75, min_test: int = 2) -> D
     tail = F.size(F.collect_set("contest_type").over(w.rowsBetween(0, W.unboundedFollowing)))
     every = F.size(F.collect_set("contest_type").over(W.partitionBy()))
     c = c.withColumns({"full": tail == every, "gap": F.abs((F.col("n") - F.col("i")) - F.greatest(F.lit(min_test), F.round(F.col("n") * (1 - ratio))))})
-    cut = c.where((F.col("i") > 0) & (F.col("n") - F.col("i") >= min_test)).orderBy(F.desc("full"), "gap", F.desc("i")).limit(1).select(F.col("i").alias("cut"))
-    return c.join(F.broadcast(cut), F.lit(True), "left").select("contest_id", "contest_type", F.when(F.col("i") >= F.col("cut"), "test").otherwise("train").alias("split"))
+    at = c.where((F.col("i") > 0) & (F.col("n") - F.col("i") >= min_test)).orderBy(F.desc("full"), "gap", F.desc("i")).limit(1).select(F.col("i").alias("cut"))
+    return c.join(F.broadcast(at), F.lit(True), "left").select("contest_id", "contest_type", F.when(F.col("i") >= F.col("cut"), "test").otherwise("train").alias("split"))
 
 
 def id_split(contests: DataFrame, least: int, most: int, holdout: int) -> DataFrame:
@@ -139,32 +148,48 @@ def id_split(contests: DataFrame, least: int, most: int, holdout: int) -> DataFr
 
 
 def uniform(*parts: Column | int | str) -> Column:
-    """A number in [0, 1) from a hash of its arguments."""
-    return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) from the first 32 bits of the MD5 of its arguments, joined by bars."""
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
 
 
-#: Progress buckets of snapshots.
+#: Progress buckets of snapshots, and of curve checks in what remains.
 BUCKETS = ((0.15, 0.25), (0.25, 0.40), (0.40, 0.55), (0.55, 0.70), (0.70, 0.85))
+CURVE_BUCKETS = ((0.15, 0.35), (0.35, 0.60), (0.60, 0.85))
+
+
+def _drawn(lo: Column, hi: Column, u: Column) -> Column:
+    """A place between two, to a quarter of an hour but not beyond either."""
+    return F.round(F.least(hi, F.greatest(lo, F.bround((lo + (hi - lo) * u) * 4, 0) / 4)), 4)
 
 
 def snapshot_plan(contests: DataFrame, seed: int = 7, buckets: tuple = BUCKETS) -> DataFrame:
-    """(contest_id, bucket, hour): a drawn hour of each progress bucket, from 18 h to nine tenths of the contest, in quarters of an hour; the middle where the draw is outside."""
+    """(contest_id, bucket, hour): a drawn hour of each progress bucket, from 18 h to nine tenths of the contest; empty buckets go.
+
+    A contest without any has one snapshot (bucket -1) at its half, or at 18 h if that is later.
+    """
     total = (F.col("end_at") - F.col("start_at")) / float(HOUR_MS)
+    most = F.greatest(F.lit(18.0), 0.9 * F.col("total"))
     b = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (lo, hi) in enumerate(buckets)])
-    c = contests.select("contest_id", total.alias("total"), F.explode(b).alias("b")).select("contest_id", "total", "b.*")
-    lo, hi = F.greatest(F.lit(18.0), F.col("lo") * F.col("total")), F.least(F.col("hi") * F.col("total"), 0.9 * F.col("total"))
-    drawn = F.when(lo < hi, lo + (hi - lo) * uniform(seed, F.col("contest_id"), F.col("bucket"))).otherwise((F.col("lo") + F.col("hi")) / 2 * F.col("total"))
-    hour = F.greatest(F.lit(18.0), F.least(F.floor(drawn * 4) / 4, F.floor(0.9 * F.col("total") * 4) / 4))
-    return c.where("total > 20").select("contest_id", "bucket", hour.alias("hour")).dropDuplicates(["contest_id", "hour"])
-
-
-def curve_check_hours(plan: DataFrame, contests: DataFrame, seed: int = 7) -> DataFrame:
-    """(contest_id, bucket, hour, check, check_hour): three hours in thirds of what remains after each snapshot."""
-    j = plan.join(F.broadcast(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total"))), "contest_id")
-    j = j.withColumn("check", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    u = uniform(seed + 1, F.col("contest_id"), F.col("bucket"), F.col("check"))
-    at = F.col("hour") + (F.col("total") - F.col("hour")) * (F.col("check") + u) / 3
-    return j.select("contest_id", "bucket", "hour", "check", F.least(F.floor(at * 4) / 4, F.col("total")).alias("check_hour"))
+    cuts = F.transform(b, lambda x: F.struct(x["bucket"].alias("bucket"), F.greatest(F.lit(18.0), x["lo"] * F.col("total")).alias("lo"), F.least(x["hi"] * F.col("total"), most).alias("hi")))
+    c = contests.select("contest_id", total.alias("total")).withColumn("b", F.filter(cuts, lambda x: x["hi"] > x["lo"]))
+    half = F.least(most, F.greatest(F.lit(18.0), 0.5 * F.col("total")))
+    none = F.array(F.struct(F.lit(-1).alias("bucket"), half.alias("lo"), half.alias("hi")))
+    c = c.select("contest_id", F.explode(F.when(F.size("b") > 0, F.col("b")).otherwise(none)).alias("b")).select("contest_id", "b.*")
+    hour = F.when(F.col("bucket") < 0, F.round("lo", 4)).otherwise(_drawn(F.col("lo"), F.col("hi"), uniform(seed, F.col("contest_id"), F.col("bucket"))))
+    return c.select("contest_id", "bucket", hour.alias("hour")).groupBy("contest_id", "hour").agg(F.min("bucket").alias("bucket")).select("contest_id", "bucket", "hour")
+
+
+def curve_check_hours(plan: DataFrame, contests: DataFrame, seed: int = 7, n: int = 3, buckets: tuple = CURVE_BUCKETS) -> DataFrame:
+    """(contest_id, bucket, hour, check, check_hour): n drawn hours in buckets of what remains after each snapshot, in turn; none with an hour or less left."""
+    j = plan.join(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total")), "contest_id").where("total > hour + 1")
+    left = F.col("total") - F.col("hour")
+    cuts = F.array(*[F.struct((F.col("hour") + F.greatest(F.lit(0.5), lo * left)).alias("lo"), F.least(F.col("total"), F.col("hour") + hi * left).alias("hi")) for lo, hi in buckets])
+    j = j.withColumn("b", F.filter(cuts, lambda x: x["hi"] > x["lo"])).where("size(b) > 0").withColumn("check", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = F.get("b", F.pmod("check", F.size("b")))
+    hour = _drawn(at["lo"], at["hi"], uniform(seed + 1, F.col("contest_id"), F.col("bucket"), F.col("check")))
+    drawn = j.select("contest_id", "bucket", "hour", "check", hour.alias("check_hour"))
+    return drawn.groupBy("contest_id", "bucket", "hour", "check_hour").agg(F.min("check").alias("check")).select("contest_id", "bucket", "hour", "check", "check_hour")
 
 
 def scoring_row_checks(scores: DataFrame, methods: tuple[str, ...]) -> DataFrame:

@@ -18,6 +18,8 @@ from podium.operators.series import hourly_deltas, lookup_curve
 from podium.schema import DEFAULTS, HOUR_MS, ZONE_MS, K
 
 AMPLITUDE, PEAK, EPSILON, POWER = 0.3, 21.0, 0.08, 1.6
+#: Templates (about 200 bytes each) that meet the prefixes at once, by broadcast.
+TEMPLATES = 20_000
 
 
 @F.pandas_udf(DoubleType())
@@ -50,7 +52,7 @@ def pace_components(points: DataFrame, contests: DataFrame, pressure: DataFrame)
     The one integral without a closed form is taken once for each distinct (contest, hour).
     """
     c = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("__T"), _start_local(F.col("start_at")).alias("__h0"))
-    at = points.select("contest_id", "hours").distinct().join(F.broadcast(c), "contest_id").withColumn("__g", _urgency("hours", "__T", "__h0"))
+    at = points.select("contest_id", "hours").distinct().join(c, "contest_id").withColumn("__g", _urgency("hours", "__T", "__h0"))
     p = points.join(at, ["contest_id", "hours"]).join(pressure, K)
     t, h0, total = F.col("hours"), F.col("__h0"), F.col("__T")
     h, ht = _available(t, h0), _available(total, h0)
@@ -94,8 +96,14 @@ def causal_prior(targets: DataFrame, fits: DataFrame, columns: list[str], train_
     """For each target contest the mean of the fits of contests that ended before it began. fits: contest_id, end_at and columns; a row a contest."""
     f = fits.select(F.col("contest_id").alias("__f"), F.col("end_at").alias("__end"), *columns)
     f = f.where(F.col("__f") <= train_max) if train_max is not None else f
-    j = targets.select("contest_id", "start_at").join(F.broadcast(f), F.col("__end") < F.col("start_at"))
-    return event_equal_mean(j, columns, ["contest_id"])
+    # running sums in the order of time: a fit counts from its end on, a target takes what has ended before its start
+    ends = f.select(F.col("__end").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("contest_id"), *columns)
+    starts = targets.select(F.col("start_at").alias("at"), F.lit(0).alias("side"), "contest_id", *[F.lit(None).cast("double").alias(c) for c in columns])
+    both = ends.unionByName(starts)
+    w = W.orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)  # a row a contest, twice
+    run = both.select("side", "contest_id", *[F.avg(c).over(w).alias(c) for c in columns], F.count(columns[0]).over(w).alias("n")).where("side = 0 and n > 0")
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    return run.select("contest_id", *[(F.col(c) / total).alias(c) for c in columns], "n")
 
 
 def forecast_pace(prefix: DataFrame, prior: DataFrame, contests: DataFrame, pressure: DataFrame) -> DataFrame:
@@ -104,11 +112,11 @@ def forecast_pace(prefix: DataFrame, prior: DataFrame, contests: DataFrame, pres
     prefix: valid prefixes (contest_id, tier, origin_h, hours, score); prior: w1..w3 (one row, or one a contest).
     """
     a = prefix.groupBy(*K, "origin_h").agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor")).where("anchor > 0 and anchor_h > 0")
-    total = F.broadcast(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h")))
+    total = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h"))
     a = a.join(total, "contest_id")
     places = a.select(*K, F.explode(F.array("anchor_h", "total_h")).alias("hours")).distinct()
     comp = pace_components(places, contests, pressure)
-    comp = comp.join(F.broadcast(prior.select("contest_id", "w1", "w2", "w3")), "contest_id") if "contest_id" in prior.columns else comp.crossJoin(F.broadcast(prior.select("w1", "w2", "w3")))  # one row
+    comp = comp.join(prior.select("contest_id", "w1", "w2", "w3"), "contest_id") if "contest_id" in prior.columns else comp.crossJoin(F.broadcast(prior.select("w1", "w2", "w3")))  # one row
     mixed = lambda x: sum((F.col(f"w{i}") * F.col(f"{x}{i}") for i in (2, 3)), F.col("w1") * F.col(f"{x}1"))
     comp = comp.select(*K, "hours", mixed("c").alias("C"), mixed("a").alias("A"))
     at = lambda h, c, s: comp.select(*K, F.col("hours").alias(h), F.col("C").alias(c), F.col("A").alias(s))
@@ -119,7 +127,7 @@ def forecast_pace(prefix: DataFrame, prior: DataFrame, contests: DataFrame, pres
 def mass_basis(points: DataFrame, contests: DataFrame) -> DataFrame:
     """points with `basis`: the six cohorts' cumulative shares of effort, all 0 at the start and 1 at the end."""
     c = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("__T"), _start_local(F.col("start_at")).alias("__h0"))
-    p = points.join(F.broadcast(c), "contest_id").withColumn("__x", _available(F.col("hours"), F.col("__h0")) / _available(F.col("__T"), F.col("__h0")))
+    p = points.join(c, "contest_id").withColumn("__x", _available(F.col("hours"), F.col("__h0")) / _available(F.col("__T"), F.col("__h0")))
     x = F.col("__x")
     out = [x] + [(1 - F.exp(-x / tau)) / (1 - math.exp(-1 / tau)) for tau in (0.05, 0.20)] + [(F.exp((x - 1) / tau) - math.exp(-1 / tau)) / (1 - math.exp(-1 / tau)) for tau in (0.03, 0.10, 0.30)]
     return p.withColumn("basis", F.array(*out)).drop("__T", "__h0", "__x")
@@ -127,7 +135,7 @@ def mass_basis(points: DataFrame, contests: DataFrame) -> DataFrame:
 
 def pace_basis(points: DataFrame, contests: DataFrame, pressure: DataFrame) -> DataFrame:
     """points with `basis`: the three pace components, each divided by its value at the end."""
-    ends = points.select(*K).distinct().join(F.broadcast(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours"))), "contest_id")
+    ends = points.select(*K).distinct().join(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours")), "contest_id")
     last = pace_components(ends, contests, pressure).select(*K, *[F.col(f"c{i}").alias(f"__c{i}") for i in (1, 2, 3)])
     return pace_components(points, contests, pressure).join(last, K).withColumn("basis", F.array(*[F.col(f"c{i}") / F.col(f"__c{i}") for i in (1, 2, 3)])).drop(*[f"{a}{i}" for a in ("c", "a", "__c") for i in (1, 2, 3)])
 
@@ -135,7 +143,7 @@ def pace_basis(points: DataFrame, contests: DataFrame, pressure: DataFrame) -> D
 def fit_cohort_mass(series: DataFrame, contests: DataFrame, dims: int = 6) -> DataFrame:
     """(contest_id, tier, mass, rmse): masses on the simplex, least squares weighted by time. series: with basis, and a row at the end."""
     w = W.partitionBy(*K).orderBy("hours")
-    total = F.broadcast(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("__T")))
+    total = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("__T"))
     s = series.join(total, "contest_id").withColumns({"__prev": F.lag("hours").over(w), "__next": F.lead("hours").over(w), "__last": F.max(F.struct("hours", "score")).over(W.partitionBy(*K))})
     s = s.where("abs(__last.hours - __T) < 1e-8 and __last.score > 0")
     weight = (F.coalesce(F.col("__next"), F.col("hours")) - F.coalesce(F.col("__prev"), F.col("hours"))) / 2 / F.col("__T")
@@ -174,15 +182,21 @@ def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame,
         F.array_sort(F.collect_list(F.struct("i", "share", "basis"))).alias("k"), F.max("anchor_h").alias("anchor_h"), F.max("anchor").alias("anchor"), F.max_by("end_basis", "i").alias("end_basis"),
         F.max("start_at").alias("start_at"), F.max("contest_type").alias("contest_type"), F.max("pressure").alias("pressure"),
     )
-    t = templates.select(F.col("contest_id").alias("t_id"), F.col("end_at").alias("t_end"), F.col("contest_type").alias("t_type"), F.col("tier").alias("t_tier"), "mass", F.col("pressure").alias("t_pressure"))
-    on = F.col("t_end") < F.col("start_at")
+    t = templates.select(F.col("contest_id").alias("t_id"), F.col("end_at").alias("t_end"), F.lower("contest_type").alias("t_type"), F.col("tier").alias("t_tier"), "mass", F.col("pressure").alias("t_pressure"))
+    # every prefix meets every earlier template: templates of a block are broadcast, more blocks are dealt out
+    n = templates.count()
+    blocks = max(1, -(-n // TEMPLATES))
+    t = t.withColumn("block", F.pmod(F.xxhash64("t_id", "t_tier"), F.lit(blocks)))
+    p = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     if same_type:
-        on = on & (F.lower("t_type") == F.lower("contest_type"))
-    j = p.join(t, on)
+        p, on = p.withColumn("t_type", F.lower("contest_type")), ["block", "t_type"]
+    else:
+        on = ["block"]
+    j = p.join(F.broadcast(t) if blocks == 1 else t, on).where("t_end < start_at")
     mass = F.col("mass")
     if transfer:
-        n = F.size("mass")
-        first = F.when(n == 3, 2).otherwise(3)
+        size = F.size("mass")
+        first = F.when(size == 3, 2).otherwise(3)
         moved = F.transform(mass, lambda m, i: F.when(i >= first, m * F.col("pressure") / F.col("t_pressure")).otherwise(m))
         j = j.withColumn("mass", moved)
         j = j.withColumn("mass", F.transform("mass", lambda m: m / F.aggregate("mass", F.lit(0.0), lambda s, v: s + v)))
@@ -191,18 +205,20 @@ def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame,
     j = j.withColumns({"f_anchor": F.element_at("curve", -1), "f_end": _dot(F.col("end_basis"), mass)}).where("f_anchor > 0")
     bins = F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(F.col("k")[i]["share"].alias("p"), ((F.col("curve")[i] - F.col("curve")[i - 1]) / F.col("f_anchor")).alias("q")))
     kl = F.aggregate(bins, F.lit(0.0), lambda s, b: s + F.when(b["p"] > 0, b["p"] * (F.ln(b["p"]) - F.ln(F.greatest(b["q"], F.lit(1e-300))))).otherwise(0.0))
-    j = j.withColumns({"kl": kl, "lp": -0.5 * F.pow(F.ln(F.col("t_tier") / F.col("tier")) / bandwidth, 2)})
-    one, every = W.partitionBy(*key, "t_id"), W.partitionBy(*key)
-    lse = lambda c, w: F.max(c).over(w) + F.ln(F.sum(F.exp(F.col(c) - F.col(f"__{c}m"))).over(w))
-    j = j.withColumn("__lpm", F.max("lp").over(one))
-    j = j.withColumn("lp", F.col("lp") - lse("lp", one)).drop("__lpm")
-    j = j.withColumn("__lpm", F.max("lp").over(every))
-    j = j.withColumn("lp", F.col("lp") - lse("lp", every)).drop("__lpm")
-    j = j.withColumn("post", F.col("lp") - strength * F.col("anchor_h") / 24 * F.col("kl"))
-    j = j.withColumn("__postm", F.max("post").over(every))
-    j = j.withColumn("pi", F.exp(F.col("post") - lse("post", every)))
-    g = j.groupBy(*key).agg(F.max("anchor").alias("anchor"), F.sum(F.col("pi") * F.col("f_end") / F.col("f_anchor")).alias("growth"), F.count("*").alias("templates"), (1 / F.sum(F.col("pi") * F.col("pi"))).alias("effective"))
-    return g.select(*key, "anchor", (F.col("anchor") * F.col("growth")).alias("final"), "templates", "effective")
+    prior = -0.5 * F.pow(F.ln(F.col("t_tier") / F.col("tier")) / bandwidth, 2)
+    # the arrays end here; a row has the logarithms of the prior (u) and of the posterior (v), and the growth
+    j = j.select(*key, "t_id", "anchor", prior.alias("u"), (prior - strength * F.col("anchor_h") / 24 * kl).alias("v"), (F.col("f_end") / F.col("f_anchor")).alias("g"))
+    one = j.groupBy(*key, "t_id").agg(F.max("anchor").alias("anchor"), F.collect_list(F.struct("u", "v", "g")).alias("x"))  # a contest's tiers, 24 at most
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda s, r: s + f(r))
+    one = one.withColumn("m", F.array_max(F.transform("x", lambda r: r["v"])))
+    one = one.select(
+        *key, "anchor", (F.col("m") - F.ln(total(lambda r: F.exp(r["u"])))).alias("m"), total(lambda r: F.exp(r["v"] - F.col("m"))).alias("w"),
+        total(lambda r: F.exp(r["v"] - F.col("m")) * r["g"]).alias("wg"), total(lambda r: F.exp(2 * (r["v"] - F.col("m")))).alias("ww"), F.size("x").cast("long").alias("n"),
+    )
+    # contests weigh alike, so their common factor goes; the greatest logarithm keeps the sums from vanishing
+    one = one.withColumn("up", F.exp(F.col("m") - F.max("m").over(W.partitionBy(*key))))
+    g = one.groupBy(*key).agg(F.max("anchor").alias("anchor"), F.sum(F.col("up") * F.col("w")).alias("w"), F.sum(F.col("up") * F.col("wg")).alias("wg"), F.sum(F.col("up") * F.col("up") * F.col("ww")).alias("ww"), F.sum("n").alias("templates"))
+    return g.select(*key, "anchor", (F.col("anchor") * F.col("wg") / F.col("w")).alias("final"), "templates", (F.col("w") * F.col("w") / F.col("ww")).alias("effective"))
 
 
 def skeleton_shape(t: Column, p: list[Column], total: Column) -> Column:
@@ -221,7 +237,7 @@ PARAMS = ["base", "a", "b", "b_end", "panic"]
 
 def fit_skeleton(history: DataFrame, contests: DataFrame) -> DataFrame:
     """(contest_id, tier, base, a, b, b_end, panic, mse): the growth curve of each series of five finite points or more; each distinct series is fitted once."""
-    total = F.broadcast(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h")))
+    total = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h"))
     rows = history.where("skeleton_speed is not null and not isnan(skeleton_speed)").select(*K, "hours", "skeleton_speed").join(total, "contest_id")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,15 +250,15 @@ def fit_skeleton(history: DataFrame, contests: DataFrame) -> DataFrame:
     return rows.groupBy(*K).applyInPandas(fit, "contest_id long, tier int, base double, a double, b double, b_end double, panic double, mse double")
 
 
-def align_duration(params: DataFrame) -> DataFrame:
+def align_duration(params: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """params (.., base .. panic, target_h, history_h, ratio): a and b brought to the target's duration, then all to its strength."""
-    w = duration_weight(F.col("target_h"), F.col("history_h"), DEFAULTS["param_align_max"])
+    w = duration_weight(F.col("target_h"), F.col("history_h"), config["duration_param_align_max_weight"], config)
     r = F.exp(F.ln(F.col("target_h") / F.col("history_h")) * w)
     q = F.col("ratio")
     return params.withColumns({"base": F.col("base") * q, "a": F.col("a") / r * q, "b": F.col("b") / (r * r) * q, "b_end": F.col("b_end") * F.pow(q, 1.1)})
 
 
-def refit_local(window: DataFrame, prior: DataFrame) -> DataFrame:
+def refit_local(window: DataFrame, prior: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """prior (contest_id, tier, base .. panic, total_h) refitted to the target's own recent rows and blended by their confidence.
 
     window: refit_window's rows (hours, norm_speed, skeleton_speed, conf). Moments are summed in Spark; the
@@ -250,7 +266,7 @@ def refit_local(window: DataFrame, prior: DataFrame) -> DataFrame:
     """
     j = window.join(prior.select(*K, *PARAMS, "total_h"), K)
     bare = skeleton_shape(F.col("hours"), [F.lit(1e6), F.lit(0.0), F.lit(0.0), F.col("b_end"), F.col("panic")], F.col("total_h")) - 1e6
-    j = j.withColumns({"y": F.col("skeleton_speed") - bare, "q": F.log1p(F.greatest(F.col("norm_speed"), F.lit(0.0)) * DEFAULTS["refit_scale"])})
+    j = j.withColumns({"y": F.col("skeleton_speed") - bare, "q": F.log1p(F.greatest(F.col("norm_speed"), F.lit(0.0)) * config["refit_weight_scale"])})
     t, q = F.col("hours"), F.col("q")
     m = j.groupBy(*K).agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.avg("q").alias("mq"), F.avg(F.col("skeleton_speed") * F.col("skeleton_speed")).alias("vv"), *[F.avg(q * F.pow(t, k)).alias(f"t{k}") for k in range(5)], *[F.avg(q * F.col("y") * F.pow(t, k)).alias(f"y{k}") for k in range(3)])
     rows = prior.join(m, K, "left")
@@ -259,14 +275,14 @@ def refit_local(window: DataFrame, prior: DataFrame) -> DataFrame:
         for pdf in batches:
             out = pdf[[*K, *PARAMS]].copy()
             for i, r in enumerate(pdf.itertuples(index=False)):
-                if not r.n >= DEFAULTS["refit_min_points"]:
+                if not r.n >= config["refit_min_points"]:
                     continue
                 p = np.array([r.base, r.a, r.b])
                 mq = r.mq if r.mq > 0 else 1.0
                 t_ = [getattr(r, f"t{k}") / mq for k in range(5)]
                 gram = np.array([[t_[i_ + j_] for j_ in range(3)] for i_ in range(3)])
-                lam = 2 * DEFAULTS["refit_lambda"] * (r.vv + 1e-6) / (p * p + 1e-9)
-                lo, hi = _refit_bounds(p)
+                lam = 2 * config["refit_lambda"] * (r.vv + 1e-6) / (p * p + 1e-9)
+                lo, hi = _refit_bounds(p, config)
                 x = numeric.box_least_squares(gram + np.diag(lam), np.array([r.y0, r.y1, r.y2]) / mq + lam * p, lo, hi)
                 for c, new, old in zip(("base", "a", "b"), x, p, strict=True):
                     out.iloc[i, out.columns.get_loc(c)] = (1 - r.conf) * old + r.conf * new
@@ -275,59 +291,60 @@ def refit_local(window: DataFrame, prior: DataFrame) -> DataFrame:
     return rows.mapInPandas(solve, "contest_id long, tier int, base double, a double, b double, b_end double, panic double")
 
 
-def _refit_bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _refit_bounds(p: np.ndarray, config: dict = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
     """Bounds around the prior that keep its signs."""
-    lo0 = max(0.0, 0.6 * p[0])
-    signed = lambda v, near, far, zero: (v * far, min(v * 0.25, -1e-9)) if v < 0 else (max(v * near, 1e-9), v * far) if v > 0 else zero
-    a, b = signed(p[1], 0.25, 2.0, (-1e-4, 1e-4)), signed(p[2], 0.1, 2.0, (0.0, 1e-4))
-    return np.array([lo0, a[0], b[0]]), np.array([max(lo0 + 1e-9, 1.6 * p[0]), a[1], b[1]])
+    lo0, zero_ratio = max(0.0, config["refit_base_min_ratio"] * p[0]), config["refit_linear_zero_ratio"]
+    signed = lambda v, near, far, zero: (v * far, min(v * zero_ratio, -1e-9)) if v < 0 else (max(v * near, 1e-9), v * far) if v > 0 else zero
+    a = signed(p[1], zero_ratio, config["refit_linear_bound_scale"], (-1e-4, 1e-4))
+    b = signed(p[2], config["refit_quad_min_ratio"], config["refit_quad_max_ratio"], (0.0, 1e-4))
+    return np.array([lo0, a[0], b[0]]), np.array([max(lo0 + 1e-9, config["refit_base_max_ratio"] * p[0]), a[1], b[1]])
 
 
-def apply_season(grid: DataFrame, factors: DataFrame) -> DataFrame:
+def apply_season(grid: DataFrame, factors: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """grid (contest_id, tier, hours, start_at, total_h, panic, skeleton) with `speed_norm`: times the hour's factor, more so towards the end."""
     g = with_day_type(grid.withColumn("time_ms", (F.col("start_at") + F.col("hours") * HOUR_MS).cast("long"))).join(F.broadcast(factors), ["day_type", "hour"], "left")
     left = F.col("total_h") - F.col("hours")
     prog = F.when((F.col("panic") > 0) & (left < F.col("panic")), 1 - F.greatest(F.lit(0.0), left) / F.col("panic")).otherwise(0.0)
-    eased = F.when(prog > 0, F.pow(prog, DEFAULTS["panic_ease_power"])).otherwise(0.0)
-    return g.withColumn("speed_norm", F.col("skeleton") * F.coalesce("factor", F.lit(1.0)) * (1 + (DEFAULTS["panic_scaler"] - 1) * eased)).drop("day_type", "hour", "factor", "time_ms")
+    eased = F.when(prog > 0, F.pow(prog, config["panic_ease_power"])).otherwise(0.0)
+    return g.withColumn("speed_norm", F.col("skeleton") * F.coalesce("factor", F.lit(1.0)) * (1 + (config["panic_scaler"] - 1) * eased)).drop("day_type", "hour", "factor", "time_ms")
 
 
-def kalman_strength(steps: DataFrame) -> DataFrame:
+def kalman_strength(steps: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """(contest_id, tier, scale, trend): a level and its drift folded over hourly steps (step, delta, model), in the JVM."""
-    c = DEFAULTS
+    c = config
     lit = lambda **kw: F.struct(*[F.lit(float(v)).alias(k) for k, v in kw.items()])
     rows = steps.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("step", "delta", "model"))).alias("s"))
 
     def fold(x, o):
         level = x["s"] + x["t"]
-        p11, p12, p22 = x["a"] + 2 * x["b"] + x["d"] + c["q_scale"], x["b"] + x["d"], x["d"] + c["q_trend"]
+        p11, p12, p22 = x["a"] + 2 * x["b"] + x["d"] + c["kf_Q_scale"], x["b"] + x["d"], x["d"] + c["kf_Q_trend"]
         raw = F.try_divide(o["delta"], o["model"])
-        z = F.greatest(F.lit(c["z_min"]), F.least(F.lit(c["z_max"]), raw))
-        r = c["base_r"] + c["adaptive_r"] / (o["model"] + 1.0) + F.when(F.abs(raw - z) > 0.1, c["clip_penalty"]).otherwise(0.0)
+        z = F.greatest(F.lit(c["kf_z_clip_min"]), F.least(F.lit(c["kf_z_clip_max"]), raw))
+        r = c["kf_base_R"] + 0.01 * c["kf_adaptive_R_numerator"] / (o["model"] + 1.0) + F.when(F.abs(raw - z) > 0.1, c["kf_clip_penalty"]).otherwise(0.0)
         k1, k2 = p11 / (p11 + r), p12 / (p11 + r)
         y = z - level
         new = F.struct((level + k1 * y).alias("s"), (x["t"] + k2 * y).alias("t"), ((1 - k1) * p11).alias("a"), ((1 - k1) * p12).alias("b"), (p22 - k2 * p12).alias("d"))
         old = F.struct(level.alias("s"), x["t"].alias("t"), p11.alias("a"), p12.alias("b"), p22.alias("d"))
-        return F.when(o["model"] > c["min_model"], new).otherwise(old)
+        return F.when(o["model"] > c["kf_min_delta_model"], new).otherwise(old)
 
-    state = F.aggregate("s", lit(s=1, t=0, a=c["p_scale"], b=0, d=c["p_trend"]), fold)
+    state = F.aggregate("s", lit(s=1, t=0, a=c["kf_init_P_scale"], b=0, d=c["kf_init_P_trend"]), fold)
     return rows.withColumn("x", state).select(*K, F.col("x.s").alias("scale"), F.col("x.t").alias("trend"))
 
 
-def future_scale_curve(grid: DataFrame) -> DataFrame:
+def future_scale_curve(grid: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """grid (hours, scale, trend, now_h, panic, total_h) with `curve`: the clipped level, its damped drift after now, pulled to 1 in the final rise."""
-    c = DEFAULTS
+    c = config
     clip = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-    lam = math.log(2) / c["half_life"]
+    lam = math.log(2) / max(c["kf_trend_half_life_hours"], 1e-6)
     ahead = F.greatest(F.lit(0.0), F.col("hours") - F.col("now_h"))
-    s = F.greatest(F.lit(0.1), clip(F.col("scale"), c["scale_min"], c["scale_max"]) + clip(F.col("trend"), c["trend_min"], c["trend_max"]) * (1 - F.exp(-lam * ahead)) / lam)
+    s = F.greatest(F.lit(0.1), clip(F.col("scale"), c["kf_scale_clip_min"], c["kf_scale_clip_max"]) + clip(F.col("trend"), c["kf_trend_clip_min"], c["kf_trend_clip_max"]) * (1 - F.exp(-lam * ahead)) / lam)
     prog = F.when((F.col("panic") > 0) & (F.col("hours") > F.col("total_h") - F.col("panic")), clip((F.col("hours") - F.col("total_h") + F.col("panic")) / F.col("panic"), 0.0, 1.0)).otherwise(0.0)
     return grid.withColumn("curve", s * (1 - prog * prog) + prog * prog)
 
 
-def compress_speed(v: Column) -> Column:
+def compress_speed(v: Column, config: dict = DEFAULTS) -> Column:
     """High speeds are damped in two stages and capped."""
-    t1, t2, cap = DEFAULTS["smooth_1"], DEFAULTS["smooth_2"], DEFAULTS["hard_cap"]
+    t1, t2, cap = config["smooth_thresh1"], config["smooth_thresh2"], config["smooth_hard_cap"]
     mild = t1 + (v - t1) / (1 + 3.0 * (v - t1) / (t2 - t1))
     strong = t2 + (v - t2) / (1 + 22.0 * F.pow((v - t2) / (1 - t2), 2))
     return F.least(F.lit(cap), F.when(v > t2, strong).when(v > t1, mild).otherwise(v))
@@ -339,26 +356,26 @@ def forecast_grid(params: DataFrame, points: int = 1000) -> DataFrame:
     return g.withColumn("skeleton", skeleton_shape(F.col("hours"), [F.col(c) for c in PARAMS], F.col("total_h")))
 
 
-def skeleton_path(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame) -> DataFrame:
+def skeleton_path(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """(contest_id, tier, now_h, score_now, strength, hours, gain): the growth curve with season and strength on the grid; gain is what a place from the last row on adds to the score.
 
     params: aligned and refitted (contest_id, tier, base .. panic); prefix: (contest_id, tier, hours, score).
     Targets without params are left out: no history, no forecast. Integration adds a full step at the first
     grid place at or after the last row, to the greatest score.
     """
-    c = contests.select("contest_id", "start_at", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h")).join(F.broadcast(scales), "contest_id").withColumnRenamed("scale", "v10")
+    c = contests.select("contest_id", "start_at", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h")).join(scales, "contest_id").withColumnRenamed("scale", "v10")
     now = prefix.groupBy(*K).agg(F.max("hours").alias("now_h"), F.max("score").alias("score_now"))
-    p = params.drop("total_h").join(F.broadcast(c), "contest_id").join(now, K)
-    grid = apply_season(forecast_grid(p), factors)
+    p = params.drop("total_h").join(c, "contest_id").join(now, K)
+    grid = apply_season(forecast_grid(p), factors, config)
     # strength: from 18 o'clock of the first day on
     local = F.pmod(F.col("start_at") + ZONE_MS, F.lit(24 * HOUR_MS)) / float(HOUR_MS)
     cut = p.select(*K, "v10", "now_h", F.greatest(F.lit(0.0), 18.0 - local).alias("cut"))
     own = prefix.join(cut, K).where("hours >= cut and now_h >= cut + 1")
     steps = hourly_deltas(own.select(*K, "hours", "score"))
     model = lookup_curve(steps.select(*K, "step", "delta", (F.col("lo") + 0.5).alias("hours")), grid.select(*K, "hours", "speed_norm"), value="speed_norm", out="v")
-    strength = kalman_strength(model.join(cut, K).select(*K, "step", "delta", (F.col("v") * F.col("v10") * 60).alias("model")))
+    strength = kalman_strength(model.join(cut, K).select(*K, "step", "delta", (F.col("v") * F.col("v10") * 60).alias("model")), config)
     g = grid.join(strength, K, "left").withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "trend": F.coalesce("trend", F.lit(0.0))})
-    g = future_scale_curve(g).withColumn("speed", compress_speed(F.col("speed_norm") * F.col("curve")) * F.col("v10"))
+    g = future_scale_curve(g, config).withColumn("speed", compress_speed(F.col("speed_norm") * F.col("curve"), config) * F.col("v10"))
     return g.select(*K, "now_h", "score_now", F.col("scale").alias("strength"), "hours", F.when(F.col("hours") >= F.col("now_h"), F.col("speed") * F.col("total_h") / 999 * 60).otherwise(0.0).alias("gain"))
 
 
@@ -367,12 +384,12 @@ def path_end(path: DataFrame) -> DataFrame:
     return path.groupBy(*K).agg(*[F.max(c).alias(c) for c in ("now_h", "score_now", "strength")], (F.max("score_now") + F.sum("gain")).alias("final"))
 
 
-def forecast_skeleton(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame) -> DataFrame:
+def forecast_skeleton(params: DataFrame, prefix: DataFrame, contests: DataFrame, scales: DataFrame, factors: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """(contest_id, tier, now_h, score_now, strength, final): skeleton_path, integrated."""
-    return path_end(skeleton_path(params, prefix, contests, scales, factors))
+    return path_end(skeleton_path(params, prefix, contests, scales, factors, config))
 
 
-def what_if_path(targets: DataFrame, points: DataFrame, factors: DataFrame) -> DataFrame:
+def what_if_path(targets: DataFrame, points: DataFrame, factors: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """(contest_id, tier, segment, hours, score, norm_speed, is_manual): paths through assumed points, in steps of a tenth of an hour.
 
     targets: (contest_id, tier, base .. panic, total_h, start_at, v10, now_h, score_now); points: (contest_id,
@@ -386,7 +403,7 @@ def what_if_path(targets: DataFrame, points: DataFrame, factors: DataFrame) -> D
     n = F.ceil((F.col("t1") - F.col("t0")) / 0.1 - 1e-9).cast("int") - 1
     g = p.withColumn("i", F.explode(F.sequence(F.lit(0), n))).withColumn("hours", F.col("t0") + F.col("i") * 0.1)
     g = g.withColumn("skeleton", skeleton_shape(F.col("hours"), [F.col(c) for c in PARAMS], F.col("total_h")))
-    g = apply_season(g, factors)
+    g = apply_season(g, factors, config)
     seg = W.partitionBy(*K, "segment")
     step = F.col("speed_norm") * F.col("v10") * 0.1
     raw = F.sum(step).over(seg)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from podium.schema import GRACE_MS, HOUR_MS, TIERS, K
+from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, TIERS, K
 
 _UP = (W.unboundedPreceding, 0)
 
@@ -44,7 +44,7 @@ def canonical_training_series(obs: DataFrame, contests: DataFrame) -> DataFrame:
     row there; the running maximum; (0, 0) in front where the first row is later. A score at hour 0 that is
     not 0 excludes the series. One row for each time is expected (latest_revision).
     """
-    c = F.broadcast(contests.select("contest_id", "start_at", "end_at"))
+    c = contests.select("contest_id", "start_at", "end_at")
     rows = obs.join(c, "contest_id").select(*K, "time_ms", "score", "start_at", "end_at")
     closing = rows.where((F.col("time_ms") > F.col("end_at")) & (F.col("time_ms") <= F.col("end_at") + GRACE_MS)).groupBy(*K).agg(F.min_by("score", "time_ms").alias("closing"))
     marked = rows.where("time_ms between start_at and end_at").join(closing, K, "left")
@@ -60,7 +60,7 @@ def canonical_training_series(obs: DataFrame, contests: DataFrame) -> DataFrame:
 
 def training_diagnostics(obs: DataFrame, contests: DataFrame) -> DataFrame:
     """(contest_id, tier, mapped, delay_ms, disagreements, repaired_steps) of canonical_training_series."""
-    rows = obs.join(F.broadcast(contests.select("contest_id", "start_at", "end_at")), "contest_id")
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id")
     after = (F.col("time_ms") > F.col("end_at")) & (F.col("time_ms") <= F.col("end_at") + GRACE_MS)
     w = _by_time(K, "seq")
     rows = rows.withColumns({"__falls": F.coalesce(F.col("score") < F.lag("score").over(w), F.lit(False)) & (F.col("time_ms") <= F.col("end_at")), "__final": F.first(F.when(after, F.col("score")), True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
@@ -73,7 +73,7 @@ def training_diagnostics(obs: DataFrame, contests: DataFrame) -> DataFrame:
 def history_series(obs: DataFrame, contests: DataFrame) -> DataFrame:
     """(contest_id, tier, hours, score): the last arrival of each time, the first row after the end at any delay put at the end, no repair, two rows or more."""
     w = W.partitionBy(*K, "time_ms").orderBy(F.desc("seq"))
-    c = F.broadcast(contests.select("contest_id", "start_at", "end_at"))
+    c = contests.select("contest_id", "start_at", "end_at")
     rows = obs.withColumn("__r", F.row_number().over(w)).where("__r = 1").join(c, "contest_id")
     post = rows.where("time_ms > end_at").groupBy(*K).agg(F.min_by("score", "time_ms").alias("score")).join(c, "contest_id").select(*K, F.col("end_at").alias("time_ms"), "score", "start_at")
     inside = rows.where("time_ms between start_at and end_at").join(post.select(*K, F.lit(True).alias("__post")), K, "left").where("__post is null or time_ms < end_at")
@@ -141,16 +141,16 @@ def daily_origins(contests: DataFrame, step_h: int = 24) -> DataFrame:
 
 def prefix_join(obs: DataFrame, origins: DataFrame) -> DataFrame:
     """Every origin with the rows up to it. It repeats rows for each origin: for models that need them raw; sums take prefix_totals."""
-    return obs.join(F.broadcast(origins), "contest_id").where("time_ms <= origin_ms")
+    return obs.join(origins, "contest_id").where("time_ms <= origin_ms")
 
 
 def prefix_totals(obs: DataFrame, origins: DataFrame) -> DataFrame:
     """(contest_id, tier, origin_h, rows, last_score, max_score) of each prefix, without repeating rows: by the first origin that sees a row, then running."""
     step = origins.groupBy("contest_id").agg(F.min("origin_ms").alias("first_ms"), F.min("origin_h").alias("step_h"))
-    b = obs.join(F.broadcast(step), "contest_id")
+    b = obs.join(step, "contest_id")
     k = F.greatest(F.lit(1), F.ceil((F.col("time_ms") - F.col("first_ms")) / (F.col("step_h") * float(HOUR_MS))).cast("int") + 1)
     b = b.withColumn("origin_h", (k * F.col("step_h")).cast("int")).groupBy(*K, "origin_h").agg(F.count("*").alias("n"), F.max(F.struct("time_ms", "seq", "score")).alias("last"), F.max("score").alias("top"))
-    grid = obs.select(*K).distinct().join(F.broadcast(origins.select("contest_id", "origin_h")), "contest_id")
+    grid = obs.select(*K).distinct().join(origins.select("contest_id", "origin_h"), "contest_id")
     w = W.partitionBy(*K).orderBy("origin_h").rowsBetween(*_UP)
     out = grid.join(b, [*K, "origin_h"], "left").select(*K, "origin_h", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("rows"), F.max("last").over(w).getField("score").alias("last_score"), F.max("top").over(w).alias("max_score"))
     return out.where("rows > 0")
@@ -158,7 +158,7 @@ def prefix_totals(obs: DataFrame, origins: DataFrame) -> DataFrame:
 
 def attach_scale(obs: DataFrame, scales: DataFrame) -> DataFrame:
     """`scale` and `norm_speed`; contests without a positive scale go."""
-    return obs.join(F.broadcast(scales.where("scale > 0").select("contest_id", "scale")), "contest_id").withColumn("norm_speed", F.col("speed") / F.col("scale"))
+    return obs.join(scales.where("scale > 0").select("contest_id", "scale"), "contest_id").withColumn("norm_speed", F.col("speed") / F.col("scale"))
 
 
 def resample_surface(series: DataFrame, step_h: int = 1) -> DataFrame:
@@ -166,7 +166,7 @@ def resample_surface(series: DataFrame, step_h: int = 1) -> DataFrame:
     span = series.groupBy("contest_id").agg(F.min("hours").alias("lo"), F.max("hours").alias("hi"))
     n = F.floor((F.col("hi") - F.col("lo") + step_h / 2 - 1e-9) / step_h).cast("int")
     own = series.groupBy(*K).agg(F.min("hours").alias("first"))
-    grid = own.join(F.broadcast(span), "contest_id").select(*K, "first", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.col("lo") + i * float(step_h))).alias("hours")).where("hours >= first").drop("first")
+    grid = own.join(span, "contest_id").select(*K, "first", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.col("lo") + i * float(step_h))).alias("hours")).where("hours >= first").drop("first")
     out = lookup_curve(grid, series)
     w = W.partitionBy(*K).orderBy("hours").rowsBetween(*_UP)
     return out.select(*K, "hours", F.max("interpolated").over(w).alias("score"))
@@ -181,7 +181,7 @@ def unpivot_surface(wide: DataFrame, contests: DataFrame) -> DataFrame:
     """Long rows (contest_id, tier, hours, score) of a wide surface: finite values within the contest; tiers with a repeated time go."""
     cols = [c for c in wide.columns if c[0] == "t" and c[1:].isdigit()]
     long = wide.unpivot(["contest_id", "hours"], cols, "t", "score").withColumn("tier", F.substring("t", 2, 9).cast("int")).drop("t")
-    long = long.join(F.broadcast(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total"))), "contest_id")
+    long = long.join(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total")), "contest_id")
     long = long.where("score is not null and not isnan(score) and hours between 0 and total")
     n = F.count("*").over(W.partitionBy(*K, "hours"))
     return long.withColumn("__n", n).withColumn("__m", F.max("__n").over(W.partitionBy(*K))).where("__m = 1").select(*K, "hours", "score")
@@ -192,7 +192,7 @@ def baseline_forecasts(prefix: DataFrame, contests: DataFrame) -> DataFrame:
     w = W.partitionBy(*K, "origin_h").orderBy(F.desc("time_ms"), F.desc("seq"))
     last = prefix.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy(*K, "origin_h").agg(
         F.max(F.when(F.col("r") == 1, F.struct("time_ms", "score"))).alias("a"), F.max(F.when(F.col("r") == 2, F.struct("time_ms", "score"))).alias("b"))
-    x = last.where("b is not null").join(F.broadcast(contests.select("contest_id", "start_at", "end_at")), "contest_id")
+    x = last.where("b is not null").join(contests.select("contest_id", "start_at", "end_at"), "contest_id")
     left, gone = (F.col("end_at") - F.col("a.time_ms")) / float(HOUR_MS), (F.col("a.time_ms") - F.col("start_at")) / float(HOUR_MS)
     slope = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("a.score") - F.col("b.score"), (F.col("a.time_ms") - F.col("b.time_ms")) / float(HOUR_MS)), F.lit(0.0)))
     average = F.try_divide(F.col("a.score") * (F.col("end_at") - F.col("start_at")) / float(HOUR_MS), gone)
@@ -221,9 +221,10 @@ def hourly_deltas(series: DataFrame, from_hour: float = 0.0) -> DataFrame:
     return at.where("before is not null").select(*K, (F.col("i") - 1).alias("step"), "lo", (F.col("interpolated") - F.col("before")).alias("delta"))
 
 
-def refit_window(rows: DataFrame, start: float = 6.0, recent: float = 48.0) -> DataFrame:
-    """Rows (with hours and skeleton_speed) from hour `start` within the last `recent` hours, with `conf` = span / 72, at most 0.35."""
+def refit_window(rows: DataFrame, config: dict = DEFAULTS) -> DataFrame:
+    """Rows (with hours and skeleton_speed) from refit_start_hours on within the last refit_recent_hours, with `conf`, the span's share of refit_conf_norm_hours, at most refit_conf_max."""
+    start, recent = config["refit_start_hours"], config["refit_recent_hours"]
     w = W.partitionBy(*K)
     kept = rows.where("skeleton_speed is not null and norm_speed is not null").withColumn("__max", F.max("hours").over(w)).where((F.col("hours") >= start) & (F.col("hours") >= F.col("__max") - recent)).drop("__max")
     span = F.max("hours").over(w) - F.min("hours").over(w)
-    return kept.withColumn("conf", F.greatest(F.lit(0.0), F.least(span / 72.0, F.lit(0.35))))
+    return kept.withColumn("conf", F.greatest(F.lit(0.0), F.least(span / config["refit_conf_norm_hours"], F.lit(config["refit_conf_max"]))))

@@ -148,25 +148,35 @@ def a9(spark, d):
 
 
 CLASSES = """, cls AS (SELECT contest_id, c AS reward_class, CASE WHEN count(DISTINCT to_rank) = 1 THEN max(to_rank) END AS rank, count(DISTINCT to_rank) > 1 AS ambiguous FROM (
-  SELECT contest_id, to_rank, CASE WHEN reward_type = 'deco_pins' THEN 'deco_pins' WHEN reward_type = 'voice_stamp' AND reward_id >= 10000 THEN 'premium' WHEN reward_type = 'voice_stamp' AND reward_id IS NOT NULL THEN 'standard' END AS c FROM rewards WHERE @) WHERE c IS NOT NULL GROUP BY ALL)"""
+  SELECT contest_id, to_rank, CASE WHEN reward_type = 'deco_pins' THEN 'deco_pins' WHEN reward_type = 'voice_stamp' AND reward_id >= 10000 THEN 'premium' WHEN reward_type = 'voice_stamp' AND reward_id IS NOT NULL THEN 'standard' END AS c FROM rewards) WHERE c IS NOT NULL GROUP BY ALL)"""
 
 
-@query("a10_reward_class_ranks", "SELECT contest_id, reward_class, rank, ambiguous FROM cls", extra=CLASSES.replace("@", "true"))
+@query("a10_reward_class_ranks", "SELECT contest_id, reward_class, rank, ambiguous FROM cls", extra=CLASSES)
 def a10(spark, d):
     return G.reward_class_ranks(A.rewards(spark, d))
 
 
-_REPORT = f"""WITH r AS (SELECT contest_id, tier, time_ms, score, available_at, seq, {T0} + 259200000 * contest_id + 172800000 AS om, score < 0 AS bv FROM dirty),
-r2 AS (SELECT *, NOT bv AND time_ms > om AS late, NOT bv AND time_ms <= om AND available_at > om AS fut FROM r), r3 AS (SELECT *, NOT bv AND NOT late AND NOT fut AS ok FROM r2),
-r4 AS (SELECT *, count(*) OVER (PARTITION BY contest_id, tier, ok, time_ms) AS same, ok AND row_number() OVER (PARTITION BY contest_id, tier, ok, time_ms ORDER BY available_at DESC, seq DESC) = 1 AS one FROM r3),
-r5 AS (SELECT *, one AND coalesce(score < lag(score) OVER (PARTITION BY contest_id, tier, one ORDER BY time_ms), false) AS falls FROM r4),
-g AS (SELECT contest_id, tier, count(*) AS raw_rows, count(*) FILTER (WHERE bv) AS invalid_value, count(*) FILTER (WHERE late) AS post_origin, count(*) FILTER (WHERE fut) AS future_available, count(*) FILTER (WHERE ok AND same > 1) AS duplicate_rows, count(*) FILTER (WHERE falls) AS falls, count(*) FILTER (WHERE one) AS usable FROM r5 GROUP BY ALL),
-q AS (SELECT c.contest_id, t.tier, coalesce(raw_rows, 0) AS raw_rows, coalesce(invalid_value, 0) AS invalid_value, coalesce(post_origin, 0) AS post_origin, coalesce(future_available, 0) AS future_available, coalesce(duplicate_rows, 0) AS duplicate_rows, coalesce(falls, 0) AS falls, coalesce(usable, 0) AS usable,
-  CASE WHEN raw_rows IS NULL THEN 'missing' WHEN usable = 0 THEN 'no_usable_as_of_records' ELSE 'ok' END AS status FROM contests c CROSS JOIN (VALUES (10), (50), (500), (1000)) t(tier) LEFT JOIN g ON g.contest_id = c.contest_id AND g.tier = t.tier)"""
+_REPORT = """WITH og AS (SELECT contest_id, start_at + h * 3600000 AS om FROM contests, (VALUES (24), (48)) t(h)),
+r AS (SELECT d.contest_id, om, tier, time_ms, score, available_at, seq, score < 0 AS bv FROM dirty d JOIN og ON og.contest_id = d.contest_id),
+r2 AS (SELECT *, NOT bv AND time_ms > om AS late, NOT bv AND time_ms <= om AND available_at > om AS fut FROM r),
+r3 AS (SELECT *, NOT bv AND NOT late AND NOT fut AS ok FROM r2),
+r4 AS (SELECT *, count(*) OVER (PARTITION BY contest_id, om, tier, ok, time_ms) AS same,
+  ok AND row_number() OVER (PARTITION BY contest_id, om, tier, ok, time_ms ORDER BY available_at DESC, seq DESC) = 1 AS one FROM r3),
+r5 AS (SELECT *, one AND coalesce(score < lag(score) OVER (PARTITION BY contest_id, om, tier, one ORDER BY time_ms), false) AS falls FROM r4),
+g AS (SELECT contest_id, om, tier, count(*) AS raw_rows, count(*) FILTER (WHERE bv) AS invalid_value, count(*) FILTER (WHERE late) AS post_origin,
+  count(*) FILTER (WHERE fut) AS future_available, count(*) FILTER (WHERE ok AND same > 1) AS duplicate_rows, count(*) FILTER (WHERE falls) AS falls,
+  count(*) FILTER (WHERE one) AS usable FROM r5 GROUP BY ALL),
+q AS (SELECT og.contest_id, og.om AS origin_ms, t.tier, coalesce(raw_rows, 0) AS raw_rows, coalesce(invalid_value, 0) AS invalid_value, coalesce(post_origin, 0) AS post_origin,
+  coalesce(future_available, 0) AS future_available, coalesce(duplicate_rows, 0) AS duplicate_rows, coalesce(falls, 0) AS falls, coalesce(usable, 0) AS usable,
+  CASE WHEN raw_rows IS NULL THEN 'missing' WHEN usable = 0 THEN 'no_usable_as_of_records' ELSE 'ok' END AS status,
+  CASE WHEN raw_rows IS NULL THEN 'unknown_degraded_missing_tier' ELSE 'explicit_row_level' END AS availability
+  FROM og CROSS JOIN (VALUES (10), (50), (500), (1000)) t(tier) LEFT JOIN g ON g.contest_id = og.contest_id AND g.om = og.om AND g.tier = t.tier)"""
 
 
 def report(spark, d):
-    o = A.contests(spark, d).select("contest_id", (F.col("start_at") + 48 * HOUR_MS).alias("origin_ms"))
+    """Two origins of each contest."""
+    hours = F.explode(F.array(F.lit(24), F.lit(48)))
+    o = A.contests(spark, d).select("contest_id", "start_at", hours.alias("h")).select("contest_id", (F.col("start_at") + F.col("h") * HOUR_MS).alias("origin_ms"))
     tiers = spark.range(1).select(F.explode(F.array(F.lit(10), F.lit(50), F.lit(500), F.lit(1000))).alias("tier"))
     return G.tier_quality_report(A.obs_dirty(spark, d), o, tiers)
 
@@ -176,9 +186,15 @@ def a11(spark, d):
     return report(spark, d).drop("invalid_time", "unknown_available")
 
 
-@query("a11_quality_rollup", _REPORT + " SELECT contest_id, CAST(sum(raw_rows) AS BIGINT) AS raw_rows, CAST(sum(usable) AS BIGINT) AS usable, CAST(sum(post_origin) AS BIGINT) AS post_origin, CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, CAST(sum(falls) AS BIGINT) AS falls, count(*) FILTER (WHERE status = 'ok') AS observed, count(*) AS requested, count(*) FILTER (WHERE status = 'ok') / count(*) AS completeness FROM q GROUP BY 1")
+_ROLLUP = """ SELECT contest_id, origin_ms, CAST(sum(raw_rows) AS BIGINT) AS raw_rows, CAST(sum(usable) AS BIGINT) AS usable, CAST(sum(post_origin) AS BIGINT) AS post_origin,
+  CAST(sum(duplicate_rows) AS BIGINT) AS duplicate_rows, CAST(sum(falls) AS BIGINT) AS falls, count(*) FILTER (WHERE status = 'ok') AS observed, count(*) AS requested,
+  coalesce(string_agg(CASE WHEN status <> 'ok' THEN tier || '' END, ',' ORDER BY tier), '') AS missing, count(*) FILTER (WHERE status = 'ok') / count(*) AS completeness,
+  CASE WHEN count(*) FILTER (WHERE availability NOT LIKE 'explicit%') > 0 THEN 'degraded_timestamp_only' ELSE 'explicit_available_at' END AS availability FROM q GROUP BY 1, 2"""
+
+
+@query("a11_quality_rollup", _REPORT + _ROLLUP)
 def a11_rollup(spark, d):
-    return G.quality_rollup(report(spark, d))
+    return G.quality_rollup(report(spark, d)).withColumn("missing", F.array_join(F.transform("missing", lambda t: t.cast("string")), ","))
 
 
 @query("a12_contest_cache_index", "SELECT contest_id, contest_type, count(*) AS record_count, arg_max(score, (time_ms, seq)) AS final_score, round(max(scale), 6) AS scale FROM obs JOIN contests USING (contest_id) LEFT JOIN scales USING (contest_id) WHERE tier = 1000 GROUP BY ALL", speed=True)
@@ -283,7 +299,7 @@ def u2(spark, d):
 
 
 @query("j11_map_reward_class", """WITH c AS (SELECT * FROM cls WHERE rank IS NOT NULL), own AS (SELECT contest_id AS target_id, rank AS tier, max(reward_class) AS reward_class FROM c GROUP BY contest_id, rank HAVING count(*) = 1)
-SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id) JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + CLASSES.replace("@", "reward_id % 97 < 4"))
+SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id) JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + CLASSES)
 def j11(spark, d):
     cls = G.reward_class_ranks(A.rewards(spark, d))
     targets = cls.where("rank is not null").select(F.col("contest_id").alias("target_id"), F.col("rank").alias("tier")).distinct()

@@ -107,9 +107,9 @@ GROUP BY contest_id, tier, origin_h)""")
 def f15(spark, d):
     c = A.contests(spark, d)
     origins = c.select("contest_id", "start_at", "end_at", F.explode(F.array(F.lit(2), F.lit(24), F.lit(48))).alias("origin_h")).withColumn("origin_ms", F.col("start_at") + HOUR_MS * F.col("origin_h"))
-    p = A.obs(spark, d).join(F.broadcast(origins), "contest_id").where("time_ms <= origin_ms")
+    p = A.obs(spark, d).join(origins, "contest_id").where("time_ms <= origin_ms")
     g = C.prefix_gate(p)
-    return g.join(F.broadcast(origins.select("contest_id", "origin_ms", "origin_h")), ["contest_id", "origin_ms"]).select(*K, "origin_h", "valid", "reason")
+    return g.join(origins.select("contest_id", "origin_ms", "origin_h"), ["contest_id", "origin_ms"]).select(*K, "origin_h", "valid", "reason")
 
 
 @query("f16_evaluation_gate", f"""

@@ -20,7 +20,7 @@ METHODS = ("persistence", "last_slope", "average_speed")
 def scored(spark, d):
     """Scoring rows of the naive forecasts at daily origins: (contest_id, tier, origin_h, method, status, reason, prediction, actual, contest_type, phase)."""
     o, c = A.obs(spark, d), A.contests(spark, d)
-    grid = o.select(*K).distinct().join(F.broadcast(S.daily_origins(c).select("contest_id", "origin_h")), "contest_id")
+    grid = o.select(*K).distinct().join(S.daily_origins(c).select("contest_id", "origin_h"), "contest_id")
     f = S.baseline_forecasts(S.prefix_join(o, S.daily_origins(c)), c)
     j = grid.join(f, [*K, "origin_h"], "left").unpivot([*K, "origin_h"], list(METHODS), "method", "prediction")
     # one method fails on purpose where its forecast is more than four times the last score
@@ -28,7 +28,7 @@ def scored(spark, d):
     ok = F.col("prediction").isNotNull()
     j = j.withColumns({"status": F.when(ok, "success").otherwise("failed"), "reason": F.when(~ok, "no_forecast")})
     truth = G.final_truth(o, c, "bucket20").select(*K, "actual")  # joined last: no forecast sees it
-    rows = j.join(truth, K, "left").join(F.broadcast(c.select("contest_id", "contest_type")), "contest_id")
+    rows = j.join(truth, K, "left").join(c.select("contest_id", "contest_type"), "contest_id")
     return rows.withColumn("phase", F.when(F.col("origin_h") < 24, "early").when(F.col("origin_h") < 47, "middle").otherwise("late"))
 
 
@@ -103,9 +103,21 @@ def a18(spark, d):
     return p.select(*[F.round(c, 4).alias(c) for c in ("mape_a", "mape_b", "delta")], "wins_a", "contests")
 
 
-@query("a19_bootstrap_ci")
+def md5_uniform(*parts: str) -> str:
+    """SQL for evaluate.uniform."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+_DRAWS = f""", nb AS (SELECT b - a AS delta, row_number() OVER (ORDER BY contest_id) - 1 AS i, count(*) OVER () AS n FROM q),
+dr AS (SELECT rep, CAST(floor({md5_uniform('7', 'rep', 'nb.i')} * n) AS BIGINT) AS i FROM nb, range(0, 2000) r(rep)),
+mn AS (SELECT rep, avg(delta) AS m FROM dr JOIN nb ON nb.i = dr.i GROUP BY rep)
+SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi, count(*) AS draws FROM mn"""
+
+
+@query("a19_bootstrap_ci", _PAIR + _DRAWS, extra=SCORED)
 def a19(spark, d):
-    return E.bootstrap_ci(E.contest_deltas(errors(spark, d), "average_speed", "last_slope"))
+    b = E.bootstrap_ci(E.contest_deltas(errors(spark, d), "average_speed", "last_slope"))
+    return b.select(*[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")], "draws")
 
 
 def snapshots(spark, d):
@@ -146,7 +158,14 @@ def a25(spark, d):
     return E.coverage_gate(c, G.final_truth(A.obs(spark, d), c, "bucket20"), 3, 0.6)
 
 
-@query("a28_time_split", "SELECT contest_id, contest_type, CASE WHEN contest_id >= 7 THEN 'test' ELSE 'train' END AS split FROM contests")
+_SPLIT = """WITH c AS (SELECT contest_id, contest_type, row_number() OVER (ORDER BY contest_id) - 1 AS i, count(*) OVER () AS n FROM contests),
+cuts AS (SELECT a.i, max(a.n) - a.i AS size, count(DISTINCT b.contest_type) = (SELECT count(DISTINCT contest_type) FROM contests) AS every_type, max(a.n) AS n
+  FROM c a JOIN c b ON b.i >= a.i WHERE a.i > 0 AND a.n - a.i >= 2 GROUP BY a.i),
+best AS (SELECT i FROM cuts ORDER BY every_type DESC, abs(size - greatest(2, round(n * 0.25))), i DESC LIMIT 1)
+SELECT contest_id, contest_type, CASE WHEN i >= (SELECT i FROM best) THEN 'test' ELSE 'train' END AS split FROM c"""
+
+
+@query("a28_time_split", _SPLIT)
 def a28(spark, d):
     return E.time_split(A.contests(spark, d), 0.75, 2)
 
@@ -161,12 +180,26 @@ def j10(spark, d):
     return J.paired_support(errors(spark, d), "persistence", "last_slope").select(*K, F.col("origin_h").cast("long").alias("origin_h"), "method", "prediction")
 
 
-@query("e1_snapshot_plan")
+_DRAWN = "round(least(hi, greatest(lo, round_even((lo + (hi - lo) * {u}) * 4, 0) / 4)), 4)"
+PLAN = f""", tt AS (SELECT contest_id, (end_at - start_at) / 3600000.0::DOUBLE AS total FROM contests),
+bk AS (SELECT contest_id, bucket, greatest(18.0, lo * total) AS lo, least(hi * total, greatest(18.0, 0.9 * total)) AS hi
+  FROM tt, (VALUES {", ".join(f"({i}, {lo}::DOUBLE, {hi}::DOUBLE)" for i, (lo, hi) in enumerate(E.BUCKETS))}) b(bucket, lo, hi)),
+pl AS (SELECT contest_id, bucket, {_DRAWN.format(u=md5_uniform("7", "contest_id", "bucket"))} AS hour FROM bk WHERE hi > lo
+  UNION ALL SELECT contest_id, -1, round(least(greatest(18.0, 0.9 * total), greatest(18.0, 0.5 * total)), 4) FROM tt WHERE contest_id NOT IN (SELECT contest_id FROM bk WHERE hi > lo)),
+sp AS (SELECT contest_id, min(bucket) AS bucket, hour FROM pl GROUP BY contest_id, hour)"""
+_CHECKS = f"""WITH ck AS (SELECT sp.*, j, greatest(0.5, lo * (total - hour)) + hour AS lo, least(total, hour + hi * (total - hour)) AS hi
+  FROM sp JOIN tt ON tt.contest_id = sp.contest_id, (VALUES {", ".join(f"({i}, {lo}::DOUBLE, {hi}::DOUBLE)" for i, (lo, hi) in enumerate(E.CURVE_BUCKETS))}) b(j, lo, hi) WHERE total > hour + 1),
+ok AS (SELECT *, row_number() OVER (PARTITION BY contest_id, bucket ORDER BY j) - 1 AS r, count(*) OVER (PARTITION BY contest_id, bucket) AS m FROM ck WHERE hi > lo),
+dn AS (SELECT contest_id, bucket, hour, t.n AS "check", {_DRAWN.format(u=md5_uniform("8", "contest_id", "bucket", "t.n"))} AS check_hour FROM ok, (VALUES (0), (1), (2)) t(n) WHERE t.n % m = r)
+SELECT contest_id, bucket, hour, min("check") AS "check", check_hour FROM dn GROUP BY contest_id, bucket, hour, check_hour"""
+
+
+@query("e1_snapshot_plan", "SELECT contest_id, bucket, hour FROM sp", extra=PLAN)
 def e1(spark, d):
     return E.snapshot_plan(A.contests(spark, d))
 
 
-@query("e2_curve_check_hours")
+@query("e2_curve_check_hours", _CHECKS, extra=PLAN)
 def e2(spark, d):
     c = A.contests(spark, d)
     return E.curve_check_hours(E.snapshot_plan(c), c)
@@ -179,9 +212,22 @@ def e7(spark, d):
     return E.screen_candidates(errors(spark, d)).withColumn("mape", F.round("mape", 4))
 
 
-@query("e8_scoring_row_checks", "SELECT 'method_missing' AS \"check\", contest_id, tier, origin_h FROM er WHERE method = 'persistence' AND contest_id = 4 UNION ALL SELECT 'status_mismatch', contest_id, tier, origin_h FROM er WHERE method = 'persistence' AND contest_id = 5 AND prediction IS NOT NULL", extra=SCORED)
+_BROKEN = """WITH s AS (SELECT contest_id, tier, origin_h, method, prediction, CASE WHEN contest_id = 5 AND method = 'persistence' THEN 'failed' ELSE status END AS status,
+  CASE WHEN prediction IS NULL THEN 'no_forecast' END AS reason FROM er WHERE NOT (contest_id = 4 AND method = 'persistence') AND NOT (contest_id = 6 AND tier = 50 AND origin_h = 24)),
+t AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE contest_id = 7 AND method = 'last_slope'),
+o AS (SELECT contest_id, tier, list_sort(list_distinct(list(origin_h))) AS o FROM t GROUP BY ALL)
+SELECT 'duplicate' AS "check", contest_id, tier, origin_h FROM t GROUP BY contest_id, tier, origin_h, method HAVING count(*) > 1
+UNION ALL SELECT 'method_missing', contest_id, tier, origin_h FROM t GROUP BY contest_id, tier, origin_h HAVING count(DISTINCT method) < 3
+UNION ALL SELECT 'status_mismatch', contest_id, tier, origin_h FROM t WHERE CASE WHEN status = 'success' THEN prediction IS NULL ELSE prediction IS NOT NULL OR reason IS NULL END
+UNION ALL SELECT 'origins_differ', contest_id, NULL, NULL FROM o GROUP BY contest_id HAVING count(DISTINCT o) > 1"""
+
+
+@query("e8_scoring_row_checks", _BROKEN, extra=SCORED)
 def e8(spark, d):
-    s = scored(spark, d).where("not (contest_id = 4 and method = 'persistence')").withColumn("status", F.when((F.col("contest_id") == 5) & (F.col("method") == "persistence"), "failed").otherwise(F.col("status")))
+    """Scoring rows that were broken on purpose, in four ways."""
+    s = scored(spark, d).where("not (contest_id = 4 and method = 'persistence') and not (contest_id = 6 and tier = 50 and origin_h = 24)")
+    s = s.withColumn("status", F.when((F.col("contest_id") == 5) & (F.col("method") == "persistence"), "failed").otherwise(F.col("status")))
+    s = s.unionByName(s.where("contest_id = 7 and method = 'last_slope'"))
     return E.scoring_row_checks(s, METHODS).withColumn("origin_h", F.col("origin_h").cast("long"))
 
 

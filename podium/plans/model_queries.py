@@ -113,7 +113,7 @@ def m6_pace(spark, d):
 
 def templates(spark, d):
     c = A.contests(spark, d).select("contest_id", "end_at", "contest_type")
-    return cohort_masses(spark, d).join(F.broadcast(c), "contest_id").join(pressure(spark, d), K)
+    return cohort_masses(spark, d).join(c, "contest_id").join(pressure(spark, d), K)
 
 
 @query("m7_templates")
@@ -128,12 +128,12 @@ def prefix_knots(seen, c):
     inc = S.prefix_increments(seen, float("inf")).select(*K, (F.col("knot") + 1).alias("i"), F.col("hi").alias("hours"), "share")
     zero = anchor.select(*K, F.lit(0).alias("i"), F.lit(0.0).alias("hours"), F.lit(0.0).alias("share"))
     at = M.mass_basis(inc.unionByName(zero), c)
-    return cut(at).join(anchor, K).join(F.broadcast(c.select("contest_id", "start_at", "contest_type")), "contest_id")
+    return cut(at).join(anchor, K).join(c.select("contest_id", "start_at", "contest_type"), "contest_id")
 
 
 def end_basis(c):
     end = c.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours"))
-    return F.broadcast(M.mass_basis(end, c).select("contest_id", F.col("basis").alias("end_basis")))
+    return M.mass_basis(end, c).select("contest_id", F.col("basis").alias("end_basis"))
 
 
 def knots(spark, d):
@@ -182,7 +182,7 @@ FIXED = f", par AS (SELECT contest_id, tier, start_at, {HOURS} AS dur, 0.1 + tie
 def fixed_params(spark, d):
     """Stated parameters, for queries that SQL can check."""
     c = A.contests(spark, d).select("contest_id", "start_at", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h"))
-    p = A.obs(spark, d).select(*K).distinct().join(F.broadcast(c), "contest_id")
+    p = A.obs(spark, d).select(*K).distinct().join(c, "contest_id")
     return p.select(*K, "start_at", "total_h", (0.1 + F.col("tier") / 20000.0).alias("base"), (-0.0005 * (F.col("contest_id") % 3)).alias("a"), (0.00001 * (F.col("contest_id") % 2)).alias("b"), F.lit(0.3).alias("b_end"), (20.0 + F.col("contest_id")).alias("panic"))
 
 
@@ -277,7 +277,7 @@ def m17(spark, d):
 @query("m18_what_if_path")
 def m18(spark, d):
     now = canonical(spark, d).where("hours <= 48").groupBy(*K).agg(F.max("hours").alias("now_h"), F.max("score").alias("score_now"))
-    t = fixed_params(spark, d).join(now, K).join(F.broadcast(scales(spark, d).withColumnRenamed("scale", "v10")), "contest_id")
+    t = fixed_params(spark, d).join(now, K).join(scales(spark, d).withColumnRenamed("scale", "v10"), "contest_id")
     pts = now.select(*K, F.explode(F.array(F.struct((F.col("now_h") + 4).alias("hours"), (F.col("score_now") * 1.1).alias("score")), F.struct((F.col("now_h") + 9).alias("hours"), (F.col("score_now") * 1.4).alias("score")))).alias("p")).select(*K, "p.*")
     return M.what_if_path(t, pts, factors(spark, d))
 
@@ -321,7 +321,7 @@ def e5(spark, d):
     truth = G.final_truth(A.obs(spark, d), c, "last").select(*K, "actual")
     ends = r.select(F.col("of").alias("contest_id"), F.col("contest_id").alias("run"), R.total_h().alias("hours")).join(truth, "contest_id").select(*K, "run", F.lit(-1).alias("check"), "hours", "actual")
     drawn = R.checks(spark, d).select(*K, "run", "check", F.col("check_hour").alias("hours"), F.col("actual_at").alias("actual"))
-    at = ends.unionByName(drawn).withColumn("origin_h", F.struct((F.col("run").bitwiseAND(R.RUN - 1) / 4.0).alias("origin"), "check"))
+    at = ends.unionByName(drawn).withColumn("origin_h", F.struct((F.col("run").bitwiseAND(R.RUN - 1) / float(R.PER_HOUR)).alias("origin"), "check"))
     at = cut(M.mass_basis(at, c))
     k = run_knots(spark, d, r).withColumnRenamed("origin_h", "origin")
     k = k.join(at.select(*K, F.col("origin_h.origin").alias("origin"), "origin_h", F.col("basis").alias("end_basis")), [*K, "origin"]).drop("origin")

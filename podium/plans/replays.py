@@ -18,8 +18,8 @@ from podium.plans.series_queries import canonical, scales
 from podium.schema import HOUR_MS, K
 from podium.session import cut
 
-#: A run's id is contest_id * RUN + quarters of an hour.
-RUN = 1 << 20
+#: A run's id is contest_id * RUN + its origin in ten-thousandths of an hour.
+RUN, PER_HOUR = 1 << 24, 10_000
 METHODS = ("pace", "cohort", "skeleton", "persistence", "last_slope", "average_speed")
 
 
@@ -35,25 +35,25 @@ def daily(spark, d) -> DataFrame:
 def planned(spark, d) -> DataFrame:
     """The same at the snapshots of the plan."""
     c = A.contests(spark, d)
-    j = E.snapshot_plan(c).join(F.broadcast(c.select("contest_id", "start_at")), "contest_id")
+    j = E.snapshot_plan(c).join(c.select("contest_id", "start_at"), "contest_id")
     return j.select("contest_id", F.col("hour").alias("origin_h"), (F.col("start_at") + F.col("hour") * HOUR_MS).cast("long").alias("origin_ms"))
 
 
 def runs(contests: DataFrame, origins: DataFrame) -> DataFrame:
     """(of, contest_id, origin_h, origin_ms, start_at, end_at, aggregate_at, contest_type): contest_id is the run's."""
-    r = origins.join(F.broadcast(contests), "contest_id").withColumn("of", F.col("contest_id"))
-    return r.withColumn("contest_id", F.col("of") * RUN + F.round(F.col("origin_h") * 4).cast("long"))
+    r = origins.join(contests, "contest_id").withColumn("of", F.col("contest_id"))
+    return r.withColumn("contest_id", F.col("of") * RUN + F.round(F.col("origin_h") * PER_HOUR).cast("long"))
 
 
 def seen_by(rows: DataFrame, r: DataFrame) -> DataFrame:
     """rows (with time_ms or else hours) of each run's contest up to its origin, under the run's id."""
-    j = rows.withColumnRenamed("contest_id", "of").join(F.broadcast(r.select("of", "contest_id", "origin_h", "origin_ms")), "of")
+    j = rows.withColumnRenamed("contest_id", "of").join(r.select("of", "contest_id", "origin_h", "origin_ms"), "of")
     return j.where("time_ms <= origin_ms" if "time_ms" in rows.columns else "hours <= origin_h").drop("of", "origin_h", "origin_ms")
 
 
 def unrun(df: DataFrame) -> DataFrame:
     """df with the contest's id and origin_h in place of the run's id."""
-    return df.withColumns({"origin_h": F.col("contest_id").bitwiseAND(RUN - 1) / 4.0, "contest_id": F.shiftright("contest_id", 20)})
+    return df.withColumns({"origin_h": F.col("contest_id").bitwiseAND(RUN - 1) / float(PER_HOUR), "contest_id": F.shiftright("contest_id", 24)})
 
 
 def causal_history(spark, d, k: int = 3) -> DataFrame:
@@ -71,10 +71,10 @@ def skeleton_paths(spark, d, r: DataFrame) -> DataFrame:
     rows = C.elapsed_and_phase(seen_by(A.obs(spark, d), r), r.drop("of", "origin_h", "origin_ms"))
     new = cut(G.attach_season_factor(S.attach_scale(S.interval_speed(rows), scale), f))
     ends = r.select("of", F.col("contest_id").alias("target_id"), "origin_h", total_h().alias("target_hours"))
-    hist = causal_history(spark, d).withColumnRenamed("target_id", "of").join(F.broadcast(ends), "of").join(F.broadcast(c.select("contest_id", total_h().alias("history_hours"))), "contest_id")
+    hist = causal_history(spark, d).withColumnRenamed("target_id", "of").join(ends, "of").join(c.select("contest_id", total_h().alias("history_hours")), "contest_id")
     hist = cut(hist.select("target_id", "contest_id", "target_hours", "history_hours", F.lit(6.0).alias("t0"), F.col("origin_h").alias("t1")))
     stats = G.blended_window_stats(hist.join(A.obs(spark, d).select(*K).distinct(), "contest_id"), old.select(*K, "hours", "norm_speed", "skeleton_speed"))
-    own = new.join(F.broadcast(ends.select(F.col("target_id").alias("contest_id"), F.lit(6.0).alias("t0"), F.col("origin_h").alias("t1"))), "contest_id")
+    own = new.join(ends.select(F.col("target_id").alias("contest_id"), F.lit(6.0).alias("t0"), F.col("origin_h").alias("t1")), "contest_id")
     t = own.groupBy(*K).agg(F.max("hours").alias("observed_h")).join(G.window_intensity(own, K), K, "left").join(G.window_mean(own, "norm_speed", K, "norm_mean"), K, "left")
     ratio = G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), stats)
     mean = hist.join(cut(M.fit_skeleton(old, c)), "contest_id").groupBy("target_id", "tier").agg(*[F.avg(x).alias(x) for x in M.PARAMS], F.avg("history_hours").alias("history_h"), F.max("target_hours").alias("target_h"))
@@ -98,11 +98,11 @@ def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressur
     naive = S.baseline_forecasts(S.prefix_join(o, at), c)
     for m in METHODS[3:]:
         f = f.unionByName(of(naive, m, m))
-    began = c.select("contest_id", "start_at").join(F.broadcast(c.select("end_at")), F.col("end_at") < F.col("start_at"), "left_semi").select("contest_id")
+    began = c.select("contest_id", "start_at").join(c.select("end_at"), F.col("end_at") < F.col("start_at"), "left_semi").select("contest_id")
     able = began.crossJoin(F.broadcast(spark.createDataFrame([("pace",), ("cohort",)], "method string"))).unionByName(causal_history(spark, d).select(F.col("target_id").alias("contest_id"), F.lit("skeleton").alias("method")).distinct())
     n = S.prefix_join(o, at).groupBy(*K, "origin_h").agg(F.count("*").alias("rows"))
-    grid = o.select(*K).distinct().join(F.broadcast(at.select("contest_id", "origin_h")), "contest_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
-    j = grid.join(f, [*K, "origin_h", "method"], "left").join(n, [*K, "origin_h"], "left").join(F.broadcast(able.withColumn("able", F.lit(True))), ["contest_id", "method"], "left")
+    grid = o.select(*K).distinct().join(at.select("contest_id", "origin_h"), "contest_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
+    j = grid.join(f, [*K, "origin_h", "method"], "left").join(n, [*K, "origin_h"], "left").join(able.withColumn("able", F.lit(True)), ["contest_id", "method"], "left")
     ok = F.col("prediction").isNotNull() & ~F.isnan("prediction")
     why = F.when(F.col("rows").isNull(), "no_rows").when(F.col("method").isin(*METHODS[:3]) & F.col("able").isNull(), "no_history").otherwise("no_forecast")
     j = j.select(*K, "origin_h", "method", F.when(ok, F.col("prediction")).alias("prediction"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(~ok, why).alias("reason"))
@@ -112,9 +112,9 @@ def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressur
 def checks(spark, d) -> DataFrame:
     """(contest_id, tier, run, check_hour, actual_at): the curve checks of each planned run on all tiers of its contest, with the score there."""
     c = A.contests(spark, d)
-    h = E.curve_check_hours(E.snapshot_plan(c), c).select("contest_id", (F.col("contest_id") * RUN + F.round(F.col("hour") * 4).cast("long")).alias("run"), "check", F.col("check_hour").alias("hours"))
+    h = E.curve_check_hours(E.snapshot_plan(c), c).select("contest_id", (F.col("contest_id") * RUN + F.round(F.col("hour") * PER_HOUR).cast("long")).alias("run"), "check", F.col("check_hour").alias("hours"))
     s = cut(canonical(spark, d))
-    return S.lookup_curve(s.select(*K).distinct().join(F.broadcast(h), "contest_id").select(*K, "hours", "run", "check"), s, out="actual_at").withColumnRenamed("hours", "check_hour")
+    return S.lookup_curve(s.select(*K).distinct().join(h, "contest_id").select(*K, "hours", "run", "check"), s, out="actual_at").withColumnRenamed("hours", "check_hour")
 
 
 def snapshots(spark, d, k: int = 3) -> DataFrame:
@@ -130,7 +130,7 @@ def snapshots(spark, d, k: int = 3) -> DataFrame:
     mse = S.lookup_curve(at, curve, out="predicted_at").groupBy(*K).agg(F.avg(rel * rel).alias("curve_mse"))
     few = seen_by(o, r).groupBy(*K).agg(F.count("*").alias("rows"))
     enough = causal_history(spark, d, k).groupBy(F.col("target_id").alias("of")).agg(F.count("*").alias("histories"))
-    grid = o.select(F.col("contest_id").alias("of"), "tier").distinct().join(F.broadcast(r.select("of", "contest_id")), "of").join(F.broadcast(enough), "of", "left").drop("of")
+    grid = o.select(F.col("contest_id").alias("of"), "tier").distinct().join(r.select("of", "contest_id"), "of").join(enough, "of", "left").drop("of")
     j = grid.join(M.path_end(path).select(*K, F.col("final").alias("prediction")), K, "left").join(mse, K, "left").join(few, K, "left")
     ok = F.col("prediction").isNotNull() & (F.coalesce("rows", F.lit(0)) >= 3) & (F.coalesce("histories", F.lit(0)) >= k)
     j = j.select(*K, F.when(ok, F.col("prediction")).alias("prediction"), F.when(ok, F.col("curve_mse")).alias("curve_mse"), F.when(ok, "success").otherwise("skipped").alias("status"))

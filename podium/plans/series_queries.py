@@ -125,7 +125,7 @@ def w10(spark, d):
 @query("w12_unpivot_surface", "SELECT contest_id, tier, (time_ms - start_at) / 3600000.0 AS hours, arg_max(score, seq) AS score FROM dirty JOIN contests USING (contest_id) WHERE tier <> 999 AND time_ms BETWEEN start_at AND end_at GROUP BY contest_id, tier, time_ms, start_at")
 def w12(spark, d):
     c = A.contests(spark, d)
-    o = A.obs_dirty(spark, d).join(F.broadcast(c.select("contest_id", "start_at")), "contest_id").withColumn("hours", (F.col("time_ms") - F.col("start_at")) / 3_600_000.0)
+    o = A.obs_dirty(spark, d).join(c.select("contest_id", "start_at"), "contest_id").withColumn("hours", (F.col("time_ms") - F.col("start_at")) / 3_600_000.0)
     return S.unpivot_surface(S.pivot_surface(o, TRAINING_TIERS), c)
 
 

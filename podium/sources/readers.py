@@ -86,6 +86,11 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark, path).select("file", F.map_concat(rest, own).alias("params"))
 
 
+def preset(spark: SparkSession, path: str) -> dict[str, float]:
+    """The settings of one preset file, as operators take them."""
+    return dict(read_presets(spark, path).first()["params"])
+
+
 def read_hour_profile(spark: SparkSession, path: str) -> DataFrame:
     """(day_type, hour, mean, median, std, cnt) of a nested profile {day type: {hour: stats or null}}."""
     d = _documents(spark, path).select(F.explode(F.from_json("doc", "MAP<STRING, MAP<STRING, STRUCT<mean: DOUBLE, median: DOUBLE, std: DOUBLE, count: BIGINT>>>")).alias("day_type", "hours"))

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from podium.operators import evaluate as E
 from podium.operators import joins as J
 from podium.operators import models as M
 from podium.operators import series as S
+from podium.schema import violations
 from podium.sources import readers as R
 from podium.streaming import live as L
 
@@ -240,6 +242,11 @@ def test_readers_round_trip(spark, tmp_path):
     (tmp_path / "preset.json").write_text('{"_meta": {}, "params": {"ratio_min": 0.5, "note": "x"}}')
     p = R.read_presets(spark, str(tmp_path / "preset.json")).first()["params"]
     assert p["ratio_min"] == 0.5 and p["ratio_max"] == 4.0
+    learned = {"weekend_multiplier": 1.13, "smooth_thresh1": 0.4, "refit_start_hours": 5.0, "kf_adaptive_R_numerator": 4068.0, "kf_trend_half_life_hours": 1.02, "duration_align_log_full_weight": 0.08, "scale_max": 2.0}
+    (tmp_path / "learned.json").write_text(json.dumps({"params": learned}))
+    config = R.preset(spark, str(tmp_path / "learned.json"))
+    assert all(config[k] == v for k, v in learned.items()) and config["kf_scale_clip_max"] == 3.0 and config["smooth_thresh2"] == 0.65 and not violations(config)
+    assert len(violations(config | {"smooth_thresh1": 0.9, "kf_base_R": 0.0, "ratio_min": 9.0})) == 3
     prof = frame(spark, [("weekday", h, 0.5, 0.4, 0.1, 3 if h else 0) for h in range(24)], "day_type string, hour int, mean double, median double, std double, cnt long")
     R.write_hour_profile(prof, str(tmp_path / "prof"))
     back = R.read_hour_profile(spark, str(tmp_path / "prof"))
@@ -260,12 +267,81 @@ def test_rejected_prefixes_say_why(spark):
 
 
 def test_live_scale_equals_its_batch_twin(spark, tmp_path):
+    """Over 1000 rows of a contest in a micro-batch, whose pieces overlap in time."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [(1, u, t * H, float(v * t * t), u * 10 + t) for u, v in ((1, 6000), (2, 6200), (3, 6100)) for t in range(4)]
+    rows = [(c, u, t * H // 7, float((u * 7919 + t * t * (u % 13) * 31 + c) % 9973 + 400 * t), u * 100 + t) for c in (1, 2) for u in range(50) for t in range(40)]
     base = frame(spark, rows, "contest_id long, uid long, time_ms long, value double, seq long")
-    base.repartitionByRange(2, "time_ms").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(base.schema).parquet(str(tmp_path / "in"))
-    q = L.live_scale(stream).writeStream.outputMode("update").format("memory").queryName("scales").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    base.repartitionByRange(2, "time_ms").sortWithinPartitions("uid").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = L.live_player_speeds(stream).writeStream.outputMode("update").format("memory").queryName("speeds").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert spark.table("scales").collect()[-1]["scale"] == pytest.approx(G.scale_from_points(base).first()["scale"])
+    got = {r["contest_id"]: r["scale"] for r in L.live_scale(spark.table("speeds")).collect()}
+    assert got == pytest.approx({r["contest_id"]: r["scale"] for r in G.scale_from_points(base).collect()}) and len(got) == 2
+
+
+def test_quality_report_keeps_origins_apart(spark):
+    o = frame(spark, [(1, 10, t * H, float(t), t * H, t) for t in range(5)], "contest_id long, tier int, time_ms long, score double, available_at long, seq long")
+    at, tiers = frame(spark, [(1, 2 * H), (1, 9 * H)], "contest_id long, origin_ms long"), frame(spark, [(10,), (20,)], "tier int")
+    got = {(r["origin_ms"], r["tier"]): r for r in G.tier_quality_report(o, at, tiers).collect()}
+    assert [(got[m, 10][c]) for m in (2 * H, 9 * H) for c in ("raw_rows", "usable", "post_origin", "duplicate_rows")] == [5, 3, 2, 0, 5, 5, 0, 0]
+    assert got[2 * H, 20]["status"] == "missing" and got[9 * H, 10]["availability"] == "explicit_row_level"
+    late = o.drop("available_at").withColumn("response_at", F.lit(3 * H))
+    said = {r["origin_ms"]: (r["usable"], r["future_available"], r["availability"]) for r in G.tier_quality_report(late, at, tiers.where("tier = 10")).collect()}
+    assert said == {2 * H: (0, 3, "explicit_response_level"), 9 * H: (5, 0, "explicit_response_level")}
+    bare = G.tier_quality_report(o.drop("available_at"), at, tiers.where("tier = 10")).collect()
+    assert {r["availability"] for r in bare} == {"unknown_degraded_timestamp_only"} and [r["usable"] for r in sorted(bare, key=lambda r: r["origin_ms"])] == [3, 5]
+    odd = o.withColumn("score", F.lit(None).cast("double"))
+    assert {r["status"] for r in G.tier_quality_report(odd, at, tiers.where("tier = 10")).collect()} == {"invalid_schema"}
+    partial = o.withColumn("available_at", F.when(F.col("seq") != 1, F.col("available_at")))
+    r = G.quality_rollup(G.tier_quality_report(partial, at, tiers)).orderBy("origin_ms").collect()
+    assert [(x["usable"], x["missing"], x["availability"]) for x in r] == [(2, [20], "degraded_timestamp_only"), (4, [20], "degraded_timestamp_only")]
+
+
+def test_scales_of_two_origins(spark):
+    p = frame(spark, [(1, 1, t * H, 600.0 * t * t, t) for t in range(4)], "contest_id long, uid long, time_ms long, value double, seq long")
+    o = frame(spark, [(1, H), (1, 3 * H)], "contest_id long, origin_ms long")
+    assert {r["origin_ms"]: r["scale"] for r in G.scale_from_points(p, o).collect()} == pytest.approx({H: 10.0, 3 * H: 30.0})
+
+
+def test_causal_history_beyond_the_frame(spark, monkeypatch):
+    """Ids against time: what the nearest ids lack is found by the join."""
+    monkeypatch.setattr(J, "NEAR", 6)
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        start = r.randint(0, 50) * H
+        rows.append((i, start, start + 4 * H, start + 4 * H, r.choice("ab")))
+    c = frame(spark, rows, "contest_id long, start_at long, end_at long, aggregate_at long, contest_type string")
+    s = frame(spark, [(i, 1.0) for i in range(60) if i % 4], "contest_id long, scale double")
+    want = []
+    for i, start, _, _, kind in rows:
+        near = [h for h in reversed(rows) if h[0] < i and h[4] == kind and h[2] < start][:5]
+        want += [(i, h[0], k + 1) for k, h in enumerate([h for h in near if h[0] % 4][:2])]
+    assert sorted(tuple(x) for x in J.select_history(c, s, 2, (), "causal").collect()) == sorted(want) and want
+
+
+def test_plans_of_short_and_long_contests(spark):
+    c = frame(spark, [(k, 0, h * H, h * H, "a") for k, h in enumerate((10, 20, 30, 226))], "contest_id long, start_at long, end_at long, aggregate_at long, contest_type string")
+    plan = E.snapshot_plan(c)
+    got = {}
+    for r in plan.collect():
+        got.setdefault(r["contest_id"], []).append((r["bucket"], r["hour"]))
+    assert got[0] == [(-1, 18.0)] and got[1] == [(-1, 18.0)] and len(got[3]) == 5
+    assert all(18 <= h <= max(18.0, 0.9 * 30) for _, h in got[2]) and all(b >= 3 for b, _ in got[2])
+    for b, h in got[3]:
+        lo, hi = E.BUCKETS[b]
+        assert lo * 226 - 1e-4 <= h <= hi * 226 + 1e-4
+    checks = E.curve_check_hours(plan.where("contest_id = 3"), c).collect()
+    assert len(checks) == 15 and all(r["hour"] < r["check_hour"] <= 226 for r in checks)
+
+
+def test_no_plan_has_nested_loops_over_rows(spark):
+    """What models join is joined by keys, or one side is a row."""
+    d = "/root/testdata/sf0.001"
+    from podium.plans import aggregate_queries as Q
+    from podium.plans import model_queries as MQ
+
+    for f in (MQ.m8_fixed, MQ.m19, Q.j1_causal):
+        plan = f(spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -12,7 +12,7 @@ from podium.plans import adapters as A
 from podium.plans.clean_queries import DAY_TYPE, LOCAL
 from podium.plans.registry import query
 from podium.plans.series_queries import scales
-from podium.schema import HOUR_MS, K
+from podium.schema import HOUR_MS, TRAINING_TIERS, K
 from podium.session import cut
 
 T0 = A.T0
@@ -298,10 +298,17 @@ def u2(spark, d):
     return J.common_history(history(spark, d), b, 1).select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
 
 
+#: All rewards, at a rank of their class; but in every fourth contest at their own, where classes are ambiguous.
+RANKED = CLASSES.replace("FROM rewards)", """FROM (SELECT contest_id, reward_type, reward_id, CASE WHEN contest_id % 4 = 3 THEN to_rank
+  ELSE [50, 100, 300, 500, 1000, 2000][(contest_id * 5 + length(reward_type) + CASE WHEN reward_id >= 10000 THEN 1 ELSE 0 END) % 6 + 1] END AS to_rank FROM rewards))""")
+
+
 @query("j11_map_reward_class", """WITH c AS (SELECT * FROM cls WHERE rank IS NOT NULL), own AS (SELECT contest_id AS target_id, rank AS tier, max(reward_class) AS reward_class FROM c GROUP BY contest_id, rank HAVING count(*) = 1)
-SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id) JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + CLASSES)
+SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id) JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + RANKED)
 def j11(spark, d):
-    cls = G.reward_class_ranks(A.rewards(spark, d))
+    place = (F.col("contest_id") * 5 + F.length("reward_type") + F.coalesce((F.col("reward_id") >= 10_000).cast("int"), F.lit(0))) % 6
+    ranked = F.when(F.col("contest_id") % 4 == 3, F.col("to_rank")).otherwise(F.get(F.array(*[F.lit(t) for t in TRAINING_TIERS]), place.cast("int")))
+    cls = G.reward_class_ranks(A.rewards(spark, d).withColumn("to_rank", ranked))
     targets = cls.where("rank is not null").select(F.col("contest_id").alias("target_id"), F.col("rank").alias("tier")).distinct()
     return J.map_reward_class(targets, cls, history(spark, d))
 

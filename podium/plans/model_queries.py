@@ -308,13 +308,23 @@ def e3(spark, d):
     return n.join(E.per_contest_summary(b.where("status = 'success' and actual is not null")), "contest_id", "left").orderBy(F.desc_nulls_last("rel_mse"), "contest_id")
 
 
+#: Skeleton settings that the sweep tries over the defaults; the last one breaks a constraint.
+SKELETONS = {
+    "default": {},
+    "short_memory": {"kf_trend_half_life_hours": 6.0, "kf_Q_scale": 5e-5, "kf_adaptive_R_numerator": 4000.0},
+    "free_refit": {"refit_weight_scale": 4.0, "refit_conf_max": 0.6, "refit_recent_hours": 30.0},
+    "late_rush": {"panic_scaler": 1.3, "panic_ease_power": 1.5, "duration_param_align_max_weight": 0.4},
+    "no_room": {"smooth_thresh1": 0.7},
+}
+
+
 @query("e5_config_sweep")
 def e5(spark, d):
-    """Cohort strengths and transfer as configurations over the snapshot plan; the knots and templates are made once.
+    """Cohort strengths and transfer, and skeleton settings, as configurations over the snapshot plan; what they share is made once.
 
     A snapshot is forecast to its three checks and to the end: origin_h holds the origin and the hour forecast.
     """
-    from podium.plans.sweeps import sweep_cohort
+    from podium.plans.sweeps import sweep_cohort, sweep_skeleton
 
     c = A.contests(spark, d)
     r = cut(R.runs(c, R.planned(spark, d)))
@@ -325,10 +335,11 @@ def e5(spark, d):
     at = cut(M.mass_basis(at, c))
     k = run_knots(spark, d, r).withColumnRenamed("origin_h", "origin")
     k = k.join(at.select(*K, F.col("origin_h.origin").alias("origin"), "origin_h", F.col("basis").alias("end_basis")), [*K, "origin"]).drop("origin")
-    return sweep_cohort(k, templates(spark, d), c, at.select(*K, "origin_h", "actual"), [(0.0, False), (16.0, False), (64.0, False), (16.0, True)])
+    losses = sweep_cohort(k, templates(spark, d), c, at.select(*K, "origin_h", "actual"), [(0.0, False), (16.0, False), (64.0, False), (16.0, True), (-1.0, False)])
+    return losses.withColumn("config_id", F.concat(F.lit("cohort/"), "config_id")).unionByName(sweep_skeleton(spark, d, SKELETONS).withColumn("config_id", F.concat(F.lit("skeleton/"), "config_id")))
 
 
 @query("e6_benchmark")
 def e6(spark, d):
-    losses = e5(spark, d)
-    return E.leaderboard(losses)
+    """Both models and all their configurations by the loss on held-out contests."""
+    return E.leaderboard(e5(spark, d))

@@ -15,7 +15,7 @@ from podium.operators import series as S
 from podium.plans import adapters as A
 from podium.plans.aggregate_queries import normalised, profile
 from podium.plans.series_queries import canonical, scales
-from podium.schema import HOUR_MS, K
+from podium.schema import DEFAULTS, HOUR_MS, K
 from podium.session import cut
 
 #: A run's id is contest_id * RUN + its origin in ten-thousandths of an hour.
@@ -60,27 +60,37 @@ def causal_history(spark, d, k: int = 3) -> DataFrame:
     return J.select_history(A.contests(spark, d), scales(spark, d), k, (2,), mode="causal")
 
 
-def skeleton_paths(spark, d, r: DataFrame) -> DataFrame:
-    """skeleton_path of each run: its own rows, scale, ratio and refit up to the origin, from causal histories.
-
-    The hourly profile is one table for all contests, as it is for the other queries.
-    """
-    c, f = A.contests(spark, d), cut(G.season_factors(profile(spark, d)))
+def skeleton_inputs(spark, d, r: DataFrame, config: dict = DEFAULTS) -> dict:
+    """What skeleton_paths needs of runs and shares between configurations of one weekend_multiplier."""
+    c, f = A.contests(spark, d), cut(G.season_factors(profile(spark, d), config["weekend_multiplier"]))
     old = cut(G.attach_season_factor(normalised(spark, d), f))
     scale = cut(G.scale_from_points(seen_by(A.points(spark, d), r)))
     rows = C.elapsed_and_phase(seen_by(A.obs(spark, d), r), r.drop("of", "origin_h", "origin_ms"))
-    new = cut(G.attach_season_factor(S.attach_scale(S.interval_speed(rows), scale), f))
     ends = r.select("of", F.col("contest_id").alias("target_id"), "origin_h", total_h().alias("target_hours"))
     hist = causal_history(spark, d).withColumnRenamed("target_id", "of").join(ends, "of").join(c.select("contest_id", total_h().alias("history_hours")), "contest_id")
-    hist = cut(hist.select("target_id", "contest_id", "target_hours", "history_hours", F.lit(6.0).alias("t0"), F.col("origin_h").alias("t1")))
-    stats = G.blended_window_stats(hist.join(A.obs(spark, d).select(*K).distinct(), "contest_id"), old.select(*K, "hours", "norm_speed", "skeleton_speed"))
-    own = new.join(ends.select(F.col("target_id").alias("contest_id"), F.lit(6.0).alias("t0"), F.col("origin_h").alias("t1")), "contest_id")
+    return {
+        "factors": f, "old": old, "scale": scale, "new": cut(G.attach_season_factor(S.attach_scale(S.interval_speed(rows), scale), f)), "ends": cut(ends), "history": cut(hist),
+        "fits": cut(M.fit_skeleton(old, c)), "tiers": cut(A.obs(spark, d).select(*K).distinct()), "seen": cut(seen_by(canonical(spark, d), r)), "weekend_multiplier": config["weekend_multiplier"],
+    }
+
+
+def skeleton_paths(spark, d, r: DataFrame, config: dict = DEFAULTS, inputs: dict | None = None) -> DataFrame:
+    """skeleton_path of each run: its own rows, scale, ratio and refit up to the origin, from causal histories.
+
+    The hourly profile is one table for all contests, as it is for the other queries.
+    """
+    x = inputs if inputs and inputs["weekend_multiplier"] == config["weekend_multiplier"] else skeleton_inputs(spark, d, r, config)
+    t1 = F.least(F.col("origin_h"), F.greatest(F.lit(float(config["t_end_cap"])), F.col("target_hours") - 24))
+    window = x["ends"].select("target_id", F.lit(float(config["t_start_cmp"])).alias("t0"), t1.alias("t1"))
+    hist = x["history"].join(window, "target_id").select("target_id", "contest_id", "target_hours", "history_hours", "t0", "t1")
+    stats = G.blended_window_stats(hist.join(x["tiers"], "contest_id"), x["old"].select(*K, "hours", "norm_speed", "skeleton_speed"), config)
+    own = x["new"].join(window.withColumnRenamed("target_id", "contest_id"), "contest_id")
     t = own.groupBy(*K).agg(F.max("hours").alias("observed_h")).join(G.window_intensity(own, K), K, "left").join(G.window_mean(own, "norm_speed", K, "norm_mean"), K, "left")
-    ratio = G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), stats)
-    mean = hist.join(cut(M.fit_skeleton(old, c)), "contest_id").groupBy("target_id", "tier").agg(*[F.avg(x).alias(x) for x in M.PARAMS], F.avg("history_hours").alias("history_h"), F.max("target_hours").alias("target_h"))
-    p = M.align_duration(mean.join(ratio, ["target_id", "tier"])).withColumnRenamed("target_id", "contest_id").withColumn("total_h", F.col("target_h"))
-    p = M.refit_local(S.refit_window(new), p.select(*K, *M.PARAMS, "total_h"))
-    return M.skeleton_path(cut(p), cut(seen_by(canonical(spark, d), r)), r.drop("of", "origin_h", "origin_ms"), scale, f)
+    ratio = G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), stats, config)
+    mean = hist.join(x["fits"], "contest_id").groupBy("target_id", "tier").agg(*[F.avg(p).alias(p) for p in M.PARAMS], F.avg("history_hours").alias("history_h"), F.max("target_hours").alias("target_h"))
+    p = M.align_duration(mean.join(ratio, ["target_id", "tier"]), config).withColumnRenamed("target_id", "contest_id").withColumn("total_h", F.col("target_h"))
+    p = M.refit_local(S.refit_window(x["new"], config), p.select(*K, *M.PARAMS, "total_h"), config)
+    return M.skeleton_path(cut(p), x["seen"], r.drop("of", "origin_h", "origin_ms"), x["scale"], x["factors"], config)
 
 
 def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressure: DataFrame) -> DataFrame:
@@ -117,15 +127,15 @@ def checks(spark, d) -> DataFrame:
     return S.lookup_curve(s.select(*K).distinct().join(h, "contest_id").select(*K, "hours", "run", "check"), s, out="actual_at").withColumnRenamed("hours", "check_hour")
 
 
-def snapshots(spark, d, k: int = 3) -> DataFrame:
+def snapshots(spark, d, k: int = 3, config: dict = DEFAULTS, shared: dict | None = None) -> DataFrame:
     """(contest_id, tier, origin_h, status, prediction, actual, curve_mse): skeleton forecasts at every planned snapshot; skipped with under three rows or k histories."""
     c, o = A.contests(spark, d), A.obs(spark, d)
-    r = cut(runs(c, planned(spark, d)))
-    path = cut(skeleton_paths(spark, d, r))
+    r = shared["runs"] if shared else cut(runs(c, planned(spark, d)))
+    path = cut(skeleton_paths(spark, d, r, config, shared))
     w = W.partitionBy(*K).orderBy("hours").rowsBetween(W.unboundedPreceding, 0)
     ahead = path.where("hours >= now_h").select(*K, "hours", (F.col("score_now") + F.sum("gain").over(w)).alias("score"))
     curve = ahead.unionByName(path.groupBy(*K).agg(F.max("now_h").alias("hours"), F.max("score_now").alias("score"))).groupBy(*K, "hours").agg(F.max("score").alias("score"))
-    at = checks(spark, d).select(F.col("run").alias("contest_id"), "tier", F.col("check_hour").alias("hours"), "actual_at")
+    at = (shared["checks"] if shared else checks(spark, d)).select(F.col("run").alias("contest_id"), "tier", F.col("check_hour").alias("hours"), "actual_at")
     rel = (F.col("predicted_at") - F.col("actual_at")) / F.greatest(F.col("actual_at"), F.lit(1.0))
     mse = S.lookup_curve(at, curve, out="predicted_at").groupBy(*K).agg(F.avg(rel * rel).alias("curve_mse"))
     few = seen_by(o, r).groupBy(*K).agg(F.count("*").alias("rows"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.operators import models as M
-from podium.schema import K
+from podium.plans import adapters as A
+from podium.plans import replays as R
+from podium.schema import DEFAULTS, K, violations
 from podium.session import cut
 
 
@@ -32,3 +34,24 @@ def sweep_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, tr
     return out
 
 
+def sweep_skeleton(spark, d: str, configs: dict[str, dict], holdout_from: int = 7, curve_weight: float = 0.5) -> DataFrame:
+    """(config_id, split, objective): losses of skeleton configurations (settings over the defaults) on the snapshot plan.
+
+    Runs, fits and checks are made once. A configuration that breaks constraints is not run; its loss says how many.
+    """
+    r = cut(R.runs(A.contests(spark, d), R.planned(spark, d)))
+    shared = {"runs": r, "checks": cut(R.checks(spark, d))} | R.skeleton_inputs(spark, d, r)
+    out, broken = [], []
+    for name, own in configs.items():
+        config = DEFAULTS | own
+        if bad := violations(config):
+            broken.append((name, 1e6 + 1000.0 * len(bad)))
+            continue
+        rows = R.snapshots(spark, d, config=config, shared=shared).where("status = 'success' and actual is not null")
+        rel = (F.col("prediction") - F.col("actual")) / F.greatest(F.col("actual"), F.lit(1.0))
+        split = F.when(F.col("contest_id") >= holdout_from, "holdout").otherwise("train")
+        g = rows.groupBy(split.alias("split")).agg((F.avg(rel * rel) + curve_weight * F.coalesce(F.avg("curve_mse"), F.lit(0.0))).alias("objective"))
+        out.append(g.select(F.lit(name).alias("config_id"), "split", "objective"))
+    if broken:
+        out.append(spark.createDataFrame([(n, p, x) for n, x in broken for p in ("train", "holdout")], "config_id string, split string, objective double"))
+    return reduce(DataFrame.unionByName, out)

@@ -16,7 +16,7 @@ def test_reward_classes_of_every_reward_are_mapped(spark, monkeypatch):
     rewards = spark.createDataFrame([(c, "deco_pins", i, 50 * c) for c in (1, 2) for i in (4, 50)], "contest_id long, reward_type string, reward_id long, to_rank int")
     monkeypatch.setattr(A, "rewards", lambda spark, d: rewards)
     monkeypatch.setattr(Q, "history", lambda spark, d: spark.createDataFrame([(2, 1, 1)], "target_id long, contest_id long, rank int"))
-    assert [tuple(r) for r in Q.j11(spark, "").collect()] == [(2, 100, "deco_pins", 1, 50)]
+    assert [tuple(r) for r in Q.j11(spark, "").collect()] == [(2, 100, "deco_pins", 1, 300)]
 
 
 def test_pace_components_of_every_tier(spark):

@@ -238,10 +238,14 @@ kf(contest_id, tier, k, s, t, a, b, d) AS (SELECT DISTINCT contest_id, tier, CAS
     0.1 + 20 / (st.m + 1) + CASE WHEN abs(st.d / st.m - greatest(0.1, least(5, st.d / st.m))) > 0.1 THEN 100 ELSE 0 END AS r FROM kf JOIN st ON st.contest_id = kf.contest_id AND st.tier = kf.tier AND st.k = kf.k + 1)))
 SELECT contest_id, tier, round(arg_max(s, k), 6) AS scale, round(arg_max(t, k), 6) AS trend FROM kf GROUP BY ALL""", extra=CANON)
 def m11(spark, d):
+    return M.kalman_strength(kalman_steps(spark, d)).select(*K, F.round("scale", 6).alias("scale"), F.round("trend", 6).alias("trend"))
+
+
+def kalman_steps(spark, d):
+    """Hourly steps (step, delta, model) with a stated model."""
     hourly = canonical(spark, d).groupBy(*K, F.floor("hours").alias("h")).agg(F.max("score").alias("top"))
     w = W.partitionBy(*K).orderBy("h")
-    steps = hourly.select(*K, (F.row_number().over(w) - 1).alias("step"), (F.col("top") - F.coalesce(F.lag("top").over(w), F.lit(0.0))).alias("delta"), (40 + 2.0 * F.col("h")).alias("model"))
-    return M.kalman_strength(steps).select(*K, F.round("scale", 6).alias("scale"), F.round("trend", 6).alias("trend"))
+    return hourly.select(*K, (F.row_number().over(w) - 1).alias("step"), (F.col("top") - F.coalesce(F.lag("top").over(w), F.lit(0.0))).alias("delta"), (40 + 2.0 * F.col("h")).alias("model"))
 
 
 @query("w11_refit_window", "SELECT contest_id, tier, count(*) AS n, round(max(hours), 4) AS last_h, round(greatest(0, least(0.35, (max(hours) - min(hours)) / 72)), 6) AS conf FROM (SELECT *, max(hours) OVER (PARTITION BY contest_id, tier) AS m FROM sk) WHERE hours >= 6 AND hours >= m - 48 GROUP BY ALL", speed=True, extra=NORM)

@@ -1,14 +1,45 @@
-"""Queries of the live operators over the stored rows: what their streams give once all has arrived."""
+"""Queries of the live operators: streams over the stored rows, in several micro-batches, and their batch forms."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.plans import adapters as A
-from podium.plans.registry import query
+from podium.plans.model_queries import kalman_steps
+from podium.plans.registry import ORACLES, query
+from podium.plans.source_queries import scratch
 from podium.schema import K
+from podium.session import cut
 from podium.streaming import live as L
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def streamed(spark: SparkSession, rows: DataFrame, order: str, files: int = 3) -> DataFrame:
+    """rows as a stream of `files` micro-batches, in the order of a column: ranges are written one after the other, as files arrive."""
+    at = scratch(spark)
+    ranges = cut(rows.repartitionByRange(files, order).withColumn("range", F.spark_partition_id()))
+    for k in range(files):
+        ranges.where(F.col("range") == k).drop("range").write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def arrived(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has written once all has arrived, with `batch`, the micro-batch of each row."""
+    at, before = scratch(spark), spark.conf.get(_PROVIDER, None)
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/out/{batch}")  # a batch that is run again replaces itself
+
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    return spark.read.parquet(f"{at}/out/*")
+
 
 @query("st1_merge_versions", "SELECT contest_id, tier, time_ms, score, min(available_at) AS available_at FROM dirty GROUP BY ALL")
 def st1(spark, d):
@@ -31,3 +62,34 @@ def st3(spark, d):
 def st5(spark, d):
     g = L.live_speed_windows(A.obs(spark, d).withColumn("ts", F.timestamp_millis("time_ms")))
     return g.select(*K, F.unix_millis("window.start").alias("window_ms"), F.round("gain", 2).alias("gain"))
+
+
+@query("st1_first_seen_stream", "SELECT contest_id, tier, time_ms, count(*) AS n FROM (SELECT DISTINCT contest_id, tier, time_ms, score FROM dirty) GROUP BY ALL")
+def st1_stream(spark, d):
+    """Every row twice in the stream, within the watermark of one another: each identity passes once."""
+    o = A.obs_dirty(spark, d).withColumn("ts", F.timestamp_millis("time_ms"))
+    s = streamed(spark, o.unionByName(o.withColumn("seq", F.col("seq") + 1)), "time_ms")
+    return arrived(spark, L.first_seen_versions(s, "400 days")).groupBy(*K, "time_ms").agg(F.count("*").alias("n"))
+
+
+@query("st2_latest_view_stream", "SELECT contest_id, tier, time_ms, arg_max(score, (available_at, seq)) AS score FROM dirty GROUP BY ALL")
+def st2_stream(spark, d):
+    out = arrived(spark, L.latest_view(streamed(spark, A.obs_dirty(spark, d), "seq")), "update")
+    return out.groupBy(*K, "time_ms").agg(F.max_by("score", "batch").alias("score"))
+
+
+@query("st4_live_scale", "SELECT contest_id, round(scale, 6) AS scale FROM scales", speed=True)
+def st4(spark, d):
+    s = streamed(spark, A.points(spark, d), "time_ms")
+    return L.live_scale(arrived(spark, L.live_player_speeds(s), "update")).select("contest_id", F.round("scale", 6).alias("scale"))
+
+
+@query("st6_live_strength")
+def st6(spark, d):
+    """The state after each micro-batch; the last one of a series is its strength."""
+    out = arrived(spark, L.live_strength_state(streamed(spark, kalman_steps(spark, d), "step")), "update")
+    last = out.groupBy(*K).agg(F.max_by(F.struct("scale", "trend"), "batch").alias("x"))
+    return last.select(*K, F.round("x.scale", 6).alias("scale"), F.round("x.trend", 6).alias("trend"))
+
+
+ORACLES["st6_live_strength"] = ORACLES["m11_kalman_strength"]

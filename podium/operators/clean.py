@@ -39,11 +39,13 @@ def usable(df: DataFrame) -> DataFrame:
     return flag_observation_defects(df).where("not invalid_time and not invalid_value").drop("invalid_time", "invalid_value")
 
 
-def strict_contest_gate(obs: DataFrame, contests: DataFrame, training: tuple = TRAINING_TIERS, source: str | None = None) -> DataFrame:
+def strict_contest_gate(obs: DataFrame, contests: DataFrame, training: tuple = TRAINING_TIERS, source: str | None = None, provenance: DataFrame | None = None, server: int | None = None) -> DataFrame:
     """(contest_id, accepted, reasons): the sorted defects of each contest; one is enough to reject all of it.
 
     Defects: end_not_after_start, bad_value, unknown_tier, duplicate_time, row_before_start, too_few_rows
-    (under two in the window for a tier), missing_training_tier, wrong_source.
+    (under two in the window for a tier), missing_training_tier, wrong_source. provenance: (contest_id, reward_tiers
+    array, last_appearance map[, server]) adds reward_tiers_differ, where the tiers are not the distinct last
+    appearances or a contest has none, and wrong_server.
     """
     c = contests.select("contest_id", "start_at", "end_at")
     flagged = flag_observation_defects(obs)
@@ -61,9 +63,16 @@ def strict_contest_gate(obs: DataFrame, contests: DataFrame, training: tuple = T
     )
     say = lambda cond, word: F.when(cond, word)
     joined = c.join(listed, "contest_id", "left")
+    more = []
+    if provenance is not None:
+        stated = F.sort_array(F.array_distinct("reward_tiers"))
+        same = (F.size(stated) == F.size("reward_tiers")) & (stated == F.sort_array(F.array_distinct(F.map_values("last_appearance"))))
+        foreign = F.coalesce(F.col("server") != server, F.lit(True)) if server is not None else F.lit(False)
+        joined = joined.join(provenance.select("contest_id", (~F.coalesce(same, F.lit(False))).alias("differ"), foreign.alias("foreign_server")), "contest_id", "left")
+        more = [say(F.coalesce("differ", F.lit(True)), "reward_tiers_differ"), say(F.coalesce("foreign_server", F.lit(server is not None)), "wrong_server")]
     reasons = F.array_sort(F.array_compact(F.array(
         say(F.col("end_at") <= F.col("start_at"), "end_not_after_start"), say(F.col("bad") == 1, "bad_value"), say(F.col("odd"), "unknown_tier"), say(F.col("dup"), "duplicate_time"),
-        say(F.col("early") == 1, "row_before_start"), say(F.coalesce("inside", F.lit(0)) < 2, "too_few_rows"), say(F.coalesce("have", F.lit(0)) < len(training), "missing_training_tier"), say(F.col("foreign") == 1, "wrong_source"))))
+        say(F.col("early") == 1, "row_before_start"), say(F.coalesce("inside", F.lit(0)) < 2, "too_few_rows"), say(F.coalesce("have", F.lit(0)) < len(training), "missing_training_tier"), say(F.col("foreign") == 1, "wrong_source"), *more)))
     return joined.select("contest_id", (F.size(reasons) == 0).alias("accepted"), F.array_join(reasons, ",").alias("reasons"))
 
 
@@ -139,6 +148,13 @@ def local_time(time_ms: Column) -> Column:
     return F.timestamp_millis((time_ms + ZONE_MS).cast("long"))
 
 
+def parse_local_time(text: Column) -> Column:
+    """Milliseconds of `yyyy-MM-dd HH:mm[:ss]` at UTC+8, whatever the session's zone; null for anything else."""
+    fits = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}(:\d{2})?$")
+    at = F.when(fits, F.try_to_timestamp(F.concat(F.rpad(F.trim(text), 19, ":00"), F.lit("+08:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+    return F.unix_millis(at)
+
+
 def day_type(time_ms: Column, is_workday: Column | None = None) -> Column:
     """weekday or weekend at UTC+8: Friday from 17 o'clock is weekend, Sunday from 23 weekday; then the calendar, if there is one, else Saturday and Sunday."""
     at = local_time(time_ms)
@@ -186,12 +202,20 @@ def prefix_gate(prefixes: DataFrame, expected: DataFrame | None = None) -> DataF
     return out.select(*keys, F.col("reason").isNull().alias("valid"), "reason")
 
 
-def evaluation_gate(contests: DataFrame, obs: DataFrame, reward_tiers: DataFrame, as_of_ms: int) -> DataFrame:
-    """(contest_id, status): evaluable, or the first thing that prevents it. reward_tiers: (contest_id, tier)."""
+def evaluation_gate(contests: DataFrame, obs: DataFrame, reward_tiers: DataFrame, as_of_ms: int, requested: DataFrame | None = None) -> DataFrame:
+    """(contest_id, status): evaluable, or the first thing that prevents it. reward_tiers: (contest_id, tier).
+
+    requested: (contest_id, tier), what was to be collected; other tiers than these in obs are inconsistent.
+    """
     post = obs.join(contests.select("contest_id", "end_at"), "contest_id").groupBy(*K).agg(F.max(F.col("time_ms") > F.col("end_at")).alias("has_post"))
     per = reward_tiers.distinct().join(post, K, "left").groupBy("contest_id").agg(F.count("*").alias("tiers"), F.count_if(F.col("has_post").isNull()).alias("untracked"), F.count_if(~F.col("has_post")).alias("unfinished"))
     status = (
         F.when(F.coalesce("tiers", F.lit(0)) == 0, "not_applicable").when(F.col("end_at") >= as_of_ms, "not_completed")
-        .when(F.col("untracked") > 0, "reward_tier_without_tracker").when(F.col("unfinished") > 0, "reward_tier_without_final").otherwise("evaluable")
+        .when(F.col("untracked") > 0, "reward_tier_without_tracker").when(F.col("unfinished") > 0, "reward_tier_without_final")
     )
-    return contests.join(per, "contest_id", "left").select("contest_id", status.alias("status"))
+    rows = contests.join(per, "contest_id", "left")
+    if requested is not None:
+        want, have = (df.groupBy("contest_id").agg(F.sort_array(F.collect_set("tier")).alias(n)) for df, n in ((requested, "want"), (obs, "have")))
+        rows = rows.join(want, "contest_id", "left").join(have, "contest_id", "left")
+        status = status.when(~F.col("want").eqNullSafe(F.col("have")), "tiers_inconsistent")
+    return rows.select("contest_id", status.otherwise("evaluable").alias("status"))

@@ -411,3 +411,8 @@ def what_if_path(targets: DataFrame, points: DataFrame, factors: DataFrame, conf
     run = F.sum(step).over(seg.orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     g = g.withColumns({"need": need, "run": run})
     return g.select(*K, "segment", "hours", (F.col("s0") + F.col("run") * F.col("need")).alias("score"), (F.col("speed_norm") * F.col("need") / 60).alias("norm_speed"), F.lit(True).alias("is_manual"))
+
+
+def with_path(prefix: DataFrame, path: DataFrame) -> DataFrame:
+    """(contest_id, tier, hours, score, is_manual): a prefix and what_if_path's rows behind it, for a forecast that goes on from the last assumed point."""
+    return prefix.select(*K, "hours", "score", F.lit(False).alias("is_manual")).unionByName(path.select(*K, "hours", "score", "is_manual"))

@@ -144,6 +144,14 @@ def prefix_join(obs: DataFrame, origins: DataFrame) -> DataFrame:
     return obs.join(origins, "contest_id").where("time_ms <= origin_ms")
 
 
+def last_rows(obs: DataFrame, origins: DataFrame, n: int = 2) -> DataFrame:
+    """The n last rows between any two origins of a series: all that what looks at a prefix's last n rows needs, and few to repeat for each origin."""
+    at = origins.groupBy("contest_id").agg(F.collect_set("origin_ms").alias("__at"))
+    rows = obs.join(at, "contest_id").withColumn("__k", F.size(F.filter("__at", lambda o: o < F.col("time_ms")))).where(F.col("__k") < F.size("__at"))
+    w = W.partitionBy(*K, "__k").orderBy(F.desc("time_ms"), F.desc("seq"))
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__at", "__k", "__r")
+
+
 def prefix_totals(obs: DataFrame, origins: DataFrame) -> DataFrame:
     """(contest_id, tier, origin_h, rows, last_score, max_score) of each prefix, without repeating rows: by the first origin that sees a row, then running."""
     step = origins.groupBy("contest_id").agg(F.min("origin_ms").alias("first_ms"), F.min("origin_h").alias("step_h"))

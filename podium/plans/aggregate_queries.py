@@ -251,6 +251,15 @@ def a24(spark, d):
     return features(spark, d).select(*K, "points", F.round("coverage", 6).alias("coverage"), F.round("signed_rel", 6).alias("signed_rel"))
 
 
+@query("a24_panic_hours", f"SELECT contest_id, tier, points, round(panic_h, 6) AS panic_h FROM (SELECT ft.*, 20.0 + contest_id AS panic_h FROM ft)", extra=FEATURES)
+def a24_panic(spark, d):
+    """The length of the final phase, which begins at a stated hour."""
+    o, c = A.obs(spark, d), A.contests(spark, d)
+    start = (F.col("end_at") - F.col("start_at")) / float(HOUR_MS) - 20.0 - F.col("contest_id")
+    panic = o.select(*K).distinct().join(c, "contest_id").select(*K, start.alias("panic_start_h"))
+    return G.activity_features(o, c, G.final_truth(o, c, "last"), panic).select(*K, "points", F.round("panic_h", 6).alias("panic_h"))
+
+
 @query("a24_standardize", "SELECT contest_id, tier, points, round((coverage - avg(coverage) OVER ()) / greatest(stddev_pop(coverage) OVER (), 1e-9), 6) AS coverage, round((signed_rel - avg(signed_rel) OVER ()) / greatest(stddev_pop(signed_rel) OVER (), 1e-9), 6) AS signed_rel FROM ft", extra=FEATURES)
 def a24_z(spark, d):
     return G.standardize(features(spark, d), ["coverage", "signed_rel"]).select(*K, "points", F.round("coverage", 6).alias("coverage"), F.round("signed_rel", 6).alias("signed_rel"))

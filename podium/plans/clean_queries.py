@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from podium.operators import aggregates as G
 from podium.operators import clean as C
 from podium.plans import adapters as A
 from podium.plans.registry import query
-from podium.schema import HOUR_MS, K
+from podium.schema import HOUR_MS, TRAINING_TIERS, K
 
 T0 = A.T0
 
@@ -119,3 +120,40 @@ FROM contests c LEFT JOIN t USING (contest_id) LEFT JOIN p ON p.contest_id = t.c
 def f16(spark, d):
     tiers = A.rewards(spark, d).where("reward_type = 'deco_pins' and contest_id <> 5").select("contest_id", F.col("to_rank").alias("tier"))
     return C.evaluation_gate(A.contests(spark, d), A.obs(spark, d).where("tier <> 500 or contest_id <> 3"), tiers, T0 + 2_300_000_000)
+
+
+@query("f4_reward_provenance", """WITH t AS (SELECT contest_id, list_sort(list_distinct(list(last))) AS tiers, max(n) AS n FROM (
+    SELECT contest_id, CASE WHEN reward_id IS NULL THEN reward_type ELSE reward_type || ':' || reward_id END AS k, max(to_rank) AS last, contest_id % 4 AS n FROM rewards
+    WHERE reward_type NOT IN ('item', 'practice_ticket', 'star', 'degree', 'bili_degree_effect') GROUP BY ALL) GROUP BY contest_id),
+p AS (SELECT c.contest_id, coalesce(CASE WHEN c.contest_id % 3 = 1 THEN list_slice(tiers, 2, 99) ELSE tiers END <> tiers, true) AS differ, c.contest_id % 4 = 2 AS foreign_server FROM contests c LEFT JOIN t USING (contest_id))
+SELECT contest_id, NOT differ AND NOT foreign_server AS accepted, array_to_string(list_filter([CASE WHEN differ THEN 'reward_tiers_differ' END, CASE WHEN foreign_server THEN 'wrong_server' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""")
+def f4_provenance(spark, d):
+    """Rewards' own tiers, but for a missing one in every third contest and another server in every fourth; the series are sound."""
+    c = A.contests(spark, d)
+    tiers = G.special_reward_tiers(A.rewards(spark, d)).withColumnRenamed("targets", "reward_tiers")
+    tiers = tiers.withColumn("reward_tiers", F.when(F.col("contest_id") % 3 == 1, F.slice("reward_tiers", 2, 99)).otherwise(F.col("reward_tiers")))
+    p = c.select("contest_id").join(tiers, "contest_id", "left").withColumn("server", F.when(F.col("contest_id") % 4 == 2, 0).otherwise(3))
+    rows = c.select("contest_id", "start_at", F.explode(F.array(*[F.lit(t) for t in TRAINING_TIERS])).alias("tier")).select("contest_id", "tier", F.explode(F.array(F.col("start_at"), F.col("start_at") + 1)).alias("time_ms"), F.lit(1.0).alias("score"))
+    return C.strict_contest_gate(rows, c, provenance=p, server=3)
+
+
+@query("f16_requested_tiers", """SELECT contest_id, CASE WHEN contest_id >= 9 THEN 'not_completed' WHEN contest_id % 2 = 1 OR have <> [50, 100, 300, 500, 1000, 2000] THEN 'tiers_inconsistent' ELSE 'evaluable' END AS status
+FROM contests LEFT JOIN (SELECT contest_id, list_sort(list_distinct(list(tier))) AS have FROM (SELECT contest_id, tier FROM obs UNION ALL SELECT contest_id, 1000 FROM contests) GROUP BY contest_id) USING (contest_id)""")
+def f16_requested(spark, d):
+    """Odd contests were to have a tier that nobody collected; each has a final row for the one reward tier."""
+    c = A.contests(spark, d)
+    final = c.select("contest_id", F.lit(1000).alias("tier"), (F.col("end_at") + 1).alias("time_ms"))
+    o = A.obs(spark, d).select("contest_id", "tier", "time_ms").unionByName(final)
+    want = c.select("contest_id", F.explode(F.when(F.col("contest_id") % 2 == 1, F.array(*[F.lit(t) for t in (10, *TRAINING_TIERS)])).otherwise(F.array(*[F.lit(t) for t in TRAINING_TIERS]))).alias("tier"))
+    now = A.T0 + 9 * A.SPAN
+    return C.evaluation_gate(c, o, final.select("contest_id", "tier"), now, want)
+
+
+@query("parse_local_time", "SELECT contest_id, count(*) AS n, count(*) FILTER (WHERE event_id % 5 <> 4) AS parsed, CAST(sum(CASE WHEN event_id % 5 = 4 THEN 0 WHEN event_id % 2 = 0 THEN time_ms // 1000 * 1000 ELSE time_ms // 60000 * 60000 END // 1000) AS BIGINT) AS total_s FROM ev GROUP BY contest_id")
+def parse_local(spark, d):
+    """Times written at UTC+8, with and without seconds, and every fifth one badly; read back."""
+    o = A.obs(spark, d).select("contest_id", "seq", "time_ms")
+    shown = F.date_format(C.local_time(F.col("time_ms")), "yyyy-MM-dd HH:mm:ss")
+    text = F.when(F.col("seq") % 5 == 4, F.concat(F.lit("on "), shown)).when(F.col("seq") % 2 == 0, shown).otherwise(F.substring(shown, 1, 16))
+    o = o.withColumn("ms", C.parse_local_time(text))
+    return o.groupBy("contest_id").agg(F.count("*").alias("n"), F.count("ms").alias("parsed"), F.sum((F.coalesce("ms", F.lit(0)) / 1000).cast("long")).alias("total_s"))

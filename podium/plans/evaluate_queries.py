@@ -21,7 +21,8 @@ def scored(spark, d):
     """Scoring rows of the naive forecasts at daily origins: (contest_id, tier, origin_h, method, status, reason, prediction, actual, contest_type, phase)."""
     o, c = A.obs(spark, d), A.contests(spark, d)
     grid = o.select(*K).distinct().join(S.daily_origins(c).select("contest_id", "origin_h"), "contest_id")
-    f = S.baseline_forecasts(S.prefix_join(o, S.daily_origins(c)), c)
+    at = S.daily_origins(c)
+    f = S.baseline_forecasts(S.prefix_join(S.last_rows(o, at), at), c)
     j = grid.join(f, [*K, "origin_h"], "left").unpivot([*K, "origin_h"], list(METHODS), "method", "prediction")
     # one method fails on purpose where its forecast is more than four times the last score
     j = j.withColumn("prediction", F.when((F.col("method") == "last_slope") & (F.col("contest_id") % 3 == 1) & (F.col("tier") == 50), None).otherwise(F.round("prediction", 4)))

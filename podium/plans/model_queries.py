@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,16 +34,36 @@ PRESSURE = """, prs AS (SELECT o.contest_id, o.tier, 1 - (1 - (0.15 + 0.85 * gre
   FROM (SELECT DISTINCT contest_id, tier FROM obs) o LEFT JOIN (SELECT DISTINCT contest_id, to_rank AS tier FROM rewards WHERE reward_type = 'deco_pins') r USING (contest_id) GROUP BY o.contest_id, o.tier)"""
 
 
-@query("m1_reward_pressure", "SELECT contest_id, tier, round(pressure, 6) AS pressure FROM prs", extra=PRESSURE.replace("LEFT JOIN (SELECT", "LEFT JOIN (SELECT").replace("r USING (contest_id)", "r ON r.contest_id = o.contest_id"))
+@query("m1_reward_pressure", "SELECT contest_id, tier, round(pressure, 6) AS pressure FROM prs", extra=PRESSURE.replace("r USING (contest_id)", "r ON r.contest_id = o.contest_id"))
 def m1_pressure(spark, d):
     return pressure(spark, d).withColumn("pressure", F.round("pressure", 6))
 
 
-@query("m1_pace_components")
+_AVAIL = "(({t}) + 0.3 * 24 / (2 * pi()) * (sin((({t}) + h0 - 21) * 2 * pi() / 24) - sin((h0 - 21) * 2 * pi() / 24)))"
+_NODES = ", ".join(f"({x!r}::DOUBLE, {w!r}::DOUBLE)" for x, w in zip(*(v.tolist() for v in np.polynomial.legendre.leggauss(16)), strict=True))
+_URGENCY = "pow(0.08 / (greatest(0, least(1, (dur - {s}) / dur)) + 0.08), 1.6)"
+_RATE = "greatest(1 + 0.3 * cos(2 * pi() * ({s} + h0 - 21) / 24), 0.05)"
+
+
+def pace_sql(points: str) -> str:
+    """SQL for points (contest_id, tier, hours, ..) with pace components c1..c3 and a1..a3; the integral by the same rule in 16 panels."""
+    return f"""(SELECT pp.*, h AS c1, h - h * h / (2 * ht) AS c2, pressure * g AS c3, a AS a1, a * (1 - h / ht) AS a2, a * pressure * u AS a3 FROM (
+  SELECT p.*, c.dur, {_AVAIL.format(t="p.hours")} AS h, {_AVAIL.format(t="dur")} AS ht, {_RATE.format(s="p.hours")} AS a, {_URGENCY.format(s="p.hours")} AS u
+  FROM ({points}) p JOIN (SELECT contest_id, {HOURS} AS dur, {LOCAL0} AS h0 FROM contests) c ON c.contest_id = p.contest_id) pp
+  JOIN (SELECT contest_id, hours, sum(w * {_RATE.format(s="s")} * {_URGENCY.format(s="s")}) * hours / 32 AS g FROM (
+    SELECT d.contest_id, d.hours, c.dur, c.h0, n.w, d.hours * (e.p / 16.0 + (n.x + 1) / 32) AS s FROM (SELECT DISTINCT contest_id, hours FROM ({points})) d
+    JOIN (SELECT contest_id, {HOURS} AS dur, {LOCAL0} AS h0 FROM contests) c ON c.contest_id = d.contest_id, range(0, 16) e(p), (VALUES {_NODES}) n(x, w)) GROUP BY contest_id, hours) gg
+  ON gg.contest_id = pp.contest_id AND gg.hours = pp.hours JOIN prs ON prs.contest_id = pp.contest_id AND prs.tier = pp.tier)"""
+
+
+_PRS = PRESSURE.replace("r USING (contest_id)", "r ON r.contest_id = o.contest_id")
+
+
+@query("m1_pace_components", "SELECT contest_id, tier, CAST(round(hours * 3600000) AS BIGINT) AS offset_ms, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("c1", "c2", "c3", "a1", "a2", "a3")) + " FROM " + pace_sql("SELECT contest_id, tier, hours FROM canon"), extra=CANON + _PRS)
 def m1(spark, d):
     p = canonical(spark, d).select(*K, "hours")
     out = M.pace_components(p, A.contests(spark, d), pressure(spark, d))
-    return out.select(*K, *[F.round(c, 6).alias(c) for c in ("hours", "c1", "c2", "c3", "a1", "a2", "a3")])
+    return out.select(*K, F.round(F.col("hours") * HOUR_MS).cast("long").alias("offset_ms"), *[F.round(c, 6).alias(c) for c in ("c1", "c2", "c3", "a1", "a2", "a3")])
 
 
 def pace_fits(spark, d):
@@ -72,6 +93,23 @@ def m4(spark, d):
     return M.forecast_pace(prefix(spark, d), causal_pace(spark, d), A.contests(spark, d), pressure(spark, d))
 
 
+_PACE = f"""WITH an AS (SELECT contest_id, tier, o.h AS origin_h, max(hours) AS ah, arg_max(score, hours) AS sc FROM canon, (VALUES (24), (48)) o(h) WHERE hours <= o.h
+  GROUP BY ALL HAVING arg_max(score, hours) > 0 AND max(hours) > 0),
+pc AS (SELECT contest_id, tier, hours, 0.34 * c1 + 0.41 * c2 + 0.25 * c3 AS c, 0.34 * a1 + 0.41 * a2 + 0.25 * a3 AS a
+  FROM {pace_sql(f"SELECT DISTINCT contest_id, tier, ah AS hours FROM an UNION SELECT DISTINCT an.contest_id, tier, {HOURS} AS hours FROM an JOIN contests ON contests.contest_id = an.contest_id")}),
+en AS (SELECT contest_id, {HOURS} AS dur FROM contests)
+SELECT an.contest_id, an.tier, origin_h, round(ah, 6) AS anchor_h, sc AS anchor, round(sc * e.c / f.c, 3) AS final, round(sc / f.c * f.a, 4) AS speed_now
+FROM an JOIN en ON en.contest_id = an.contest_id JOIN pc f ON f.contest_id = an.contest_id AND f.tier = an.tier AND f.hours = ah JOIN pc e ON e.contest_id = an.contest_id AND e.tier = an.tier AND e.hours = en.dur"""
+
+
+@query("m4_forecast_pace_fixed", _PACE, extra=CANON + _PRS)
+def m4_fixed(spark, d):
+    """With stated weights, for SQL."""
+    prior = spark.range(1).select(F.lit(0.34).alias("w1"), F.lit(0.41).alias("w2"), F.lit(0.25).alias("w3"))
+    out = M.forecast_pace(prefix(spark, d), prior, A.contests(spark, d), pressure(spark, d))
+    return out.select(*K, F.col("origin_h").cast("long").alias("origin_h"), F.round("anchor_h", 6).alias("anchor_h"), "anchor", F.round("final", 3).alias("final"), F.round("speed_now", 4).alias("speed_now"))
+
+
 @query("m19_causal_prior", "SELECT contest_id, round(avg(w1) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w1, round(avg(w2) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w2, round(avg(w3) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w3, count(*) AS n FROM (SELECT t.contest_id, (1 + f.contest_id) / 20.0 AS w1, 0.3 AS w2, 0.7 - (1 + f.contest_id) / 20.0 AS w3 FROM contests t JOIN contests f ON f.end_at < t.start_at AND f.contest_id <= 7) GROUP BY 1")
 def m19(spark, d):
     c = A.contests(spark, d)
@@ -79,7 +117,6 @@ def m19(spark, d):
     return M.causal_prior(c, fits, ["w1", "w2", "w3"], 7).select("contest_id", *[F.round(x, 6).alias(x) for x in ("w1", "w2", "w3")], "n")
 
 
-_AVAIL = "(({t}) + 0.3 * 24 / (2 * pi()) * (sin((({t}) + h0 - 21) * 2 * pi() / 24) - sin((h0 - 21) * 2 * pi() / 24)))"
 _BASIS = "[x] || list_transform([0.05, 0.20], lambda u: (1 - exp(-x / u)) / (1 - exp(-1 / u))) || list_transform([0.03, 0.10, 0.30], lambda u: (exp((x - 1) / u) - exp(-1 / u)) / (1 - exp(-1 / u)))"
 
 
@@ -121,13 +158,13 @@ def m7(spark, d):
     return templates(spark, d)
 
 
-def prefix_knots(seen, c):
-    """Knots of prefixes with cohort bases: what forecast_cohort needs, but for end_basis, pressure and origin_h."""
+def prefix_knots(seen, c, basis=M.mass_basis):
+    """Knots of prefixes with bases: what forecast_cohort needs, but for end_basis, pressure and origin_h."""
     seen = cut(seen)
     anchor = seen.groupBy(*K).agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor")).where("anchor > 0 and anchor_h > 0")
     inc = S.prefix_increments(seen, float("inf")).select(*K, (F.col("knot") + 1).alias("i"), F.col("hi").alias("hours"), "share")
     zero = anchor.select(*K, F.lit(0).alias("i"), F.lit(0.0).alias("hours"), F.lit(0.0).alias("share"))
-    at = M.mass_basis(inc.unionByName(zero), c)
+    at = basis(inc.unionByName(zero), c)
     return cut(at).join(anchor, K).join(c.select("contest_id", "start_at", "contest_type"), "contest_id")
 
 
@@ -278,12 +315,38 @@ def m17(spark, d):
     return M.forecast_skeleton(cut(p), cut(canonical(spark, d)).where("hours <= 48"), A.contests(spark, d), cut(scales(spark, d)), cut(factors(spark, d)))
 
 
-@query("m18_what_if_path")
+_PATH = f""", nw AS (SELECT contest_id, tier, max(hours) AS nh, max(score) AS ns FROM canon WHERE hours <= 48 GROUP BY ALL),
+sg AS (SELECT contest_id, tier, 1 AS segment, nh AS t0, nh + 4 AS t1, ns AS s0, ns * 1.1::DOUBLE AS s1 FROM nw WHERE ns * 1.1::DOUBLE > ns
+  UNION ALL SELECT contest_id, tier, CASE WHEN ns > 0 THEN 2 ELSE 1 END, nh + 4, nh + 9, ns * 1.1::DOUBLE, ns * 1.4::DOUBLE FROM nw WHERE ns * 1.4::DOUBLE > ns),
+gr AS (SELECT par.*, sg.segment, sg.t0, sg.t1, sg.s0, sg.s1, i, t0 + i * 0.1::DOUBLE AS t, CAST(trunc(start_at + (t0 + i * 0.1::DOUBLE) * 3600000) AS BIGINT) AS time_ms
+  FROM par JOIN sg ON sg.contest_id = par.contest_id AND sg.tier = par.tier, range(0, 60) g(i) WHERE i <= ceil((t1 - t0) / 0.1::DOUBLE - 1e-9) - 1)"""
+
+
+@query(
+    "m18_what_if_path",
+    """SELECT contest_id, tier, segment, round(t, 4) AS hours, round(s0 + run * need, 3) AS score, round(speed_norm * need / 60, 8) AS norm_speed, true AS is_manual
+    FROM (SELECT *, CASE WHEN sum(v) OVER p > 0 THEN (s1 - s0) / sum(v) OVER p ELSE 1 END AS need, sum(v) OVER (PARTITION BY contest_id, tier, segment ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT gn.*, speed_norm * scale * 0.1 AS v FROM gn JOIN scales ON scales.contest_id = gn.contest_id) WINDOW p AS (PARTITION BY contest_id, tier, segment))""",
+    speed=True,
+    extra=NORM + CANON + FIXED + _PATH + SEASON.replace(SEASON[SEASON.index(", gr AS") : SEASON.index(", gs AS")], ""),
+)
 def m18(spark, d):
+    return assumed(spark, d).select(*K, "segment", F.round("hours", 4).alias("hours"), F.round("score", 3).alias("score"), F.round("norm_speed", 8).alias("norm_speed"), "is_manual")
+
+
+def assumed(spark, d):
+    """Paths from the last row at 48 h through a tenth more four hours on and four tenths more nine hours on."""
     now = canonical(spark, d).where("hours <= 48").groupBy(*K).agg(F.max("hours").alias("now_h"), F.max("score").alias("score_now"))
     t = fixed_params(spark, d).join(now, K).join(scales(spark, d).withColumnRenamed("scale", "v10"), "contest_id")
-    pts = now.select(*K, F.explode(F.array(F.struct((F.col("now_h") + 4).alias("hours"), (F.col("score_now") * 1.1).alias("score")), F.struct((F.col("now_h") + 9).alias("hours"), (F.col("score_now") * 1.4).alias("score")))).alias("p")).select(*K, "p.*")
-    return M.what_if_path(t, pts, factors(spark, d))
+    points = F.array(*[F.struct((F.col("now_h") + h).alias("hours"), (F.col("score_now") * x).alias("score")) for h, x in ((4, 1.1), (9, 1.4))])
+    return M.what_if_path(t, now.select(*K, F.explode(points).alias("p")).select(*K, "p.*"), factors(spark, d))
+
+
+@query("m18_forecast_beyond")
+def m18_beyond(spark, d):
+    """The forecast goes on from the last assumed point."""
+    seen = M.with_path(canonical(spark, d).where("hours <= 48"), assumed(spark, d))
+    return M.forecast_skeleton(fixed_params(spark, d).drop("start_at", "total_h"), cut(seen), A.contests(spark, d), cut(scales(spark, d)), cut(factors(spark, d)))
 
 
 def causal_pace(spark, d):
@@ -304,6 +367,29 @@ def e4(spark, d):
     return E.coverage_report(b, []).join(E.hierarchical_metrics(b).where("level = 'overall'"), "method", "left")
 
 
+@query("e7_screen_cohorts")
+def e7_cohorts(spark, d):
+    """Twelve cohort configurations (two bases, one type or all, three strengths) on every daily origin; the best on what all of them forecast."""
+    c, p = A.contests(spark, d), cut(pressure(spark, d))
+    r = cut(R.runs(c, R.daily(spark, d)))
+    seen, series, about = cut(R.seen_by(canonical(spark, d), r)), cut(canonical(spark, d)), r.drop("of", "origin_h", "origin_ms")
+    of_run = r.select(F.col("contest_id"), F.col("of")).join(p.withColumnRenamed("contest_id", "of"), "of").drop("of")
+    bases = {
+        "cohort6": (M.mass_basis, end_basis(c), M.fit_cohort_mass(M.mass_basis(series, c), c)),
+        "pace3": (lambda x, k: M.pace_basis(x, k, of_run), c.select("contest_id", F.array(*[F.lit(1.0)] * 3).alias("end_basis")), M.fit_cohort_mass(M.pace_basis(series, c, p), c, 3)),
+    }
+    f = None
+    for name, (basis, end, masses) in bases.items():
+        t = cut(masses.join(c.select("contest_id", "end_at", "contest_type"), "contest_id").join(p, K))
+        k = cut(R.unrun(prefix_knots(seen, about, basis)).join(p, K).join(end, "contest_id"))
+        for same_type in (False, True):
+            for strength in (0.0, 16.0, 64.0):
+                own = M.forecast_cohort(k, t, c, strength, same_type).select(*K, "origin_h", F.lit(f"{name}/{'type' if same_type else 'all'}/{strength:g}").alias("method"), F.col("final").alias("prediction"))
+                f = own if f is None else f.unionByName(own)
+    scores = f.withColumns({"status": F.lit("success"), "reason": F.lit(None).cast("string")}).join(G.final_truth(A.obs(spark, d), c, "bucket20").select(*K, "actual"), K)
+    return E.screen_candidates(E.error_metrics(scores))
+
+
 @query("e3_backtest_snapshots")
 def e3(spark, d):
     """The plan's snapshots by contest, beside the number of planned and of skipped ones."""

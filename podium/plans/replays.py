@@ -105,7 +105,7 @@ def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressur
     of = lambda df, m, p="final": df.select(*K, "origin_h", F.lit(m).alias("method"), F.col(p).alias("prediction"))
     f = of(M.forecast_pace(unrun(seen), pace_prior, c, pressure), "pace")
     f = f.unionByName(of(M.forecast_cohort(knots(r), templates, c), "cohort")).unionByName(of(unrun(M.path_end(skeleton_paths(spark, d, r))), "skeleton"))
-    naive = S.baseline_forecasts(S.prefix_join(o, at), c)
+    naive = S.baseline_forecasts(S.prefix_join(S.last_rows(o, at), at), c)
     for m in METHODS[3:]:
         f = f.unionByName(of(naive, m, m))
     began = c.select("contest_id", "start_at").join(c.select("end_at"), F.col("end_at") < F.col("start_at"), "left_semi").select("contest_id")

@@ -16,7 +16,7 @@ from podium.operators import evaluate as E
 from podium.operators import joins as J
 from podium.operators import models as M
 from podium.operators import series as S
-from podium.schema import violations
+from podium.schema import DEFAULTS, violations
 from podium.sources import readers as R
 from podium.streaming import live as L
 
@@ -345,3 +345,57 @@ def test_no_plan_has_nested_loops_over_rows(spark):
     for f in (MQ.m8_fixed, MQ.m19, Q.j1_causal):
         plan = f(spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_last_rows_are_all_that_baselines_need(spark):
+    r = random.Random(2)
+    o = obs(spark, [(c, t, r.randint(0, 90) * H // 2, r.randint(0, 500)) for c in (1, 2) for t in (50, 500) for _ in range(60)])
+    c = contest(spark, end=40 * H, cid=1).unionByName(contest(spark, start=2 * H, end=45 * H, cid=2))
+    at = S.daily_origins(c, 6)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(S.baseline_forecasts(S.prefix_join(S.last_rows(o, at), at), c)) == key(S.baseline_forecasts(S.prefix_join(o, at), c))
+
+
+def test_local_refit_is_a_least_squares_in_a_box(spark):
+    """Against random places in the box: none has a smaller loss."""
+    r = np.random.default_rng(5)
+    p = {"base": 0.4, "a": -0.002, "b": 1e-5, "b_end": 0.2, "panic": 20.0}
+    hours = np.linspace(6, 50, 60)
+    speed = 0.3 + 0.004 * hours + r.normal(0, 0.02, 60)
+    prior = frame(spark, [(1, 50, *p.values(), 70.0)], "contest_id long, tier int, base double, a double, b double, b_end double, panic double, total_h double")
+    window = frame(spark, [(1, 50, float(h), float(s), float(s), 1.0) for h, s in zip(hours, speed, strict=True)], "contest_id long, tier int, hours double, norm_speed double, skeleton_speed double, conf double")
+    got = M.refit_local(window, prior).first()
+    q = np.log1p(speed * 10)
+    q = q / q.mean()
+    lam = 2 * 0.3 * ((speed**2).mean() + 1e-6)
+    old = np.array([p["base"], p["a"], p["b"]])
+    design = np.stack([np.ones(60), hours, hours**2])
+    loss = lambda x: (q * (x @ design - speed) ** 2).mean() + lam * (((x - old) ** 2) / (old**2 + 1e-9)).sum()
+    lo, hi = M._refit_bounds(old)
+    best = np.array([got["base"], got["a"], got["b"]])
+    assert (best >= lo - 1e-12).all() and (best <= hi + 1e-12).all()
+    assert all(loss(lo + (hi - lo) * r.random(3)) >= loss(best) - 1e-12 for _ in range(3000)) and loss(best) < loss(old)
+
+
+def test_a_preset_changes_a_forecast(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    from podium.plans import model_queries as MQ
+
+    (tmp_path / "p.json").write_text(json.dumps({"params": {"smooth_hard_cap": 0.66, "panic_scaler": 2.0, "kf_scale_clip_max": 0.6}}))
+    args = MQ.fixed_params(spark, d).drop("start_at", "total_h").where("tier = 500"), MQ.canonical(spark, d).where("hours <= 48"), MQ.A.contests(spark, d), MQ.scales(spark, d), MQ.factors(spark, d)
+    plain, own = ({r["contest_id"]: r["final"] for r in M.forecast_skeleton(*args, config).collect()} for config in (DEFAULTS, R.preset(spark, str(tmp_path / "p.json"))))
+    assert plain.keys() == own.keys() and sum(plain[k] != own[k] for k in plain) >= 5
+
+
+def test_forecasts_go_on_from_the_last_assumed_point(spark):
+    seen = M.with_path(frame(spark, [(1, 50, 10.0, 100.0)], "contest_id long, tier int, hours double, score double"), frame(spark, [(1, 50, 14.0, 150.0, True)], "contest_id long, tier int, hours double, score double, is_manual boolean"))
+    c, flat = contest(spark, end=40 * H), frame(spark, [(t, h, 1.0) for t in ("weekday", "weekend") for h in range(24)], "day_type string, hour int, factor double")
+    p = frame(spark, [(1, 50, 0.2, 0.0, 0.0, 0.0, 10.0)], "contest_id long, tier int, base double, a double, b double, b_end double, panic double")
+    r = M.forecast_skeleton(p, seen, c, frame(spark, [(1, 10.0)], "contest_id long, scale double"), flat).first()
+    assert r["now_h"] == 14.0 and r["score_now"] == 150.0 and r["final"] > 150.0
+
+
+def test_local_times_are_read_at_utc_8(spark):
+    given = ["2024-03-01 08:00", "2024-03-01 08:00:30", " 2024-03-01 08:00 ", "2024-02-30 08:00", "01.03.2024", None, "2024-03-01"]
+    got = [r[0] for r in frame(spark, [(x,) for x in given], "t string").select(C.parse_local_time(F.col("t"))).collect()]
+    assert got == [1_709_251_200_000, 1_709_251_230_000, 1_709_251_200_000, None, None, None, None]

@@ -7,7 +7,9 @@ and asking whether an earlier merge would have joined what then touches; words w
 merged exactly, in rank order. Texts are cut into words as the tokenizer's file says: added tokens first,
 then the byte-level pattern.
 
-A null text is empty; every text, whatever its length, is encoded whole.
+A null text is empty; every text, whatever its length, is encoded whole. Repeated rows and ids keep a row each, a null
+doc_id too; an empty table gives none. Where several tokens could begin a word the longest is proposed, and merges
+of one rank go from the left, as the tokenizer's do. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, a library or an exact round trip, on small and odd inputs."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +285,13 @@ def test_lines_against_brute_force(spark, docs, empty):
     assert lines.clean(docs).count() == len(ODD) and lines.without_boilerplate(docs).columns == docs.columns and lines.clean(empty).count() == 0
 
 
+def test_boilerplate_by_shuffle_or_broadcast(spark):
+    texts = ["\n".join(["one line on every site", f"own line number {k} of this text", "one line on every site"]) for k in range(40)]
+    d = spark.createDataFrame([(k, t, f"s{k % 8}") for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    a, b = (rows(lines.clean(d, broadcast=n, counts=("n", "gone")), "doc_id", "text", "n", "gone") for n in (0, 10**6))
+    assert a == b and a[0][1].count("one line") == 1 and all("one line" not in x[1] for x in a[1:]) and a[1][2:] == (3, 2)
+
+
 # -- 6 near duplicates
 
 
@@ -326,6 +335,38 @@ def test_near_duplicates_against_brute_force(spark, family):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(data), key=repr)
 
 
+def test_switches_by_size_change_no_component(spark, monkeypatch):
+    """Both sides of each bound: families split into blocks, taken apart by finer points or not, members joined by a shuffle."""
+    r = random.Random(12)
+    shared = prose(70, r)
+    data = [(k, shared + " " + prose(r.randint(2, 12), r)) for k in range(30)] + [(100 + k, prose(50, r)) for k in range(20)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = sorted(brute_components(data), key=repr)
+    refined = nearjoin.refined
+    for family, most, members in ((400, 10**6, 0), (400, 0, 0), (10**9, 10**6, 10**6)):
+        monkeypatch.setattr(nearjoin, "refined", functools.partial(refined, most=most))
+        monkeypatch.setattr(nearjoin, "BROADCAST_MEMBERS", members)
+        assert rows(nearjoin.components_of(d, family), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_runs_too_long_to_compare_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(nearjoin, "RUN", 3)
+    keys, values = [1, 1, 2, 2, 2, 2, 2, 2, 2, 3], list(range(10))
+    batches = [pa.record_batch([pa.array(keys[a:b], pa.int64()), pa.array(values[a:b], pa.int64())], ["k", "v"]) for a, b in ((0, 4), (4, 5), (5, 10))]
+    got = [(h[0][0], h[1], begins, ends) for h, begins, ends in nearjoin._runs(batches, 2)]
+    assert got == [(1, [0, 1], True, True), (2, [2, 3, 4], True, False), (2, [5, 6, 7], False, False), (2, [8], False, True), (3, [9], True, True)]
+
+
+def test_rows_without_an_id_do_not_meet_each_other(spark):
+    """Each class finds its own text, however many rows share the id."""
+    texts = [prose(30, random.Random(k % 25)) for k in range(100)]
+    d = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    classes = nearjoin.profiled(d, 16).where("block is null").groupBy("h").agg(F.min(F.struct(nearjoin._id().alias("i"), "t")).alias("rep"))
+    got = nearjoin.with_text(classes, d)
+    assert got.count() == 100 and got.select("h").distinct().count() == 25
+    assert nearjoin.one_of_each(d).count() == 25
+
+
 def test_near_duplicates_on_odd_rows(docs, empty):
     assert rows(nearjoin.components_of(docs), "doc_id", "n_shingles", "component_id") == sorted(brute_components([(i, t) for i, t, *_ in ODD]), key=repr)
     kept = nearjoin.one_of_each(docs)

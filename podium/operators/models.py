@@ -13,9 +13,11 @@ from pyspark.sql.types import DoubleType
 
 from podium.functions import numeric
 from podium.operators.aggregates import duration_weight
-from podium.operators.clean import with_day_type
-from podium.operators.series import hourly_deltas, lookup_curve
-from podium.schema import DEFAULTS, HOUR_MS, ZONE_MS, K
+from podium.operators.clean import strict_contest_gate, with_day_type
+from podium.operators.evaluate import coverage_gate
+from podium.operators.series import canonical_training_series, hourly_deltas, lookup_curve
+from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, ZONE_MS, K
+from podium.session import cut
 
 AMPLITUDE, PEAK, EPSILON, POWER = 0.3, 21.0, 0.08, 1.6
 #: Templates (about 200 bytes each) that meet the prefixes at once, by broadcast.
@@ -369,11 +371,11 @@ def skeleton_path(params: DataFrame, prefix: DataFrame, contests: DataFrame, sca
     grid = apply_season(forecast_grid(p), factors, config)
     # strength: from 18 o'clock of the first day on
     local = F.pmod(F.col("start_at") + ZONE_MS, F.lit(24 * HOUR_MS)) / float(HOUR_MS)
-    cut = p.select(*K, "v10", "now_h", F.greatest(F.lit(0.0), 18.0 - local).alias("cut"))
-    own = prefix.join(cut, K).where("hours >= cut and now_h >= cut + 1")
+    begin = p.select(*K, "v10", "now_h", F.greatest(F.lit(0.0), 18.0 - local).alias("begin"))
+    own = prefix.join(begin, K).where("hours >= begin and now_h >= begin + 1")
     steps = hourly_deltas(own.select(*K, "hours", "score"))
     model = lookup_curve(steps.select(*K, "step", "delta", (F.col("lo") + 0.5).alias("hours")), grid.select(*K, "hours", "speed_norm"), value="speed_norm", out="v")
-    strength = kalman_strength(model.join(cut, K).select(*K, "step", "delta", (F.col("v") * F.col("v10") * 60).alias("model")), config)
+    strength = kalman_strength(model.join(begin, K).select(*K, "step", "delta", (F.col("v") * F.col("v10") * 60).alias("model")), config)
     g = grid.join(strength, K, "left").withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "trend": F.coalesce("trend", F.lit(0.0))})
     g = future_scale_curve(g, config).withColumn("speed", compress_speed(F.col("speed_norm") * F.col("curve"), config) * F.col("v10"))
     return g.select(*K, "now_h", "score_now", F.col("scale").alias("strength"), "hours", F.when(F.col("hours") >= F.col("now_h"), F.col("speed") * F.col("total_h") / 999 * 60).otherwise(0.0).alias("gain"))
@@ -416,3 +418,37 @@ def what_if_path(targets: DataFrame, points: DataFrame, factors: DataFrame, conf
 def with_path(prefix: DataFrame, path: DataFrame) -> DataFrame:
     """(contest_id, tier, hours, score, is_manual): a prefix and what_if_path's rows behind it, for a forecast that goes on from the last assumed point."""
     return prefix.select(*K, "hours", "score", F.lit(False).alias("is_manual")).unionByName(path.select(*K, "hours", "score", "is_manual"))
+
+
+def build_pace_prior(obs: DataFrame, contests: DataFrame, pressure: DataFrame, min_contests: int = 3, fraction: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prior, fits, excluded): contest-equal mean weights with the coverage gate's figures in one row; each contest's fit; (contest_id, reason) of the rest.
+
+    Contests that the strict gate rejects are left out with its reasons; no_fit: no series has an increase.
+    """
+    gate = cut(strict_contest_gate(obs, contests))
+    sound = obs.join(gate.where("accepted"), "contest_id", "left_semi")
+    fits = cut(fit_pace_weights(cut(canonical_training_series(sound, contests)), contests, pressure))
+    unfit = gate.where("accepted").join(fits, "contest_id", "left_anti").select("contest_id", F.lit("no_fit").alias("reason"))
+    excluded = gate.where("not accepted").select("contest_id", F.col("reasons").alias("reason")).unionByName(unfit)
+    covered = coverage_gate(contests, fits, min_contests, fraction).select("required", "passed", "excluded")
+    return event_equal_mean(fits, ["w1", "w2", "w3"]).crossJoin(F.broadcast(covered)), fits, excluded  # one row each
+
+
+def build_templates(obs: DataFrame, contests: DataFrame, pressure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(templates, excluded): cohort masses with what forecast_cohort needs; (contest_id, tier, reason) of the series that gave none.
+
+    Reasons: the strict gate's, no_terminal (no row within 20 minutes after the end), terminal_below_maximum (that row is
+    not the series' maximum), no_fit.
+    """
+    gate = cut(strict_contest_gate(obs, contests))
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id").where(F.col("time_ms").between(F.col("start_at"), F.col("end_at") + GRACE_MS))
+    after = F.col("time_ms") > F.col("end_at")
+    ends = rows.groupBy(*K).agg(F.min_by(F.when(after, F.col("score")), F.when(after, F.col("time_ms"))).alias("terminal"), F.max(F.when(F.col("time_ms") < F.col("end_at"), F.col("score"))).alias("top"))
+    why = F.when(~F.col("accepted"), F.col("reasons")).when(F.col("terminal").isNull(), "no_terminal").when(F.col("terminal") < F.col("top"), "terminal_below_maximum")
+    known = cut(obs.select(*K).distinct().join(gate, "contest_id").join(ends, K, "left").select(*K, why.alias("reason")))
+    good = known.where("reason is null").drop("reason")
+    series = canonical_training_series(obs.join(good, K, "left_semi"), contests)
+    masses = cut(fit_cohort_mass(mass_basis(series, contests), contests))
+    unfit = good.join(masses, K, "left_anti").withColumn("reason", F.lit("no_fit"))
+    templates = masses.join(contests.select("contest_id", "end_at", "contest_type"), "contest_id").join(pressure, K)
+    return templates, known.where("reason is not null").unionByName(unfit)

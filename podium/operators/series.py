@@ -44,18 +44,20 @@ def canonical_training_series(obs: DataFrame, contests: DataFrame) -> DataFrame:
     row there; the running maximum; (0, 0) in front where the first row is later. A score at hour 0 that is
     not 0 excludes the series. One row for each time is expected (latest_revision).
     """
-    c = contests.select("contest_id", "start_at", "end_at")
-    rows = obs.join(c, "contest_id").select(*K, "time_ms", "score", "start_at", "end_at")
-    closing = rows.where((F.col("time_ms") > F.col("end_at")) & (F.col("time_ms") <= F.col("end_at") + GRACE_MS)).groupBy(*K).agg(F.min_by("score", "time_ms").alias("closing"))
-    marked = rows.where("time_ms between start_at and end_at").join(closing, K, "left")
-    inside = marked.where("closing is null or time_ms < end_at").select(*K, "time_ms", "score", "start_at")
-    final = closing.join(c, "contest_id").select(*K, F.col("end_at").alias("time_ms"), F.col("closing").alias("score"), "start_at")
-    s = inside.unionByName(final)
-    s = s.withColumn("score", F.max("score").over(_by_time().rowsBetween(*_UP))).withColumn("hours", (F.col("time_ms") - F.col("start_at")) / float(HOUR_MS))
-    first = s.groupBy(*K).agg(F.min("hours").alias("h0"), F.min_by("score", "hours").alias("s0"))
-    s = s.join(first.where("h0 > 0 or s0 = 0"), K)
-    zero = first.where("h0 > 0").select(*K, F.lit(0.0).alias("hours"), F.lit(0.0).alias("score"))
-    return s.select(*K, "hours", "score").unionByName(zero)
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id").select(*K, "time_ms", "score", "start_at", "end_at")
+    rows = rows.where(F.col("time_ms").between(F.col("start_at"), F.col("end_at") + GRACE_MS))
+    # every window is one series': rows are dealt out and sorted once
+    own, at = W.partitionBy(*K), F.struct("time_ms", "score")
+    after = F.col("time_ms") > F.col("end_at")
+    rows = rows.withColumn("closing", F.min(F.when(after, at)).over(own))
+    rows = rows.where(F.when(after, at == F.col("closing")).otherwise(F.col("closing").isNull() | (F.col("time_ms") < F.col("end_at"))))
+    rows = rows.withColumn("time_ms", F.least("time_ms", "end_at"))
+    up = _by_time().rowsBetween(*_UP)
+    rows = rows.withColumns({"score": F.max("score").over(up), "first": F.min(at).over(own)}).where("first.time_ms > start_at or first.score = 0")
+    here = F.struct(((F.col("time_ms") - F.col("start_at")) / float(HOUR_MS)).alias("hours"), "score")
+    zero = F.struct(F.lit(0.0).alias("hours"), F.lit(0.0).alias("score"))
+    begins = (F.col("time_ms") == F.col("first.time_ms")) & (F.col("time_ms") > F.col("start_at"))
+    return rows.select(*K, F.explode(F.when(begins, F.array(zero, here)).otherwise(F.array(here))).alias("r")).select(*K, "r.hours", "r.score")
 
 
 def training_diagnostics(obs: DataFrame, contests: DataFrame) -> DataFrame:

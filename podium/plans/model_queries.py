@@ -66,6 +66,16 @@ def m1(spark, d):
     return out.select(*K, F.round(F.col("hours") * HOUR_MS).cast("long").alias("offset_ms"), *[F.round(c, 6).alias(c) for c in ("c1", "c2", "c3", "a1", "a2", "a3")])
 
 
+def training_rows(spark, d):
+    """The newest revisions; every fifth contest's rows are the dirty ones, which the strict gate rejects."""
+    clean, dirty = A.obs(spark, d), A.obs_dirty(spark, d)
+    return S.latest_revision(clean.where("contest_id % 5 <> 4")).unionByName(dirty.where("contest_id % 5 = 4").select(*clean.columns))
+
+
+def pace_prior(spark, d):
+    return M.build_pace_prior(training_rows(spark, d), A.contests(spark, d), pressure(spark, d))
+
+
 def pace_fits(spark, d):
     return cut(M.fit_pace_weights(cut(canonical(spark, d)), A.contests(spark, d), pressure(spark, d)))
 
@@ -77,9 +87,20 @@ def m2(spark, d):
 
 @query("m3_pace_prior")
 def m3(spark, d):
-    fits = pace_fits(spark, d)
-    gate = E.coverage_gate(A.contests(spark, d), fits, 3, 0.6)
-    return M.event_equal_mean(fits, ["w1", "w2", "w3"]).crossJoin(gate.select("required", "passed", "excluded"))  # one row each
+    return pace_prior(spark, d)[0]
+
+
+_GATED = """, tr_rows AS (SELECT contest_id, tier, time_ms, score FROM obs WHERE contest_id % 5 <> 4 UNION ALL SELECT contest_id, tier, time_ms, score FROM dirty WHERE contest_id % 5 = 4
+), gk AS (SELECT d.contest_id, d.tier, max(CAST(score < 0 AS INT)) AS bad, count(*) - count(DISTINCT time_ms) AS dup, max(CAST(time_ms < start_at AS INT)) AS early,
+  count(*) FILTER (WHERE time_ms BETWEEN start_at AND end_at) AS inside FROM tr_rows d JOIN contests USING (contest_id) GROUP BY d.contest_id, d.tier
+), gate AS (SELECT contest_id, array_to_string(list_sort(list_filter([CASE WHEN max(bad) = 1 THEN 'bad_value' END, CASE WHEN max(CAST(tier = 999 AS INT)) = 1 THEN 'unknown_tier' END,
+  CASE WHEN max(dup) > 0 THEN 'duplicate_time' END, CASE WHEN max(early) = 1 THEN 'row_before_start' END, CASE WHEN min(inside) < 2 THEN 'too_few_rows' END,
+  CASE WHEN count(*) FILTER (WHERE tier IN (50,100,300,500,1000,2000)) < 6 THEN 'missing_training_tier' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM gk GROUP BY contest_id)"""
+
+
+@query("m3_excluded_contests", "SELECT contest_id, reasons AS reason FROM gate WHERE reasons <> ''", extra=_GATED)
+def m3_excluded(spark, d):
+    return pace_prior(spark, d)[2]
 
 
 def prefix(spark, d):
@@ -149,13 +170,24 @@ def m6_pace(spark, d):
 
 
 def templates(spark, d):
-    c = A.contests(spark, d).select("contest_id", "end_at", "contest_type")
-    return cohort_masses(spark, d).join(c, "contest_id").join(pressure(spark, d), K)
+    return M.build_templates(S.latest_revision(A.obs(spark, d)), A.contests(spark, d), pressure(spark, d))[0]
 
 
 @query("m7_templates")
 def m7(spark, d):
-    return templates(spark, d)
+    return M.build_templates(training_rows(spark, d), A.contests(spark, d), pressure(spark, d))[0]
+
+
+_UNUSED = """SELECT k.contest_id, k.tier, CASE WHEN g.reasons <> '' THEN g.reasons WHEN e.terminal IS NULL THEN 'no_terminal' WHEN e.terminal < e.top THEN 'terminal_below_maximum' END AS reason
+FROM (SELECT DISTINCT contest_id, tier FROM tr_rows) k JOIN gate g ON g.contest_id = k.contest_id LEFT JOIN (
+  SELECT o.contest_id, o.tier, arg_min(score, time_ms) FILTER (WHERE time_ms > end_at) AS terminal, max(score) FILTER (WHERE time_ms < end_at) AS top
+  FROM tr_rows o JOIN contests USING (contest_id) WHERE time_ms BETWEEN start_at AND end_at + 1200000 GROUP BY ALL) e ON e.contest_id = k.contest_id AND e.tier = k.tier
+WHERE g.reasons <> '' OR e.terminal IS NULL OR e.terminal < e.top"""
+
+
+@query("m7_excluded_series", _UNUSED, extra=_GATED)
+def m7_excluded(spark, d):
+    return M.build_templates(training_rows(spark, d), A.contests(spark, d), pressure(spark, d))[1]
 
 
 def prefix_knots(seen, c, basis=M.mass_basis):

@@ -13,6 +13,7 @@ from podium.operators import series as S
 from podium.plans import adapters as A
 from podium.plans import replays as R
 from podium.plans.aggregate_queries import HIST, NORM, history, profile, ratios, skeletons
+from podium.plans.evaluate_queries import SCORED
 from podium.plans.registry import query
 from podium.plans.series_queries import CANON, canonical, interp, scales
 from podium.schema import HOUR_MS, K
@@ -114,20 +115,23 @@ def m4(spark, d):
     return M.forecast_pace(prefix(spark, d), causal_pace(spark, d), A.contests(spark, d), pressure(spark, d))
 
 
-_PACE = f"""WITH an AS (SELECT contest_id, tier, o.h AS origin_h, max(hours) AS ah, arg_max(score, hours) AS sc FROM canon, (VALUES (24), (48)) o(h) WHERE hours <= o.h
+_PACE = f"""an AS (SELECT contest_id, tier, o.h AS origin_h, max(hours) AS ah, arg_max(score, hours) AS sc FROM canon, (VALUES (24), (48)) o(h) WHERE hours <= o.h
   GROUP BY ALL HAVING arg_max(score, hours) > 0 AND max(hours) > 0),
 pc AS (SELECT contest_id, tier, hours, 0.34 * c1 + 0.41 * c2 + 0.25 * c3 AS c, 0.34 * a1 + 0.41 * a2 + 0.25 * a3 AS a
   FROM {pace_sql(f"SELECT DISTINCT contest_id, tier, ah AS hours FROM an UNION SELECT DISTINCT an.contest_id, tier, {HOURS} AS hours FROM an JOIN contests ON contests.contest_id = an.contest_id")}),
-en AS (SELECT contest_id, {HOURS} AS dur FROM contests)
-SELECT an.contest_id, an.tier, origin_h, round(ah, 6) AS anchor_h, sc AS anchor, round(sc * e.c / f.c, 3) AS final, round(sc / f.c * f.a, 4) AS speed_now
-FROM an JOIN en ON en.contest_id = an.contest_id JOIN pc f ON f.contest_id = an.contest_id AND f.tier = an.tier AND f.hours = ah JOIN pc e ON e.contest_id = an.contest_id AND e.tier = an.tier AND e.hours = en.dur"""
+en AS (SELECT contest_id, {HOURS} AS dur FROM contests),
+pn AS (SELECT an.contest_id, an.tier, origin_h, ah, sc, sc * e.c / f.c AS final, sc / f.c * f.a AS speed_now
+FROM an JOIN en ON en.contest_id = an.contest_id JOIN pc f ON f.contest_id = an.contest_id AND f.tier = an.tier AND f.hours = ah JOIN pc e ON e.contest_id = an.contest_id AND e.tier = an.tier AND e.hours = en.dur)"""
 
 
-@query("m4_forecast_pace_fixed", _PACE, extra=CANON + _PRS)
+def stated_weights(spark):
+    return spark.range(1).select(F.lit(0.34).alias("w1"), F.lit(0.41).alias("w2"), F.lit(0.25).alias("w3"))
+
+
+@query("m4_forecast_pace_fixed", "SELECT contest_id, tier, origin_h, round(ah, 6) AS anchor_h, sc AS anchor, round(final, 3) AS final, round(speed_now, 4) AS speed_now FROM pn", extra=CANON + _PRS + ", " + _PACE)
 def m4_fixed(spark, d):
     """With stated weights, for SQL."""
-    prior = spark.range(1).select(F.lit(0.34).alias("w1"), F.lit(0.41).alias("w2"), F.lit(0.25).alias("w3"))
-    out = M.forecast_pace(prefix(spark, d), prior, A.contests(spark, d), pressure(spark, d))
+    out = M.forecast_pace(prefix(spark, d), stated_weights(spark), A.contests(spark, d), pressure(spark, d))
     return out.select(*K, F.col("origin_h").cast("long").alias("origin_h"), F.round("anchor_h", 6).alias("anchor_h"), "anchor", F.round("final", 3).alias("final"), F.round("speed_now", 4).alias("speed_now"))
 
 
@@ -399,6 +403,40 @@ def e4(spark, d):
     return E.coverage_report(b, []).join(E.hierarchical_metrics(b).where("level = 'overall'"), "method", "left")
 
 
+_REPLAY = """SELECT method, scheduled, evaluable, evaluable AS attempted, success, evaluable - success AS failure, success / nullif(evaluable, 0) AS success_share, reasons,
+  CASE WHEN evaluable = 0 THEN 'n.a.' WHEN success = evaluable THEN 'complete' WHEN success > 0 THEN 'partial' ELSE 'unavailable' END AS support,
+  round(mape, 3) AS mape, round(mae, 3) AS mae, round(smape, 3) AS smape, round(bias, 3) AS bias, round(rmse, 3) AS rmse FROM (
+  SELECT method, count(*) AS scheduled, count(*) FILTER (WHERE actual IS NOT NULL) AS evaluable, count(*) FILTER (WHERE actual IS NOT NULL AND p IS NOT NULL) AS success,
+    CASE WHEN count(*) FILTER (WHERE p IS NULL) > 0 THEN '{' || array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE p IS NULL AND n IS NOT NULL) > 0 THEN '"no_forecast":' || count(*) FILTER (WHERE p IS NULL AND n IS NOT NULL) END,
+      CASE WHEN count(*) FILTER (WHERE p IS NULL AND n IS NULL) > 0 THEN '"no_rows":' || count(*) FILTER (WHERE p IS NULL AND n IS NULL) END], lambda x: x IS NOT NULL), ',') || '}' END AS reasons
+  FROM sf GROUP BY method) LEFT JOIN (
+  SELECT method, avg(mape) AS mape, avg(mae) AS mae, avg(smape) AS smape, avg(bias) AS bias, avg(rmse) AS rmse FROM (
+    SELECT method, contest_id, avg(mape) AS mape, avg(mae) AS mae, avg(smape) AS smape, avg(bias) AS bias, avg(rmse) AS rmse FROM (
+      SELECT method, contest_id, tier, avg(abs(100 * (p - actual) / nullif(actual, 0))) AS mape, avg(abs(p - actual)) AS mae, avg(CASE WHEN abs(p) + abs(actual) = 0 THEN 0 ELSE 200 * abs(p - actual) / (abs(p) + abs(actual)) END) AS smape,
+        avg(100 * (p - actual) / nullif(actual, 0)) AS bias, sqrt(avg((p - actual) ** 2)) AS rmse FROM sf WHERE p IS NOT NULL AND actual IS NOT NULL GROUP BY method, contest_id, tier)
+    GROUP BY method, contest_id) GROUP BY method) USING (method)"""
+_SCORED_FIXED = """, sf AS (SELECT g.contest_id, g.tier, g.origin_h, m.method, n.n, tr.actual, CASE m.method WHEN 'pace' THEN pn.final WHEN 'persistence' THEN pf.persistence WHEN 'last_slope' THEN pf.last_slope ELSE pf.average_speed END AS p
+  FROM (SELECT DISTINCT contest_id, tier, k * 24 AS origin_h FROM obs, range(1, 3) t(k)) g CROSS JOIN (VALUES ('pace'), ('persistence'), ('last_slope'), ('average_speed')) m(method)
+  LEFT JOIN pf ON pf.contest_id = g.contest_id AND pf.tier = g.tier AND pf.origin_h = g.origin_h LEFT JOIN pn ON pn.contest_id = g.contest_id AND pn.tier = g.tier AND pn.origin_h = g.origin_h
+  LEFT JOIN (SELECT o.contest_id, o.tier, k * 24 AS origin_h, count(*) AS n FROM obs o JOIN contests c ON c.contest_id = o.contest_id, range(1, 3) t(k) WHERE time_ms <= start_at + k * 86400000 GROUP BY ALL) n ON n.contest_id = g.contest_id AND n.tier = g.tier AND n.origin_h = g.origin_h
+  LEFT JOIN tr ON tr.contest_id = g.contest_id AND tr.tier = g.tier)"""
+
+
+@query("e4_rolling_backtest_fixed", _REPLAY, extra=SCORED + CANON + _PRS + ", " + _PACE + _SCORED_FIXED)
+def e4_fixed(spark, d):
+    """The rolling replay with stated pace weights beside the naive forecasts, for SQL: all daily origins, statuses and reasons."""
+    c, o = A.contests(spark, d), A.obs(spark, d)
+    at = S.daily_origins(c)
+    of = lambda df, m, p: df.select(*K, F.col("origin_h").cast("int").alias("origin_h"), F.lit(m).alias("method"), F.col(p).alias("prediction"))
+    naive = S.baseline_forecasts(S.prefix_join(S.last_rows(o, at), at), c)
+    f = of(M.forecast_pace(prefix(spark, d), stated_weights(spark), c, pressure(spark, d)), "pace", "final")
+    for m in R.METHODS[3:]:
+        f = f.unionByName(of(naive, m, m))
+    b = cut(R.scoring_rows(o, c, at, f, ("pace", *R.METHODS[3:])))
+    means = E.hierarchical_metrics(b).where("level = 'overall'").select("method", *[F.round(x, 3).alias(x) for x in ("mape", "mae", "smape", "bias", "rmse")])
+    return E.coverage_report(b, []).join(means, "method", "left")
+
+
 @query("e7_screen_cohorts")
 def e7_cohorts(spark, d):
     """Twelve cohort configurations (two bases, one type or all, three strengths) on every daily origin; the best on what all of them forecast."""

@@ -110,12 +110,23 @@ def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressur
         f = f.unionByName(of(naive, m, m))
     began = c.select("contest_id", "start_at").join(c.select("end_at"), F.col("end_at") < F.col("start_at"), "left_semi").select("contest_id")
     able = began.crossJoin(F.broadcast(spark.createDataFrame([("pace",), ("cohort",)], "method string"))).unionByName(causal_history(spark, d).select(F.col("target_id").alias("contest_id"), F.lit("skeleton").alias("method")).distinct())
-    n = S.prefix_join(o, at).groupBy(*K, "origin_h").agg(F.count("*").alias("rows"))
-    grid = o.select(*K).distinct().join(at.select("contest_id", "origin_h"), "contest_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
-    j = grid.join(f, [*K, "origin_h", "method"], "left").join(n, [*K, "origin_h"], "left").join(able.withColumn("able", F.lit(True)), ["contest_id", "method"], "left")
+    return scoring_rows(o, c, at, f, METHODS, able)
+
+
+def scoring_rows(o: DataFrame, c: DataFrame, at: DataFrame, forecasts: DataFrame, methods: tuple, able: DataFrame | None = None) -> DataFrame:
+    """Every (contest, tier, origin, method) with its forecast, or failed and why; the truth is joined last, so no forecast sees it.
+
+    able: (contest_id, method) with histories to learn from; the first three methods without them say no_history.
+    """
+    n = S.prefix_totals(o, at).select(*K, "origin_h", "rows")
+    grid = o.select(*K).distinct().join(at.select("contest_id", "origin_h"), "contest_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    j = grid.join(forecasts, [*K, "origin_h", "method"], "left").join(n, [*K, "origin_h"], "left")
     ok = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    why = F.when(F.col("rows").isNull(), "no_rows").when(F.col("method").isin(*METHODS[:3]) & F.col("able").isNull(), "no_history").otherwise("no_forecast")
-    j = j.select(*K, "origin_h", "method", F.when(ok, F.col("prediction")).alias("prediction"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(~ok, why).alias("reason"))
+    why = F.when(F.col("rows").isNull(), "no_rows")
+    if able is not None:
+        j = j.join(able.withColumn("able", F.lit(True)), ["contest_id", "method"], "left")
+        why = why.when(F.col("method").isin(*methods[:3]) & F.col("able").isNull(), "no_history")
+    j = j.select(*K, "origin_h", "method", F.when(ok, F.col("prediction")).alias("prediction"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(~ok, why.otherwise("no_forecast")).alias("reason"))
     return E.error_metrics(j.join(G.final_truth(o, c, "bucket20").select(*K, "actual"), K, "left"))
 
 

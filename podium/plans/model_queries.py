@@ -331,9 +331,36 @@ def m13(spark, d):
     return M.refit_local(S.refit_window(skeletons(spark, d)), fixed_params(spark, d))
 
 
-@query("m17_forecast_skeleton_fixed")
+#: The grid of a forecast with its season, in place of SEASON's coarser one.
+_GRID = ", gr AS (SELECT par.*, i, i * dur / 999 AS t, CAST(trunc(start_at + i * dur / 999 * 3600000) AS BIGINT) AS time_ms FROM par, range(0, 1000) g(i))" + SEASON[SEASON.index(", gs AS") :]
+_AT = "CASE WHEN s.b IS NULL OR {x} <= s.a THEN s.sa ELSE s.sa + (s.sb - s.sa) * (({x} - s.a) / (s.b - s.a)) END"
+_STRENGTH = f""", pfx AS (SELECT * FROM canon WHERE hours <= 48), nw AS (SELECT contest_id, tier, max(hours) AS nh, max(score) AS ns FROM pfx GROUP BY ALL),
+own AS (SELECT pfx.* FROM pfx JOIN nw ON nw.contest_id = pfx.contest_id AND nw.tier = pfx.tier
+  JOIN (SELECT contest_id, greatest(0, 18 - (start_at + 28800000) % 86400000 / 3600000.0) AS ct FROM contests) c ON c.contest_id = pfx.contest_id WHERE hours >= ct AND nh >= ct + 1),
+osg AS (SELECT contest_id, tier, hours AS a, score AS sa, lead(hours) OVER w AS b, lead(score) OVER w AS sb FROM own WINDOW w AS (PARTITION BY contest_id, tier ORDER BY hours)),
+hg AS (SELECT contest_id, tier, i, lo + i AS hours FROM (SELECT contest_id, tier, min(hours) AS lo, max(hours) AS hi FROM own GROUP BY ALL HAVING max(hours) - min(hours) >= 1), range(0, 60) g(i) WHERE i <= floor(hi - lo + 1e-9)),
+hv AS (SELECT h.*, {_AT.format(x="h.hours")} AS v FROM hg h ASOF JOIN osg s ON s.contest_id = h.contest_id AND s.tier = h.tier AND h.hours >= s.a),
+hs AS (SELECT contest_id, tier, i - 1 AS k, lag(hours) OVER w + 0.5 AS x, v - lag(v) OVER w AS d FROM hv WINDOW w AS (PARTITION BY contest_id, tier ORDER BY i)),
+gsg AS (SELECT contest_id, tier, t AS a, speed_norm AS sa, lead(t) OVER w AS b, lead(speed_norm) OVER w AS sb FROM gn WINDOW w AS (PARTITION BY contest_id, tier ORDER BY i)),
+st AS (SELECT h.contest_id, h.tier, h.k, h.d, ({_AT.format(x="h.x")}) * scale * 60 AS m FROM hs h ASOF JOIN gsg s ON s.contest_id = h.contest_id AND s.tier = h.tier AND h.x >= s.a JOIN scales ON scales.contest_id = h.contest_id WHERE h.k >= 0)"""
+_FOLDED = """WITH kf(contest_id, tier, k, s, t, a, b, d) AS (SELECT DISTINCT contest_id, tier, CAST(-1 AS BIGINT), 1.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.01::DOUBLE FROM st
+  UNION ALL SELECT contest_id, tier, k, CASE WHEN m > 50 THEN l + k1 * (z - l) ELSE l END, CASE WHEN m > 50 THEN t + k2 * (z - l) ELSE t END, CASE WHEN m > 50 THEN (1 - k1) * p11 ELSE p11 END,
+    CASE WHEN m > 50 THEN (1 - k1) * p12 ELSE p12 END, CASE WHEN m > 50 THEN p22 - k2 * p12 ELSE p22 END
+  FROM (SELECT *, p11 / (p11 + r) AS k1, p12 / (p11 + r) AS k2 FROM (SELECT st.contest_id, st.tier, st.k, st.m, kf.t, kf.s + kf.t AS l, kf.a + 2 * kf.b + kf.d + 1e-5 AS p11, kf.b + kf.d AS p12, kf.d + 1e-7 AS p22,
+    greatest(0.1, least(5, st.d / nullif(st.m, 0))) AS z, 0.1 + 20 / (st.m + 1) + CASE WHEN abs(st.d / nullif(st.m, 0) - greatest(0.1, least(5, st.d / nullif(st.m, 0)))) > 0.1 THEN 100 ELSE 0 END AS r
+    FROM kf JOIN st ON st.contest_id = kf.contest_id AND st.tier = kf.tier AND st.k = kf.k + 1))),
+ks AS (SELECT contest_id, tier, arg_max(s, k) AS s, arg_max(t, k) AS tr FROM kf GROUP BY ALL),
+fg AS (SELECT gn.*, nh, ns, scale AS v10, coalesce(s, 1) AS strength, coalesce(tr, 0) AS tr, CASE WHEN t > dur - panic THEN least(1, greatest(0, (t - dur + panic) / panic)) ELSE 0 END AS g
+  FROM gn JOIN nw ON nw.contest_id = gn.contest_id AND nw.tier = gn.tier JOIN scales ON scales.contest_id = gn.contest_id LEFT JOIN ks ON ks.contest_id = gn.contest_id AND ks.tier = gn.tier),
+fv AS (SELECT *, speed_norm * (greatest(0.1, greatest(0.5, least(3, strength)) + greatest(-0.03, least(0.05, tr)) * (1 - exp(-ln(2) / 2 * greatest(0, t - nh))) / (ln(2) / 2)) * (1 - g * g) + g * g) AS v FROM fg)
+SELECT contest_id, tier, CAST(round(max(nh) * 3600000) AS BIGINT) AS now_ms, max(ns) AS score_now, round(max(strength), 6) AS strength, round(max(ns) + sum(CASE WHEN t >= nh THEN
+  least(0.8, CASE WHEN v > 0.65 THEN 0.65 + (v - 0.65) / (1 + 22 * ((v - 0.65) / 0.35) ** 2) WHEN v > 0.5 THEN 0.5 + (v - 0.5) / (1 + 3 * (v - 0.5) / 0.15) ELSE v END) * v10 * dur / 999 * 60 ELSE 0 END), 2) AS final FROM fv GROUP BY ALL"""
+
+
+@query("m17_forecast_skeleton_fixed", _FOLDED, speed=True, extra=NORM + CANON + FIXED + _GRID + _STRENGTH)
 def m17_fixed(spark, d):
-    return M.forecast_skeleton(fixed_params(spark, d).drop("start_at", "total_h"), cut(canonical(spark, d)).where("hours <= 48"), A.contests(spark, d), cut(scales(spark, d)), cut(factors(spark, d)))
+    out = M.forecast_skeleton(fixed_params(spark, d).drop("start_at", "total_h"), cut(canonical(spark, d)).where("hours <= 48"), A.contests(spark, d), cut(scales(spark, d)), cut(factors(spark, d)))
+    return out.select(*K, F.round(F.col("now_h") * HOUR_MS).cast("long").alias("now_ms"), "score_now", F.round("strength", 6).alias("strength"), F.round("final", 2).alias("final"))
 
 
 def skeleton_params(spark, d):

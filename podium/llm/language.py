@@ -222,7 +222,8 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
 def keep_known(docs: DataFrame, trees: Trees, most_bits: float = 6.5) -> DataFrame:
     """The documents whose text some learned language explains: a letter, and at most most_bits bits a symbol. All columns stay.
 
-    Texts of a learned language take about 2 to 4 bits a symbol, and one symbol of 155 by chance 7.3.
+    most_bits lies between what texts of a learned language take (on the test tables 1.3 to 4.9 bits a symbol, 99.9 %
+    of them under 3.9) and the 7.3 that a symbol takes by chance.
     """
     schema, shared = arrow_schema_of(docs), docs.sparkSession.sparkContext.broadcast(trees)
     at = docs.columns.index("text")

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -241,6 +242,26 @@ def test_an_id_that_most_rows_have_is_split(spark):
     assert max(r["count"] for r in ctph.in_order(d, 300).groupBy("bucket").count().collect()) < 60
 
 
+TABLES = "/root/testdata/sf0.1"
+on_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+
+
+@on_tables
+def test_quality_on_held_out_labels(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{TABLES}/labels.parquet").where("quality is not null").collect()}
+    got = [(r["score"], labels[r["doc_id"]], r["predicted"]) for r in quality.query(spark, TABLES).collect() if r["held_out"] and r["doc_id"] in labels]
+    score, label, said = (np.array(x) for x in zip(*got, strict=True))
+    rank, ones = np.argsort(np.argsort(score)), int(label.sum())
+    assert (rank[label == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(label) - ones)) > 0.99 and (said == label).mean() > 0.97
+
+
+@on_tables
+def test_language_on_held_out_documents(spark):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{TABLES}/documents.parquet").where("lang is not null").select("doc_id", "lang").collect()}
+    right = [r["lang_pred"] == langs[r["doc_id"]] for r in language.query(spark, TABLES).collect() if r["held_out"] and r["doc_id"] in langs]
+    assert len(right) > 1000 and np.mean(right) > 0.99
+
+
 # -- 5 lines
 
 

@@ -32,10 +32,13 @@ def skeletons(spark, d):
     return cut(G.attach_season_factor(normalised(spark, d), G.season_factors(profile(spark, d))))
 
 
-NORM = f""", nrm AS (SELECT w1.*, start_at, end_at, (time_ms - start_at) / 3600000.0 AS hours, scale, speed / scale AS norm_speed, {DAY_TYPE} AS day_type, hour({LOCAL}) AS hr FROM w1 JOIN contests USING (contest_id) JOIN scales USING (contest_id) WHERE scale > 0
+NORM = f""", nrm AS (SELECT w1.*, start_at, end_at, (time_ms - start_at) / 3600000.0 AS hours, scale, speed / scale AS norm_speed, {DAY_TYPE} AS day_type,
+  hour({LOCAL}) AS hr FROM w1 JOIN contests USING (contest_id) JOIN scales USING (contest_id) WHERE scale > 0
 ), prof AS (SELECT g.day_type, g.hr, p.mean, p.median, p.std, coalesce(p.cnt, 0) AS cnt FROM (SELECT unnest(['weekday', 'weekend']) AS day_type, h AS hr FROM range(0, 24) t(h)) g
-  LEFT JOIN (SELECT day_type, hr, avg(norm_speed) AS mean, median(norm_speed) AS median, stddev_pop(norm_speed) AS std, count(*) AS cnt FROM nrm WHERE norm_speed <= 1.2 GROUP BY ALL) p USING (day_type, hr)
-), means AS (SELECT *, (5 * wd + 2 * we) / 7 AS g FROM (SELECT coalesce(avg(CASE WHEN day_type = 'weekday' AND mean > 0 THEN mean END), 1) AS wd, coalesce(avg(CASE WHEN day_type = 'weekend' AND mean > 0 THEN mean * 1.1 END), 1) AS we FROM prof)
+  LEFT JOIN (SELECT day_type, hr, avg(norm_speed) AS mean, median(norm_speed) AS median, stddev_pop(norm_speed) AS std, count(*) AS cnt FROM nrm WHERE norm_speed <= 1.2
+  GROUP BY ALL) p USING (day_type, hr)
+), means AS (SELECT *, (5 * wd + 2 * we) / 7 AS g FROM (SELECT coalesce(avg(CASE WHEN day_type = 'weekday' AND mean > 0 THEN mean END), 1) AS wd, coalesce(avg(CASE
+  WHEN day_type = 'weekend' AND mean > 0 THEN mean * 1.1 END), 1) AS we FROM prof)
 ), fac AS (SELECT day_type, hr, CASE WHEN mean > 0 THEN mean * (CASE WHEN day_type = 'weekend' THEN 1.1 ELSE 1 END) / g ELSE 1 END AS factor FROM prof, means
 ), sk AS (SELECT nrm.*, norm_speed / (CASE WHEN hours < 12 AND factor < 1 THEN 1 ELSE factor END) AS skeleton_speed FROM nrm JOIN fac USING (day_type, hr))"""
 
@@ -45,22 +48,28 @@ def a1(spark, d):
     return scales(spark, d).select("contest_id", F.round("scale", 6).alias("scale"))
 
 
-@query("a1_scale_as_of", f"""WITH u AS (SELECT contest_id, uid, (value - lag(value) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0) AS speed FROM points WHERE time_ms <= {T0} + 259200000 * contest_id + 86400000 WINDOW k AS (PARTITION BY contest_id, uid ORDER BY time_ms, seq))
-SELECT contest_id, round(avg(speed), 6) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY speed DESC, uid) AS r FROM u WHERE speed > 0 AND speed < 1e6) WHERE r <= 3 GROUP BY 1""")
+@query("a1_scale_as_of", f"""WITH u AS (SELECT contest_id, uid, (value - lag(value) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0) AS speed FROM points
+  WHERE time_ms <= {T0} + 259200000 * contest_id + 86400000 WINDOW k AS (PARTITION BY contest_id, uid ORDER BY time_ms, seq))
+SELECT contest_id, round(avg(speed), 6) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY speed DESC, uid) AS r FROM u
+  WHERE speed > 0 AND speed < 1e6) WHERE r <= 3 GROUP BY 1""")
 def a1_as_of(spark, d):
     o = A.contests(spark, d).select("contest_id", (F.col("start_at") + 24 * HOUR_MS).alias("origin_ms"))
     return G.scale_from_points(A.points(spark, d), o).select("contest_id", F.round("scale", 6).alias("scale"))
 
 
-@query("a2_scale_from_tracker", f"""WITH u AS (SELECT contest_id, time_ms, (score - lag(score) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0) AS speed FROM obs WHERE tier = 50 WINDOW k AS (PARTITION BY contest_id ORDER BY time_ms, seq)),
-r AS (SELECT u.contest_id, o * 24 AS origin_h, speed, row_number() OVER (PARTITION BY u.contest_id, o ORDER BY speed DESC, time_ms) AS r FROM u, range(1, 3) t(o) WHERE speed > 0 AND speed < 1e6 AND time_ms <= {T0} + 259200000 * contest_id + 86400000 * o)
-SELECT c.contest_id, t.o * 24 AS origin_h, round(avg(r.speed), 6) AS scale FROM contests c CROSS JOIN range(1, 3) t(o) LEFT JOIN r ON r.contest_id = c.contest_id AND r.origin_h = t.o * 24 AND r.r <= 3 GROUP BY 1, 2""")
+@query("a2_scale_from_tracker", f"""WITH u AS (SELECT contest_id, time_ms, (score - lag(score) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0) AS speed
+  FROM obs WHERE tier = 50 WINDOW k AS (PARTITION BY contest_id ORDER BY time_ms, seq)),
+r AS (SELECT u.contest_id, o * 24 AS origin_h, speed, row_number() OVER (PARTITION BY u.contest_id, o ORDER BY speed DESC, time_ms) AS r FROM u, range(1, 3) t(o)
+  WHERE speed > 0 AND speed < 1e6 AND time_ms <= {T0} + 259200000 * contest_id + 86400000 * o)
+SELECT c.contest_id, t.o * 24 AS origin_h, round(avg(r.speed), 6) AS scale FROM contests c CROSS JOIN range(1, 3) t(o) LEFT
+  JOIN r ON r.contest_id = c.contest_id AND r.origin_h = t.o * 24 AND r.r <= 3 GROUP BY 1, 2""")
 def a2(spark, d):
     o = S.daily_origins(A.contests(spark, d))
     return G.scale_from_tracker(A.obs(spark, d), 50, o).select("contest_id", F.col("origin_h").cast("long").alias("origin_h"), F.round("scale", 6).alias("scale"))
 
 
-@query("f14_profile_window", "SELECT contest_id, tier, count(*) AS n FROM nrm WHERE time_ms >= start_at + 86400000 AND time_ms <= end_at - 86400000 AND norm_speed BETWEEN 0 AND 1.2 GROUP BY ALL", speed=True, extra=NORM)
+@query("f14_profile_window", """SELECT contest_id, tier, count(*) AS n FROM nrm
+  WHERE time_ms >= start_at + 86400000 AND time_ms <= end_at - 86400000 AND norm_speed BETWEEN 0 AND 1.2 GROUP BY ALL""", speed=True, extra=NORM)
 def f14(spark, d):
     return C.profile_window(normalised(spark, d), before_end=24).groupBy(*K).agg(F.count("*").alias("n"))
 
@@ -109,14 +118,21 @@ def blended(spark, d, rows=None):
     return G.blended_window_stats(pairs, rows.select(*K, "hours", "norm_speed", "skeleton_speed"))
 
 
-HIST = """, h0 AS (SELECT c.contest_id, lower(contest_type) AS ty, start_at, end_at, (end_at - start_at) / 3600000.0 AS dur, scale > 0 AND contest_id <> 2 AS good FROM contests c LEFT JOIN scales USING (contest_id)
-), hist AS (SELECT target_id, contest_id, rank, td, hd FROM (SELECT t.contest_id AS target_id, h.contest_id, t.dur AS td, h.dur AS hd, row_number() OVER (PARTITION BY t.contest_id ORDER BY h.contest_id DESC) AS rank FROM h0 t JOIN h0 h ON t.ty = h.ty AND h.contest_id < t.contest_id AND h.good) WHERE rank <= 3
+HIST = """, h0 AS (SELECT c.contest_id, lower(contest_type) AS ty, start_at, end_at, (end_at - start_at) / 3600000.0 AS dur, scale > 0 AND contest_id <> 2 AS good
+  FROM contests c LEFT JOIN scales USING (contest_id)
+), hist AS (SELECT target_id, contest_id, rank, td, hd FROM (SELECT t.contest_id AS target_id, h.contest_id, t.dur AS td, h.dur AS hd,
+  row_number() OVER (PARTITION BY t.contest_id ORDER BY h.contest_id DESC) AS rank FROM h0 t JOIN h0 h ON t.ty = h.ty AND h.contest_id < t.contest_id AND h.good)
+  WHERE rank <= 3
 ), pr AS (SELECT h.*, o.tier, least(abs(ln(td / hd)) / 0.18, 1) * 0.75 AS wt FROM hist h JOIN (SELECT DISTINCT contest_id, tier FROM obs) o USING (contest_id)
-), wr AS (SELECT pr.target_id, pr.contest_id, pr.tier, pr.wt, k.kind, sk.norm_speed, sk.skeleton_speed, avg(skeleton_speed) OVER w AS m, stddev_samp(skeleton_speed) OVER w AS s FROM pr JOIN sk ON sk.contest_id = pr.contest_id AND sk.tier = pr.tier CROSS JOIN (VALUES ('a'), ('p')) k(kind)
+), wr AS (SELECT pr.target_id, pr.contest_id, pr.tier, pr.wt, k.kind, sk.norm_speed, sk.skeleton_speed, avg(skeleton_speed) OVER w AS m,
+  stddev_samp(skeleton_speed) OVER w AS s FROM pr JOIN sk ON sk.contest_id = pr.contest_id AND sk.tier = pr.tier CROSS JOIN (VALUES ('a'), ('p')) k(kind)
   WHERE sk.hours BETWEEN CASE WHEN kind = 'a' THEN 6 ELSE 6 / td * hd END AND CASE WHEN kind = 'a' THEN 48 ELSE 48 / td * hd END WINDOW w AS (PARTITION BY pr.target_id, pr.contest_id, pr.tier, k.kind)
-), ws AS (SELECT target_id, contest_id, tier, kind, max(wt) AS wt, avg(norm_speed) AS n, CASE WHEN max(s) > 0.001 THEN coalesce(avg(CASE WHEN abs(skeleton_speed - m) < 2 * s THEN skeleton_speed END), max(m)) ELSE max(m) END AS i FROM wr GROUP BY ALL
-), bl AS (SELECT p.target_id, p.contest_id, p.tier, CASE WHEN p.wt <= 0 THEN a.i ELSE coalesce((1 - p.wt) * a.i + p.wt * q.i, a.i, q.i) END AS intensity, CASE WHEN p.wt <= 0 THEN a.n ELSE coalesce((1 - p.wt) * a.n + p.wt * q.n, a.n, q.n) END AS norm_mean
-  FROM pr p LEFT JOIN ws a ON a.target_id = p.target_id AND a.contest_id = p.contest_id AND a.tier = p.tier AND a.kind = 'a' LEFT JOIN ws q ON q.target_id = p.target_id AND q.contest_id = p.contest_id AND q.tier = p.tier AND q.kind = 'p')"""
+), ws AS (SELECT target_id, contest_id, tier, kind, max(wt) AS wt, avg(norm_speed) AS n, CASE WHEN max(s) > 0.001 THEN coalesce(avg(CASE
+  WHEN abs(skeleton_speed - m) < 2 * s THEN skeleton_speed END), max(m)) ELSE max(m) END AS i FROM wr GROUP BY ALL
+), bl AS (SELECT p.target_id, p.contest_id, p.tier, CASE WHEN p.wt <= 0 THEN a.i ELSE coalesce((1 - p.wt) * a.i + p.wt * q.i, a.i, q.i) END AS intensity, CASE
+  WHEN p.wt <= 0 THEN a.n ELSE coalesce((1 - p.wt) * a.n + p.wt * q.n, a.n, q.n) END AS norm_mean
+  FROM pr p LEFT JOIN ws a ON a.target_id = p.target_id AND a.contest_id = p.contest_id AND a.tier = p.tier AND a.kind = 'a' LEFT
+  JOIN ws q ON q.target_id = p.target_id AND q.contest_id = p.contest_id AND q.tier = p.tier AND q.kind = 'p')"""
 
 
 @query("a7_blended_window_stats", "SELECT target_id, contest_id, tier, round(intensity, 6) AS intensity, round(norm_mean, 6) AS norm_mean FROM bl", speed=True, extra=NORM + HIST)
@@ -131,15 +147,19 @@ def ratios(spark, d):
     return G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), blended(spark, d, sk))
 
 
-@query("a8_strength_ratio", f"""WITH tg AS (SELECT o.contest_id AS target_id, o.tier, o.oh, x.i, n.nm, h.hi, h.hn FROM (SELECT contest_id, tier, max(hours) AS oh FROM sk GROUP BY ALL) o LEFT JOIN ({_INTENSITY}) x USING (contest_id, tier) LEFT JOIN (SELECT contest_id, tier, avg(norm_speed) AS nm FROM nrm WHERE hours BETWEEN 6 AND 48 GROUP BY ALL) n USING (contest_id, tier)
+@query("a8_strength_ratio", f"""WITH tg AS (SELECT o.contest_id AS target_id, o.tier, o.oh, x.i, n.nm, h.hi, h.hn FROM (SELECT contest_id, tier, max(hours) AS oh FROM sk
+  GROUP BY ALL) o LEFT JOIN ({_INTENSITY}) x USING (contest_id, tier) LEFT JOIN (SELECT contest_id, tier, avg(norm_speed) AS nm FROM nrm WHERE hours BETWEEN 6 AND 48
+  GROUP BY ALL) n USING (contest_id, tier)
   LEFT JOIN (SELECT target_id, tier, avg(intensity) AS hi, avg(norm_mean) AS hn FROM bl GROUP BY ALL) h ON h.target_id = o.contest_id AND h.tier = o.tier),
 v AS (SELECT *, greatest(0, least(1, 0.2 + 0.6 * cos((least(1, oh / 72.0) - 1) * pi()))) AS w FROM tg)
-SELECT target_id, tier, round(CASE WHEN i IS NULL OR hi IS NULL THEN 1 ELSE greatest(0.25, least(4.0, CASE WHEN hi > 0 THEN i / hi ELSE 1 END * (1 - w) + CASE WHEN hn > 0 THEN coalesce(nm, 0) / hn ELSE 1 END * w)) END, 6) AS ratio FROM v""", speed=True, extra=NORM + HIST)
+SELECT target_id, tier, round(CASE WHEN i IS NULL OR hi IS NULL THEN 1 ELSE greatest(0.25, least(4.0, CASE WHEN hi > 0 THEN i / hi ELSE 1 END * (1 - w) + CASE
+  WHEN hn > 0 THEN coalesce(nm, 0) / hn ELSE 1 END * w)) END, 6) AS ratio FROM v""", speed=True, extra=NORM + HIST)
 def a8(spark, d):
     return ratios(spark, d).select("target_id", "tier", F.round("ratio", 6).alias("ratio"))
 
 
-@query("a9_special_reward_tiers", """WITH r AS (SELECT contest_id, CASE WHEN reward_id IS NULL THEN reward_type ELSE reward_type || ':' || reward_id END AS k, max(to_rank) AS r FROM rewards WHERE reward_type NOT IN ('item', 'practice_ticket', 'star', 'degree', 'bili_degree_effect') GROUP BY ALL)
+@query("a9_special_reward_tiers", """WITH r AS (SELECT contest_id, CASE WHEN reward_id IS NULL THEN reward_type ELSE reward_type || ':' || reward_id END AS k,
+  max(to_rank) AS r FROM rewards WHERE reward_type NOT IN ('item', 'practice_ticket', 'star', 'degree', 'bili_degree_effect') GROUP BY ALL)
 SELECT contest_id, string_agg(k || '=' || r, ',' ORDER BY k) AS appearances, array_to_string(list_sort(list_distinct(list(r))), ',') AS targets FROM r GROUP BY 1""")
 def a9(spark, d):
     g = G.special_reward_tiers(A.rewards(spark, d))
@@ -148,7 +168,8 @@ def a9(spark, d):
 
 
 CLASSES = """, cls AS (SELECT contest_id, c AS reward_class, CASE WHEN count(DISTINCT to_rank) = 1 THEN max(to_rank) END AS rank, count(DISTINCT to_rank) > 1 AS ambiguous FROM (
-  SELECT contest_id, to_rank, CASE WHEN reward_type = 'deco_pins' THEN 'deco_pins' WHEN reward_type = 'voice_stamp' AND reward_id >= 10000 THEN 'premium' WHEN reward_type = 'voice_stamp' AND reward_id IS NOT NULL THEN 'standard' END AS c FROM rewards) WHERE c IS NOT NULL GROUP BY ALL)"""
+  SELECT contest_id, to_rank, CASE WHEN reward_type = 'deco_pins' THEN 'deco_pins' WHEN reward_type = 'voice_stamp' AND reward_id >= 10000 THEN 'premium'
+  WHEN reward_type = 'voice_stamp' AND reward_id IS NOT NULL THEN 'standard' END AS c FROM rewards) WHERE c IS NOT NULL GROUP BY ALL)"""
 
 
 @query("a10_reward_class_ranks", "SELECT contest_id, reward_class, rank, ambiguous FROM cls", extra=CLASSES)
@@ -197,13 +218,15 @@ def a11_rollup(spark, d):
     return G.quality_rollup(report(spark, d)).withColumn("missing", F.array_join(F.transform("missing", lambda t: t.cast("string")), ","))
 
 
-@query("a12_contest_cache_index", "SELECT contest_id, contest_type, count(*) AS record_count, arg_max(score, (time_ms, seq)) AS final_score, round(max(scale), 6) AS scale FROM obs JOIN contests USING (contest_id) LEFT JOIN scales USING (contest_id) WHERE tier = 1000 GROUP BY ALL", speed=True)
+@query("a12_contest_cache_index", """SELECT contest_id, contest_type, count(*) AS record_count, arg_max(score, (time_ms, seq)) AS final_score, round(max(scale),
+  6) AS scale FROM obs JOIN contests USING (contest_id) LEFT JOIN scales USING (contest_id) WHERE tier = 1000 GROUP BY ALL""", speed=True)
 def a12(spark, d):
     return G.contest_cache_index(A.obs(spark, d), scales(spark, d), A.contests(spark, d), 1000).withColumn("scale", F.round("scale", 6))
 
 
 def _truth(where):
-    return f"""SELECT contest_id, tier, arg_max(score, seq) AS actual, count(*) > 1 AS ambiguous FROM (SELECT *, min(time_ms) OVER (PARTITION BY contest_id, tier) AS f FROM dirty JOIN contests USING (contest_id) WHERE time_ms > end_at{where}) WHERE time_ms = f GROUP BY ALL"""
+    return f"""SELECT contest_id, tier, arg_max(score, seq) AS actual, count(*) > 1 AS ambiguous FROM (SELECT *, min(time_ms) OVER (PARTITION BY contest_id, tier) AS f
+  FROM dirty JOIN contests USING (contest_id) WHERE time_ms > end_at{where}) WHERE time_ms = f GROUP BY ALL"""
 
 
 @query("a13_final_truth_first", _truth(""))
@@ -231,14 +254,17 @@ def a27(spark, d):
     return t.select("tier", "n", *[F.round(c, 6).alias(c) for c in t.columns if c[0] == "q"])
 
 
-@query("a27_rank_shape_fits", "SELECT song_id, count(*) AS n, round(regr_intercept(ln(norm), ln(rel)), 6) AS intercept, round(regr_slope(ln(norm), ln(rel)), 6) AS slope, round(-regr_slope(ln(norm), ln(rel)), 6) AS alpha FROM nm GROUP BY song_id HAVING count(*) >= 2", extra=SONGS)
+@query("a27_rank_shape_fits", """SELECT song_id, count(*) AS n, round(regr_intercept(ln(norm), ln(rel)), 6) AS intercept, round(regr_slope(ln(norm), ln(rel)),
+  6) AS slope, round(-regr_slope(ln(norm), ln(rel)), 6) AS alpha FROM nm GROUP BY song_id HAVING count(*) >= 2""", extra=SONGS)
 def a27_fits(spark, d):
     _, f = G.rank_shape_profile(A.song_scores(spark, d))
     return f.select("song_id", "n", *[F.round(c, 6).alias(c) for c in ("intercept", "slope", "alpha")])
 
 
-FEATURES = """, ft AS (SELECT o.contest_id, o.tier, count(*) AS points, count(*) / greatest(max((end_at - start_at) / 3600000.0), 1) AS coverage, (arg_max(score, (time_ms, seq)) - max(t.actual)) / greatest(max(t.actual), 1) AS signed_rel
-  FROM obs o JOIN contests USING (contest_id) LEFT JOIN (SELECT contest_id, tier, arg_max(score, (time_ms, seq)) AS actual FROM obs GROUP BY ALL) t ON t.contest_id = o.contest_id AND t.tier = o.tier WHERE time_ms BETWEEN start_at AND end_at GROUP BY o.contest_id, o.tier)"""
+FEATURES = """, ft AS (SELECT o.contest_id, o.tier, count(*) AS points, count(*) / greatest(max((end_at - start_at) / 3600000.0), 1) AS coverage, (arg_max(score,
+  (time_ms, seq)) - max(t.actual)) / greatest(max(t.actual), 1) AS signed_rel
+  FROM obs o JOIN contests USING (contest_id) LEFT JOIN (SELECT contest_id, tier, arg_max(score, (time_ms, seq)) AS actual FROM obs
+  GROUP BY ALL) t ON t.contest_id = o.contest_id AND t.tier = o.tier WHERE time_ms BETWEEN start_at AND end_at GROUP BY o.contest_id, o.tier)"""
 
 
 def features(spark, d):
@@ -260,7 +286,8 @@ def a24_panic(spark, d):
     return G.activity_features(o, c, G.final_truth(o, c, "last"), panic).select(*K, "points", F.round("panic_h", 6).alias("panic_h"))
 
 
-@query("a24_standardize", "SELECT contest_id, tier, points, round((coverage - avg(coverage) OVER ()) / greatest(stddev_pop(coverage) OVER (), 1e-9), 6) AS coverage, round((signed_rel - avg(signed_rel) OVER ()) / greatest(stddev_pop(signed_rel) OVER (), 1e-9), 6) AS signed_rel FROM ft", extra=FEATURES)
+@query("a24_standardize", """SELECT contest_id, tier, points, round((coverage - avg(coverage) OVER ()) / greatest(stddev_pop(coverage) OVER (), 1e-9), 6) AS coverage,
+  round((signed_rel - avg(signed_rel) OVER ()) / greatest(stddev_pop(signed_rel) OVER (), 1e-9), 6) AS signed_rel FROM ft""", extra=FEATURES)
 def a24_z(spark, d):
     return G.standardize(features(spark, d), ["coverage", "signed_rel"]).select(*K, "points", F.round("coverage", 6).alias("coverage"), F.round("signed_rel", 6).alias("signed_rel"))
 
@@ -271,7 +298,8 @@ def j1(spark, d):
 
 
 _MODES = """WITH c AS (SELECT c.contest_id, contest_type AS ty, start_at, end_at, coalesce(scale > 0, false) AND contest_id % 5 <> 1 AS good FROM contests c LEFT JOIN scales USING (contest_id)),
-a AS (SELECT t.contest_id AS target_id, h.contest_id, h.good, row_number() OVER (PARTITION BY t.contest_id ORDER BY h.contest_id DESC) AS r0 FROM c t JOIN c h ON lower(t.ty) = lower(h.ty) AND h.contest_id < t.contest_id@),
+a AS (SELECT t.contest_id AS target_id, h.contest_id, h.good, row_number() OVER (PARTITION BY t.contest_id ORDER BY h.contest_id DESC) AS r0 FROM c t
+  JOIN c h ON lower(t.ty) = lower(h.ty) AND h.contest_id < t.contest_id@),
 b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY contest_id DESC) AS rank FROM a WHERE r0 <= 5 AND good)
 SELECT target_id, contest_id, rank FROM b WHERE rank <= 2"""
 
@@ -293,14 +321,18 @@ def j2(spark, d):
     return J.eligible_contests(A.contests(spark, d), history(spark, d), 3).select("contest_id")
 
 
-@query("j9_missing_tiers", "WITH e AS (SELECT contest_id, t.tier FROM contests, (VALUES (10), (50), (1000), (2000)) t(tier)), o AS (SELECT DISTINCT contest_id, tier FROM dirty) SELECT e.contest_id, e.tier, 'missing' AS kind FROM e ANTI JOIN o ON e.contest_id = o.contest_id AND e.tier = o.tier UNION ALL SELECT o.contest_id, o.tier, 'unexpected' FROM o ANTI JOIN e ON e.contest_id = o.contest_id AND e.tier = o.tier")
+@query("j9_missing_tiers", """WITH e AS (SELECT contest_id, t.tier FROM contests, (VALUES (10), (50), (1000), (2000)) t(tier)), o AS (SELECT DISTINCT contest_id, tier
+  FROM dirty) SELECT e.contest_id, e.tier, 'missing' AS kind FROM e ANTI JOIN o ON e.contest_id = o.contest_id AND e.tier = o.tier UNION ALL SELECT o.contest_id, o.tier,
+  'unexpected' FROM o ANTI JOIN e ON e.contest_id = o.contest_id AND e.tier = o.tier""")
 def j9(spark, d):
     e = A.contests(spark, d).select("contest_id", F.explode(F.array(F.lit(10), F.lit(50), F.lit(1000), F.lit(2000))).alias("tier"))
     return J.missing_tiers(e, A.obs_dirty(spark, d))
 
 
-@query("u2_common_history", """WITH a AS (SELECT target_id, contest_id FROM hist), b AS (SELECT t.contest_id AS target_id, h.contest_id FROM contests t JOIN contests h ON h.contest_id < t.contest_id WHERE h.contest_id % 3 <> 0)
-SELECT target_id, contest_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY contest_id DESC) AS rank FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) WHERE rank <= 1""", speed=True, extra=NORM + HIST)
+@query("u2_common_history", """WITH a AS (SELECT target_id, contest_id FROM hist), b AS (SELECT t.contest_id AS target_id, h.contest_id FROM contests t
+  JOIN contests h ON h.contest_id < t.contest_id WHERE h.contest_id % 3 <> 0)
+SELECT target_id, contest_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY contest_id DESC) AS rank FROM (SELECT * FROM a INTERSECT SELECT *
+  FROM b)) WHERE rank <= 1""", speed=True, extra=NORM + HIST)
 def u2(spark, d):
     c = A.contests(spark, d).select("contest_id")
     b = c.select(F.col("contest_id").alias("target_id")).join(c.where("contest_id % 3 <> 0"), F.col("contest_id") < F.col("target_id"))
@@ -312,8 +344,10 @@ RANKED = CLASSES.replace("FROM rewards)", """FROM (SELECT contest_id, reward_typ
   ELSE [50, 100, 300, 500, 1000, 2000][(contest_id * 5 + length(reward_type) + CASE WHEN reward_id >= 10000 THEN 1 ELSE 0 END) % 6 + 1] END AS to_rank FROM rewards))""")
 
 
-@query("j11_map_reward_class", """WITH c AS (SELECT * FROM cls WHERE rank IS NOT NULL), own AS (SELECT contest_id AS target_id, rank AS tier, max(reward_class) AS reward_class FROM c GROUP BY contest_id, rank HAVING count(*) = 1)
-SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id) JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + RANKED)
+@query("j11_map_reward_class", """WITH c AS (SELECT * FROM cls WHERE rank IS NOT NULL), own AS (SELECT contest_id AS target_id, rank AS tier,
+  max(reward_class) AS reward_class FROM c GROUP BY contest_id, rank HAVING count(*) = 1)
+SELECT target_id, own.tier, own.reward_class, h.contest_id, c.rank AS mapped_tier FROM own JOIN hist h USING (target_id)
+  JOIN c ON c.contest_id = h.contest_id AND c.reward_class = own.reward_class""", speed=True, extra=NORM + HIST + RANKED)
 def j11(spark, d):
     place = (F.col("contest_id") * 5 + F.length("reward_type") + F.coalesce((F.col("reward_id") >= 10_000).cast("int"), F.lit(0))) % 6
     ranked = F.when(F.col("contest_id") % 4 == 3, F.col("to_rank")).otherwise(F.get(F.array(*[F.lit(t) for t in TRAINING_TIERS]), place.cast("int")))
@@ -322,8 +356,10 @@ def j11(spark, d):
     return J.map_reward_class(targets, cls, history(spark, d))
 
 
-@query("j12_route_source", """WITH v AS (SELECT contest_id, tier, source FROM obs WHERE contest_id % 2 = 0 OR source = 'a' GROUP BY ALL HAVING min(score) >= 0), b AS (SELECT contest_id, tier, min(CASE source WHEN 'b' THEN 1 ELSE 2 END) AS p FROM v GROUP BY ALL)
-SELECT contest_id, tier, source, 'b' AS requested_source, source <> 'b' AS fallback_used, count(*) AS n FROM obs JOIN b USING (contest_id, tier) WHERE (contest_id % 2 = 0 OR source = 'a') AND source = CASE p WHEN 1 THEN 'b' ELSE 'a' END GROUP BY ALL""")
+@query("j12_route_source", """WITH v AS (SELECT contest_id, tier, source FROM obs WHERE contest_id % 2 = 0 OR source = 'a' GROUP BY ALL HAVING min(score) >= 0),
+  b AS (SELECT contest_id, tier, min(CASE source WHEN 'b' THEN 1 ELSE 2 END) AS p FROM v GROUP BY ALL)
+SELECT contest_id, tier, source, 'b' AS requested_source, source <> 'b' AS fallback_used, count(*) AS n FROM obs JOIN b USING (contest_id, tier)
+  WHERE (contest_id % 2 = 0 OR source = 'a') AND source = CASE p WHEN 1 THEN 'b' ELSE 'a' END GROUP BY ALL""")
 def j12(spark, d):
     o = A.obs(spark, d).where("contest_id % 2 = 0 or source = 'a'")
     return J.route_source(o, ("b", "a")).groupBy(*K, "source", "requested_source", "fallback_used").agg(F.count("*").alias("n"))

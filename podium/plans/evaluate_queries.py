@@ -38,21 +38,31 @@ def errors(spark, d):
 
 
 SCORED = """, pf AS (
-  SELECT contest_id, tier, origin_h, a AS persistence, a + greatest(0, coalesce((a - b) / nullif((ta - tb) / 3600000.0, 0), 0)) * (end_at - ta) / 3600000.0 AS last_slope, a * ((end_at - start_at) / 3600000.0) / nullif((ta - start_at) / 3600000.0, 0) AS average_speed FROM (
-  SELECT contest_id, tier, origin_h, start_at, end_at, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b, max(CASE WHEN r = 1 THEN time_ms END) AS ta, max(CASE WHEN r = 2 THEN time_ms END) AS tb
-  FROM (SELECT o.contest_id, o.tier, o.time_ms, o.score, k * 24 AS origin_h, start_at, end_at, row_number() OVER (PARTITION BY o.contest_id, o.tier, k ORDER BY o.time_ms DESC, seq DESC) AS r FROM obs o JOIN contests USING (contest_id), range(1, 3) t(k) WHERE o.time_ms <= start_at + k * 86400000) WHERE r <= 2 GROUP BY ALL) WHERE b IS NOT NULL
+  SELECT contest_id, tier, origin_h, a AS persistence, a + greatest(0, coalesce((a - b) / nullif((ta - tb) / 3600000.0, 0), 0)) * (end_at - ta) / 3600000.0 AS last_slope,
+  a * ((end_at - start_at) / 3600000.0) / nullif((ta - start_at) / 3600000.0, 0) AS average_speed FROM (
+  SELECT contest_id, tier, origin_h, start_at, end_at, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b, max(CASE
+  WHEN r = 1 THEN time_ms END) AS ta, max(CASE WHEN r = 2 THEN time_ms END) AS tb
+  FROM (SELECT o.contest_id, o.tier, o.time_ms, o.score, k * 24 AS origin_h, start_at, end_at, row_number() OVER (PARTITION BY o.contest_id, o.tier,
+  k ORDER BY o.time_ms DESC, seq DESC) AS r FROM obs o JOIN contests USING (contest_id), range(1, 3) t(k) WHERE o.time_ms <= start_at + k * 86400000) WHERE r <= 2
+  GROUP BY ALL) WHERE b IS NOT NULL
 ), tr AS (
-  SELECT contest_id, tier, arg_max(score, seq) AS actual FROM (SELECT *, min(time_ms) OVER (PARTITION BY contest_id, tier) AS f FROM obs JOIN contests USING (contest_id) WHERE time_ms > end_at AND time_ms <= end_at + 1200000) WHERE time_ms = f GROUP BY ALL
+  SELECT contest_id, tier, arg_max(score, seq) AS actual FROM (SELECT *, min(time_ms) OVER (PARTITION BY contest_id, tier) AS f FROM obs JOIN contests USING (contest_id)
+  WHERE time_ms > end_at AND time_ms <= end_at + 1200000) WHERE time_ms = f GROUP BY ALL
 ), sc AS (
-  SELECT g.contest_id, g.tier, g.origin_h, m.method, CASE WHEN m.method = 'last_slope' AND g.contest_id % 3 = 1 AND g.tier = 50 THEN NULL ELSE round(CASE m.method WHEN 'persistence' THEN persistence WHEN 'last_slope' THEN last_slope ELSE average_speed END, 4) END AS prediction, tr.actual, c.contest_type,
+  SELECT g.contest_id, g.tier, g.origin_h, m.method, CASE WHEN m.method = 'last_slope' AND g.contest_id % 3 = 1 AND g.tier = 50 THEN NULL ELSE round(CASE m.method
+  WHEN 'persistence' THEN persistence WHEN 'last_slope' THEN last_slope ELSE average_speed END, 4) END AS prediction, tr.actual, c.contest_type,
     CASE WHEN g.origin_h < 24 THEN 'early' WHEN g.origin_h < 47 THEN 'middle' ELSE 'late' END AS phase
-  FROM (SELECT DISTINCT contest_id, tier, k * 24 AS origin_h FROM obs, range(1, 3) t(k)) g CROSS JOIN (VALUES ('persistence'), ('last_slope'), ('average_speed')) m(method) JOIN contests c USING (contest_id)
+  FROM (SELECT DISTINCT contest_id, tier, k * 24 AS origin_h FROM obs, range(1, 3) t(k)) g CROSS JOIN (VALUES ('persistence'), ('last_slope'),
+  ('average_speed')) m(method) JOIN contests c USING (contest_id)
   LEFT JOIN pf ON pf.contest_id = g.contest_id AND pf.tier = g.tier AND pf.origin_h = g.origin_h LEFT JOIN tr ON tr.contest_id = g.contest_id AND tr.tier = g.tier
 ), er AS (
-  SELECT *, prediction - actual AS error, abs(prediction - actual) AS abs_error, CASE WHEN actual <> 0 THEN 100 * (prediction - actual) / actual END AS pct, abs(CASE WHEN actual <> 0 THEN 100 * (prediction - actual) / actual END) AS ape,
-    CASE WHEN abs(prediction) + abs(actual) = 0 THEN 0 ELSE 200 * abs(prediction - actual) / (abs(prediction) + abs(actual)) END AS smape, CASE WHEN prediction IS NOT NULL THEN 'success' ELSE 'failed' END AS status FROM sc
+  SELECT *, prediction - actual AS error, abs(prediction - actual) AS abs_error, CASE WHEN actual <> 0 THEN 100 * (prediction - actual) / actual END AS pct, abs(CASE
+  WHEN actual <> 0 THEN 100 * (prediction - actual) / actual END) AS ape,
+    CASE WHEN abs(prediction) + abs(actual) = 0 THEN 0 ELSE 200 * abs(prediction - actual) / (abs(prediction) + abs(actual)) END AS smape, CASE
+  WHEN prediction IS NOT NULL THEN 'success' ELSE 'failed' END AS status FROM sc
 ), ce AS (
-  SELECT contest_id, tier, method, avg(ape) AS mape, avg(abs_error) AS mae, avg(smape) AS smape, avg(pct) AS bias, sqrt(avg(error * error)) AS rmse, count(*) AS n FROM er WHERE status = 'success' AND actual IS NOT NULL GROUP BY ALL
+  SELECT contest_id, tier, method, avg(ape) AS mape, avg(abs_error) AS mae, avg(smape) AS smape, avg(pct) AS bias, sqrt(avg(error * error)) AS rmse, count(*) AS n
+  FROM er WHERE status = 'success' AND actual IS NOT NULL GROUP BY ALL
 ), cm AS (SELECT contest_id, method, avg(mape) AS mape, avg(mae) AS mae, avg(smape) AS smape, avg(bias) AS bias, avg(rmse) AS rmse, CAST(sum(n) AS BIGINT) AS n FROM ce GROUP BY ALL
 ), om AS (SELECT method, avg(mape) AS mape, avg(mae) AS mae, avg(smape) AS smape, avg(bias) AS bias, avg(rmse) AS rmse, CAST(sum(n) AS BIGINT) AS n FROM cm GROUP BY ALL)"""
 _M = ("mape", "mae", "smape", "bias", "rmse")
@@ -74,27 +84,37 @@ def a14(spark, d):
     return errors(spark, d).select(*K, F.col("origin_h").cast("long").alias("origin_h"), "method", *[F.round(c, 4).alias(c) for c in ("error", "ape", "smape")])
 
 
-@query("a15_hierarchical_metrics", f"SELECT method, 'cell' AS level, contest_id, tier, {_ROUNDED}, n FROM ce UNION ALL SELECT method, 'contest', contest_id, NULL, {_ROUNDED}, n FROM cm UNION ALL SELECT method, 'tier', NULL, tier, {', '.join(f'round(avg({c}), 3)' for c in _M)}, CAST(sum(n) AS BIGINT) FROM ce GROUP BY method, tier UNION ALL SELECT method, 'overall', NULL, NULL, {_ROUNDED}, n FROM om", extra=SCORED)
+@query("a15_hierarchical_metrics", f"""SELECT method, 'cell' AS level, contest_id, tier, {_ROUNDED}, n FROM ce UNION ALL SELECT method, 'contest', contest_id, NULL,
+  {_ROUNDED}, n FROM cm UNION ALL SELECT method, 'tier', NULL, tier, {', '.join(f'round(avg({c}), 3)' for c in _M)}, CAST(sum(n) AS BIGINT) FROM ce GROUP BY method, tier
+  UNION ALL SELECT method, 'overall', NULL, NULL, {_ROUNDED}, n FROM om""", extra=SCORED)
 def a15(spark, d):
     return _rounded(E.hierarchical_metrics(errors(spark, d)))
 
 
 @query("a16_sliced_metrics", f"""WITH s AS (SELECT 'all' AS dim, 'all' AS value, * FROM er UNION ALL SELECT 'contest_type', contest_type, * FROM er UNION ALL SELECT 'phase', phase, * FROM er),
-c1 AS (SELECT dim, value, contest_id, tier, method, avg(ape) AS mape, avg(abs_error) AS mae, avg(smape) AS smape, avg(pct) AS bias, sqrt(avg(error * error)) AS rmse, count(*) AS n FROM s WHERE status = 'success' AND actual IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT dim, value, contest_id, tier, method, avg(ape) AS mape, avg(abs_error) AS mae, avg(smape) AS smape, avg(pct) AS bias, sqrt(avg(error * error)) AS rmse,
+  count(*) AS n FROM s WHERE status = 'success' AND actual IS NOT NULL GROUP BY ALL),
 c2 AS (SELECT dim, value, contest_id, method, {", ".join(f"avg({c}) AS {c}" for c in _M)}, sum(n) AS n FROM c1 GROUP BY ALL)
 SELECT dim, value, method, {", ".join(f"round(avg({c}), 3) AS {c}" for c in _M)}, CAST(sum(n) AS BIGINT) AS n FROM c2 GROUP BY dim, value, method""", extra=SCORED)
 def a16(spark, d):
     return _rounded(E.sliced_metrics(errors(spark, d), ["contest_type", "phase"]))
 
 
-@query("a17_coverage_report", """SELECT method, contest_id, count(*) AS scheduled, count(*) FILTER (WHERE actual IS NOT NULL) AS evaluable, count(*) FILTER (WHERE actual IS NOT NULL) AS attempted, count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') AS success, count(*) FILTER (WHERE actual IS NOT NULL AND status <> 'success') AS failure,
-  CASE WHEN count(*) FILTER (WHERE status <> 'success') > 0 THEN '{"no_forecast":' || count(*) FILTER (WHERE status <> 'success') || '}' END AS reasons, count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') / nullif(count(*) FILTER (WHERE actual IS NOT NULL), 0) AS success_share,
-  CASE WHEN count(*) FILTER (WHERE actual IS NOT NULL) = 0 THEN 'n.a.' WHEN count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') = count(*) FILTER (WHERE actual IS NOT NULL) THEN 'complete' WHEN count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') > 0 THEN 'partial' ELSE 'unavailable' END AS support FROM er GROUP BY method, contest_id""", extra=SCORED)
+@query("a17_coverage_report", """SELECT method, contest_id, count(*) AS scheduled, count(*) FILTER (WHERE actual IS NOT NULL) AS evaluable,
+  count(*) FILTER (WHERE actual IS NOT NULL) AS attempted, count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') AS success,
+  count(*) FILTER (WHERE actual IS NOT NULL AND status <> 'success') AS failure,
+  CASE WHEN count(*) FILTER (WHERE status <> 'success') > 0 THEN '{"no_forecast":' || count(*) FILTER (WHERE status <> 'success') || '}' END AS reasons,
+  count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') / nullif(count(*) FILTER (WHERE actual IS NOT NULL), 0) AS success_share,
+  CASE WHEN count(*) FILTER (WHERE actual IS NOT NULL) = 0 THEN 'n.a.'
+  WHEN count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') = count(*) FILTER (WHERE actual IS NOT NULL) THEN 'complete'
+  WHEN count(*) FILTER (WHERE actual IS NOT NULL AND status = 'success') > 0 THEN 'partial' ELSE 'unavailable' END AS support FROM er GROUP BY method, contest_id""", extra=SCORED)
 def a17(spark, d):
     return E.coverage_report(errors(spark, d), ["contest_id"])
 
 
-_PAIR = """WITH p AS (SELECT contest_id, tier, origin_h, max(CASE WHEN method = 'average_speed' THEN ape END) AS x, max(CASE WHEN method = 'last_slope' THEN ape END) AS y FROM er WHERE status = 'success' GROUP BY ALL HAVING max(CASE WHEN method = 'average_speed' THEN ape END) IS NOT NULL AND max(CASE WHEN method = 'last_slope' THEN ape END) IS NOT NULL),
+_PAIR = """WITH p AS (SELECT contest_id, tier, origin_h, max(CASE WHEN method = 'average_speed' THEN ape END) AS x, max(CASE
+  WHEN method = 'last_slope' THEN ape END) AS y FROM er WHERE status = 'success' GROUP BY ALL HAVING max(CASE
+  WHEN method = 'average_speed' THEN ape END) IS NOT NULL AND max(CASE WHEN method = 'last_slope' THEN ape END) IS NOT NULL),
 q AS (SELECT contest_id, avg(x) AS a, avg(y) AS b FROM (SELECT contest_id, tier, avg(x) AS x, avg(y) AS y FROM p GROUP BY ALL) GROUP BY 1)"""
 
 
@@ -128,32 +148,41 @@ def snapshots(spark, d):
 SNAP = SCORED + ", sn AS (SELECT *, CASE WHEN tier > 100 THEN ape / 100 END AS curve_mse, (prediction - actual) / greatest(actual, 1) AS rel FROM er WHERE method = 'last_slope' AND status = 'success' AND actual IS NOT NULL)"
 
 
-@query("a20_snapshot_metrics", "SELECT round(avg(rel * rel), 6) AS rel_mse, round(avg((ln(1 + greatest(prediction, 0)) - ln(1 + greatest(actual, 0))) ** 2), 6) AS log_mse, round(sqrt(avg(error * error)), 4) AS rmse, round(avg(abs(rel)), 6) AS mape, round(avg(curve_mse), 6) AS curve_mse, count(*) AS n, round(avg(rel * rel) + 0.5 * coalesce(avg(curve_mse), 0), 6) AS objective FROM sn", extra=SNAP)
+@query("a20_snapshot_metrics", """SELECT round(avg(rel * rel), 6) AS rel_mse, round(avg((ln(1 + greatest(prediction, 0)) - ln(1 + greatest(actual, 0))) ** 2),
+  6) AS log_mse, round(sqrt(avg(error * error)), 4) AS rmse, round(avg(abs(rel)), 6) AS mape, round(avg(curve_mse), 6) AS curve_mse, count(*) AS n,
+  round(avg(rel * rel) + 0.5 * coalesce(avg(curve_mse), 0), 6) AS objective FROM sn""", extra=SNAP)
 def a20(spark, d):
     m = E.snapshot_metrics(snapshots(spark, d))
     return m.select(*[c if c == "n" else F.round(c, 4 if c == "rmse" else 6).alias(c) for c in m.columns])
 
 
-@query("a21_per_contest_summary", "SELECT contest_id, count(*) AS snapshots, round(avg(abs(rel)), 6) AS mean_abs_rel, round(avg(rel * rel), 6) AS rel_mse, round(sqrt(avg(error * error)), 4) AS rmse, round(avg(curve_mse), 6) AS curve_mse FROM sn GROUP BY 1", extra=SNAP)
+@query("a21_per_contest_summary", """SELECT contest_id, count(*) AS snapshots, round(avg(abs(rel)), 6) AS mean_abs_rel, round(avg(rel * rel), 6) AS rel_mse,
+  round(sqrt(avg(error * error)), 4) AS rmse, round(avg(curve_mse), 6) AS curve_mse FROM sn GROUP BY 1""", extra=SNAP)
 def a21(spark, d):
     m = E.per_contest_summary(snapshots(spark, d))
     return m.select("contest_id", "snapshots", *[F.round(c, 4 if c == "rmse" else 6).alias(c) for c in ("mean_abs_rel", "rel_mse", "rmse", "curve_mse")])
 
 
-@query("a22_leaderboard", "SELECT method AS config_id, round(avg(CASE WHEN contest_id < 7 THEN mape END), 4) AS train, round(avg(CASE WHEN contest_id >= 7 AND method <> 'persistence' THEN mape END), 4) AS holdout, row_number() OVER (ORDER BY avg(CASE WHEN contest_id >= 7 AND method <> 'persistence' THEN mape END) NULLS LAST, method) AS rank FROM cm GROUP BY method", extra=SCORED)
+@query("a22_leaderboard", """SELECT method AS config_id, round(avg(CASE WHEN contest_id < 7 THEN mape END), 4) AS train, round(avg(CASE
+  WHEN contest_id >= 7 AND method <> 'persistence' THEN mape END), 4) AS holdout, row_number() OVER (ORDER BY avg(CASE
+  WHEN contest_id >= 7 AND method <> 'persistence' THEN mape END) NULLS LAST, method) AS rank FROM cm GROUP BY method""", extra=SCORED)
 def a22(spark, d):
     m = E.hierarchical_metrics(errors(spark, d)).where("level = 'contest' and not (contest_id >= 7 and method = 'persistence')")
     losses = m.select(F.col("method").alias("config_id"), F.when(F.col("contest_id") < 7, "train").otherwise("holdout").alias("split"), F.col("mape").alias("objective"))
     return E.leaderboard(losses).select("config_id", F.round("train", 4).alias("train"), F.round("holdout", 4).alias("holdout"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("a23_deviation_stats", "SELECT count(*) AS n, round(avg(abs(error)), 4) AS mean, round(max(abs(error)), 4) AS max, round(min(abs(error)), 4) AS min, round(stddev_pop(abs(error)), 4) AS std FROM sn WHERE contest_id IN (SELECT DISTINCT contest_id FROM sn ORDER BY 1 DESC LIMIT 4)", extra=SNAP)
+@query("a23_deviation_stats", """SELECT count(*) AS n, round(avg(abs(error)), 4) AS mean, round(max(abs(error)), 4) AS max, round(min(abs(error)), 4) AS min,
+  round(stddev_pop(abs(error)), 4) AS std FROM sn WHERE contest_id IN (SELECT DISTINCT contest_id FROM sn ORDER BY 1 DESC LIMIT 4)""", extra=SNAP)
 def a23(spark, d):
     m = E.deviation_stats(snapshots(spark, d), 4)
     return m.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "max", "min", "std")])
 
 
-@query("a25_coverage_gate", "WITH j AS (SELECT contest_id, contest_id IN (SELECT contest_id FROM tr) AS ok FROM contests) SELECT count(*) AS requested, count(*) FILTER (WHERE ok) AS included, CAST(greatest(3, ceil(count(*) * 0.6)) AS BIGINT) AS required, count(*) FILTER (WHERE ok) / count(*) AS share, count(*) FILTER (WHERE ok) >= greatest(3, ceil(count(*) * 0.6)) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN contest_id || '' END, ',' ORDER BY contest_id || ''), '') AS excluded FROM j", extra=SCORED)
+@query("a25_coverage_gate", """WITH j AS (SELECT contest_id, contest_id IN (SELECT contest_id FROM tr) AS ok FROM contests) SELECT count(*) AS requested,
+  count(*) FILTER (WHERE ok) AS included, CAST(greatest(3, ceil(count(*) * 0.6)) AS BIGINT) AS required, count(*) FILTER (WHERE ok) / count(*) AS share,
+  count(*) FILTER (WHERE ok) >= greatest(3, ceil(count(*) * 0.6)) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN contest_id || '' END,
+  ',' ORDER BY contest_id || ''), '') AS excluded FROM j""", extra=SCORED)
 def a25(spark, d):
     c = A.contests(spark, d)
     return E.coverage_gate(c, G.final_truth(A.obs(spark, d), c, "bucket20"), 3, 0.6)
@@ -176,7 +205,8 @@ def a28_ids(spark, d):
     return E.id_split(A.contests(spark, d), 1, 5, 7).select("contest_id", "split")
 
 
-@query("j10_paired_support", "SELECT a.contest_id, a.tier, a.origin_h, a.method, a.prediction FROM er a SEMI JOIN (SELECT * FROM er WHERE method = 'last_slope' AND status = 'success') b ON a.contest_id = b.contest_id AND a.tier = b.tier AND a.origin_h = b.origin_h WHERE a.method = 'persistence'", extra=SCORED)
+@query("j10_paired_support", """SELECT a.contest_id, a.tier, a.origin_h, a.method, a.prediction FROM er a SEMI JOIN (SELECT * FROM er
+  WHERE method = 'last_slope' AND status = 'success') b ON a.contest_id = b.contest_id AND a.tier = b.tier AND a.origin_h = b.origin_h WHERE a.method = 'persistence'""", extra=SCORED)
 def j10(spark, d):
     return J.paired_support(errors(spark, d), "persistence", "last_slope").select(*K, F.col("origin_h").cast("long").alias("origin_h"), "method", "prediction")
 
@@ -207,7 +237,9 @@ def e2(spark, d):
 
 
 @query("e7_screen_candidates", """WITH k AS (SELECT contest_id, tier, origin_h FROM er WHERE status = 'success' AND ape IS NOT NULL GROUP BY ALL HAVING count(DISTINCT method) = 3),
-c1 AS (SELECT contest_id, tier, method, avg(ape) AS m, count(*) AS n FROM er SEMI JOIN k ON er.contest_id = k.contest_id AND er.tier = k.tier AND er.origin_h = k.origin_h GROUP BY ALL), c2 AS (SELECT contest_id, method, avg(m) AS m, sum(n) AS n FROM c1 GROUP BY ALL), c3 AS (SELECT method, avg(m) AS m, sum(n) AS n FROM c2 GROUP BY 1)
+c1 AS (SELECT contest_id, tier, method, avg(ape) AS m, count(*) AS n FROM er SEMI
+  JOIN k ON er.contest_id = k.contest_id AND er.tier = k.tier AND er.origin_h = k.origin_h GROUP BY ALL), c2 AS (SELECT contest_id, method, avg(m) AS m, sum(n) AS n
+  FROM c1 GROUP BY ALL), c3 AS (SELECT method, avg(m) AS m, sum(n) AS n FROM c2 GROUP BY 1)
 SELECT method, round(m, 4) AS mape, CAST(n AS BIGINT) AS rows, row_number() OVER (ORDER BY m, method) = 1 AS chosen FROM c3""", extra=SCORED)
 def e7(spark, d):
     return E.screen_candidates(errors(spark, d)).withColumn("mape", F.round("mape", 4))
@@ -232,8 +264,10 @@ def e8(spark, d):
     return E.scoring_row_checks(s, METHODS).withColumn("origin_h", F.col("origin_h").cast("long"))
 
 
-@query("cleaned_normalised_speeds", """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, tier, time_ms ORDER BY available_at DESC, seq DESC) AS r FROM dirty WHERE score >= 0 AND tier <> 999) WHERE r = 1),
-s AS (SELECT contest_id, tier, time_ms, greatest(0.0, coalesce((score - lag(score) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0), 0)) AS speed FROM r WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms))
+@query("cleaned_normalised_speeds", """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, tier, time_ms ORDER BY available_at DESC,
+  seq DESC) AS r FROM dirty WHERE score >= 0 AND tier <> 999) WHERE r = 1),
+s AS (SELECT contest_id, tier, time_ms, greatest(0.0, coalesce((score - lag(score) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0), 0)) AS speed FROM r
+  WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms))
 SELECT contest_id, tier, count(*) AS n, round(avg(speed / scale), 6) AS mean_norm FROM s JOIN scales USING (contest_id) GROUP BY ALL""", speed=True)
 def cleaned(spark, d):
     o, _ = C.validate_tiers(C.usable(A.obs_dirty(spark, d)))

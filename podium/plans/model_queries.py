@@ -31,8 +31,10 @@ def pressure(spark, d):
     return M.reward_pressure(reward_tiers(spark, d), A.obs(spark, d))
 
 
-PRESSURE = """, prs AS (SELECT o.contest_id, o.tier, 1 - (1 - (0.15 + 0.85 * greatest(0, least(1, ln(1e5 / o.tier) / ln(1e5))))) * (1 - coalesce(avg(CASE WHEN r.tier IS NOT NULL THEN CAST(r.tier >= o.tier AS INT) END), 0)) AS pressure
-  FROM (SELECT DISTINCT contest_id, tier FROM obs) o LEFT JOIN (SELECT DISTINCT contest_id, to_rank AS tier FROM rewards WHERE reward_type = 'deco_pins') r USING (contest_id) GROUP BY o.contest_id, o.tier)"""
+PRESSURE = """, prs AS (SELECT o.contest_id, o.tier, 1 - (1 - (0.15 + 0.85 * greatest(0, least(1, ln(1e5 / o.tier) / ln(1e5))))) * (1 - coalesce(avg(CASE
+  WHEN r.tier IS NOT NULL THEN CAST(r.tier >= o.tier AS INT) END), 0)) AS pressure
+  FROM (SELECT DISTINCT contest_id, tier FROM obs) o LEFT JOIN (SELECT DISTINCT contest_id, to_rank AS tier FROM rewards
+  WHERE reward_type = 'deco_pins') r USING (contest_id) GROUP BY o.contest_id, o.tier)"""
 
 
 @query("m1_reward_pressure", "SELECT contest_id, tier, round(pressure, 6) AS pressure FROM prs", extra=PRESSURE.replace("r USING (contest_id)", "r ON r.contest_id = o.contest_id"))
@@ -121,21 +123,25 @@ pc AS (SELECT contest_id, tier, hours, 0.34 * c1 + 0.41 * c2 + 0.25 * c3 AS c, 0
   FROM {pace_sql(f"SELECT DISTINCT contest_id, tier, ah AS hours FROM an UNION SELECT DISTINCT an.contest_id, tier, {HOURS} AS hours FROM an JOIN contests ON contests.contest_id = an.contest_id")}),
 en AS (SELECT contest_id, {HOURS} AS dur FROM contests),
 pn AS (SELECT an.contest_id, an.tier, origin_h, ah, sc, sc * e.c / f.c AS final, sc / f.c * f.a AS speed_now
-FROM an JOIN en ON en.contest_id = an.contest_id JOIN pc f ON f.contest_id = an.contest_id AND f.tier = an.tier AND f.hours = ah JOIN pc e ON e.contest_id = an.contest_id AND e.tier = an.tier AND e.hours = en.dur)"""
+FROM an JOIN en ON en.contest_id = an.contest_id JOIN pc f ON f.contest_id = an.contest_id AND f.tier = an.tier AND f.hours = ah
+  JOIN pc e ON e.contest_id = an.contest_id AND e.tier = an.tier AND e.hours = en.dur)"""
 
 
 def stated_weights(spark):
     return spark.range(1).select(F.lit(0.34).alias("w1"), F.lit(0.41).alias("w2"), F.lit(0.25).alias("w3"))
 
 
-@query("m4_forecast_pace_fixed", "SELECT contest_id, tier, origin_h, round(ah, 6) AS anchor_h, sc AS anchor, round(final, 3) AS final, round(speed_now, 4) AS speed_now FROM pn", extra=CANON + _PRS + ", " + _PACE)
+@query("m4_forecast_pace_fixed", """SELECT contest_id, tier, origin_h, round(ah, 6) AS anchor_h, sc AS anchor, round(final, 3) AS final, round(speed_now, 4) AS speed_now
+  FROM pn""", extra=CANON + _PRS + ", " + _PACE)
 def m4_fixed(spark, d):
     """With stated weights, for SQL."""
     out = M.forecast_pace(prefix(spark, d), stated_weights(spark), A.contests(spark, d), pressure(spark, d))
     return out.select(*K, F.col("origin_h").cast("long").alias("origin_h"), F.round("anchor_h", 6).alias("anchor_h"), "anchor", F.round("final", 3).alias("final"), F.round("speed_now", 4).alias("speed_now"))
 
 
-@query("m19_causal_prior", "SELECT contest_id, round(avg(w1) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w1, round(avg(w2) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w2, round(avg(w3) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w3, count(*) AS n FROM (SELECT t.contest_id, (1 + f.contest_id) / 20.0 AS w1, 0.3 AS w2, 0.7 - (1 + f.contest_id) / 20.0 AS w3 FROM contests t JOIN contests f ON f.end_at < t.start_at AND f.contest_id <= 7) GROUP BY 1")
+@query("m19_causal_prior", """SELECT contest_id, round(avg(w1) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w1, round(avg(w2) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w2,
+  round(avg(w3) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w3, count(*) AS n FROM (SELECT t.contest_id, (1 + f.contest_id) / 20.0 AS w1, 0.3 AS w2,
+  0.7 - (1 + f.contest_id) / 20.0 AS w3 FROM contests t JOIN contests f ON f.end_at < t.start_at AND f.contest_id <= 7) GROUP BY 1""")
 def m19(spark, d):
     c = A.contests(spark, d)
     fits = c.select("contest_id", "end_at", ((F.col("contest_id") + 1) / 20.0).alias("w1"), F.lit(0.3).alias("w2"), (0.7 - (F.col("contest_id") + 1) / 20.0).alias("w3"))
@@ -229,17 +235,22 @@ def m8(spark, d):
 _MASS = "[0.1 + 0.05 * (contest_id % 4), 0.2, 0.1, 0.2 - 0.05 * (contest_id % 4), 0.25, 0.15]"
 
 
-@query("m8_forecast_cohort_fixed", f"""WITH an AS (SELECT contest_id, tier, max(hours) AS ah, arg_max(score, hours) AS sc FROM canon WHERE hours <= 48 GROUP BY ALL HAVING arg_max(score, hours) > 0 AND max(hours) > 0),
+@query("m8_forecast_cohort_fixed", f"""WITH an AS (SELECT contest_id, tier, max(hours) AS ah, arg_max(score, hours) AS sc FROM canon WHERE hours <= 48
+  GROUP BY ALL HAVING arg_max(score, hours) > 0 AND max(hours) > 0),
 kn AS (SELECT contest_id, tier, sc, ah, i * 6.0::DOUBLE AS hours FROM an, LATERAL (SELECT unnest(range(0, CAST(ceil(ah / 6) AS BIGINT))) AS i) UNION ALL SELECT contest_id, tier, sc, ah, ah FROM an),
 kb AS (SELECT * FROM {basis_sql("SELECT * FROM " + interp("SELECT * FROM kn"))}),
 tp AS (SELECT contest_id AS t_id, end_at AS t_end, t.tier AS t_tier, {_MASS} AS mass FROM contests, (VALUES (100), (1000)) t(tier)),
-pt AS (SELECT kb.contest_id, kb.tier, kb.hours, kb.ah, kb.sc, kb.v, t_id, t_tier, mass, list_dot_product(b, mass) AS f FROM kb JOIN contests c ON c.contest_id = kb.contest_id JOIN tp ON t_end < c.start_at),
-q AS (SELECT *, (f - lag(f) OVER w) / max(f) OVER (PARTITION BY contest_id, tier, t_id, t_tier) AS q, (v - lag(v) OVER w) / sc AS p, max(f) OVER (PARTITION BY contest_id, tier, t_id, t_tier) AS fa FROM pt WINDOW w AS (PARTITION BY contest_id, tier, t_id, t_tier ORDER BY hours)),
-kl AS (SELECT contest_id, tier, t_id, t_tier, max(mass) AS mass, max(ah) AS ah, max(sc) AS sc, max(fa) AS fa, sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(greatest(q, 1e-300))) ELSE 0 END) AS kl, -0.5 * (ln(t_tier / tier) / ln(2)) ** 2 AS l0 FROM q GROUP BY ALL),
+pt AS (SELECT kb.contest_id, kb.tier, kb.hours, kb.ah, kb.sc, kb.v, t_id, t_tier, mass, list_dot_product(b, mass) AS f FROM kb
+  JOIN contests c ON c.contest_id = kb.contest_id JOIN tp ON t_end < c.start_at),
+q AS (SELECT *, (f - lag(f) OVER w) / max(f) OVER (PARTITION BY contest_id, tier, t_id, t_tier) AS q, (v - lag(v) OVER w) / sc AS p, max(f) OVER (PARTITION BY contest_id,
+  tier, t_id, t_tier) AS fa FROM pt WINDOW w AS (PARTITION BY contest_id, tier, t_id, t_tier ORDER BY hours)),
+kl AS (SELECT contest_id, tier, t_id, t_tier, max(mass) AS mass, max(ah) AS ah, max(sc) AS sc, max(fa) AS fa, sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(greatest(q,
+  1e-300))) ELSE 0 END) AS kl, -0.5 * (ln(t_tier / tier) / ln(2)) ** 2 AS l0 FROM q GROUP BY ALL),
 pr AS (SELECT *, exp(l0) / sum(exp(l0)) OVER (PARTITION BY contest_id, tier, t_id) AS p0 FROM kl),
 po AS (SELECT *, ln(p0) - 16 * ah / 24 * kl AS lp FROM pr), pw AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY contest_id, tier)) AS w FROM po),
 en AS (SELECT contest_id, b AS eb FROM {basis_sql(f"SELECT contest_id, {HOURS} AS hours FROM contests")})
-SELECT pw.contest_id, tier, max(sc) AS anchor, round(max(sc) * sum(w * list_dot_product(eb, mass) / fa) / sum(w), 3) AS final, count(*) AS templates, round(sum(w) ** 2 / sum(w * w), 4) AS effective FROM pw JOIN en ON en.contest_id = pw.contest_id GROUP BY pw.contest_id, tier""", extra=CANON)
+SELECT pw.contest_id, tier, max(sc) AS anchor, round(max(sc) * sum(w * list_dot_product(eb, mass) / fa) / sum(w), 3) AS final, count(*) AS templates,
+  round(sum(w) ** 2 / sum(w * w), 4) AS effective FROM pw JOIN en ON en.contest_id = pw.contest_id GROUP BY pw.contest_id, tier""", extra=CANON)
 def m8_fixed(spark, d):
     step = 0.05 * (F.col("contest_id") % 4)
     mass = F.array(0.1 + step, F.lit(0.2), F.lit(0.1), 0.2 - step, F.lit(0.25), F.lit(0.15))
@@ -269,7 +280,8 @@ def m10(spark, d):
     return M.fit_skeleton(skeletons(spark, d), A.contests(spark, d))
 
 
-@query("m12_align_duration", "SELECT contest_id, tier, round(base * q, 6) AS base, round(a / r * q, 8) AS a, round(b / (r * r) * q, 8) AS b, round(b_end * pow(q, 1.1), 6) AS b_end FROM (SELECT *, exp(ln(dur / 69.5) * (least(abs(ln(dur / 69.5)) / 0.18, 1) * 0.85)) AS r, 0.5 + contest_id / 10.0 AS q FROM par)", extra=FIXED)
+@query("m12_align_duration", """SELECT contest_id, tier, round(base * q, 6) AS base, round(a / r * q, 8) AS a, round(b / (r * r) * q, 8) AS b, round(b_end * pow(q, 1.1),
+  6) AS b_end FROM (SELECT *, exp(ln(dur / 69.5) * (least(abs(ln(dur / 69.5)) / 0.18, 1) * 0.85)) AS r, 0.5 + contest_id / 10.0 AS q FROM par)""", extra=FIXED)
 def m12(spark, d):
     p = fixed_params(spark, d).withColumns({"target_h": F.col("total_h"), "history_h": F.lit(69.5), "ratio": 0.5 + F.col("contest_id") / 10.0})
     return M.align_duration(p).select(*K, F.round("base", 6).alias("base"), F.round("a", 8).alias("a"), F.round("b", 8).alias("b"), F.round("b_end", 6).alias("b_end"))
@@ -279,8 +291,13 @@ def factors(spark, d):
     return G.season_factors(profile(spark, d))
 
 
-SEASON = f""", gr AS (SELECT par.*, i, i * dur / 99 AS t, CAST(trunc(start_at + i * dur / 99 * 3600000) AS BIGINT) AS time_ms FROM par, range(0, 100) g(i)), gs AS (SELECT *, {SHAPE} AS skel, CASE WHEN isodow(lt) = 5 AND hour(lt) >= 17 THEN 'weekend' WHEN isodow(lt) = 7 AND hour(lt) >= 23 THEN 'weekday' WHEN isodow(lt) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, hour(lt) AS hr
-  FROM (SELECT *, make_timestamp((time_ms + 28800000) * 1000) AS lt FROM gr)), gn AS (SELECT gs.*, skel * factor * (1 + 0.1 * CASE WHEN panic > 0 AND dur - t < panic THEN 1 - greatest(0, dur - t) / panic ELSE 0 END) AS speed_norm FROM gs JOIN fac USING (day_type, hr))"""
+_COARSE = f""", gr AS (SELECT par.*, i, i * dur / 99 AS t, CAST(trunc(start_at + i * dur / 99 * 3600000) AS BIGINT) AS time_ms FROM par, range(0, 100) g(i))"""
+#: What a grid gr (par.*, i, t, time_ms) becomes with its season.
+_SEASONED = f""", gs AS (SELECT *, {SHAPE} AS skel, CASE WHEN isodow(lt) = 5 AND hour(lt) >= 17 THEN 'weekend' WHEN isodow(lt) = 7 AND hour(lt) >= 23 THEN 'weekday'
+  WHEN isodow(lt) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, hour(lt) AS hr
+  FROM (SELECT *, make_timestamp((time_ms + 28800000) * 1000) AS lt FROM gr)), gn AS (SELECT gs.*, skel * factor * (1 + 0.1 * CASE
+  WHEN panic > 0 AND dur - t < panic THEN 1 - greatest(0, dur - t) / panic ELSE 0 END) AS speed_norm FROM gs JOIN fac USING (day_type, hr))"""
+SEASON = _COARSE + _SEASONED
 
 
 @query("m14_apply_season", "SELECT contest_id, tier, i, round(speed_norm, 6) AS speed_norm FROM gn", speed=True, extra=NORM + FIXED + SEASON)
@@ -298,17 +315,22 @@ def m15(spark, d):
     return M.future_scale_curve(g).select(*K, F.col("i").cast("long").alias("i"), F.round("curve", 6).alias("curve"))
 
 
-@query("m16_compress_speed", "SELECT contest_id, tier, time_ms, round(least(0.8, CASE WHEN v > 0.65 THEN 0.65 + (v - 0.65) / (1 + 22 * ((v - 0.65) / 0.35) ** 2) WHEN v > 0.5 THEN 0.5 + (v - 0.5) / (1 + 3 * (v - 0.5) / 0.15) ELSE v END), 6) AS v FROM (SELECT contest_id, tier, time_ms, norm_speed * 20 AS v FROM nrm)", speed=True, extra=NORM)
+@query("m16_compress_speed", """SELECT contest_id, tier, time_ms, round(least(0.8, CASE WHEN v > 0.65 THEN 0.65 + (v - 0.65) / (1 + 22 * ((v - 0.65) / 0.35) ** 2)
+  WHEN v > 0.5 THEN 0.5 + (v - 0.5) / (1 + 3 * (v - 0.5) / 0.15) ELSE v END), 6) AS v FROM (SELECT contest_id, tier, time_ms, norm_speed * 20 AS v FROM nrm)""", speed=True, extra=NORM)
 def m16(spark, d):
     return skeletons(spark, d).select(*K, "time_ms", F.round(M.compress_speed(F.col("norm_speed") * 20), 6).alias("v"))
 
 
 @query("m11_kalman_strength", f"""WITH hh AS (SELECT contest_id, tier, CAST(floor(hours) AS BIGINT) AS h, max(score) AS top FROM canon GROUP BY ALL),
-st AS (SELECT contest_id, tier, row_number() OVER (PARTITION BY contest_id, tier ORDER BY h) - 1 AS k, top - coalesce(lag(top) OVER (PARTITION BY contest_id, tier ORDER BY h), 0) AS d, 40 + 2.0::DOUBLE * h AS m FROM hh),
+st AS (SELECT contest_id, tier, row_number() OVER (PARTITION BY contest_id, tier ORDER BY h) - 1 AS k, top - coalesce(lag(top) OVER (PARTITION BY contest_id,
+  tier ORDER BY h), 0) AS d, 40 + 2.0::DOUBLE * h AS m FROM hh),
 kf(contest_id, tier, k, s, t, a, b, d) AS (SELECT DISTINCT contest_id, tier, CAST(-1 AS BIGINT), 1.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.01::DOUBLE FROM st
-  UNION ALL SELECT contest_id, tier, k, CASE WHEN m > 50 THEN l + k1 * (z - l) ELSE l END, CASE WHEN m > 50 THEN t + k2 * (z - l) ELSE t END, CASE WHEN m > 50 THEN (1 - k1) * p11 ELSE p11 END, CASE WHEN m > 50 THEN (1 - k1) * p12 ELSE p12 END, CASE WHEN m > 50 THEN p22 - k2 * p12 ELSE p22 END
-  FROM (SELECT *, p11 / (p11 + r) AS k1, p12 / (p11 + r) AS k2 FROM (SELECT st.contest_id, st.tier, st.k, st.m, kf.t, kf.s + kf.t AS l, kf.a + 2 * kf.b + kf.d + 1e-5 AS p11, kf.b + kf.d AS p12, kf.d + 1e-7 AS p22, greatest(0.1, least(5, st.d / st.m)) AS z,
-    0.1 + 20 / (st.m + 1) + CASE WHEN abs(st.d / st.m - greatest(0.1, least(5, st.d / st.m))) > 0.1 THEN 100 ELSE 0 END AS r FROM kf JOIN st ON st.contest_id = kf.contest_id AND st.tier = kf.tier AND st.k = kf.k + 1)))
+  UNION ALL SELECT contest_id, tier, k, CASE WHEN m > 50 THEN l + k1 * (z - l) ELSE l END, CASE WHEN m > 50 THEN t + k2 * (z - l) ELSE t END, CASE
+  WHEN m > 50 THEN (1 - k1) * p11 ELSE p11 END, CASE WHEN m > 50 THEN (1 - k1) * p12 ELSE p12 END, CASE WHEN m > 50 THEN p22 - k2 * p12 ELSE p22 END
+  FROM (SELECT *, p11 / (p11 + r) AS k1, p12 / (p11 + r) AS k2 FROM (SELECT st.contest_id, st.tier, st.k, st.m, kf.t, kf.s + kf.t AS l,
+  kf.a + 2 * kf.b + kf.d + 1e-5 AS p11, kf.b + kf.d AS p12, kf.d + 1e-7 AS p22, greatest(0.1, least(5, st.d / st.m)) AS z,
+    0.1 + 20 / (st.m + 1) + CASE WHEN abs(st.d / st.m - greatest(0.1, least(5, st.d / st.m))) > 0.1 THEN 100 ELSE 0 END AS r FROM kf
+  JOIN st ON st.contest_id = kf.contest_id AND st.tier = kf.tier AND st.k = kf.k + 1)))
 SELECT contest_id, tier, round(arg_max(s, k), 6) AS scale, round(arg_max(t, k), 6) AS trend FROM kf GROUP BY ALL""", extra=CANON)
 def m11(spark, d):
     return M.kalman_strength(kalman_steps(spark, d)).select(*K, F.round("scale", 6).alias("scale"), F.round("trend", 6).alias("trend"))
@@ -321,7 +343,8 @@ def kalman_steps(spark, d):
     return hourly.select(*K, (F.row_number().over(w) - 1).alias("step"), (F.col("top") - F.coalesce(F.lag("top").over(w), F.lit(0.0))).alias("delta"), (40 + 2.0 * F.col("h")).alias("model"))
 
 
-@query("w11_refit_window", "SELECT contest_id, tier, count(*) AS n, round(max(hours), 4) AS last_h, round(greatest(0, least(0.35, (max(hours) - min(hours)) / 72)), 6) AS conf FROM (SELECT *, max(hours) OVER (PARTITION BY contest_id, tier) AS m FROM sk) WHERE hours >= 6 AND hours >= m - 48 GROUP BY ALL", speed=True, extra=NORM)
+@query("w11_refit_window", """SELECT contest_id, tier, count(*) AS n, round(max(hours), 4) AS last_h, round(greatest(0, least(0.35, (max(hours) - min(hours)) / 72)),
+  6) AS conf FROM (SELECT *, max(hours) OVER (PARTITION BY contest_id, tier) AS m FROM sk) WHERE hours >= 6 AND hours >= m - 48 GROUP BY ALL""", speed=True, extra=NORM)
 def w11(spark, d):
     return S.refit_window(skeletons(spark, d)).groupBy(*K).agg(F.count("*").alias("n"), F.round(F.max("hours"), 4).alias("last_h"), F.round(F.max("conf"), 6).alias("conf"))
 
@@ -332,29 +355,34 @@ def m13(spark, d):
 
 
 #: The grid of a forecast with its season, in place of SEASON's coarser one.
-_GRID = ", gr AS (SELECT par.*, i, i * dur / 999 AS t, CAST(trunc(start_at + i * dur / 999 * 3600000) AS BIGINT) AS time_ms FROM par, range(0, 1000) g(i))" + SEASON[SEASON.index(", gs AS") :]
+_GRID = ", gr AS (SELECT par.*, i, i * dur / 999 AS t, CAST(trunc(start_at + i * dur / 999 * 3600000) AS BIGINT) AS time_ms FROM par, range(0, 1000) g(i))" + _SEASONED
 _AT = "CASE WHEN s.b IS NULL OR {x} <= s.a THEN s.sa ELSE s.sa + (s.sb - s.sa) * (({x} - s.a) / (s.b - s.a)) END"
 _STRENGTH = f""", pfx AS (SELECT * FROM canon WHERE hours <= 48), nw AS (SELECT contest_id, tier, max(hours) AS nh, max(score) AS ns FROM pfx GROUP BY ALL),
 own AS (SELECT pfx.* FROM pfx JOIN nw ON nw.contest_id = pfx.contest_id AND nw.tier = pfx.tier
   JOIN (SELECT contest_id, greatest(0, 18 - (start_at + 28800000) % 86400000 / 3600000.0) AS ct FROM contests) c ON c.contest_id = pfx.contest_id WHERE hours >= ct AND nh >= ct + 1),
 osg AS (SELECT contest_id, tier, hours AS a, score AS sa, lead(hours) OVER w AS b, lead(score) OVER w AS sb FROM own WINDOW w AS (PARTITION BY contest_id, tier ORDER BY hours)),
-hg AS (SELECT contest_id, tier, i, lo + i AS hours FROM (SELECT contest_id, tier, min(hours) AS lo, max(hours) AS hi FROM own GROUP BY ALL HAVING max(hours) - min(hours) >= 1), range(0, 60) g(i) WHERE i <= floor(hi - lo + 1e-9)),
+hg AS (SELECT contest_id, tier, i, lo + i AS hours FROM (SELECT contest_id, tier, min(hours) AS lo, max(hours) AS hi FROM own
+  GROUP BY ALL HAVING max(hours) - min(hours) >= 1), range(0, 60) g(i) WHERE i <= floor(hi - lo + 1e-9)),
 hv AS (SELECT h.*, {_AT.format(x="h.hours")} AS v FROM hg h ASOF JOIN osg s ON s.contest_id = h.contest_id AND s.tier = h.tier AND h.hours >= s.a),
 hs AS (SELECT contest_id, tier, i - 1 AS k, lag(hours) OVER w + 0.5 AS x, v - lag(v) OVER w AS d FROM hv WINDOW w AS (PARTITION BY contest_id, tier ORDER BY i)),
 gsg AS (SELECT contest_id, tier, t AS a, speed_norm AS sa, lead(t) OVER w AS b, lead(speed_norm) OVER w AS sb FROM gn WINDOW w AS (PARTITION BY contest_id, tier ORDER BY i)),
-st AS (SELECT h.contest_id, h.tier, h.k, h.d, ({_AT.format(x="h.x")}) * scale * 60 AS m FROM hs h ASOF JOIN gsg s ON s.contest_id = h.contest_id AND s.tier = h.tier AND h.x >= s.a JOIN scales ON scales.contest_id = h.contest_id WHERE h.k >= 0)"""
+st AS (SELECT h.contest_id, h.tier, h.k, h.d, ({_AT.format(x="h.x")}) * scale * 60 AS m FROM hs h ASOF
+  JOIN gsg s ON s.contest_id = h.contest_id AND s.tier = h.tier AND h.x >= s.a JOIN scales ON scales.contest_id = h.contest_id WHERE h.k >= 0)"""
 _FOLDED = """WITH kf(contest_id, tier, k, s, t, a, b, d) AS (SELECT DISTINCT contest_id, tier, CAST(-1 AS BIGINT), 1.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, 0.01::DOUBLE FROM st
   UNION ALL SELECT contest_id, tier, k, CASE WHEN m > 50 THEN l + k1 * (z - l) ELSE l END, CASE WHEN m > 50 THEN t + k2 * (z - l) ELSE t END, CASE WHEN m > 50 THEN (1 - k1) * p11 ELSE p11 END,
     CASE WHEN m > 50 THEN (1 - k1) * p12 ELSE p12 END, CASE WHEN m > 50 THEN p22 - k2 * p12 ELSE p22 END
-  FROM (SELECT *, p11 / (p11 + r) AS k1, p12 / (p11 + r) AS k2 FROM (SELECT st.contest_id, st.tier, st.k, st.m, kf.t, kf.s + kf.t AS l, kf.a + 2 * kf.b + kf.d + 1e-5 AS p11, kf.b + kf.d AS p12, kf.d + 1e-7 AS p22,
+  FROM (SELECT *, p11 / (p11 + r) AS k1, p12 / (p11 + r) AS k2 FROM (SELECT st.contest_id, st.tier, st.k, st.m, kf.t, kf.s + kf.t AS l,
+  kf.a + 2 * kf.b + kf.d + 1e-5 AS p11, kf.b + kf.d AS p12, kf.d + 1e-7 AS p22,
     greatest(0.1, least(5, st.d / nullif(st.m, 0))) AS z, 0.1 + 20 / (st.m + 1) + CASE WHEN abs(st.d / nullif(st.m, 0) - greatest(0.1, least(5, st.d / nullif(st.m, 0)))) > 0.1 THEN 100 ELSE 0 END AS r
     FROM kf JOIN st ON st.contest_id = kf.contest_id AND st.tier = kf.tier AND st.k = kf.k + 1))),
 ks AS (SELECT contest_id, tier, arg_max(s, k) AS s, arg_max(t, k) AS tr FROM kf GROUP BY ALL),
 fg AS (SELECT gn.*, nh, ns, scale AS v10, coalesce(s, 1) AS strength, coalesce(tr, 0) AS tr, CASE WHEN t > dur - panic THEN least(1, greatest(0, (t - dur + panic) / panic)) ELSE 0 END AS g
   FROM gn JOIN nw ON nw.contest_id = gn.contest_id AND nw.tier = gn.tier JOIN scales ON scales.contest_id = gn.contest_id LEFT JOIN ks ON ks.contest_id = gn.contest_id AND ks.tier = gn.tier),
-fv AS (SELECT *, speed_norm * (greatest(0.1, greatest(0.5, least(3, strength)) + greatest(-0.03, least(0.05, tr)) * (1 - exp(-ln(2) / 2 * greatest(0, t - nh))) / (ln(2) / 2)) * (1 - g * g) + g * g) AS v FROM fg)
+fv AS (SELECT *, speed_norm * (greatest(0.1, greatest(0.5, least(3, strength)) + greatest(-0.03, least(0.05, tr)) * (1 - exp(-ln(2) / 2 * greatest(0,
+  t - nh))) / (ln(2) / 2)) * (1 - g * g) + g * g) AS v FROM fg)
 SELECT contest_id, tier, CAST(round(max(nh) * 3600000) AS BIGINT) AS now_ms, max(ns) AS score_now, round(max(strength), 6) AS strength, round(max(ns) + sum(CASE WHEN t >= nh THEN
-  least(0.8, CASE WHEN v > 0.65 THEN 0.65 + (v - 0.65) / (1 + 22 * ((v - 0.65) / 0.35) ** 2) WHEN v > 0.5 THEN 0.5 + (v - 0.5) / (1 + 3 * (v - 0.5) / 0.15) ELSE v END) * v10 * dur / 999 * 60 ELSE 0 END), 2) AS final FROM fv GROUP BY ALL"""
+  least(0.8, CASE WHEN v > 0.65 THEN 0.65 + (v - 0.65) / (1 + 22 * ((v - 0.65) / 0.35) ** 2) WHEN v > 0.5 THEN 0.5 + (v - 0.5) / (1 + 3 * (v - 0.5) / 0.15)
+  ELSE v END) * v10 * dur / 999 * 60 ELSE 0 END), 2) AS final FROM fv GROUP BY ALL"""
 
 
 @query("m17_forecast_skeleton_fixed", _FOLDED, speed=True, extra=NORM + CANON + FIXED + _GRID + _STRENGTH)
@@ -391,7 +419,7 @@ gr AS (SELECT par.*, sg.segment, sg.t0, sg.t1, sg.s0, sg.s1, i, t0 + i * 0.1::DO
     FROM (SELECT *, CASE WHEN sum(v) OVER p > 0 THEN (s1 - s0) / sum(v) OVER p ELSE 1 END AS need, sum(v) OVER (PARTITION BY contest_id, tier, segment ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
       FROM (SELECT gn.*, speed_norm * scale * 0.1 AS v FROM gn JOIN scales ON scales.contest_id = gn.contest_id) WINDOW p AS (PARTITION BY contest_id, tier, segment))""",
     speed=True,
-    extra=NORM + CANON + FIXED + _PATH + SEASON.replace(SEASON[SEASON.index(", gr AS") : SEASON.index(", gs AS")], ""),
+    extra=NORM + CANON + FIXED + _PATH + _SEASONED,
 )
 def m18(spark, d):
     return assumed(spark, d).select(*K, "segment", F.round("hours", 4).alias("hours"), F.round("score", 3).alias("score"), F.round("norm_speed", 8).alias("norm_speed"), "is_manual")
@@ -434,18 +462,22 @@ _REPLAY = """SELECT method, scheduled, evaluable, evaluable AS attempted, succes
   CASE WHEN evaluable = 0 THEN 'n.a.' WHEN success = evaluable THEN 'complete' WHEN success > 0 THEN 'partial' ELSE 'unavailable' END AS support,
   round(mape, 3) AS mape, round(mae, 3) AS mae, round(smape, 3) AS smape, round(bias, 3) AS bias, round(rmse, 3) AS rmse FROM (
   SELECT method, count(*) AS scheduled, count(*) FILTER (WHERE actual IS NOT NULL) AS evaluable, count(*) FILTER (WHERE actual IS NOT NULL AND p IS NOT NULL) AS success,
-    CASE WHEN count(*) FILTER (WHERE p IS NULL) > 0 THEN '{' || array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE p IS NULL AND n IS NOT NULL) > 0 THEN '"no_forecast":' || count(*) FILTER (WHERE p IS NULL AND n IS NOT NULL) END,
+    CASE WHEN count(*) FILTER (WHERE p IS NULL) > 0 THEN '{' || array_to_string(list_filter([CASE
+  WHEN count(*) FILTER (WHERE p IS NULL AND n IS NOT NULL) > 0 THEN '"no_forecast":' || count(*) FILTER (WHERE p IS NULL AND n IS NOT NULL) END,
       CASE WHEN count(*) FILTER (WHERE p IS NULL AND n IS NULL) > 0 THEN '"no_rows":' || count(*) FILTER (WHERE p IS NULL AND n IS NULL) END], lambda x: x IS NOT NULL), ',') || '}' END AS reasons
   FROM sf GROUP BY method) LEFT JOIN (
   SELECT method, avg(mape) AS mape, avg(mae) AS mae, avg(smape) AS smape, avg(bias) AS bias, avg(rmse) AS rmse FROM (
     SELECT method, contest_id, avg(mape) AS mape, avg(mae) AS mae, avg(smape) AS smape, avg(bias) AS bias, avg(rmse) AS rmse FROM (
-      SELECT method, contest_id, tier, avg(abs(100 * (p - actual) / nullif(actual, 0))) AS mape, avg(abs(p - actual)) AS mae, avg(CASE WHEN abs(p) + abs(actual) = 0 THEN 0 ELSE 200 * abs(p - actual) / (abs(p) + abs(actual)) END) AS smape,
+      SELECT method, contest_id, tier, avg(abs(100 * (p - actual) / nullif(actual, 0))) AS mape, avg(abs(p - actual)) AS mae, avg(CASE
+  WHEN abs(p) + abs(actual) = 0 THEN 0 ELSE 200 * abs(p - actual) / (abs(p) + abs(actual)) END) AS smape,
         avg(100 * (p - actual) / nullif(actual, 0)) AS bias, sqrt(avg((p - actual) ** 2)) AS rmse FROM sf WHERE p IS NOT NULL AND actual IS NOT NULL GROUP BY method, contest_id, tier)
     GROUP BY method, contest_id) GROUP BY method) USING (method)"""
-_SCORED_FIXED = """, sf AS (SELECT g.contest_id, g.tier, g.origin_h, m.method, n.n, tr.actual, CASE m.method WHEN 'pace' THEN pn.final WHEN 'persistence' THEN pf.persistence WHEN 'last_slope' THEN pf.last_slope ELSE pf.average_speed END AS p
+_SCORED_FIXED = """, sf AS (SELECT g.contest_id, g.tier, g.origin_h, m.method, n.n, tr.actual, CASE m.method WHEN 'pace' THEN pn.final
+  WHEN 'persistence' THEN pf.persistence WHEN 'last_slope' THEN pf.last_slope ELSE pf.average_speed END AS p
   FROM (SELECT DISTINCT contest_id, tier, k * 24 AS origin_h FROM obs, range(1, 3) t(k)) g CROSS JOIN (VALUES ('pace'), ('persistence'), ('last_slope'), ('average_speed')) m(method)
   LEFT JOIN pf ON pf.contest_id = g.contest_id AND pf.tier = g.tier AND pf.origin_h = g.origin_h LEFT JOIN pn ON pn.contest_id = g.contest_id AND pn.tier = g.tier AND pn.origin_h = g.origin_h
-  LEFT JOIN (SELECT o.contest_id, o.tier, k * 24 AS origin_h, count(*) AS n FROM obs o JOIN contests c ON c.contest_id = o.contest_id, range(1, 3) t(k) WHERE time_ms <= start_at + k * 86400000 GROUP BY ALL) n ON n.contest_id = g.contest_id AND n.tier = g.tier AND n.origin_h = g.origin_h
+  LEFT JOIN (SELECT o.contest_id, o.tier, k * 24 AS origin_h, count(*) AS n FROM obs o JOIN contests c ON c.contest_id = o.contest_id, range(1, 3) t(k)
+  WHERE time_ms <= start_at + k * 86400000 GROUP BY ALL) n ON n.contest_id = g.contest_id AND n.tier = g.tier AND n.origin_h = g.origin_h
   LEFT JOIN tr ON tr.contest_id = g.contest_id AND tr.tier = g.tier)"""
 
 

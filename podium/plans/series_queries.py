@@ -50,17 +50,22 @@ def w1(spark, d):
     return S.interval_speed(A.obs(spark, d)).groupBy(*K).agg(F.count("*").alias("n"), F.round(F.sum("speed"), 4).alias("total"), F.count_if(F.col("speed") == 0).alias("zeros"))
 
 
-@query("w1_interval_speed_drop", "SELECT contest_id, tier, count(*) AS n, round(sum(s), 4) AS total FROM (SELECT contest_id, tier, (score - lag(score) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0) AS s FROM obs WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms, seq)) WHERE s >= 0 GROUP BY ALL")
+@query("w1_interval_speed_drop", """SELECT contest_id, tier, count(*) AS n, round(sum(s), 4) AS total FROM (SELECT contest_id, tier,
+  (score - lag(score) OVER k) / nullif((time_ms - lag(time_ms) OVER k) / 60000.0, 0) AS s FROM obs WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms, seq))
+  WHERE s >= 0 GROUP BY ALL""")
 def w1_drop(spark, d):
     return S.interval_speed(A.obs(spark, d), "drop").groupBy(*K).agg(F.count("*").alias("n"), F.round(F.sum("speed"), 4).alias("total"))
 
 
-@query("w2_latest_revision", "SELECT contest_id, tier, time_ms, score, available_at FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, tier, time_ms ORDER BY available_at DESC NULLS LAST, seq DESC) AS r FROM dirty) WHERE r = 1")
+@query("w2_latest_revision", """SELECT contest_id, tier, time_ms, score, available_at FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, tier,
+  time_ms ORDER BY available_at DESC NULLS LAST, seq DESC) AS r FROM dirty) WHERE r = 1""")
 def w2(spark, d):
     return S.latest_revision(A.obs_dirty(spark, d)).select(*K, "time_ms", "score", "available_at")
 
 
-@query("w3_cummax_repair", "SELECT contest_id, tier, round(sum(m), 2) AS total, count(*) FILTER (WHERE f) AS falls FROM (SELECT contest_id, tier, max(score) OVER (k ROWS UNBOUNDED PRECEDING) AS m, coalesce(score < lag(score) OVER k, false) AS f FROM obs WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms, seq)) GROUP BY ALL")
+@query("w3_cummax_repair", """SELECT contest_id, tier, round(sum(m), 2) AS total, count(*) FILTER (WHERE f) AS falls FROM (SELECT contest_id, tier,
+  max(score) OVER (k ROWS UNBOUNDED PRECEDING) AS m, coalesce(score < lag(score) OVER k, false) AS f FROM obs WINDOW k AS (PARTITION BY contest_id, tier ORDER BY time_ms,
+  seq)) GROUP BY ALL""")
 def w3(spark, d):
     return S.cummax_repair(A.obs(spark, d)).groupBy(*K).agg(F.round(F.sum("repaired"), 2).alias("total"), F.count_if("falls").alias("falls"))
 
@@ -70,21 +75,28 @@ def w4(spark, d):
     return canonical(spark, d).select(*K, F.round(F.col("hours") * 3_600_000).cast("long").alias("at_ms"), "score")
 
 
-@query("w4_training_diagnostics", """SELECT contest_id, tier, max(CAST(aft AS INT)) = 1 AS mapped, min(CASE WHEN aft THEN time_ms - end_at END) AS delay_ms, count(*) FILTER (WHERE aft AND score <> fin) AS disagreements, count(*) FILTER (WHERE falls) AS repaired_steps FROM (
-  SELECT o.contest_id, o.tier, o.time_ms, o.score, c.end_at, time_ms > end_at AND time_ms <= end_at + 1200000 AS aft, coalesce(o.score < lag(o.score) OVER w, false) AND time_ms <= end_at AS falls, cl.closing AS fin
-  FROM obs o JOIN contests c USING (contest_id) LEFT JOIN cl ON cl.contest_id = o.contest_id AND cl.tier = o.tier WINDOW w AS (PARTITION BY o.contest_id, o.tier ORDER BY time_ms, seq)) GROUP BY ALL""", extra=CANON)
+@query("w4_training_diagnostics", """SELECT contest_id, tier, max(CAST(aft AS INT)) = 1 AS mapped, min(CASE WHEN aft THEN time_ms - end_at END) AS delay_ms,
+  count(*) FILTER (WHERE aft AND score <> fin) AS disagreements, count(*) FILTER (WHERE falls) AS repaired_steps FROM (
+  SELECT o.contest_id, o.tier, o.time_ms, o.score, c.end_at, time_ms > end_at AND time_ms <= end_at + 1200000 AS aft, coalesce(o.score < lag(o.score) OVER w,
+  false) AND time_ms <= end_at AS falls, cl.closing AS fin
+  FROM obs o JOIN contests c USING (contest_id) LEFT JOIN cl ON cl.contest_id = o.contest_id AND cl.tier = o.tier WINDOW w AS (PARTITION BY o.contest_id,
+  o.tier ORDER BY time_ms, seq)) GROUP BY ALL""", extra=CANON)
 def w4d(spark, d):
     return S.training_diagnostics(A.obs(spark, d), A.contests(spark, d))
 
 
 @query("w5_history_series", """WITH po AS (SELECT contest_id, tier, arg_min(score, time_ms) AS s FROM obs JOIN contests USING (contest_id) WHERE time_ms > end_at GROUP BY ALL),
-u AS (SELECT o.contest_id, o.tier, o.time_ms, o.score, start_at FROM obs o JOIN contests USING (contest_id) LEFT JOIN po ON po.contest_id = o.contest_id AND po.tier = o.tier WHERE time_ms BETWEEN start_at AND end_at AND (po.s IS NULL OR time_ms < end_at) UNION ALL SELECT contest_id, tier, end_at, s, start_at FROM po JOIN contests USING (contest_id))
+u AS (SELECT o.contest_id, o.tier, o.time_ms, o.score, start_at FROM obs o JOIN contests USING (contest_id) LEFT
+  JOIN po ON po.contest_id = o.contest_id AND po.tier = o.tier WHERE time_ms BETWEEN start_at AND end_at AND (po.s IS NULL OR time_ms < end_at)
+  UNION ALL SELECT contest_id, tier, end_at, s, start_at FROM po JOIN contests USING (contest_id))
 SELECT contest_id, tier, time_ms - start_at AS at_ms, score FROM (SELECT *, count(*) OVER (PARTITION BY contest_id, tier) AS n FROM u) WHERE n >= 2""")
 def w5(spark, d):
     return S.history_series(A.obs(spark, d), A.contests(spark, d)).select(*K, F.round(F.col("hours") * 3_600_000).cast("long").alias("at_ms"), "score")
 
 
-@query("w6_resample_surface", f"""WITH sp AS (SELECT contest_id, min(hours) AS lo, max(hours) AS hi FROM canon GROUP BY 1), gr AS (SELECT contest_id, tier, lo + i AS hours FROM (SELECT contest_id, tier, min(hours) AS f FROM canon GROUP BY ALL) JOIN sp USING (contest_id), LATERAL (SELECT unnest(range(0, CAST(floor(hi - lo + 0.5 - 1e-9) AS BIGINT) + 1)) AS i) WHERE lo + i >= f),
+@query("w6_resample_surface", f"""WITH sp AS (SELECT contest_id, min(hours) AS lo, max(hours) AS hi FROM canon GROUP BY 1), gr AS (SELECT contest_id, tier,
+  lo + i AS hours FROM (SELECT contest_id, tier, min(hours) AS f FROM canon GROUP BY ALL) JOIN sp USING (contest_id), LATERAL (SELECT unnest(range(0,
+  CAST(floor(hi - lo + 0.5 - 1e-9) AS BIGINT) + 1)) AS i) WHERE lo + i >= f),
 g AS (SELECT * FROM {interp("SELECT * FROM gr")})
 SELECT contest_id, tier, round(hours, 6) AS hours, round(max(v) OVER (PARTITION BY contest_id, tier ORDER BY hours ROWS UNBOUNDED PRECEDING), 4) AS score FROM g""", extra=CANON)
 def w6(spark, d):
@@ -97,9 +109,13 @@ def w7(spark, d):
     return S.pivot_surface(o, TRAINING_TIERS)
 
 
-@query("w8_baseline_forecasts", f"""SELECT contest_id, tier, origin_h, a AS persistence, round(a + greatest(0, coalesce((a - b) / nullif((ta - tb) / 3600000.0, 0), 0)) * (end_at - ta) / 3600000.0, 4) AS last_slope, round(a * ((end_at - start_at) / 3600000.0) / nullif((ta - start_at) / 3600000.0, 0), 4) AS average_speed FROM (
-  SELECT contest_id, tier, origin_h, start_at, end_at, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b, max(CASE WHEN r = 1 THEN time_ms END) AS ta, max(CASE WHEN r = 2 THEN time_ms END) AS tb
-  FROM (SELECT o.contest_id, o.tier, o.time_ms, o.score, k * 24 AS origin_h, start_at, end_at, row_number() OVER (PARTITION BY o.contest_id, o.tier, k ORDER BY o.time_ms DESC, seq DESC) AS r FROM obs o JOIN contests USING (contest_id), range(1, 3) t(k) WHERE o.time_ms <= start_at + k * 86400000) WHERE r <= 2 GROUP BY ALL) WHERE b IS NOT NULL""")
+@query("w8_baseline_forecasts", f"""SELECT contest_id, tier, origin_h, a AS persistence, round(a + greatest(0, coalesce((a - b) / nullif((ta - tb) / 3600000.0, 0),
+  0)) * (end_at - ta) / 3600000.0, 4) AS last_slope, round(a * ((end_at - start_at) / 3600000.0) / nullif((ta - start_at) / 3600000.0, 0), 4) AS average_speed FROM (
+  SELECT contest_id, tier, origin_h, start_at, end_at, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b, max(CASE
+  WHEN r = 1 THEN time_ms END) AS ta, max(CASE WHEN r = 2 THEN time_ms END) AS tb
+  FROM (SELECT o.contest_id, o.tier, o.time_ms, o.score, k * 24 AS origin_h, start_at, end_at, row_number() OVER (PARTITION BY o.contest_id, o.tier,
+  k ORDER BY o.time_ms DESC, seq DESC) AS r FROM obs o JOIN contests USING (contest_id), range(1, 3) t(k) WHERE o.time_ms <= start_at + k * 86400000) WHERE r <= 2
+  GROUP BY ALL) WHERE b IS NOT NULL""")
 def w8(spark, d):
     c = A.contests(spark, d)
     return S.baseline_forecasts(S.prefix_join(A.obs(spark, d), S.daily_origins(c)), c).select(*K, "origin_h", "persistence", F.round("last_slope", 4).alias("last_slope"), F.round("average_speed", 4).alias("average_speed"))
@@ -115,14 +131,16 @@ def w9(spark, d):
     return S.prefix_increments(canonical(spark, d), 48).select(*K, F.col("knot").cast("long").alias("knot"), F.round("share", 6).alias("share"))
 
 
-@query("w10_hourly_deltas", f"""WITH sp AS (SELECT contest_id, tier, min(hours) AS lo, max(hours) AS hi FROM canon WHERE hours >= 6.5 GROUP BY ALL), gr AS (SELECT contest_id, tier, i, lo + i AS hours FROM sp, LATERAL (SELECT unnest(range(0, CAST(floor(hi - lo + 1e-9) AS BIGINT) + 1)) AS i) WHERE hi - lo >= 1),
+@query("w10_hourly_deltas", f"""WITH sp AS (SELECT contest_id, tier, min(hours) AS lo, max(hours) AS hi FROM canon WHERE hours >= 6.5 GROUP BY ALL),
+  gr AS (SELECT contest_id, tier, i, lo + i AS hours FROM sp, LATERAL (SELECT unnest(range(0, CAST(floor(hi - lo + 1e-9) AS BIGINT) + 1)) AS i) WHERE hi - lo >= 1),
 g AS (SELECT *, lag(v) OVER (PARTITION BY contest_id, tier ORDER BY i) AS pv FROM {interp("SELECT * FROM gr")})
 SELECT contest_id, tier, i - 1 AS step, round(v - pv, 4) AS delta FROM g WHERE pv IS NOT NULL""", extra=CANON)
 def w10(spark, d):
     return S.hourly_deltas(canonical(spark, d), 6.5).select(*K, F.col("step").cast("long").alias("step"), F.round("delta", 4).alias("delta"))
 
 
-@query("w12_unpivot_surface", "SELECT contest_id, tier, (time_ms - start_at) / 3600000.0 AS hours, arg_max(score, seq) AS score FROM dirty JOIN contests USING (contest_id) WHERE tier <> 999 AND time_ms BETWEEN start_at AND end_at GROUP BY contest_id, tier, time_ms, start_at")
+@query("w12_unpivot_surface", """SELECT contest_id, tier, (time_ms - start_at) / 3600000.0 AS hours, arg_max(score, seq) AS score FROM dirty
+  JOIN contests USING (contest_id) WHERE tier <> 999 AND time_ms BETWEEN start_at AND end_at GROUP BY contest_id, tier, time_ms, start_at""")
 def w12(spark, d):
     c = A.contests(spark, d)
     o = A.obs_dirty(spark, d).join(c.select("contest_id", "start_at"), "contest_id").withColumn("hours", (F.col("time_ms") - F.col("start_at")) / 3_600_000.0)
@@ -138,7 +156,8 @@ def j3(spark, d):
     return S.interpolate_tier_asof(A.obs(spark, d), 1500, 1000, 2000).select("contest_id", "time_ms", F.round("score", 4).alias("score"))
 
 
-@query("j4_adjacent_tiers", "SELECT contest_id, tier, lag(tier) OVER w AS lower, lead(tier) OVER w AS upper FROM (SELECT DISTINCT contest_id, tier FROM dirty) WINDOW w AS (PARTITION BY contest_id ORDER BY tier)")
+@query("j4_adjacent_tiers", """SELECT contest_id, tier, lag(tier) OVER w AS lower, lead(tier) OVER w AS upper FROM (SELECT DISTINCT contest_id, tier FROM dirty)
+  WINDOW w AS (PARTITION BY contest_id ORDER BY tier)""")
 def j4(spark, d):
     return S.adjacent_tiers(A.obs_dirty(spark, d))
 
@@ -174,7 +193,8 @@ def u4(spark, d):
     return A.obs_dirty(spark, d).select(*K, "time_ms", "score").dropDuplicates()
 
 
-@query("u1_union_tiers", "SELECT contest_id, count(*) AS n, count(*) FILTER (WHERE s) AS synthetic FROM (SELECT contest_id, false AS s FROM obs WHERE tier IN (1000, 2000) UNION ALL SELECT contest_id, true FROM obs WHERE tier = 1000) GROUP BY 1")
+@query("u1_union_tiers", """SELECT contest_id, count(*) AS n, count(*) FILTER (WHERE s) AS synthetic FROM (SELECT contest_id, false AS s FROM obs WHERE tier IN (1000,
+  2000) UNION ALL SELECT contest_id, true FROM obs WHERE tier = 1000) GROUP BY 1""")
 def u1(spark, d):
     o = A.obs(spark, d)
     own = o.where("tier in (1000, 2000)").select("contest_id", F.lit(0).alias("s"))
@@ -188,10 +208,13 @@ def fingerprint(spark, d):
     return o.groupBy(*K).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]), ","), 256).alias("fingerprint"))
 
 
-@query("lineitem_series", """WITH li AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS contest_id, l_suppkey % 24 AS t, epoch_us(l_shipdate) // 1000 AS time_ms, CAST(l_quantity AS BIGINT) AS q, l_orderkey, l_linenumber FROM lineitem),
-s AS (SELECT contest_id, t, time_ms, sum(q) OVER (PARTITION BY contest_id, t ORDER BY time_ms, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS score, l_orderkey * 10 + l_linenumber AS seq FROM li),
+@query("lineitem_series", """WITH li AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS contest_id, l_suppkey % 24 AS t, epoch_us(l_shipdate) // 1000 AS time_ms,
+  CAST(l_quantity AS BIGINT) AS q, l_orderkey, l_linenumber FROM lineitem),
+s AS (SELECT contest_id, t, time_ms, sum(q) OVER (PARTITION BY contest_id, t ORDER BY time_ms, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS score,
+  l_orderkey * 10 + l_linenumber AS seq FROM li),
 r AS (SELECT contest_id, t, time_ms, score, row_number() OVER (PARTITION BY contest_id, t, time_ms ORDER BY seq DESC) AS r FROM s),
-v AS (SELECT contest_id, t, greatest(0, coalesce((score - lag(score) OVER w) / nullif((time_ms - lag(time_ms) OVER w) / 60000.0, 0), 0)) AS speed FROM r WHERE r = 1 WINDOW w AS (PARTITION BY contest_id, t ORDER BY time_ms))
+v AS (SELECT contest_id, t, greatest(0, coalesce((score - lag(score) OVER w) / nullif((time_ms - lag(time_ms) OVER w) / 60000.0, 0), 0)) AS speed FROM r WHERE r = 1
+  WINDOW w AS (PARTITION BY contest_id, t ORDER BY time_ms))
 SELECT CAST(contest_id AS BIGINT) AS contest_id, [1,10,20,30,40,50,100,200,300,400,500,1000,1500,2000,3000,4000,5000,10000,20000,30000,40000,50000,70000,100000][t + 1] AS tier, count(*) AS n, round(sum(speed), 3) AS total FROM v GROUP BY contest_id, t""")
 def lineitem_series(spark, d):
     o = A.obs_lineitem(spark, d).withColumn("available_at", F.lit(0).cast("long"))

@@ -49,7 +49,8 @@ def s1(spark, d):
     return R.read_contest_index(spark, mapped).unionByName(R.read_contest_index(spark, other)).where("start_at is not null")
 
 
-@query("s2_read_contest_cache", """SELECT contest_id, tier, count(*) AS n, round(sum(score), 2) AS total, max(available_at) AS last_available, arg_max(score, (time_ms, seq)) AS last_score FROM obs GROUP BY ALL""")
+@query("s2_read_contest_cache", """SELECT contest_id, tier, count(*) AS n, round(sum(score), 2) AS total, max(available_at) AS last_available, arg_max(score, (time_ms,
+  seq)) AS last_score FROM obs GROUP BY ALL""")
 def s2(spark, d):
     """A document for each tier of a contest; odd contests have versioned rows."""
     o = A.obs(spark, d)
@@ -63,7 +64,8 @@ def s2(spark, d):
 
 
 @query("s3_read_tracker_payload", """SELECT contest_id, tier, CASE WHEN contest_id % 4 = 3 THEN 'result_not_true' WHEN contest_id % 4 = 2 AND tier = 50 THEN 'empty' END AS reason,
-  CASE WHEN contest_id % 4 = 3 OR contest_id % 4 = 2 AND tier = 50 THEN 0 ELSE count(*) END AS n, CASE WHEN NOT (contest_id % 4 = 3 OR contest_id % 4 = 2 AND tier = 50) THEN round(sum(score), 2) END AS total FROM obs GROUP BY contest_id, tier""")
+  CASE WHEN contest_id % 4 = 3 OR contest_id % 4 = 2 AND tier = 50 THEN 0 ELSE count(*) END AS n, CASE
+  WHEN NOT (contest_id % 4 = 3 OR contest_id % 4 = 2 AND tier = 50) THEN round(sum(score), 2) END AS total FROM obs GROUP BY contest_id, tier""")
 def s3(spark, d):
     """Every fourth contest's payloads failed, and some are empty: those come back as rejects."""
     g = A.obs(spark, d).groupBy(*K).agg(F.collect_list(F.struct(F.col("time_ms").alias("time"), F.col("score").alias("ep"))).alias("rows"))
@@ -84,7 +86,8 @@ def s4(spark, d):
     return back.groupBy(_of_file("contest_id").alias("contest_id")).agg(F.count("*").alias("n"), F.count_distinct("uid").alias("players"), F.max("time_ms").alias("last_ms"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("s5_read_rewards", "SELECT contest_id, reward_type, count(*) AS n, count(reward_id) AS with_id, CAST(sum(to_rank) AS BIGINT) AS ranks FROM rewards WHERE contest_id % 5 <> 4 GROUP BY ALL UNION ALL SELECT DISTINCT contest_id, 'no_rewards', 0, 0, 0 FROM rewards WHERE contest_id % 5 = 4")
+@query("s5_read_rewards", """SELECT contest_id, reward_type, count(*) AS n, count(reward_id) AS with_id, CAST(sum(to_rank) AS BIGINT) AS ranks FROM rewards
+  WHERE contest_id % 5 <> 4 GROUP BY ALL UNION ALL SELECT DISTINCT contest_id, 'no_rewards', 0, 0, 0 FROM rewards WHERE contest_id % 5 = 4""")
 def s5(spark, d):
     """The second of two servers; every fifth contest has none there, and is a reject."""
     one = F.struct(F.col("to_rank").alias("toRank"), F.col("reward_type").alias("rewardType"), F.col("reward_id").alias("rewardId"))

@@ -58,7 +58,8 @@ def st3(spark, d):
     return ok.withColumn("accepted", F.lit(True)).unionByName(late.withColumn("accepted", F.lit(False))).groupBy("contest_id", "accepted").agg(F.count("*").alias("n"))
 
 
-@query("st5_live_speed_windows", "SELECT contest_id, tier, time_ms // 21600000 * 21600000 AS window_ms, round(arg_max(score, (time_ms, seq)) - arg_min(score, (time_ms, seq)), 2) AS gain FROM obs GROUP BY contest_id, tier, time_ms // 21600000")
+@query("st5_live_speed_windows", """SELECT contest_id, tier, time_ms // 21600000 * 21600000 AS window_ms, round(arg_max(score, (time_ms, seq)) - arg_min(score, (time_ms,
+  seq)), 2) AS gain FROM obs GROUP BY contest_id, tier, time_ms // 21600000""")
 def st5(spark, d):
     g = L.live_speed_windows(A.obs(spark, d).withColumn("ts", F.timestamp_millis("time_ms")))
     return g.select(*K, F.unix_millis("window.start").alias("window_ms"), F.round("gain", 2).alias("gain"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from podium.operators.clean import local_time, with_day_type
+from podium.operators.clean import local_time, profile_window, with_day_type
 from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, K
 
 
@@ -54,6 +54,12 @@ def hourly_speed_profile(rows: DataFrame, exact: bool = True) -> DataFrame:
     return grid.join(g, ["day_type", "hour"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 
+def contest_profile(rows: DataFrame, tier: int = 1000, min_scale: float = 100.0, after_start: int = 24, before_end: int = 48, exact: bool = True) -> DataFrame:
+    """hourly_speed_profile of one tier's speeds in the middle of contests of a scale worth it; rows have start_at, end_at, scale and norm_speed."""
+    kept = rows.where((F.col("tier") == tier) & (F.col("scale") >= min_scale) & ~F.isnan("norm_speed"))
+    return hourly_speed_profile(profile_window(kept, after_start, before_end), exact)
+
+
 def profile_means(profile: DataFrame, weekend_multiplier: float = DEFAULTS["weekend_multiplier"]) -> DataFrame:
     """One row (weekday_mean, weekend_mean, global_mean): weekend means are multiplied first; hours of no positive mean don't count."""
     m = F.when(F.col("day_type") == "weekend", F.col("mean") * weekend_multiplier).otherwise(F.col("mean"))

@@ -79,6 +79,19 @@ def a3(spark, d):
     return profile(spark, d).select("day_type", F.col("hour").cast("long").alias("hour"), *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")], "cnt")
 
 
+_MIDDLE = """SELECT g.day_type, g.hr AS hour, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, coalesce(cnt, 0) AS cnt
+  FROM (SELECT unnest(['weekday', 'weekend']) AS day_type, h AS hr FROM range(0, 24) t(h)) g LEFT JOIN (
+  SELECT day_type, hr, avg(norm_speed) AS mean, median(norm_speed) AS median, stddev_pop(norm_speed) AS std, count(*) AS cnt FROM nrm
+  WHERE tier = 1000 AND scale >= 100 AND time_ms BETWEEN start_at + 86400000 AND end_at - 43200000 AND norm_speed BETWEEN 0 AND 1.2 GROUP BY ALL) p USING (day_type, hr)"""
+
+
+@query("a3_contest_profile", _MIDDLE, speed=True, extra=NORM)
+def a3_contest(spark, d):
+    """The middle of these short contests ends twelve hours before their end."""
+    p = G.contest_profile(normalised(spark, d), before_end=12)
+    return p.select("day_type", F.col("hour").cast("long").alias("hour"), *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")], "cnt")
+
+
 @query("a4_profile_means", "SELECT round(wd, 6) AS weekday_mean, round(we, 6) AS weekend_mean, round(g, 6) AS global_mean FROM means", speed=True, extra=NORM)
 def a4(spark, d):
     return G.profile_means(profile(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("weekday_mean", "weekend_mean", "global_mean")])

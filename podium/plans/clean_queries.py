@@ -52,6 +52,16 @@ def f5(spark, d):
     return C.as_of_filter(A.obs(spark, d), origins).groupBy(*K).agg(F.count("*").alias("n"), F.max("score").alias("top"))
 
 
+@query("f5_response_level", f"""SELECT contest_id, tier, count(*) AS n, max(score) AS top FROM obs
+  WHERE time_ms <= {T0} + 259200000 * contest_id + 172800000 AND tier % 100 = 0 GROUP BY ALL""")
+def f5_response(spark, d):
+    """One time of availability for a tier's whole response: beyond the origin it empties the tier."""
+    origins = A.contests(spark, d).select("contest_id", (F.col("start_at") + 48 * HOUR_MS).alias("origin_ms"))
+    late = F.when(F.col("tier") % 100 == 0, 0).otherwise(1).cast("long")
+    o = A.obs(spark, d).drop("available_at").join(origins, "contest_id").withColumn("response_at", F.col("origin_ms") + late).drop("origin_ms")
+    return C.as_of_filter(o, origins, "response_at").groupBy(*K).agg(F.count("*").alias("n"), F.max("score").alias("top"))
+
+
 @query("f6_window_class", "SELECT contest_id, CASE WHEN time_ms < start_at THEN 'pre' WHEN time_ms <= end_at THEN 'in' ELSE 'post' END AS \"window\", time_ms > end_at AND time_ms <= end_at + 1200000 AS in_grace, count(*) AS n FROM obs JOIN contests USING (contest_id) GROUP BY ALL")
 def f6(spark, d):
     return C.window_class(A.obs(spark, d), A.contests(spark, d)).groupBy("contest_id", "window", "in_grace").agg(F.count("*").alias("n"))
@@ -110,6 +120,18 @@ def f13(spark, d):
     return C.with_day_type(A.obs(spark, d)).groupBy("day_type", "hour").agg(F.count("*").alias("n"))
 
 
+_CALENDAR = f"""SELECT CASE WHEN isodow({LOCAL}) = 5 AND hour({LOCAL}) >= 17 THEN 'weekend' WHEN isodow({LOCAL}) = 7 AND hour({LOCAL}) >= 23 THEN 'weekday'
+  WHEN day({LOCAL}) % 4 = 0 THEN 'weekday' WHEN day({LOCAL}) % 4 = 1 THEN 'weekend' WHEN isodow({LOCAL}) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, hour({LOCAL}) AS hour, count(*) AS n FROM obs GROUP BY ALL"""
+
+
+@query("f13_day_type_by_calendar", _CALENDAR)
+def f13_calendar(spark, d):
+    """A calendar of the days there are: of each four the first works, the second is free, and the others are not in it."""
+    o = A.obs(spark, d)
+    days = o.select(F.to_date(C.local_time(F.col("time_ms"))).alias("date")).distinct().where("day(date) % 4 < 2").withColumn("is_workday", F.expr("day(date) % 4 = 0"))
+    return C.with_day_type(o, days).groupBy("day_type", "hour").agg(F.count("*").alias("n"))
+
+
 @query("f15_prefix_gate", f"""
 SELECT contest_id, tier, origin_h, reason IS NULL AS valid, reason FROM (
 SELECT contest_id, tier, origin_h, CASE WHEN max(CAST(score IS NULL AS INT)) = 1 THEN 'bad_score' WHEN max(CAST(dup AS INT)) = 1 THEN 'duplicate_time'

@@ -78,7 +78,7 @@ def findings(docs: DataFrame, find, limit: int) -> list[tuple[bytes, int, int, s
     n = docs.count()
     drawn = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
     at = F.pmod(F.xxhash64("text", F.lit(24)), F.greatest(F.length("text") - 120, F.lit(1)).cast("long"))
-    some = docs.where("text is not null").where(drawn < 1.2 * limit / max(n, 1)).select(F.substring("text", at.cast("int") + 1, F.lit(120)).alias("t"), "source", drawn.alias("d"))
+    some = docs.where("text is not null").where(drawn < 1.2 * limit / max(n, 1)).select(F.substring("text", at.cast("int") + 1, F.lit(120)).alias("t"), "source", drawn.alias("d")).distinct()  # of many copies one
     places = sorted({(r["d"], r["t"], r["source"] or "") for r in some.collect()})[:limit]
     out = []
     for k in range(limit if places else 0):

@@ -59,14 +59,16 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHAR
     if marked.count() <= broadcast:
         marked = F.broadcast(marked)
     gone = lines.join(marked, ["__h", "__n"]).where(~F.struct("__id", "__at").eqNullSafe(F.col("__first")))
-    id_, t, places = fresh(docs, "__id", "__t", "__gone")
+    id_, t, places, parts = fresh(docs, "__id", "__t", "__gone", "__parts")
     gone = gone.select("__id", "__t", "__at").distinct().groupBy(F.col("__id").alias(id_), F.col("__t").alias(t)).agg(F.collect_list("__at").alias(places))
     rows = docs.select("*", *_row_key(id_, t)).join(gone, [id_, t], "left")
-    parts = F.split("text", "\n")
+    # a column of its own, so that no line splits the text again
+    rows = rows.withColumn(parts, F.when(F.col(places).isNotNull(), F.split("text", "\n")))
     # places, not lines, are taken away: by hash, so that a text of many lines takes time in proportion
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
-    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    more = [F.coalesce(F.size(parts), F.lit(0)).alias(counts[0]), F.coalesce(F.size(places), F.lit(0)).alias(counts[1])] if counts else []
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    more = [n.alias(counts[0]), F.coalesce(F.size(places), F.lit(0)).alias(counts[1])] if counts else []
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *more)
 
 

@@ -183,7 +183,7 @@ def in_order(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(0).alias("borrowed"))
     lent = F.struct(F.pmod(F.col("at.bucket") + 1, F.lit(max(len(tops), 1))).alias("bucket"), F.lit(1).alias("borrowed"))
     rows = rows.select(F.explode(F.when(F.col("at.top"), F.array(own, lent)).otherwise(F.array(own))).alias("to"), "key", "hash", "doc_id", "text")
-    rows = rows.select("to.bucket", "to.borrowed", "key", "hash", "doc_id", "text").repartition("bucket")
+    rows = rows.select("to.bucket", "to.borrowed", "key", "hash", "doc_id", "text").repartitionByRange(ranges, "bucket")  # about one bucket a task, where hashes would put several
     return rows.sortWithinPartitions("bucket", "borrowed", F.desc("key"), F.desc("hash")).drop("key", "hash")
 
 

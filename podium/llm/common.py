@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Code points that a task hands to numpy at once; a longer single text makes a chunk of its own.
@@ -153,3 +154,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def running(df: DataFrame, keys: list[str], order: list, **sums: str) -> DataFrame:
+    """df with, for each name of `sums`, the sum of that column over the rows before in `order` among equal keys (not null).
+
+    Rows are dealt into ranges of (keys, order); sums run inside a range, and each range adds what the ranges
+    before it hold of its key. So a key of any size is spread over tasks; what is summed in one task is a row a
+    range. Rows equal in keys and order stand in any order among themselves. df is written once.
+    """
+    p, *totals = fresh(df, "__p", *(f"__{n}" for n in sums))
+    by = [*(F.col(k) for k in keys), *order]
+    dealt = checkpoint(df.repartitionByRange(partitions(df.sparkSession), *by).withColumn(p, F.spark_partition_id()))
+    ahead = W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, -1)
+    whole = dealt.groupBy(p, *keys).agg(*[F.sum(c).alias(t) for t, c in zip(totals, sums.values(), strict=True)])
+    whole = whole.select(p, *keys, *[F.coalesce(F.sum(t).over(ahead), F.lit(0)).alias(t) for t in totals])
+    before = W.partitionBy(p, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = {n: F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(t) for (n, c), t in zip(sums.items(), totals, strict=True)}
+    return dealt.join(whole, [p, *keys]).withColumns(out).drop(p, *totals)

@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express one, its SQL."""
 
-from podium.llm import backoff, bpe, ctph, flac, language, lines, nearjoin, packing, quality, secrets
+from podium.llm import backoff, bpe, ctph, flac, language, lines, mixing, nearjoin, packing, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_bpe_speculate": bpe.query,
     "op9_best_fit_packing": packing.query,
     "op10_flac_media": flac.query,
+    "op11_source_mixing": mixing.query,
 }
-ORACLES = {"op5_line_spread": lines.ORACLE_SQL, "op6_jaccard_components": nearjoin.ORACLE_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL}
+ORACLES = {"op5_line_spread": lines.ORACLE_SQL, "op6_jaccard_components": nearjoin.ORACLE_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL, "op11_source_mixing": mixing.ORACLE_SQL}

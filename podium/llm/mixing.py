@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm.common import checkpoint, running
+from podium.llm.common import checkpoint, partitions, running
 
 BLOCK, SHARD, ROUNDS, SEED, WEIGHTS, MOST = 2048, 1024, 24, "mix", (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,6 +113,7 @@ def plan(of: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEED
         return of.where("false").select(F.lit(0).cast("long").alias("shard"), "src", *[F.lit(0).cast("long").alias(c) for c in ("nth", "block", "take")])
     counts = running(settled(drawn(of.sparkSession, of, total, shard, seed), of, seed), ["src"], [F.col("shard")], first="n")
     slots = counts.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("nth"))
+    slots = slots.repartition(partitions(of.sparkSession), "src", "nth")  # few counts stand for many slots, and lie in few tasks
     slots = slots.join(_small(of.select("src", "source", "source_size", "even", "blocks", "passes", "words")), "src")
     lap, i = F.floor(F.col("nth") / F.col("blocks")), F.col("nth") % F.col("blocks")
     name = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source")))

@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express one, its SQL."""
 
-from podium.llm import backoff, bpe, ctph, flac, language, lines, mixing, nearjoin, packing, quality, secrets, whitening
+from podium.llm import backoff, bpe, ctph, flac, language, lines, mixing, nearjoin, packing, quality, repair, secrets, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_flac_media": flac.query,
     "op11_source_mixing": mixing.query,
     "op12_embedding_whitening": whitening.query,
+    "op13_conversation_repair": repair.query,
 }
 ORACLES = {"op5_line_spread": lines.ORACLE_SQL, "op6_jaccard_components": nearjoin.ORACLE_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL, "op11_source_mixing": mixing.ORACLE_SQL}

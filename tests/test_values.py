@@ -187,9 +187,12 @@ def test_kalman_fold_equals_its_stream_state(spark):
         def getValueState(self, *_):
             return Value()
 
+        def registerTimer(self, at):
+            assert at == 99 * H + 20 * 60_000
+
     p = L.Strength()
     p.init(Handle())
-    pdf = pd.DataFrame(steps, columns=["contest_id", "tier", "step", "delta", "model"])
+    pdf = pd.DataFrame(steps, columns=["contest_id", "tier", "step", "delta", "model"]).assign(end_at=99 * H, ts=pd.to_datetime(0))
     for k in range(0, 40, 7):
         out = list(p.handleInputRows((1, 500), iter([pdf[k : k + 7]]), None))[0]
     assert out["scale"][0] == pytest.approx(want["scale"], rel=1e-12) and out["trend"][0] == pytest.approx(want["trend"], rel=1e-12)
@@ -266,20 +269,6 @@ def test_rejected_prefixes_say_why(spark):
     assert got == {500: "decreasing_score", 1000: "duplicate_time", 50: "no_score", 100: None}
 
 
-def test_live_scale_equals_its_batch_twin(spark, tmp_path):
-    """Over 1000 rows of a contest in a micro-batch, whose pieces overlap in time."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [(c, u, t * H // 7, float((u * 7919 + t * t * (u % 13) * 31 + c) % 9973 + 400 * t), u * 100 + t) for c in (1, 2) for u in range(50) for t in range(40)]
-    base = frame(spark, rows, "contest_id long, uid long, time_ms long, value double, seq long")
-    base.repartitionByRange(2, "time_ms").sortWithinPartitions("uid").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = L.live_player_speeds(stream).writeStream.outputMode("update").format("memory").queryName("speeds").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    got = {r["contest_id"]: r["scale"] for r in L.live_scale(spark.table("speeds")).collect()}
-    assert got == pytest.approx({r["contest_id"]: r["scale"] for r in G.scale_from_points(base).collect()}) and len(got) == 2
-
-
 def test_quality_report_keeps_origins_apart(spark):
     o = frame(spark, [(1, 10, t * H, float(t), t * H, t) for t in range(5)], "contest_id long, tier int, time_ms long, score double, available_at long, seq long")
     at, tiers = frame(spark, [(1, 2 * H), (1, 9 * H)], "contest_id long, origin_ms long"), frame(spark, [(10,), (20,)], "tier int")

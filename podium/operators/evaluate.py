@@ -204,10 +204,18 @@ def scoring_row_checks(scores: DataFrame, methods: tuple[str, ...]) -> DataFrame
 
 
 def screen_candidates(scores: DataFrame) -> DataFrame:
-    """(method, mape, rows, chosen): candidates by hierarchical MAPE on their common rows; the best one with full coverage is chosen."""
+    """(method, mape, rows, planned, chosen): candidates by hierarchical MAPE over their own rows; of those that forecast every planned row the best is chosen, if there is one.
+
+    Planned is every (contest, tier, origin) of scores that can be judged, its actual score being known and not 0. A
+    candidate without a single forecast has no MAPE and 0 rows.
+    """
     keys = [*K, "origin_h"]
-    n = scores.select("method").distinct().agg(F.count("*").alias("methods"))
-    ok = scores.where("status = 'success' and ape is not null")
-    common = ok.groupBy(*keys).agg(F.count_distinct("method").alias("m")).join(F.broadcast(n), F.col("m") == F.col("methods"), "left_semi").select(*keys)
-    overall = hierarchical_metrics(ok.join(common, keys, "left_semi")).where("level = 'overall'").select("method", "mape", F.col("n").alias("rows"))
-    return overall.withColumn("chosen", F.row_number().over(W.orderBy("mape", "method")) == 1)
+    judged = scores.where("actual <> 0")
+    planned = judged.select(*keys).distinct().agg(F.count("*").alias("planned"))
+    ok = judged.where("status = 'success' and ape is not null")
+    overall = hierarchical_metrics(ok).where("level = 'overall'").select("method", "mape")
+    rows = ok.select("method", *keys).distinct().groupBy("method").agg(F.count("*").alias("rows"))
+    out = scores.select("method").distinct().join(overall, "method", "left").join(rows, "method", "left").crossJoin(F.broadcast(planned))  # one row
+    out = out.select("method", "mape", F.coalesce("rows", F.lit(0)).alias("rows"), "planned")
+    full = F.when((F.col("rows") == F.col("planned")) & (F.col("planned") > 0), F.struct("mape", "method"))
+    return out.withColumn("chosen", F.coalesce(full == F.min(full).over(W.partitionBy()), F.lit(False)))

@@ -18,10 +18,11 @@ def select_history(contests: DataFrame, scales: DataFrame, k: int = 5, ignore: t
     offline: of those with a positive scale; online: of the newest k + 3 those with a positive scale and the
     exact type; causal: as online, and ended before the target began. Only neighbours by id within a type
     can be chosen, so a window over each type does instead of a self-join. Ids are not chronological, so causal
-    looks through NEAR of them; what a target does not find there is joined.
+    looks through NEAR of them; what a target does not find there is joined. Ignored ids are targets, but no
+    histories: they take no place among the newest.
     """
     c = contests.withColumn("type_lc", F.lower("contest_type")).join(scales.select("contest_id", "scale"), "contest_id", "left")
-    c = c.withColumn("good", F.coalesce(F.col("scale") > 0, F.lit(False)) & ~F.col("contest_id").isin(*ignore))
+    c = c.withColumns({"good": F.coalesce(F.col("scale") > 0, F.lit(False)) & ~F.col("contest_id").isin(*ignore), "taken": ~F.col("contest_id").isin(*ignore)})
     w = W.partitionBy("type_lc").orderBy("contest_id")
     if mode == "offline":
         # good contests of a type are numbered, and a target takes the k numbers before its own
@@ -30,8 +31,8 @@ def select_history(contests: DataFrame, scales: DataFrame, k: int = 5, ignore: t
         want = numbered.select("type_lc", F.col("contest_id").alias("target_id"), "g", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")).withColumn("n", F.col("g") - F.col("rank") + 1).where("n >= 1")
         out = want.join(good, ["type_lc", "n"]).select("target_id", F.col("h").alias("contest_id"), "rank")
     else:
-        near = max(NEAR, k + 3) if mode == "causal" else k + 3
-        before = F.reverse(F.collect_list(F.struct("contest_id", "contest_type", "end_at", "good")).over(w.rowsBetween(-near, -1)))
+        near = (max(NEAR, k + 3) if mode == "causal" else k + 3) + len(ignore)  # room for ignored ones, which are left out of the list
+        before = F.reverse(F.collect_list(F.when(F.col("taken"), F.struct("contest_id", "contest_type", "end_at", "good"))).over(w.rowsBetween(-near, -1)))
         c = c.withColumns({"before": before, "place": F.row_number().over(w)})
         if mode == "causal":
             c = c.withColumn("before", F.filter("before", lambda s: s["end_at"] < F.col("start_at")))
@@ -40,7 +41,7 @@ def select_history(contests: DataFrame, scales: DataFrame, k: int = 5, ignore: t
         found = (F.size("before") == k + 3) | (F.col("place") <= near + 1)
         out = c.where(found).select(F.col("contest_id").alias("target_id"), F.posexplode(F.slice(fit, 1, k)).alias("p", "s")).select("target_id", F.col("s.contest_id").alias("contest_id"), (F.col("p") + 1).alias("rank"))
         if mode == "causal":
-            h = c.select("type_lc", F.col("contest_id").alias("hid"), F.col("contest_type").alias("ht"), F.col("end_at").alias("he"), F.col("good").alias("hg"))
+            h = c.where("taken").select("type_lc", F.col("contest_id").alias("hid"), F.col("contest_type").alias("ht"), F.col("end_at").alias("he"), F.col("good").alias("hg"))
             p = c.where(~found).join(h, "type_lc").where("hid < contest_id and he < start_at").withColumn("r0", F.row_number().over(W.partitionBy("contest_id").orderBy(F.desc("hid")))).where(F.col("r0") <= k + 3)
             p = p.where("hg and ht = contest_type").withColumn("rank", F.row_number().over(W.partitionBy("contest_id").orderBy(F.desc("hid")))).where(F.col("rank") <= k)
             out = out.unionByName(p.select(F.col("contest_id").alias("target_id"), F.col("hid").alias("contest_id"), "rank"))

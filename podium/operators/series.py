@@ -155,14 +155,17 @@ def last_rows(obs: DataFrame, origins: DataFrame, n: int = 2) -> DataFrame:
 
 
 def prefix_totals(obs: DataFrame, origins: DataFrame) -> DataFrame:
-    """(contest_id, tier, origin_h, rows, last_score, max_score) of each prefix, without repeating rows: by the first origin that sees a row, then running."""
-    step = origins.groupBy("contest_id").agg(F.min("origin_ms").alias("first_ms"), F.min("origin_h").alias("step_h"))
-    b = obs.join(step, "contest_id")
-    k = F.greatest(F.lit(1), F.ceil((F.col("time_ms") - F.col("first_ms")) / (F.col("step_h") * float(HOUR_MS))).cast("int") + 1)
-    b = b.withColumn("origin_h", (k * F.col("step_h")).cast("int")).groupBy(*K, "origin_h").agg(F.count("*").alias("n"), F.max(F.struct("time_ms", "seq", "score")).alias("last"), F.max("score").alias("top"))
-    grid = obs.select(*K).distinct().join(origins.select("contest_id", "origin_h"), "contest_id")
-    w = W.partitionBy(*K).orderBy("origin_h").rowsBetween(*_UP)
-    out = grid.join(b, [*K, "origin_h"], "left").select(*K, "origin_h", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("rows"), F.max("last").over(w).getField("score").alias("last_score"), F.max("top").over(w).alias("max_score"))
+    """(contest_id, tier, origin_h, rows, last_score, max_score) of each prefix, without repeating rows: by the first origin that sees a row, then running.
+
+    Origins may lie anywhere, and differ between contests; a contest has one origin_h for each origin_ms. Rows after
+    the last origin are in no prefix; a prefix without rows is left out.
+    """
+    at = origins.groupBy("contest_id").agg(F.sort_array(F.collect_set(F.struct("origin_ms", "origin_h"))).alias("__at"))
+    b = obs.join(at, "contest_id").withColumn("__o", F.get("__at", F.size(F.filter("__at", lambda o: o["origin_ms"] < F.col("time_ms"))))).where("__o is not null")
+    b = b.groupBy(*K, F.col("__o.origin_ms").alias("origin_ms")).agg(F.count("*").alias("n"), F.max(F.struct("time_ms", "seq", "score")).alias("last"), F.max("score").alias("top"))
+    grid = obs.select(*K).distinct().join(origins.select("contest_id", "origin_ms", "origin_h").distinct(), "contest_id")
+    w = W.partitionBy(*K).orderBy("origin_ms").rowsBetween(*_UP)
+    out = grid.join(b, [*K, "origin_ms"], "left").select(*K, "origin_h", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("rows"), F.max("last").over(w).getField("score").alias("last_score"), F.max("top").over(w).alias("max_score"))
     return out.where("rows > 0")
 
 

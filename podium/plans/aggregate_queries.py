@@ -310,23 +310,30 @@ def j1(spark, d):
     return history(spark, d).select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
 
 
-_MODES = """WITH c AS (SELECT c.contest_id, contest_type AS ty, start_at, end_at, coalesce(scale > 0, false) AND contest_id % 5 <> 1 AS good FROM contests c LEFT JOIN scales USING (contest_id)),
+#: Contests that are no histories in the online and causal modes.
+IGNORED = (5, 7)
+
+
+def _modes(k: int, when: str = "") -> str:
+    return f"""c AS (SELECT c.contest_id, contest_type AS ty, start_at, end_at, coalesce(scale > 0, false) AND contest_id % 5 <> 1 AS good FROM contests c LEFT JOIN scales USING (contest_id)),
 a AS (SELECT t.contest_id AS target_id, h.contest_id, h.good, row_number() OVER (PARTITION BY t.contest_id ORDER BY h.contest_id DESC) AS r0 FROM c t
-  JOIN c h ON lower(t.ty) = lower(h.ty) AND h.contest_id < t.contest_id@),
-b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY contest_id DESC) AS rank FROM a WHERE r0 <= 5 AND good)
-SELECT target_id, contest_id, rank FROM b WHERE rank <= 2"""
+  JOIN c h ON lower(t.ty) = lower(h.ty) AND h.contest_id < t.contest_id AND h.contest_id NOT IN {IGNORED}{when}),
+b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY contest_id DESC) AS rank FROM a WHERE r0 <= {k + 3} AND good)"""
+
+
+def unscaled(spark, d):
+    """Scales of which every fifth cannot be used."""
+    return scales(spark, d).withColumn("scale", F.when(F.col("contest_id") % 5 == 1, 0.0).otherwise(F.col("scale")))
 
 
-@query("j1_history_online", _MODES.replace("@", ""), speed=True)
+@query("j1_history_online", f"WITH {_modes(2)} SELECT target_id, contest_id, rank FROM b WHERE rank <= 2", speed=True)
 def j1_online(spark, d):
-    s = scales(spark, d).where("contest_id % 5 <> 1")
-    return J.select_history(A.contests(spark, d), s, 2, (), "online").select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
+    return J.select_history(A.contests(spark, d), unscaled(spark, d), 2, IGNORED, "online").select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("j1_history_causal", _MODES.replace("@", " AND h.end_at < t.start_at"), speed=True)
+@query("j1_history_causal", f"WITH {_modes(2, ' AND h.end_at < t.start_at')} SELECT target_id, contest_id, rank FROM b WHERE rank <= 2", speed=True)
 def j1_causal(spark, d):
-    s = scales(spark, d).where("contest_id % 5 <> 1")
-    return J.select_history(A.contests(spark, d), s, 2, (), "causal").select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
+    return J.select_history(A.contests(spark, d), unscaled(spark, d), 2, IGNORED, "causal").select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("j2_eligible_contests", "SELECT contest_id FROM contests WHERE contest_id IN (SELECT target_id FROM hist GROUP BY target_id HAVING count(*) >= 3)", speed=True, extra=NORM + HIST)
@@ -342,13 +349,11 @@ def j9(spark, d):
     return J.missing_tiers(e, A.obs_dirty(spark, d))
 
 
-@query("u2_common_history", """WITH a AS (SELECT target_id, contest_id FROM hist), b AS (SELECT t.contest_id AS target_id, h.contest_id FROM contests t
-  JOIN contests h ON h.contest_id < t.contest_id WHERE h.contest_id % 3 <> 0)
-SELECT target_id, contest_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY contest_id DESC) AS rank FROM (SELECT * FROM a INTERSECT SELECT *
-  FROM b)) WHERE rank <= 1""", speed=True, extra=NORM + HIST)
+@query("u2_common_history", f"""WITH {_modes(4, ' AND h.end_at < t.start_at')} SELECT target_id, contest_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY
+  target_id ORDER BY contest_id DESC) AS rank FROM (SELECT target_id, contest_id FROM hist INTERSECT SELECT target_id, contest_id FROM b WHERE rank <= 4)) WHERE rank <= 1""", speed=True, extra=NORM + HIST)
 def u2(spark, d):
-    c = A.contests(spark, d).select("contest_id")
-    b = c.select(F.col("contest_id").alias("target_id")).join(c.where("contest_id % 3 <> 0"), F.col("contest_id") < F.col("target_id"))
+    """The newest history that both the offline and the causal selection have."""
+    b = J.select_history(A.contests(spark, d), unscaled(spark, d), 4, IGNORED, "causal")
     return J.common_history(history(spark, d), b, 1).select("target_id", "contest_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -515,8 +515,10 @@ def e7_cohorts(spark, d):
             for strength in (0.0, 16.0, 64.0):
                 own = M.forecast_cohort(k, t, c, strength, same_type).select(*K, "origin_h", F.lit(f"{name}/{'type' if same_type else 'all'}/{strength:g}").alias("method"), F.col("final").alias("prediction"))
                 f = own if f is None else f.unionByName(own)
-    scores = f.withColumns({"status": F.lit("success"), "reason": F.lit(None).cast("string")}).join(G.final_truth(A.obs(spark, d), c, "bucket20").select(*K, "actual"), K)
-    return E.screen_candidates(E.error_metrics(scores))
+    # every planned row of every candidate, forecast or not
+    methods = [f"{name}/{kind}/{strength:g}" for name in bases for kind in ("all", "type") for strength in (0.0, 16.0, 64.0)]
+    o, at = A.obs(spark, d), r.select(F.col("of").alias("contest_id"), "origin_h", "origin_ms")
+    return E.screen_candidates(R.scoring_rows(o, c, at, f, methods))
 
 
 @query("e3_backtest_snapshots")

@@ -108,7 +108,8 @@ def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressur
     naive = S.baseline_forecasts(S.prefix_join(S.last_rows(o, at), at), c)
     for m in METHODS[3:]:
         f = f.unionByName(of(naive, m, m))
-    began = c.select("contest_id", "start_at").join(c.select("end_at"), F.col("end_at") < F.col("start_at"), "left_semi").select("contest_id")
+    first_end = c.agg(F.min("end_at")).first()[0]
+    began = c.where(F.col("start_at") > F.lit(first_end)).select("contest_id")
     able = began.crossJoin(F.broadcast(spark.createDataFrame([("pace",), ("cohort",)], "method string"))).unionByName(causal_history(spark, d).select(F.col("target_id").alias("contest_id"), F.lit("skeleton").alias("method")).distinct())
     return scoring_rows(o, c, at, f, METHODS, able)
 

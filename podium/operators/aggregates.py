@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from podium.operators.clean import local_time, profile_window, with_day_type
+from podium.operators.moments import window_statistics
+from podium.operators.quantiles import exact_quantiles
 from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, K
+from podium.session import cut
 
 
 def _top_three(speeds: DataFrame, keys: list[str], tie: str) -> DataFrame:
@@ -46,12 +49,17 @@ def scale_from_tracker(obs: DataFrame, tier: int = 10, origins: DataFrame | None
 
 
 def hourly_speed_profile(rows: DataFrame, exact: bool = True) -> DataFrame:
-    """(day_type, hour, mean, median, std, cnt) of norm_speed: the full grid of 48 rows. exact=False takes percentile_approx, for groups too large to sort."""
-    middle = F.median("norm_speed") if exact else F.percentile_approx("norm_speed", 0.5, 10_000)
-    g = with_day_type(rows).groupBy("day_type", "hour").agg(F.avg("norm_speed").alias("mean"), middle.alias("median"), F.stddev_pop("norm_speed").alias("std"), F.count("*").alias("cnt"))
-    spark = rows.sparkSession
-    grid = spark.range(48).select(F.when(F.col("id") < 24, "weekday").otherwise("weekend").alias("day_type"), (F.col("id") % 24).cast("int").alias("hour"))
-    return grid.join(g, ["day_type", "hour"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    """(day_type, hour, mean, median, std, cnt) of norm_speed: the full grid of 48 rows. Exact medians take a second pass (quantiles.exact_quantiles); exact=False leaves it at percentile_approx."""
+    keys = ["day_type", "hour"]
+    typed = with_day_type(rows)
+    of = [F.avg("norm_speed").alias("mean"), F.stddev_pop("norm_speed").alias("std"), F.count("*").alias("cnt")]
+    if exact:
+        typed = cut(typed.select(*keys, "norm_speed"))
+        g = typed.groupBy(*keys).agg(*of).join(exact_quantiles(typed, keys, "norm_speed", {"median": 0.5}).drop("n"), keys, "left")
+    else:
+        g = typed.groupBy(*keys).agg(*of, F.percentile_approx("norm_speed", 0.5, 10_000).alias("median"))
+    grid = rows.sparkSession.range(48).select(F.when(F.col("id") < 24, "weekday").otherwise("weekend").alias("day_type"), (F.col("id") % 24).cast("int").alias("hour"))
+    return grid.join(g, keys, "left").select(*keys, "mean", "median", "std", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 def contest_profile(rows: DataFrame, tier: int = 1000, min_scale: float = 100.0, after_start: int = 24, before_end: int = 48, exact: bool = True) -> DataFrame:
@@ -108,19 +116,17 @@ def blended_window_stats(pairs: DataFrame, history: DataFrame, config: dict = DE
     """(target_id, contest_id, tier, intensity, norm_mean): a history's window statistics, by hours and by progress, blended by the difference of durations.
 
     pairs: (target_id, target_hours, contest_id, history_hours, tier, t0, t1); history: rows with hours, norm_speed, skeleton_speed.
+    A history's rows are not repeated for its targets (moments.window_statistics).
     """
     keys = ["target_id", *K]
     p = pairs.withColumn("w", duration_weight(F.col("target_hours"), F.col("history_hours"), config["duration_window_align_max_weight"], config))
     mapped = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(t) / F.col("target_hours"))) * F.col("history_hours")
-    both = F.array(F.struct(F.lit("hours").alias("kind"), F.col("t0").cast("double").alias("lo"), F.col("t1").cast("double").alias("hi")), F.struct(F.lit("progress").alias("kind"), mapped("t0").alias("lo"), mapped("t1").alias("hi")))
-    finite = lambda c: F.when(~F.isnan(c), F.col(c))
-    rows = history.join(p.select(*keys, F.explode(both).alias("k")), K).where("hours between k.lo and k.hi").select(*keys, "k.kind", finite("norm_speed").alias("n"), finite("skeleton_speed").alias("s"))
-    w = W.partitionBy(*keys, "kind")
-    rows = rows.withColumns({"m": F.avg("s").over(w), "d": F.stddev_samp("s").over(w)})
-    inner = F.avg(F.when(F.abs(F.col("s") - F.col("m")) < 2 * F.col("d"), F.col("s")))
-    g = rows.groupBy(*keys, "kind").agg(F.avg("n").alias("n"), F.when(F.max("d") > 0.001, F.coalesce(inner, F.max("m"))).otherwise(F.max("m")).alias("i"))
+    window = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    by_hours, by_progress = window("hours", F.col("t0"), F.col("t1")), window("progress", mapped("t0"), mapped("t1"))
+    windows = p.select(*keys, F.explode(F.when(F.col("w") > 0, F.array(by_hours, by_progress)).otherwise(F.array(by_hours))).alias("k")).select(*keys, "k.*")
+    g = window_statistics(history, windows, ["target_id", "kind"])
     of = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    g = g.groupBy(*keys).agg(*[of(c, kind).alias(f"{c}_{kind}") for c in ("i", "n") for kind in ("hours", "progress")])
+    g = g.groupBy(*keys).agg(*[of(c, kind).alias(f"{c[0]}_{kind}") for c in ("intensity", "norm_mean") for kind in ("hours", "progress")])
     blend = lambda x: F.when(F.col("w") <= 0, F.col(f"{x}_hours")).otherwise(F.coalesce((1 - F.col("w")) * F.col(f"{x}_hours") + F.col("w") * F.col(f"{x}_progress"), F.col(f"{x}_hours"), F.col(f"{x}_progress")))
     return p.select(*keys, "w").join(g, keys, "left").select(*keys, blend("i").alias("intensity"), blend("n").alias("norm_mean"))
 
@@ -230,8 +236,8 @@ def rank_shape_profile(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = W.partitionBy("song_id")
     base = F.min(F.struct("tier", "score")).over(w)
     r = songs.where("score > 0").withColumn("__b", base).select("song_id", "tier", (F.col("score") / F.col("__b.score")).alias("norm"), (F.col("tier") / F.col("__b.tier")).alias("rel"))
-    qs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    tiers = r.groupBy("tier").agg(F.count("*").alias("n"), *[F.percentile("norm", q).alias(f"q{int(q * 100)}") for q in qs])
+    r = cut(r)
+    tiers = exact_quantiles(r, ["tier"], "norm", {f"q{int(q * 100)}": q for q in (0.1, 0.25, 0.5, 0.75, 0.9)})
     x, y = F.ln("rel"), F.ln("norm")
     fits = r.groupBy("song_id").agg(F.count("*").alias("n"), F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2")).where("n >= 2")
     return tiers, fits.withColumn("alpha", -F.col("slope"))

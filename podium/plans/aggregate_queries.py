@@ -29,7 +29,8 @@ def profile(spark, d):
 
 
 def skeletons(spark, d):
-    return cut(G.attach_season_factor(normalised(spark, d), G.season_factors(profile(spark, d))))
+    n = cut(normalised(spark, d))
+    return cut(G.attach_season_factor(n, G.season_factors(G.hourly_speed_profile(n.where("norm_speed <= 1.2"), exact=False))))  # factors need no medians
 
 
 NORM = f""", nrm AS (SELECT w1.*, start_at, end_at, (time_ms - start_at) / 3600000.0 AS hours, scale, speed / scale AS norm_speed, {DAY_TYPE} AS day_type,
@@ -267,11 +268,11 @@ def a27(spark, d):
     return t.select("tier", "n", *[F.round(c, 6).alias(c) for c in t.columns if c[0] == "q"])
 
 
-@query("a27_rank_shape_fits", """SELECT song_id, count(*) AS n, round(regr_intercept(ln(norm), ln(rel)), 6) AS intercept, round(regr_slope(ln(norm), ln(rel)),
+@query("a27_rank_shape_fits", """SELECT song_id, count(*) AS n, round(regr_intercept(ln(norm), ln(rel)), 6) + 0.0 AS intercept, round(regr_slope(ln(norm), ln(rel)),
   6) AS slope, round(-regr_slope(ln(norm), ln(rel)), 6) AS alpha FROM nm GROUP BY song_id HAVING count(*) >= 2""", extra=SONGS)
 def a27_fits(spark, d):
     _, f = G.rank_shape_profile(A.song_scores(spark, d))
-    return f.select("song_id", "n", *[F.round(c, 6).alias(c) for c in ("intercept", "slope", "alpha")])
+    return f.select("song_id", "n", (F.round("intercept", 6) + 0.0).alias("intercept"), *[F.round(c, 6).alias(c) for c in ("slope", "alpha")])  # a sum of opposites may be -0.0
 
 
 FEATURES = """, ft AS (SELECT o.contest_id, o.tier, count(*) AS points, count(*) / greatest(max((end_at - start_at) / 3600000.0), 1) AS coverage, (arg_max(score,

@@ -20,11 +20,12 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, names: dict[st
     No group's values come together. The sketch (percentile_approx, which merges) is asked a little below and above
     each share; rows below the bracket are counted, those inside are counted by value, and a running sum over these
     finds the two neighbours. Inside are a few parts in `accuracy` of a group's rows. A bracket that missed its place,
-    against the sketch's bound, is an error, never a wrong value. Groups without a value are left out.
+    against the sketch's bound, is an error, never a wrong value. Groups without a value are left out. rows is read
+    twice: give it checkpointed.
     """
     if small * 1.0 < 4 * accuracy:
         raise ValueError("small groups must hold at least four times `accuracy` rows, so that a rank is finer than the sketch")
-    rows = cut(rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null"))
+    rows = rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null")
     step = 3.0 / accuracy
     probes = [p for q in names.values() for p in (max(0.0, q - step), min(1.0, q + step))]
     of = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, probes)), accuracy).alias("at")))

@@ -8,6 +8,7 @@ from podium.operators import aggregates as G
 from podium.operators import clean as C
 from podium.operators import joins as J
 from podium.operators import series as S
+from podium.operators.moments import window_statistics
 from podium.plans import adapters as A
 from podium.plans.clean_queries import DAY_TYPE, LOCAL
 from podium.plans.registry import query
@@ -123,13 +124,19 @@ def history(spark, d, k=3):
     return J.select_history(A.contests(spark, d), scales(spark, d), k, (2,))
 
 
-def blended(spark, d, rows=None):
-    c = A.contests(spark, d).select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("h"))
-    pairs = history(spark, d).join(c.withColumnRenamed("h", "history_hours"), "contest_id").join(c.select(F.col("contest_id").alias("target_id"), F.col("h").alias("target_hours")), "target_id")
-    tiers = A.obs(spark, d).select(*K).distinct()
-    pairs = pairs.join(tiers, "contest_id").withColumns({"t0": F.lit(6.0), "t1": F.lit(48.0)}).drop("rank")
-    rows = skeletons(spark, d) if rows is None else rows
-    return G.blended_window_stats(pairs, rows.select(*K, "hours", "norm_speed", "skeleton_speed"))
+def blended(c, of_scales, rows):
+    """Window statistics of each contest's three histories, over contests, scales and skeleton speeds that are made once."""
+    h = c.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("h"))
+    pairs = J.select_history(c, of_scales, 3, (2,)).join(h.withColumnRenamed("h", "history_hours"), "contest_id").join(h.select(F.col("contest_id").alias("target_id"), F.col("h").alias("target_hours")), "target_id")
+    pairs = pairs.join(rows.select(*K).distinct(), "contest_id").withColumns({"t0": F.lit(6.0), "t1": F.lit(48.0)}).drop("rank")
+    return G.blended_window_stats(cut(pairs), rows.select(*K, "hours", "norm_speed", "skeleton_speed"))
+
+
+def shared(spark, d):
+    """Contests, scales and skeleton speeds, each written once."""
+    c, of_scales = cut(A.contests(spark, d)), cut(scales(spark, d))
+    n = cut(S.attach_scale(S.interval_speed(C.elapsed_and_phase(A.obs(spark, d), c)), of_scales))
+    return c, of_scales, cut(G.attach_season_factor(n, G.season_factors(G.hourly_speed_profile(n.where("norm_speed <= 1.2"), exact=False))))
 
 
 HIST = """, h0 AS (SELECT c.contest_id, lower(contest_type) AS ty, start_at, end_at, (end_at - start_at) / 3600000.0 AS dur, scale > 0 AND contest_id <> 2 AS good
@@ -151,14 +158,15 @@ HIST = """, h0 AS (SELECT c.contest_id, lower(contest_type) AS ty, start_at, end
 
 @query("a7_blended_window_stats", "SELECT target_id, contest_id, tier, round(intensity, 6) AS intensity, round(norm_mean, 6) AS norm_mean FROM bl", speed=True, extra=NORM + HIST)
 def a7(spark, d):
-    return blended(spark, d).select("target_id", *K, F.round("intensity", 6).alias("intensity"), F.round("norm_mean", 6).alias("norm_mean"))
+    return blended(*shared(spark, d)).select("target_id", *K, F.round("intensity", 6).alias("intensity"), F.round("norm_mean", 6).alias("norm_mean"))
 
 
 def ratios(spark, d):
-    sk = skeletons(spark, d)
-    rows = sk.withColumns({"t0": F.lit(6.0), "t1": F.lit(48.0)})
-    t = sk.groupBy(*K).agg(F.max("hours").alias("observed_h")).join(G.window_intensity(rows, K), K, "left").join(G.window_mean(rows, "norm_speed", K, "norm_mean"), K, "left")
-    return G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), blended(spark, d, sk))
+    c, of_scales, sk = shared(spark, d)
+    own = sk.groupBy(*K).agg(F.max("hours").alias("observed_h"))
+    windows = own.select(F.lit("own").alias("kind"), *K, F.lit(6.0).alias("lo"), F.lit(48.0).alias("hi"))
+    t = own.join(window_statistics(sk, windows, ["kind"]).drop("kind"), K, "left")
+    return G.strength_ratio(t.withColumnRenamed("contest_id", "target_id"), blended(c, of_scales, sk))
 
 
 @query("a8_strength_ratio", f"""WITH tg AS (SELECT o.contest_id AS target_id, o.tier, o.oh, x.i, n.nm, h.hi, h.hn FROM (SELECT contest_id, tier, max(hours) AS oh FROM sk

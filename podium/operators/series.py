@@ -1,4 +1,9 @@
-"""Work along a series: speeds, repairs, resampling, as-of and interpolating joins, surfaces."""
+"""Work along a series: speeds, repairs, resampling, as-of and interpolating joins, surfaces.
+
+Plain windows hold a series in a task. Where a series may be too long for that, interval_speed, cummax_repair,
+lookup_curve and interpolate_tier_asof take spread=True: the same rows by segments (segments.scan), at the price of
+writing the input once.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from podium.operators.segments import Run, scan
 from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, TIERS, K
 
 _UP = (W.unboundedPreceding, 0)
@@ -15,14 +21,20 @@ def _by_time(keys: list[str] = K, *more: str):
     return W.partitionBy(*keys).orderBy("time_ms", *more)
 
 
-def interval_speed(obs: DataFrame, policy: str = "zero", keys: list[str] = K) -> DataFrame:
+def interval_speed(obs: DataFrame, policy: str = "zero", keys: list[str] = K, spread: bool = False) -> DataFrame:
     """`speed` in points a minute to the row before. zero: unusable and negative speeds are 0; drop: such rows go."""
-    w = _by_time(keys, "seq")
-    raw = F.try_divide(F.col("score") - F.lag("score").over(w), (F.col("time_ms") - F.lag("time_ms").over(w)) / 60000.0)
+    if spread:
+        here = F.struct("score", "time_ms")
+        obs = scan(obs, keys, ["time_ms", "seq"], {"__before": Run("before", here)})
+        before = {c: F.col(f"__before.{c}") for c in ("score", "time_ms")}
+    else:
+        w = _by_time(keys, "seq")
+        before = {c: F.lag(c).over(w) for c in ("score", "time_ms")}
+    raw = F.try_divide(F.col("score") - before["score"], (F.col("time_ms") - before["time_ms"]) / 60000.0)
     raw = F.when(F.isnan(raw) | (F.abs(raw) == float("inf")), None).otherwise(raw)
     if policy == "zero":
-        return obs.withColumn("speed", F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0))))
-    return obs.withColumn("speed", raw).where("speed >= 0")
+        return obs.withColumn("speed", F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0)))).drop("__before")
+    return obs.withColumn("speed", raw).where("speed >= 0").drop("__before")
 
 
 def latest_revision(obs: DataFrame) -> DataFrame:
@@ -31,8 +43,11 @@ def latest_revision(obs: DataFrame) -> DataFrame:
     return obs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def cummax_repair(obs: DataFrame) -> DataFrame:
+def cummax_repair(obs: DataFrame, spread: bool = False) -> DataFrame:
     """`repaired`: the running maximum; `falls`: whether the raw score fell here."""
+    if spread:
+        rows = scan(obs, K, ["time_ms", "seq"], {"repaired": Run("max", F.col("score")), "__before": Run("before", F.col("score"))})
+        return rows.withColumn("falls", F.coalesce(F.col("score") < F.col("__before"), F.lit(False))).drop("__before")
     w = _by_time(K, "seq")
     return obs.withColumns({"repaired": F.max("score").over(w.rowsBetween(*_UP)), "falls": F.coalesce(F.col("score") < F.lag("score").over(w), F.lit(False))})
 
@@ -90,7 +105,7 @@ def between(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column
     return F.when(x0.isNull(), y1).when(x1.isNull(), y0).when(x1 == x0, y0).otherwise(inner)
 
 
-def lookup_curve(points: DataFrame, curve: DataFrame, keys: list[str] = K, at: str = "hours", value: str = "score", out: str = "interpolated") -> DataFrame:
+def lookup_curve(points: DataFrame, curve: DataFrame, keys: list[str] = K, at: str = "hours", value: str = "score", out: str = "interpolated", spread: bool = False) -> DataFrame:
     """points with the curve's value at `at`: linear between its neighbours, the end values beyond them.
 
     Both sides go through one window, so a task handles one key's rows in order and nothing is expanded.
@@ -100,15 +115,18 @@ def lookup_curve(points: DataFrame, curve: DataFrame, keys: list[str] = K, at: s
     a = points.select(*keys, F.col(at).alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q"), F.struct(*rest).alias("__rest") if rest else F.struct(F.lit(0).alias("z")).alias("__rest"))
     b = curve.select(*keys, F.col(at).alias("__x"), F.col(value).cast("double").alias("__y"), F.lit(0).alias("__q"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("__x", "__q")
-    down, up = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     known = F.when(F.col("__q") == 0, F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
-    both = both.withColumns({"__lo": F.last(known, True).over(down), "__hi": F.first(known, True).over(up)}).where("__q = 1")
+    if spread:
+        both = scan(both, keys, ["__x", "__q"], {"__lo": Run("last", known), "__hi": Run("next", known)}).where("__q = 1")
+    else:
+        w = W.partitionBy(*keys).orderBy("__x", "__q")
+        down, up = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+        both = both.withColumns({"__lo": F.last(known, True).over(down), "__hi": F.first(known, True).over(up)}).where("__q = 1")
     v = between(F.col("__x"), F.col("__lo.x"), F.col("__lo.y"), F.col("__hi.x"), F.col("__hi.y"))
     return both.select(*keys, F.col("__x").alias(at), *[F.col(f"__rest.{c}").alias(c) for c in rest], v.alias(out))
 
 
-def interpolate_tier_asof(obs: DataFrame, target: int, lower: int, upper: int, tolerance_ms: int = HOUR_MS) -> DataFrame:
+def interpolate_tier_asof(obs: DataFrame, target: int, lower: int, upper: int, tolerance_ms: int = HOUR_MS, spread: bool = False) -> DataFrame:
     """(contest_id, time_ms, score): a missing tier between two published ones, by the logarithm of rank.
 
     Each row of the lower tier takes the nearest row of the upper one, within the tolerance, of equally near
@@ -117,10 +135,13 @@ def interpolate_tier_asof(obs: DataFrame, target: int, lower: int, upper: int, t
     side = F.when(F.col("tier") == lower, 1).otherwise(0)
     rows = obs.where(F.col("tier").isin(lower, upper)).select("contest_id", "time_ms", "score", side.alias("q"))
     other = F.when(F.col("q") == 0, F.struct("time_ms", "score"))
-    w = W.partitionBy("contest_id").orderBy("time_ms", "q")
-    back = F.last(other, True).over(w.rowsBetween(*_UP))
-    ahead = F.first(other, True).over(w.rowsBetween(0, W.unboundedFollowing))
-    rows = rows.withColumns({"b": back, "a": ahead}).where("q = 1")
+    if spread:
+        rows = scan(rows, ["contest_id"], ["time_ms", "q"], {"b": Run("last", other), "a": Run("next", other)}).where("q = 1")
+    else:
+        w = W.partitionBy("contest_id").orderBy("time_ms", "q")
+        back = F.last(other, True).over(w.rowsBetween(*_UP))
+        ahead = F.first(other, True).over(w.rowsBetween(0, W.unboundedFollowing))
+        rows = rows.withColumns({"b": back, "a": ahead}).where("q = 1")
     gap_b, gap_a = F.col("time_ms") - F.col("b.time_ms"), F.col("a.time_ms") - F.col("time_ms")
     near = F.when(F.col("b").isNull() | (gap_a < gap_b), F.col("a")).otherwise(F.col("b"))
     rows = rows.withColumn("n", near).where(F.abs(F.col("n.time_ms") - F.col("time_ms")) <= tolerance_ms)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from podium.operators import aggregates as G
 from podium.operators import series as S
 from podium.plans import adapters as A
-from podium.plans.registry import query
+from podium.plans.registry import ORACLES, query
 from podium.schema import TRAINING_TIERS, K
 
 
@@ -219,3 +219,32 @@ SELECT CAST(contest_id AS BIGINT) AS contest_id, [1,10,20,30,40,50,100,200,300,4
 def lineitem_series(spark, d):
     o = A.obs_lineitem(spark, d).withColumn("available_at", F.lit(0).cast("long"))
     return S.interval_speed(S.latest_revision(o)).groupBy(*K).agg(F.count("*").alias("n"), F.round(F.sum("speed"), 3).alias("total"))
+
+
+# the same by segments, for series that one task should not hold: the same SQL
+
+
+@query("w1_interval_speed_spread")
+def w1_spread(spark, d):
+    return S.interval_speed(A.obs(spark, d), spread=True).groupBy(*K).agg(F.count("*").alias("n"), F.round(F.sum("speed"), 4).alias("total"), F.count_if(F.col("speed") == 0).alias("zeros"))
+
+
+@query("w3_cummax_repair_spread")
+def w3_spread(spark, d):
+    return S.cummax_repair(A.obs(spark, d), spread=True).groupBy(*K).agg(F.round(F.sum("repaired"), 2).alias("total"), F.count_if("falls").alias("falls"))
+
+
+@query("j3_interpolate_tier_spread")
+def j3_spread(spark, d):
+    return S.interpolate_tier_asof(A.obs(spark, d), 1500, 1000, 2000, spread=True).select("contest_id", "time_ms", F.round("score", 4).alias("score"))
+
+
+@query("j8_lookup_curve_spread")
+def j8_spread(spark, d):
+    s = canonical(spark, d)
+    p = s.select(*K).distinct().select(*K, F.explode(F.sequence(F.lit(0), F.lit(49))).alias("h")).select(*K, (F.col("h") * 1.7).alias("hours"))
+    return S.lookup_curve(p, s, spread=True).select(*K, "hours", F.round("interpolated", 4).alias("interpolated"))
+
+
+for _name, _of in (("w1_interval_speed_spread", "w1_interval_speed_zero"), ("w3_cummax_repair_spread", "w3_cummax_repair"), ("j3_interpolate_tier_spread", "j3_interpolate_tier_asof"), ("j8_lookup_curve_spread", "j8_lookup_curve")):
+    ORACLES[_name] = ORACLES[_of]

@@ -58,11 +58,30 @@ def s2(spark, d):
     g = o.groupBy(*K).agg(rows.alias("rows")).withColumn("m", F.map_from_arrays(F.array(F.col("tier").cast("string")), F.array("rows")))
     odd = F.col("contest_id") % 2 == 1
     doc = F.struct(F.col("contest_id").alias("event_id"), F.when(~odd, F.col("m")).alias("tier_records"), F.when(odd, F.col("m")).alias("tier_record_versions"))
-    _, back, _ = R.read_contest_cache(spark, documents(g, K, F.to_json(doc), scratch(spark)))
+    _, back, _, _ = R.read_contest_cache(spark, documents(g, K, F.to_json(doc), scratch(spark)))
     g = back.groupBy(*K).agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"), F.max("available_at").alias("last_available"), F.max_by("score", F.struct("time_ms", "seq")).alias("last_score"))
     return g
 
 
+_BAD = "CASE contest_id % 5 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_json' WHEN 3 THEN 'wrong_type' END"
+
+
+@query("s2_strict_documents", f"""SELECT contest_id, tier, {_BAD} AS reason, CASE WHEN {_BAD} IS NULL THEN count(*) ELSE 0 END AS n, CASE WHEN {_BAD} IS NULL
+  THEN round(sum(score), 2) END AS total FROM obs GROUP BY contest_id, tier""")
+def s2_strict(spark, d):
+    """Of every five contests one has its documents cut off, one a score that is NaN, one a key twice and one a score that is a word: rejects, with a reason."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("time_ms", "seq", "score"))), lambda r: F.struct(r["time_ms"].alias("time"), r["score"].alias("ep")))
+    g = A.obs(spark, d).groupBy(*K).agg(rows.alias("rows")).withColumn("m", F.map_from_arrays(F.array(F.col("tier").cast("string")), F.array("rows")))
+    doc = F.to_json(F.struct(F.col("contest_id").alias("event_id"), F.col("m").alias("tier_records")))
+    kind, ep = F.col("contest_id") % 5, '"ep":[-0-9.E]+'
+    doc = F.when(kind == 0, F.left(doc, (F.length(doc) * 0.7).cast("int"))).when(kind == 1, F.regexp_replace(doc, ep + "\\}\\]", '"ep":NaN}]')).when(kind == 2, F.regexp_replace(doc, "^\\{", '{"event_id":1,')).when(
+        kind == 3, F.regexp_replace(doc, ep + "\\}\\]", '"ep":"many"}]')).otherwise(doc)
+    _, back, _, bad = R.read_contest_cache(spark, documents(g, K, doc, scratch(spark)))
+    ok = back.groupBy(*K).agg(F.lit(None).cast("string").alias("reason"), F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"))
+    names = [_of_file("contest_id").alias("contest_id"), _of_file("tier").cast("int").alias("tier")]
+    return ok.unionByName(bad.select(*names, "reason", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total")))
+
+
 @query("s3_read_tracker_payload", """SELECT contest_id, tier, CASE WHEN contest_id % 4 = 3 THEN 'result_not_true' WHEN contest_id % 4 = 2 AND tier = 50 THEN 'empty' END AS reason,
   CASE WHEN contest_id % 4 = 3 OR contest_id % 4 = 2 AND tier = 50 THEN 0 ELSE count(*) END AS n, CASE
   WHEN NOT (contest_id % 4 = 3 OR contest_id % 4 = 2 AND tier = 50) THEN round(sum(score), 2) END AS total FROM obs GROUP BY contest_id, tier""")
@@ -82,7 +101,7 @@ def s4(spark, d):
     """A document for each sixteenth of a contest's players."""
     p = A.points(spark, d).withColumn("part", F.col("uid") % 16)
     g = p.groupBy("contest_id", "part").agg(F.collect_list(F.struct("uid", F.col("time_ms").alias("time"), "value")).alias("points"))
-    back = R.read_player_points(spark, documents(g, ["contest_id", "part"], F.to_json(F.struct("points")), scratch(spark)))
+    back, _ = R.read_player_points(spark, documents(g, ["contest_id", "part"], F.to_json(F.struct("points")), scratch(spark)))
     return back.groupBy(_of_file("contest_id").alias("contest_id")).agg(F.count("*").alias("n"), F.count_distinct("uid").alias("players"), F.max("time_ms").alias("last_ms"), F.round(F.sum("value"), 2).alias("total"))
 
 

@@ -20,6 +20,21 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.input_file_name().alias("file"))
 
 
+def _strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(d, file) of the documents that are what they should be, and (file, reason) of the others.
+
+    not_json: nothing, a cut-off document, other text behind it, a constant that is not finite, or a key twice in an
+    object; wrong_type: a value that its column's type does not hold. Nothing of a rejected document is read. Files
+    without a byte are no documents, Spark does not open them.
+    """
+    d = _documents(spark, path).withColumn("j", F.from_json("doc", f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "false"}))
+    # parsers stop behind the first value: what stands alone, in a list and in an object alike, has nothing behind it
+    alone = [F.try_parse_json(F.concat(F.lit(a), F.col("doc"), F.lit(b))).isNull() for a, b in (("[", "]"), ('{"a":', "}"))]
+    reason = F.when(alone[0] | alone[1] | F.col("j").isNull(), "not_json").when(F.col("j._corrupt").isNotNull(), "wrong_type")
+    d = d.select("file", F.col("j").alias("d"), reason.alias("reason"))
+    return d.where("reason is null").select("d", "file"), d.where("reason is not null").select("file", "reason")
+
+
 def read_contest_index(spark: SparkSession, path: str) -> DataFrame:
     """(contest_id, server, contest_type, start_at, end_at, aggregate_at): a row for each contest and server.
 
@@ -40,41 +55,47 @@ def read_contest_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("contest_id", "server", F.coalesce("contest_type", F.lit("unknown")).alias("contest_type"), F.col("s").try_cast("long").alias("start_at"), end.alias("end_at"), F.coalesce(F.col("a").try_cast("long"), end).alias("aggregate_at"))
 
 
-def read_contest_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(contests, observations, reward tiers) of cache documents, one contest each. Versioned rows are taken where there are any."""
+def read_contest_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(contests, observations, reward tiers, rejects) of cache documents, one contest each. Versioned rows are taken where there are any; documents that cannot be trusted are rejects, with a reason."""
     schema = f"event_id BIGINT, meta STRUCT<start_at: BIGINT, end_at: BIGINT, event_type: STRING>, reward_tiers ARRAY<INT>, reward_tier_provenance STRUCT<source: STRING, server: STRING, last_appearance: MAP<STRING, INT>>, tier_records MAP<STRING, ARRAY<{_ROW}>>, tier_record_versions MAP<STRING, ARRAY<{_ROW}>>"
-    d = _documents(spark, path).select(F.from_json("doc", schema).alias("d"), "file").select("d.*", "file")
+    d, rejects = _strict(spark, path, schema)
+    d = d.select("d.*", "file")
+    rejects = rejects.unionByName(d.where("event_id is null").select("file", F.lit("no_id").alias("reason")))
+    d = d.where("event_id is not null")
     contests = d.select(F.col("event_id").alias("contest_id"), "meta.start_at", "meta.end_at", F.col("meta.event_type").alias("contest_type"), "file")
     records = F.when(F.coalesce(F.size("tier_record_versions"), F.lit(0)) > 0, F.col("tier_record_versions")).otherwise(F.col("tier_records"))
     rows = d.select(F.col("event_id").alias("contest_id"), F.explode(records).alias("tier", "rows")).select("contest_id", F.col("tier").try_cast("int").alias("tier"), F.posexplode("rows").alias("seq", "r"))
     obs = rows.select("contest_id", "tier", F.coalesce("r.time", "r.timestamp").alias("time_ms"), F.coalesce(*[F.col(f"r.{c}") for c in SCORE_NAMES]).alias("score"), "r.available_at", "r.source", F.col("seq").cast("long").alias("seq"))
     rewards = d.select(F.col("event_id").alias("contest_id"), "reward_tiers", "reward_tier_provenance.last_appearance")
-    return contests, obs, rewards
+    return contests, obs, rewards, rejects
 
 
 def read_tracker_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): (file, time_ms, score) of payloads {result, cutoffs}; files that failed, are empty or lack columns, with a reason."""
-    d = _documents(spark, path).select("file", F.from_json("doc", f"result BOOLEAN, cutoffs ARRAY<{_ROW}>").alias("d")).select("file", "d.*")
+    d, broken = _strict(spark, path, f"result BOOLEAN, cutoffs ARRAY<{_ROW}>")
+    d = d.select("file", "d.*")
     t, s = F.coalesce("c.time", "c.timestamp"), F.coalesce(*[F.col(f"c.{x}") for x in SCORE_NAMES])
     first = d.withColumn("c", F.get("cutoffs", F.lit(0)))
     reason = F.when(~F.coalesce("result", F.lit(False)), "result_not_true").when(F.coalesce(F.size("cutoffs"), F.lit(0)) <= 0, "empty").when(t.isNull(), "no_time").when(s.isNull(), "no_score")
     first = first.withColumn("reason", reason)
     rows = first.where("reason is null").select("file", F.explode("cutoffs").alias("c")).select("file", t.alias("time_ms"), s.alias("score"))
-    return rows, first.where("reason is not null").select("file", "reason")
+    return rows, first.where("reason is not null").select("file", "reason").unionByName(broken)
 
 
-def read_player_points(spark: SparkSession, path: str) -> DataFrame:
-    """(file, uid, time_ms, value, seq) of {points: [{uid, time, value}]}."""
-    d = _documents(spark, path).select("file", F.from_json("doc", "points ARRAY<STRUCT<uid: BIGINT, time: BIGINT, value: DOUBLE>>").alias("d"))
-    return d.select("file", F.posexplode("d.points").alias("seq", "p")).select("file", "p.uid", F.col("p.time").alias("time_ms"), "p.value", F.col("seq").cast("long").alias("seq"))
+def read_player_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, rejects): (file, uid, time_ms, value, seq) of {points: [{uid, time, value}]}; files that cannot be trusted or have no points, with a reason."""
+    d, broken = _strict(spark, path, "points ARRAY<STRUCT<uid: BIGINT, time: BIGINT, value: DOUBLE>>")
+    none = d.where(F.coalesce(F.size("d.points"), F.lit(0)) <= 0).select("file", F.lit("empty").alias("reason"))
+    rows = d.select("file", F.posexplode("d.points").alias("seq", "p")).select("file", "p.uid", F.col("p.time").alias("time_ms"), "p.value", F.col("seq").cast("long").alias("seq"))
+    return rows, broken.unionByName(none)
 
 
 def read_rewards(spark: SparkSession, path: str, server: int) -> tuple[DataFrame, DataFrame]:
     """(rewards, rejects): one server's ranking rewards; files without any, with a reason."""
-    d = _documents(spark, path).select("file", F.from_json("doc", "eventId BIGINT, rankingRewards ARRAY<ARRAY<STRUCT<toRank: INT, rewardType: STRING, rewardId: BIGINT>>>").alias("d"))
+    d, broken = _strict(spark, path, "eventId BIGINT, rankingRewards ARRAY<ARRAY<STRUCT<toRank: INT, rewardType: STRING, rewardId: BIGINT>>>")
     d = d.select("file", "d.eventId", F.get("d.rankingRewards", F.lit(server)).alias("r"))
     rows = d.select(F.col("eventId").alias("contest_id"), F.explode("r").alias("r")).select("contest_id", F.col("r.rewardType").alias("reward_type"), F.col("r.rewardId").alias("reward_id"), F.col("r.toRank").alias("to_rank"))
-    return rows, d.where(F.coalesce(F.size("r"), F.lit(0)) <= 0).select("file", F.lit("no_rewards").alias("reason"))
+    return rows, d.where(F.coalesce(F.size("r"), F.lit(0)) <= 0).select("file", F.lit("no_rewards").alias("reason")).unionByName(broken)
 
 
 def read_presets(spark: SparkSession, path: str) -> DataFrame:

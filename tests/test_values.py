@@ -232,14 +232,14 @@ def test_readers_round_trip(spark, tmp_path):
     assert (r["contest_id"], r["server"], r["start_at"]) == (7, 3, 10)
     cache = {"event_id": 9, "meta": {"start_at": 0, "end_at": 4 * H, "event_type": "x"}, "reward_tiers": [500], "reward_tier_provenance": {"last_appearance": {"a:1": 500}}, "tier_records": {"500": [{"time": 1, "ep": 10}, {"time": 2, "ep": 20}]}}
     (tmp_path / "c.json").write_text(json.dumps(cache))
-    contests, rows, rewards = R.read_contest_cache(spark, str(tmp_path / "c.json"))
+    contests, rows, rewards, _ = R.read_contest_cache(spark, str(tmp_path / "c.json"))
     assert contests.first()["end_at"] == 4 * H and [x["score"] for x in rows.orderBy("seq").collect()] == [10, 20] and rewards.first()["reward_tiers"] == [500]
     (tmp_path / "good.json").write_text('{"result": true, "cutoffs": [{"time": 1, "ep": 5}]}')
     (tmp_path / "bad.json").write_text('{"result": false, "cutoffs": []}')
     ok, bad = R.read_tracker_payload(spark, str(tmp_path / "[gb]*d.json"))
     assert ok.first()["score"] == 5 and bad.first()["reason"] == "result_not_true"
     (tmp_path / "p.json").write_text('{"points": [{"uid": 1, "time": 0, "value": 3}]}')
-    assert R.read_player_points(spark, str(tmp_path / "p.json")).first()["value"] == 3
+    assert R.read_player_points(spark, str(tmp_path / "p.json"))[0].first()["value"] == 3
     (tmp_path / "r.json").write_text('{"eventId": 3, "rankingRewards": [[], [{"toRank": 500, "rewardType": "deco_pins", "rewardId": 7}]]}')
     assert R.read_rewards(spark, str(tmp_path / "r.json"), 1)[0].first()["to_rank"] == 500 and R.read_rewards(spark, str(tmp_path / "r.json"), 0)[1].count() == 1
     (tmp_path / "preset.json").write_text('{"_meta": {}, "params": {"ratio_min": 0.5, "note": "x"}}')

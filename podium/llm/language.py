@@ -19,7 +19,6 @@ Where nothing was learned all is `und`; an empty table gives none. Extra columns
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from podium.llm.common import arrow_schema, batch_of, held_out, text_chunks
 
 ORDER, MAX_LANGS = 3, 300
-_LETTER = re.compile(r"[^\W\d_]")
 #: Symbols before the others are numbered: 0 blank, 1 to 26 letters.
 _FOLD = np.zeros(256, np.int32)
 _FOLD[97:123] = np.arange(1, 27)
@@ -197,7 +195,7 @@ def fit(docs: DataFrame, per_lang: int = 700) -> Trees:
 def decide(trees: Trees, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, its share against the other languages, and bits a symbol in it. `und` (score 0): null, no letter, or nothing learned."""
     bits, length = trees.bits(texts)
-    has = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool) & (len(trees.langs) > 0)
+    has = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool) & (len(trees.langs) > 0)
     if not len(trees.langs):
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     best = bits.argmin(1)

@@ -4,11 +4,11 @@ Lines are split at line feeds and trimmed of blanks; a line counts if it has at
 points. HyperLogLog sketches of the sites (null sites count for none) are merged for each line hash by the
 aggregation; where the estimate is too near the threshold to trust, the distinct sites are counted exactly.
 A line on `min_sites` sites or more is removed from every document except at its first place, the least
-(doc_id, line number), so that no text is lost altogether. The hash is 64 bits wide and joined by the
+(doc_id, hash of text, line number), so that no text is lost altogether. The hash is 64 bits wide and joined by the
 line's length.
 
 Nulls: a null text stays null and has no lines; a null doc_id sorts first. Rows that repeat a doc_id are
-told apart by their texts. Empty tables give empty results; extra columns stay as they are.
+told apart by their texts; rows that repeat id and text are alike, and what one of them keeps all of them keep. Empty tables give empty results; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(__h, __n, __first): the lines on min_sites sites or more and their first place."""
     sketched = checkpoint(
         lines.groupBy("__h", "__n")
-        .agg(F.hll_sketch_agg("__site", F.lit(LG_K)).alias("sketch"), F.count("*").alias("rows"), F.min(F.struct("__id", "__at")).alias("__first"))
+        .agg(F.hll_sketch_agg("__site", F.lit(LG_K)).alias("sketch"), F.count("*").alias("rows"), F.min(F.struct("__id", "__t", "__at")).alias("__first"))
         .where(F.col("rows") >= min_sites)  # a line has no more sites than rows
         .select("__h", "__n", "__first", F.hll_sketch_estimate("sketch").alias("about"))
     )
@@ -58,7 +58,7 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHAR
     marked = checkpoint(boilerplate(lines, min_sites))
     if marked.count() <= broadcast:
         marked = F.broadcast(marked)
-    gone = lines.join(marked, ["__h", "__n"]).where(~F.struct("__id", "__at").eqNullSafe(F.col("__first")))
+    gone = lines.join(marked, ["__h", "__n"]).where(~F.struct("__id", "__t", "__at").eqNullSafe(F.col("__first")))
     id_, t, places, parts = fresh(docs, "__id", "__t", "__gone", "__parts")
     gone = gone.select("__id", "__t", "__at").distinct().groupBy(F.col("__id").alias(id_), F.col("__t").alias(t)).agg(F.collect_list("__at").alias(places))
     rows = docs.select("*", *_row_key(id_, t)).join(gone, [id_, t], "left")

@@ -611,3 +611,17 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     assert gone == {common_line} and len(kept) < len(data) - 8
     want = {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept}
     assert {p["doc_id"]: p["doc_tokens"] for p in got} == want and sum(p["length"] for p in got) == sum(want.values())
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    """Numerals and marks are not letters, as str.isalpha has it."""
+    texts = ["²", "½ ①", "Ⅷ 12", "...", "é", "日", "ª"]
+    trees = language.fit(spark.createDataFrame([(i, prose(50), "en", "s", 1, "p", 1) for i in range(40)], SCHEMA))
+    assert [x == "und" for x in language.decide(trees, texts)[0]] == [not any(c.isalpha() for c in t) for t in texts] == [True] * 4 + [False] * 3
+
+
+def test_one_id_with_two_texts_keeps_a_spread_line_once(spark):
+    line = "this line stands everywhere"
+    rows = [(1, f"{line}\nfirst text of one", None, f"s{k}", 1, "p", 1) if k < 1 else (1, f"{line}\nsecond text of one", None, "s1", 1, "p", 1) if k == 1 else (k, f"{line}\nown words {k}", None, f"s{k}", 1, "p", 1) for k in range(7)]
+    out = lines.clean(spark.createDataFrame(rows, SCHEMA))
+    assert sum(line in r["text"] for r in out.collect()) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from podium.operators import aggregates as G
+from podium.operators import fingerprint as P
 from podium.operators import series as S
 from podium.plans import adapters as A
 from podium.plans.registry import ORACLES, query
@@ -201,11 +202,16 @@ def u1(spark, d):
     return own.unionByName(o.where("tier = 1000").select("contest_id", F.lit(1).alias("s"))).groupBy("contest_id").agg(F.count("*").alias("n"), F.sum("s").alias("synthetic"))
 
 
-@query("content_fingerprint", "SELECT contest_id, tier, sha256(string_agg(time_ms || ':' || CAST(round(score * 100) AS BIGINT), ',' ORDER BY time_ms, seq)) AS fingerprint FROM obs GROUP BY ALL")
+def _level(source: str, up: str) -> str:
+    return f"""SELECT contest_id, tier, {up} AS node, sum(n) AS n, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM {source} GROUP BY ALL"""
+
+
+@query("content_fingerprint", f"""WITH l0 AS (SELECT contest_id, tier, time_ms // 3600000 AS node, count(*) AS n, sha256(string_agg(time_ms || ':' || CAST(round(score * 100) AS BIGINT),
+  ',' ORDER BY time_ms, seq)) AS digest FROM obs GROUP BY ALL), l1 AS ({_level("l0", "node // 64")}), l2 AS ({_level("l1", "node // 64")}), l3 AS ({_level("l2", "node // 64")}),
+l4 AS ({_level("l3", "0")}) SELECT contest_id, tier, CAST(n AS BIGINT) AS n, digest AS fingerprint FROM l4""")
 def fingerprint(spark, d):
-    o = A.obs(spark, d)
-    item = F.struct("time_ms", "seq", F.concat_ws(":", F.col("time_ms").cast("string"), F.round(F.col("score") * 100).cast("long").cast("string")).alias("v"))
-    return o.groupBy(*K).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]), ","), 256).alias("fingerprint"))
+    item = F.concat_ws(":", F.col("time_ms").cast("string"), F.round(F.col("score") * 100).cast("long").cast("string"))
+    return P.roots(P.digest_tree(A.obs(spark, d), K, item, ["time_ms", "seq"]), K)
 
 
 @query("lineitem_series", """WITH li AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS contest_id, l_suppkey % 24 AS t, epoch_us(l_shipdate) // 1000 AS time_ms,

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from podium.functions import numeric
 from podium.operators.aggregates import duration_weight
-from podium.operators.clean import strict_contest_gate, with_day_type
+from podium.operators.clean import prefix_gate, strict_contest_gate, with_day_type
 from podium.operators.evaluate import coverage_gate
 from podium.operators.series import canonical_training_series, hourly_deltas, lookup_curve
 from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, ZONE_MS, K
@@ -108,6 +108,32 @@ def causal_prior(targets: DataFrame, fits: DataFrame, columns: list[str], train_
     return run.select("contest_id", *[(F.col(c) / total).alias(c) for c in columns], "n")
 
 
+def pace_paths(prefixes: DataFrame, prior: DataFrame, contests: DataFrame, pressure: DataFrame, expected: DataFrame | None = None, step_h: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(paths, rejects) of prefixes as they were seen: (contest_id, tier, origin_ms, anchor_h, anchor, hours, score, speed) from the origin to the end, and (contest_id, tier, origin_ms, reason).
+
+    prefixes: rows (contest_id, tier, origin_ms, time_ms, score), none repaired: prefix_gate says which cannot be forecast,
+    and why; expected: keys that should be there. Hours are the origin, every step_h after it, and the end; the score is
+    S(a) C(t) / C(a) from the last visible row, the speed, in points an hour, its derivative.
+    """
+    at = contests.select("contest_id", "start_at", "end_at")
+    rows = cut(prefixes.select(*K, "origin_ms", "time_ms", "score").join(at, "contest_id"))
+    gate = cut(prefix_gate(rows, expected))
+    keys = [*K, "origin_ms"]
+    last = rows.join(gate.where("valid").select(*keys), keys, "left_semi").groupBy(*keys).agg(F.max(F.struct("time_ms", "score")).alias("a"))
+    hour = lambda c: (F.col(c) - F.col("start_at")) / float(HOUR_MS)
+    last = last.join(at, "contest_id").select(*keys, hour("a.time_ms").alias("anchor_h"), F.col("a.score").alias("anchor"), hour("origin_ms").alias("origin_h"), hour("end_at").alias("total_h"))
+    steps = F.sequence(F.lit(0), F.ceil((F.col("total_h") - F.col("origin_h")) / step_h).cast("int"))
+    path = last.withColumn("hours", F.explode(F.transform(steps, lambda k: F.least(F.col("origin_h") + k * float(step_h), F.col("total_h")))))
+    places = path.select(*K, "hours").unionByName(last.select(*K, F.col("anchor_h").alias("hours"))).distinct()
+    comp = pace_components(places, contests, pressure)
+    comp = comp.join(prior.select("contest_id", "w1", "w2", "w3"), "contest_id") if "contest_id" in prior.columns else comp.crossJoin(F.broadcast(prior.select("w1", "w2", "w3")))  # one row
+    mixed = lambda x: sum((F.col(f"w{i}") * F.col(f"{x}{i}") for i in (2, 3)), F.col("w1") * F.col(f"{x}1"))
+    comp = cut(comp.select(*K, "hours", mixed("c").alias("c"), mixed("a").alias("a")))
+    j = path.join(comp, [*K, "hours"]).join(comp.select(*K, F.col("hours").alias("anchor_h"), F.col("c").alias("c_a")), [*K, "anchor_h"])
+    amplitude = F.try_divide("anchor", "c_a")
+    return j.select(*keys, "anchor_h", "anchor", "hours", (amplitude * F.col("c")).alias("score"), (amplitude * F.col("a")).alias("speed")), gate.where("not valid").select(*keys, "reason")
+
+
 def forecast_pace(prefix: DataFrame, prior: DataFrame, contests: DataFrame, pressure: DataFrame) -> DataFrame:
     """(contest_id, tier, origin_h, anchor_h, anchor, final, speed_now): S(T) = S(a) C(T) / C(a) from the last visible row.
 

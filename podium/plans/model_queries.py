@@ -139,6 +139,56 @@ def m4_fixed(spark, d):
     return out.select(*K, F.col("origin_h").cast("long").alias("origin_h"), F.round("anchor_h", 6).alias("anchor_h"), "anchor", F.round("final", 3).alias("final"), F.round("speed_now", 4).alias("speed_now"))
 
 
+_SEEN = """pr AS (SELECT contest_id, tier, time_ms, CASE WHEN contest_id % 2 = 0 THEN score ELSE max(score) OVER (PARTITION BY contest_id, tier ORDER BY time_ms, seq
+  ROWS UNBOUNDED PRECEDING) END AS score FROM obs),
+og AS (SELECT contest_id, start_at, end_at, k * 24 AS origin_h, start_at + k * 86400000 AS origin_ms FROM contests, range(1, 4) t(k) WHERE start_at + k * 86400000 < end_at),
+px AS (SELECT pr.*, og.start_at, og.end_at, origin_h, origin_ms, lag(score) OVER w AS sb, lag(time_ms) OVER w AS tb FROM pr JOIN og ON pr.contest_id = og.contest_id AND time_ms <= origin_ms
+  WINDOW w AS (PARTITION BY pr.contest_id, tier, origin_ms ORDER BY time_ms, score)),
+ga AS (SELECT contest_id, tier, origin_h, origin_ms, start_at, end_at, max(time_ms) AS at_ms, arg_max(score, time_ms) AS sc, CASE WHEN bool_or(score < 0) THEN 'bad_score'
+  WHEN bool_or(time_ms < start_at OR time_ms > end_at) THEN 'row_outside' WHEN bool_or(coalesce(tb = time_ms, false)) THEN 'duplicate_time' WHEN bool_or(coalesce(score < sb, false)) THEN 'decreasing_score'
+  WHEN bool_or(time_ms = start_at AND score <> 0) THEN 'score_at_start' WHEN arg_max(score, time_ms) <= 0 THEN 'no_score' END AS reason FROM px GROUP BY ALL),
+gt AS (SELECT t.contest_id, t.tier, og.origin_h, og.origin_ms, CASE WHEN ga.contest_id IS NULL THEN 'no_visible_row' ELSE ga.reason END AS reason FROM (SELECT DISTINCT contest_id, tier FROM obs) t
+  JOIN og ON og.contest_id = t.contest_id LEFT JOIN ga ON ga.contest_id = t.contest_id AND ga.tier = t.tier AND ga.origin_ms = og.origin_ms)"""
+_PATHS = f"""WITH {_SEEN}, ok AS (SELECT contest_id, tier, origin_ms, origin_h, sc, (at_ms - start_at) / 3600000.0 AS ah, (end_at - start_at) / 3600000.0 AS dur FROM ga WHERE reason IS NULL),
+ph AS (SELECT ok.*, least(origin_h + k, dur)::DOUBLE AS hours FROM ok, range(0, 80) t(k) WHERE k <= ceil(dur - origin_h)),
+pc AS (SELECT contest_id, tier, hours, 0.34 * c1 + 0.41 * c2 + 0.25 * c3 AS c, 0.34 * a1 + 0.41 * a2 + 0.25 * a3 AS a
+  FROM {pace_sql("SELECT DISTINCT contest_id, tier, hours FROM ph UNION SELECT DISTINCT contest_id, tier, ah AS hours FROM ok")})
+SELECT ph.contest_id, ph.tier, origin_ms, CAST(round(ph.hours * 3600000) AS BIGINT) AS offset_ms, round(sc / f.c * e.c, 3) AS score, round(sc / f.c * e.a, 4) AS speed, NULL AS reason FROM ph
+  JOIN pc f ON f.contest_id = ph.contest_id AND f.tier = ph.tier AND f.hours = ph.ah JOIN pc e ON e.contest_id = ph.contest_id AND e.tier = ph.tier AND e.hours = ph.hours
+UNION ALL SELECT contest_id, tier, origin_ms, NULL, NULL, NULL, reason FROM gt WHERE reason IS NOT NULL"""
+
+
+def seen_prefixes(spark, d):
+    """(rows, keys): what every daily origin sees, as it was published in even contests and repaired in odd ones, and which prefixes there should be."""
+    o = A.obs(spark, d)
+    repaired = S.cummax_repair(o).select(*K, "time_ms", F.when(F.col("contest_id") % 2 == 0, F.col("score")).otherwise(F.col("repaired")).alias("score"))
+    at = S.daily_origins(A.contests(spark, d))
+    return S.prefix_join(repaired, at), o.select(*K).distinct().join(at, "contest_id")
+
+
+@query("m4_pace_paths", _PATHS, extra=CANON + _PRS)
+def m4_paths(spark, d):
+    """Hourly paths with stated weights, and the prefixes that have none, with the reason."""
+    rows, keys = seen_prefixes(spark, d)
+    paths, bad = M.pace_paths(rows, stated_weights(spark), A.contests(spark, d), pressure(spark, d), keys)
+    paths = paths.select(*K, "origin_ms", F.round(F.col("hours") * 3_600_000).cast("long").alias("offset_ms"), F.round("score", 3).alias("score"), F.round("speed", 4).alias("speed"), F.lit(None).cast("string").alias("reason"))
+    return paths.unionByName(bad, allowMissingColumns=True)
+
+
+@query("e4_strict_prefixes", f"""WITH {_SEEN} SELECT contest_id, CASE WHEN reason IS NULL THEN 'success' ELSE 'failed' END AS status, CASE WHEN reason = 'no_visible_row' THEN 'no_rows' ELSE reason END AS reason, count(*) AS n
+FROM gt GROUP BY ALL""")
+def e4_strict(spark, d):
+    """Scoring rows of the pace forecast over unrepaired prefixes: a prefix that is not fit to forecast fails with its reason."""
+    c, o = A.contests(spark, d), A.obs(spark, d)
+    rows, keys = seen_prefixes(spark, d)
+    paths, bad = M.pace_paths(rows, stated_weights(spark), c, pressure(spark, d), keys, 1000)  # the origin and the end
+    at = S.daily_origins(c)
+    hour = at.select("contest_id", "origin_ms", "origin_h")
+    end = paths.groupBy(*K, "origin_ms").agg(F.max_by("score", "hours").alias("prediction")).join(hour, ["contest_id", "origin_ms"]).select(*K, "origin_h", F.lit("pace_strict").alias("method"), "prediction")
+    why = bad.join(hour, ["contest_id", "origin_ms"]).select(*K, "origin_h", F.col("reason").alias("why"))
+    return R.scoring_rows(o, c, at, end, ("pace_strict",), reasons=why).groupBy("contest_id", "status", "reason").agg(F.count("*").alias("n"))
+
+
 @query("m19_causal_prior", """SELECT contest_id, round(avg(w1) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w1, round(avg(w2) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w2,
   round(avg(w3) / (avg(w1) + avg(w2) + avg(w3)), 6) AS w3, count(*) AS n FROM (SELECT t.contest_id, (1 + f.contest_id) / 20.0 AS w1, 0.3 AS w2,
   0.7 - (1 + f.contest_id) / 20.0 AS w3 FROM contests t JOIN contests f ON f.end_at < t.start_at AND f.contest_id <= 7) GROUP BY 1""")

@@ -114,10 +114,11 @@ def scored(spark, d, pace_prior: DataFrame, templates: DataFrame, knots, pressur
     return scoring_rows(o, c, at, f, METHODS, able)
 
 
-def scoring_rows(o: DataFrame, c: DataFrame, at: DataFrame, forecasts: DataFrame, methods: tuple, able: DataFrame | None = None) -> DataFrame:
+def scoring_rows(o: DataFrame, c: DataFrame, at: DataFrame, forecasts: DataFrame, methods: tuple, able: DataFrame | None = None, reasons: DataFrame | None = None) -> DataFrame:
     """Every (contest, tier, origin, method) with its forecast, or failed and why; the truth is joined last, so no forecast sees it.
 
     able: (contest_id, method) with histories to learn from; the first three methods without them say no_history.
+    reasons: (contest_id, tier, origin_h, why) of prefixes that no method here may forecast.
     """
     n = S.prefix_totals(o, at).select(*K, "origin_h", "rows")
     grid = o.select(*K).distinct().join(at.select("contest_id", "origin_h"), "contest_id").withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
@@ -127,6 +128,9 @@ def scoring_rows(o: DataFrame, c: DataFrame, at: DataFrame, forecasts: DataFrame
     if able is not None:
         j = j.join(able.withColumn("able", F.lit(True)), ["contest_id", "method"], "left")
         why = why.when(F.col("method").isin(*methods[:3]) & F.col("able").isNull(), "no_history")
+    if reasons is not None:
+        j = j.join(reasons.select(*K, "origin_h", "why"), [*K, "origin_h"], "left")
+        why = why.when(F.col("why").isNotNull(), F.col("why"))
     j = j.select(*K, "origin_h", "method", F.when(ok, F.col("prediction")).alias("prediction"), F.when(ok, "success").otherwise("failed").alias("status"), F.when(~ok, why.otherwise("no_forecast")).alias("reason"))
     return E.error_metrics(j.join(G.final_truth(o, c, "bucket20").select(*K, "actual"), K, "left"))
 

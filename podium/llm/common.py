@@ -113,6 +113,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What this Python worker keeps for an operator from task to task; what it kept for another one goes."""
+    for other in [k for k in _KEPT if k != name]:
+        del _KEPT[other]
+    return _KEPT.setdefault(name, {})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm.common import arrow_schema, batch_of, held_out, text_chunks
+from podium.llm.common import arrow_schema, batch_of, held_out, kept, text_chunks
 
 ORDER, MAX_LANGS = 3, 300
 #: Symbols before the others are numbered: 0 blank, 1 to 26 letters.
@@ -229,6 +229,7 @@ def keep_known(docs: DataFrame, trees: Trees, most_bits: float = 6.5) -> DataFra
     def run(batches):
         import pyarrow as pa
 
+        kept("language")
         for b in batches:
             if b.num_rows:
                 lang, _, bits = decide(shared.value, b.column(at).to_pylist())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm.bpe import vocabulary_file
-from podium.llm.common import arrow_schema, batch_of, checkpoint, text_chunks
+from podium.llm.common import arrow_schema, batch_of, checkpoint, kept, text_chunks
 
 WINDOW, END_ID, GROUP = 2048, 1, 8192
 CACHE_WORDS = 700_000
@@ -63,14 +63,12 @@ class WordEncoder:
         return [(self._ids([t])[0] if c is None else b"".join(map(get, c))) + end for t, c in zip(texts, cut, strict=True)]
 
 
-_KEPT: dict[int, WordEncoder] = {}
-
-
 def _encoder(source: str) -> WordEncoder:
-    if (key := hash(source)) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = WordEncoder(source)
-    return _KEPT[key]
+    own = kept("packing")
+    if (key := hash(source)) not in own:
+        own.clear()
+        own[key] = WordEncoder(source)
+    return own[key]
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:

@@ -36,42 +36,82 @@ def _password(r: random.Random, words: list[str]) -> str:
     return r.choice(["", "-", "_", "."]).join(w)[:16] + str(r.randint(2, 9999)) + r.choice(["", "!", "#", "$"])
 
 
-def secret(r: random.Random, words: list[str]) -> tuple[str, str, str]:
-    """(before, value, after) of a secret."""
-    kind = r.randrange(12)
-    if kind == 0:
-        return r.choice([("key ", "AKIA" + _of(r, _UPPER, 16), " in"), ("", "ghp_" + _of(r, string.ascii_letters + string.digits, 36), ""), ("use ", "sk_live_" + _of(r, string.ascii_letters + string.digits, 24), ""), ("", "xoxb-" + _of(r, string.digits, 11) + "-" + _of(r, string.ascii_letters + string.digits, 24), "")])
-    if kind == 1:
-        return "Authorization: Bearer ", _of(r, _URL, 24, 60), ""
-    if kind == 2:
-        return f"{r.choice(['postgres', 'mysql', 'amqp', 'redis', 'https'])}://{r.choice(['admin', 'root', 'app', 'svc'])}:", _of(r, string.ascii_letters + string.digits, 12, 20), "@db.internal:5432/app"
-    value = r.choice([lambda: _of(r, _HEX, r.choice([32, 40, 40, 64])), lambda: _of(r, _B64, 24, 44), lambda: _of(r, _URL, 20, 43), lambda: _password(r, words), lambda: _password(r, words), lambda: _of(r, string.ascii_letters + string.digits, 16, 32), lambda: _of(r, _HEX, 16, 48)])()
+def _announced(r: random.Random, value: str) -> tuple[str, str, str]:
     before, after = r.choice(ANNOUNCED).replace("{k}", r.choice(KEYS)).split("{v}")
     return before, value, after
 
 
-def look_alike(r: random.Random, words: list[str]) -> tuple[str, str, str]:
-    """(before, value, after) of what is no secret, often where one could stand."""
-    plain = words or ["plain", "words"]
-    kind = r.randrange(12)
-    if kind < 4:
-        before, after = r.choice(ANNOUNCED).replace("{k}", r.choice(KEYS)).split("{v}")
-        v = r.choice([lambda: r.choice(HOLDERS), lambda: r.choice("xX*0.#") * r.randint(8, 24), lambda: "123456789012345678901234"[: r.randint(8, 24)], lambda: r.choice(["-", "_", ""]).join(r.sample(plain, min(3, len(plain)))), lambda: r.choice(plain)])()
-        return before, v, after
-    uuid = lambda: "-".join(_of(r, _HEX, n) for n in (8, 4, 4, 4, 12))
-    return r.choice([
-        lambda: (r.choice(["commit ", "sha1: ", "revision ", "blob ", "merge "]), _of(r, _HEX, 40), ""), lambda: (r.choice(["sha256:", "md5 = ", "checksum: ", "etag: ", "digest="]), _of(r, _HEX, r.choice([32, 40, 64])), ""),
-        lambda: (r.choice(["id=", "request-id: ", "uuid ", "session "]), uuid(), ""), lambda: ("on ", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{r.randint(0, 9)}:22:{r.randint(10, 59)}.{r.randint(100, 999)}Z", ""),
-        lambda: ("version ", f"{r.randint(0, 20)}.{r.randint(0, 99)}.{r.randint(0, 999)}-rc{r.randint(1, 9)}+build{r.randint(100, 9999)}", ""), lambda: ("call ", f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", ""),
-        lambda: ("card ", "-".join(str(r.randint(1000, 9999)) for _ in range(4)), ""), lambda: ("order ", str(r.randint(10**12, 10**18)), ""), lambda: ("mail ", f"{r.choice(plain)}.{r.choice(plain)}{r.randint(1, 99)}@{r.choice(plain)}.example.com", ""),
-        lambda: ("see ", f"https://www.{r.choice(plain)}.org/{r.choice(plain)}/{r.randint(1, 9999)}/{r.choice(plain)}", ""), lambda: ("in ", f"/usr/{r.choice(plain)}/{r.choice(plain)}{r.randint(1, 99)}/{r.choice(plain)}.py", ""),
-        lambda: ("", "".join(w.capitalize() for w in r.sample(plain, min(4, len(plain)))) + str(r.randint(1, 99)), "()"), lambda: ("IBAN ", "DE" + _of(r, string.digits, 20), ""), lambda: ("data:image/png;base64,", "iVBORw0KGgo" + _of(r, _B64, 30, 50), ""),
-        lambda: ("", "_".join(r.sample(plain, min(4, len(plain)))) + f"_{r.randint(1, 999)}", ""), lambda: ("address ", "192.168." + f"{r.randint(0, 255)}.{r.randint(0, 255)}:{r.randint(1000, 65000)}", ""),
-    ])()
-
-
-def findings(docs: DataFrame, find, limit: int) -> list[tuple[bytes, int, int, str | None, int]]:
-    """About `limit` labelled findings (text, start, end, path, label). find: the candidates of texts, as the scan finds them.
+def _pem(r: random.Random, name: str, lo: int, hi: int) -> str:
+    """A block of base64 lines between a BEGIN and an END line; line feeds may be written as \\n."""
+    body = _of(r, _B64, lo, hi) + r.choice(["", "=", "=="])
+    return r.choice(["\n", "\n", "\\n"]).join([f"-----BEGIN {name}-----", *(body[i : i + 64] for i in range(0, len(body), 64)), f"-----END {name}-----"])
+
+
+def _integrity(r: random.Random) -> str:
+    name, size, end = r.choice([("sha256", 43, "="), ("sha384", 64, ""), ("sha512", 86, "==")])
+    return f"{name}-{_of(r, _B64, size)}{end}"
+
+
+def _plain(words: list[str]) -> list[str]:
+    return words or ["plain", "words"]
+
+
+_ALNUM = string.ascii_letters + string.digits
+#: Kinds of secrets and of look-alikes: (before, value, after) from a generator and words of the text; a kind named more often is drawn more often.
+SECRETS = {
+    "aws_id": lambda r, w: ("key ", "AKIA" + _of(r, _UPPER, 16), " in"),
+    "github_token": lambda r, w: (r.choice(["", "token ", "clone with "]), r.choice(["ghp_", "gho_", "ghs_"]) + _of(r, _ALNUM, 36), ""),
+    "github_pat": lambda r, w: (r.choice(["", "use ", "pat "]), "github_pat_" + _of(r, _ALNUM, 22) + "_" + _of(r, _ALNUM, 59), ""),
+    "stripe": lambda r, w: ("use ", "sk_live_" + _of(r, _ALNUM, 24), ""),
+    "sk": lambda r, w: (r.choice(["", "key ", "with "]), r.choice(["sk-", "sk-proj-", "rk-"]) + _of(r, r.choice([_ALNUM, _URL]), 32, 64), r.choice(["", " here"])),
+    "slack": lambda r, w: ("", "xoxb-" + _of(r, string.digits, 11) + "-" + _of(r, _ALNUM, 24), ""),
+    "jwt": lambda r, w: (r.choice(["", "Bearer ", "jwt ", "cookie: session="]), "eyJ" + _of(r, _URL, 17, 40) + ".eyJ" + _of(r, _URL, 30, 120) + "." + _of(r, _URL, 43, 86), ""),
+    "bearer": lambda r, w: ("Authorization: Bearer ", _of(r, _URL, 24, 60), ""),
+    "url_password": lambda r, w: (f"{r.choice(['postgres', 'mysql', 'amqp', 'redis', 'https'])}://{r.choice(['admin', 'root', 'app', 'svc'])}:", _of(r, _ALNUM, 12, 20), "@db.internal:5432/app"),
+    "private_key": lambda r, w: (r.choice(["", "key: ", 'private_key: "']), _pem(r, r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY", 180, 1700), ""),
+    "hex": lambda r, w: _announced(r, _of(r, _HEX, r.choice([16, 24, 32, 40, 40, 48, 64]))),
+    "base64": lambda r, w: _announced(r, _of(r, _B64, 24, 44)),
+    "base64_url": lambda r, w: _announced(r, _of(r, _URL, 20, 43)),
+    "alphanumeric": lambda r, w: _announced(r, _of(r, _ALNUM, 16, 32)),
+    "password": lambda r, w: _announced(r, _password(r, w)),
+}
+LOOK_ALIKES = {
+    "holder": lambda r, w: _announced(r, r.choice(HOLDERS)),
+    "filler": lambda r, w: _announced(r, r.choice([lambda: r.choice("xX*0.#") * r.randint(8, 24), lambda: "123456789012345678901234"[: r.randint(8, 24)]])()),
+    "announced_words": lambda r, w: _announced(r, r.choice([lambda: r.choice(["-", "_", ""]).join(r.sample(_plain(w), min(3, len(_plain(w))))), lambda: r.choice(_plain(w))])()),
+    "commit": lambda r, w: (r.choice(["commit ", "sha1: ", "revision ", "blob ", "merge "]), _of(r, _HEX, 40), ""),
+    "checksum": lambda r, w: (r.choice(["sha256:", "md5 = ", "checksum: ", "etag: ", "digest="]), _of(r, r.choice([_HEX, _HEX, _B64]), r.choice([32, 40, 64])), ""),
+    "integrity": lambda r, w: (r.choice(['integrity="', "integrity: ", "integrity ", "", '"hash": "', "script-src '"]), _integrity(r), r.choice(["", '"', "'"])),
+    "certificate": lambda r, w: (r.choice(["", "cert: ", "ca "]), _pem(r, r.choice(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST"]), 180, 1700), ""),
+    "uuid": lambda r, w: (r.choice(["id=", "request-id: ", "uuid ", "session "]), "-".join(_of(r, _HEX, n) for n in (8, 4, 4, 4, 12)), ""),
+    "time": lambda r, w: ("on ", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{r.randint(0, 9)}:22:{r.randint(10, 59)}.{r.randint(100, 999)}Z", ""),
+    "version": lambda r, w: ("version ", f"{r.randint(0, 20)}.{r.randint(0, 99)}.{r.randint(0, 999)}-rc{r.randint(1, 9)}+build{r.randint(100, 9999)}", ""),
+    "phone": lambda r, w: ("call ", f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", ""),
+    "card": lambda r, w: ("card ", "-".join(str(r.randint(1000, 9999)) for _ in range(4)), ""),
+    "number": lambda r, w: ("order ", str(r.randint(10**12, 10**18)), ""),
+    "mail": lambda r, w: ("mail ", f"{r.choice(_plain(w))}.{r.choice(_plain(w))}{r.randint(1, 99)}@{r.choice(_plain(w))}.example.com", ""),
+    "link": lambda r, w: ("see ", f"https://www.{r.choice(_plain(w))}.org/{r.choice(_plain(w))}/{r.randint(1, 9999)}/{r.choice(_plain(w))}", ""),
+    "file": lambda r, w: ("in ", f"/usr/{r.choice(_plain(w))}/{r.choice(_plain(w))}{r.randint(1, 99)}/{r.choice(_plain(w))}.py", ""),
+    "camel": lambda r, w: ("", "".join(x.capitalize() for x in r.sample(_plain(w), min(4, len(_plain(w))))) + str(r.randint(1, 99)), "()"),
+    "snake": lambda r, w: ("", "_".join(r.sample(_plain(w), min(4, len(_plain(w))))) + f"_{r.randint(1, 999)}", ""),
+    "slug": lambda r, w: (r.choice(["", 'class="', "#"]), r.choice(["sk-", "task-", ""]) + "-".join(r.sample(_plain(w), min(4, len(_plain(w))))) + f"-{r.randint(1, 999)}", ""),
+    "module": lambda r, w: (r.choice(["import ", "at "]), ".".join(["com", *r.sample(_plain(w), min(3, len(_plain(w)))), r.choice(_plain(w)).capitalize() + str(r.randint(1, 99))]), ""),
+    "iban": lambda r, w: ("IBAN ", "DE" + _of(r, string.digits, 20), ""),
+    "image": lambda r, w: ("data:image/png;base64,", "iVBORw0KGgo" + _of(r, _B64, 30, 50), ""),
+    "address": lambda r, w: ("address ", "192.168." + f"{r.randint(0, 255)}.{r.randint(0, 255)}:{r.randint(1000, 65000)}", ""),
+}
+_OFTEN = {True: ["hex", "base64", "base64_url", "alphanumeric", "password", "password", "password"], False: ["holder", "holder", "filler", "announced_words", "announced_words", "announced_words"]}
+
+
+def planted(r: random.Random, words: list[str], label: int) -> tuple[str, str, str, str]:
+    """(kind, before, value, after) of a secret (label 1) or of a look-alike (0)."""
+    kinds = SECRETS if label else LOOK_ALIKES
+    kind = r.choice([*kinds, *_OFTEN[bool(label)]])
+    return kind, *kinds[kind](r, words)
+
+
+def findings(docs: DataFrame, find, limit: int) -> list[tuple[bytes, int, int, str | None, int, str]]:
+    """About `limit` labelled findings (text, start, end, path, label, kind). find: the candidates of texts, as the scan finds them.
 
     docs has text and source. About as many texts as findings lend their surroundings; fewer texts lend more than once.
     """
@@ -86,7 +126,7 @@ def findings(docs: DataFrame, find, limit: int) -> list[tuple[bytes, int, int, s
         r = random.Random(zlib.crc32(f"{k} {text}".encode("utf-8", "replace")))
         words = [w for w in text.lower().split() if w.isascii() and w.isalpha() and 3 <= len(w) <= 12]
         label = k // len(places) + k & 1
-        before, value, after = (secret if label else look_alike)(r, words)
+        kind, before, value, after = planted(r, words, label)
         left, right = text[:60], text[60:]
         whole = f"{left} {before}{value}{after} {right}"
         lo = len(f"{left} {before}".encode("utf-8", "surrogatepass"))
@@ -94,5 +134,5 @@ def findings(docs: DataFrame, find, limit: int) -> list[tuple[bytes, int, int, s
         for _, own, s, e in find([whole]):
             both = min(e, hi) - max(s, lo)
             if 2 * both > max(hi - lo, 1) or both > 0 and not label:
-                out.append((own, s, e, path or None, label))
+                out.append((own, s, e, path or None, label, kind))
     return out

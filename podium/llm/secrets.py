@@ -1,16 +1,17 @@
 """Secret scans: a random forest removes the false positives among strings that look like secrets.
 
-Candidates are of two kinds. A part, of at least MIN_LENGTH, of a run of the characters that keys consist of:
+Candidates are of three kinds. A part, of at least MIN_LENGTH, of a run of the characters that keys consist of:
 parts lie between `=`, `:` and `@` (a part with short pieces around its `@` stays whole), and the run has a digit
 or mixed case in it, or the part a known key format. And a value of at least MIN_SHORT bytes of any kind that a
-key word and `=` or `:` announce, such as a password. Shorter ones, and runs of lower-case letters alone that
-nothing announces, are not scanned.
+key word and `=` or `:` announce, such as a password. A block between a BEGIN and an END line, such as a private key
+or a certificate, is one candidate, which nothing in it is besides. Shorter ones, and runs of lower-case letters alone
+that nothing announces, are not scanned.
 
 Features: length and character shares, entropy, transitions between character classes and the surprise of letter
-pairs, the share covered by dictionary words, the path, and the neighbouring words. The forest learns from
+pairs, the share covered by dictionary words, known formats, the path, and the neighbouring words. The forest learns from
 labelled findings, that is rows (text, start, end, path, label): reviewed ones, or secrets and look-alikes
 planted in the corpus' own texts (`planted`; about `FINDINGS`, a bounded sample for the fit), of which `split`
-holds a fifth out. The dictionary (the `DICTIONARY_WORDS` most frequent words) and the letter pairs count all
+holds a fifth out; `unseen_kinds` holds out whole kinds of them. The dictionary (the `DICTIONARY_WORDS` most frequent words) and the letter pairs count all
 documents; every whole text is scanned.
 
 Null texts have no findings, null paths none of a path's features; repeated rows give repeated findings; an empty
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -46,7 +48,16 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 1, 2, 3, 4
 KEYWORDS = re.compile(r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)\W{0,4}$", re.I)
 EXAMPLES = re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]|x{4}|test", re.I)
 #: Known key formats, anywhere in bytes.
-KNOWN_IN = re.compile(rb"(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
+KNOWN_IN = re.compile(
+    rb"(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
+    rb"|(?<![A-Za-z0-9_-])[sr]k-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.)"
+)
+#: A block between a BEGIN and an END line; it ends at the next five hyphens, so no text is read twice.
+BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{1,40}-----(?:[^-]|-(?!----)){16,}-----END [A-Z0-9 ]{1,40}-----")
+PRIVATE = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY")
+#: Names of digests, before a value or at its beginning.
+DIGESTS = re.compile(r"(commit|sha-?\d{1,3}|md5|checksum|etag|digest|integrity|revision|blob|hash)\W{0,4}$", re.I)
+DIGEST_IN = re.compile(rb"(sha\d{1,3}|md5)[-_]", re.I)
 _BEFORE = re.compile(rb"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth|credentials?|private[_-]?key)[\"'` ]{0,2}$", re.I)
 _VALUE = re.compile(rb"[ \t]{0,3}[\"'`]?([^\s\"'`,;<>(){}\[\]]{%d,})" % MIN_SHORT)
 _LAST = np.zeros(256, bool)  # what an announcing word ends with, or stands between it and the sign
@@ -98,7 +109,13 @@ def candidates(texts: list[str | None]) -> list[tuple[int, bytes, int, int]]:
         run = np.searchsorted(starts, known, "right") - 1
         keep = odd.copy()
         keep[run[(run >= 0) & (known < np.append(ends, 0)[run])]] = True
-        told = announced(data)
+        told = [(x, y) for x, y in (m.span() for m in BLOCK.finditer(raw)) if np.searchsorted(bounds, x, "right") == np.searchsorted(bounds, y - 1, "right")]  # inside one text
+        ends_of = [y for _, y in told]
+        for x, y in announced(data):  # what overlaps a block is a part of it
+            k = bisect_right(ends_of, x)
+            if k == len(ends_of) or y <= told[k][0]:
+                told.append((x, y))
+        told.sort()
         spans = list(told)
         for s, e, o in zip(starts[keep].tolist(), ends[keep].tolist(), odd[keep].tolist(), strict=True):
             text = raw[s:e].rstrip(b".:=-/@")
@@ -161,6 +178,7 @@ def featurise(found: list[tuple[bytes, int, int, str | None]], model: dict) -> n
         rows.append((
             word.count("@"), word.count("."), word.count("/"), KEYWORDS.search(before) is not None, before.rstrip(" \"'")[-1:] in ("=", ":"), before[-1:] in ("\"", "'", "`"),
             EXAMPLES.search(word) is not None or EXAMPLES.search(before + " " + after) is not None, before[-2:-1] == ")" or "+" in before[-8:], re.search(r"test|example|doc|sample", where) is not None, where.count("/"),
+            KNOWN_IN.match(own, s, e) is not None, PRIVATE.match(own, s, e) is not None, DIGESTS.search(before) is not None, DIGEST_IN.match(own, s, e) is not None,
         ))
     hexes = ((low >= 48) & (low <= 57)) | ((low >= 97) & (low <= 102))
     numeric = [size, *(share(kind == k) for k in (1, 2, 3, 0)), share(hexes), entropy, changes / size, bits / np.maximum(letters, 1), share(np.cumsum(cover[:-1]) > 0)]
@@ -196,18 +214,51 @@ def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
     return [r for r, o in zip(rows, out, strict=True) if not o], [r for r, o in zip(rows, out, strict=True) if o]
 
 
+def _judged(forest: Forest, rows: list[tuple], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What the forest says of labelled findings, and what they are."""
+    return forest.predict(featurise([r[:4] for r in rows], model)) >= LEVEL, np.array([r[4] for r in rows], bool)
+
+
+def _learnt(rows: list[tuple], model: dict) -> Forest:
+    return Forest().fit(featurise([r[:4] for r in rows], model), np.array([r[4] for r in rows], float))
+
+
+def _by_kind(said: np.ndarray, true: np.ndarray, kinds: list[str]) -> dict[str, tuple[int, int, float]]:
+    """{kind: (label, number of findings, share of them judged rightly)}"""
+    names, right = np.array(kinds, object), said == true
+    return {k: (int(true[names == k][0]), int((names == k).sum()), float(right[names == k].mean())) for k in sorted(set(kinds))}
+
+
 def fit(docs: DataFrame, labelled: list[tuple] | None = None) -> dict:
     """The model: forest, dictionary, letter pairs, and precision and recall on the held-out fifth (None without any).
 
-    labelled: findings that were reviewed; else secrets and look-alikes planted in the documents' texts.
+    labelled: findings that were reviewed, with or without the name of a kind behind the label; else secrets and
+    look-alikes planted in the documents' texts. by_kind has the share judged rightly of each named kind held out.
     """
     model = dictionary(docs)
     rows, held = split(labelled if labelled is not None else planted.findings(docs, candidates, FINDINGS))
-    model["forest"] = Forest().fit(featurise([r[:4] for r in rows], model), np.array([r[4] for r in rows], float))
-    said = model["forest"].predict(featurise([r[:4] for r in held], model)) >= LEVEL
-    true = np.array([r[4] for r in held], bool)
+    model["forest"] = _learnt(rows, model)
+    said, true = _judged(model["forest"], held, model)
     hits = int((said & true).sum())
-    return model | {"precision": hits / said.sum() if said.any() else None, "recall": hits / true.sum() if true.any() else None}
+    named = [len(r) > 5 for r in held]
+    by_kind = _by_kind(said[named], true[named], [r[5] for r in held if len(r) > 5])
+    return model | {"precision": hits / said.sum() if said.any() else None, "recall": hits / true.sum() if true.any() else None, "by_kind": by_kind}
+
+
+def unseen_kinds(docs: DataFrame, labelled: list[tuple] | None = None, only: list[str] | None = None) -> dict[str, tuple[int, int, float]]:
+    """{kind: (label, number of findings, share judged rightly)} where the forest learns from all other kinds alone.
+
+    labelled as for fit, each with the name of its kind. only: these kinds in turn (all, if None). It says what to
+    expect of kinds that no reviewed finding shows.
+    """
+    model = dictionary(docs)
+    rows = labelled if labelled is not None else planted.findings(docs, candidates, FINDINGS)
+    out = {}
+    for kind in sorted({r[5] for r in rows} if only is None else only):
+        own = [r for r in rows if r[5] == kind]
+        if own:
+            out |= _by_kind(*_judged(_learnt([r for r in rows if r[5] != kind], model), own, model), [kind] * len(own))
+    return out
 
 
 def scan_texts(texts: list[str | None], paths: list[str | None], model: dict) -> list[tuple[int, bytes, int, int, float]]:

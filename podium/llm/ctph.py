@@ -26,6 +26,8 @@ from podium.llm.common import arrow_schema, batch_of, partitions, span_hashes, t
 WINDOW, SIGNATURE, LEVELS = 7, 64, 40
 #: Code points of a range of documents, about.
 RANGE_CHARS = 12_000_000
+#: More ranges there are never: beyond, ranges grow instead (each is sorted with spilling and streams by), and what reaches the driver does not.
+MOST_RANGES = 20_000
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _CODE = np.zeros(256, np.int64)
 _CODE[LETTERS] = np.arange(64)
@@ -163,12 +165,12 @@ def in_order(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(bucket, borrowed, doc_id, text), dealt by ranges of (doc_id, hash of text) and sorted by these downwards within each.
 
     Each bucket ends with a borrowed row, the document that follows its last: the first of the next range,
-    after the last range the first of all. The number of ranges follows the size of the texts, and hashes split an
-    id that many rows have; only the ranges' upper ends (two numbers each) reach the driver.
+    after the last range the first of all. The number of ranges follows the size of the texts up to MOST_RANGES, and hashes split
+    an id that many rows have; only the ranges' upper ends (two numbers each) reach the driver.
     """
     key, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    ranges = max(2 * partitions(docs.sparkSession), -(-chars // range_chars))
+    ranges = max(2 * partitions(docs.sparkSession), min(-(-chars // range_chars), MOST_RANGES))
     ids = docs.select(key.alias("key"), text_hash.alias("hash"))
     ends = ids.repartitionByRange(ranges, "key", "hash").groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("key", "hash")).alias("top")).collect()
     tops = sorted({tuple(r["top"]) for r in ends})

@@ -67,6 +67,25 @@ def box_least_squares(gram: np.ndarray, moment: np.ndarray, lower: np.ndarray, u
     return best / scale
 
 
+def box_least_squares_many(gram: np.ndarray, moment: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """box_least_squares of many problems at once, gram (m, n, n), the others (m, n): for each set of unknowns at bounds one stacked solution."""
+    scale = np.sqrt(np.maximum(np.einsum("mii->mi", gram), 1e-300))
+    g, b, lo, hi = gram / scale[:, :, None] / scale[:, None, :], moment / scale, lower * scale, upper * scale
+    best, value, inverse = np.clip(np.zeros_like(b), lo, hi), np.full(len(b), np.inf), {}
+    for state in _STATES[b.shape[1]]:
+        x, ok, f = np.where(state == 1, lo, np.where(state == 2, hi, 0.0)), True, np.flatnonzero(state == 0)
+        if len(f):
+            if (key := tuple(f)) not in inverse:
+                inverse[key] = np.linalg.pinv(g[:, f[:, None], f], rcond=1e-13, hermitian=True)
+            y = np.einsum("mij,mj->mi", inverse[key], b[:, f] - np.einsum("mij,mj->mi", g[:, f], x))
+            ok = ((y >= lo[:, f] - 1e-9) & (y <= hi[:, f] + 1e-9)).all(1)
+            x[:, f] = np.clip(y, lo[:, f], hi[:, f])
+        v = np.einsum("mi,mij,mj->m", x, g, x) - 2 * (x * b).sum(1)
+        better = ok & (v < value)
+        best[better], value[better] = x[better], v[better]
+    return best / scale
+
+
 def profiled_loss(w: np.ndarray, g: np.ndarray, b: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Mean over series of 1 - max(w.b, 0)^2 / (w'Gw E), for each row of w; g (series, 3, 3), b (series, 3), e (series)."""
     fit = np.maximum(w @ b.T, 0) ** 2
@@ -106,7 +125,7 @@ SKELETON_LOWER, SKELETON_UPPER = np.array([0, -0.01, -0.001, 0.0]), np.array([1,
 
 
 def fit_skeleton(t: np.ndarray, y: np.ndarray, total: float) -> tuple[np.ndarray, float]:
-    """Bounded least squares of the growth curve: for each length of the final rise the rest is linear; lengths by a grid, then by golden section."""
+    """Bounded least squares of the growth curve of one series held in memory, the measure of the fit from sums: for each length of the final rise the rest is linear; lengths by a grid, then by golden section."""
     hi = min(72.0, total / 2)
 
     def at(panic: float):

@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from podium.functions import numeric
 from podium.operators.aggregates import duration_weight
 from podium.operators.clean import prefix_gate, strict_contest_gate, with_day_type
+from podium.operators.curve_fit import PARAMS, _refit_bounds, fit_skeleton, refit_local, skeleton_shape  # noqa: F401
 from podium.operators.evaluate import coverage_gate
 from podium.operators.series import canonical_training_series, hourly_deltas, lookup_curve
 from podium.schema import DEFAULTS, GRACE_MS, HOUR_MS, ZONE_MS, K
@@ -249,35 +250,6 @@ def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame,
     return g.select(*key, "anchor", (F.col("anchor") * F.col("wg") / F.col("w")).alias("final"), "templates", (F.col("w") * F.col("w") / F.col("ww")).alias("effective"))
 
 
-def skeleton_shape(t: Column, p: list[Column], total: Column) -> Column:
-    """The growth curve of parameters (base, a, b, b_end, panic): not below 0."""
-    base, a, b, b_end, panic = p
-    begin = total - panic
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    n = clip((t - begin) / panic)
-    rise = F.when(t > begin, b_end * F.pow(F.sin(n * (math.pi / 2)), 2.5) * F.pow(clip((n - 0.5) / 0.5), 3)).otherwise(0.0)
-    blend = clip((t - (begin - 4)) / F.greatest(F.lit(1e-6), panic / 2 + 4))
-    return F.greatest(F.lit(0.0), base + a * t + b * t * t + rise * blend)
-
-
-PARAMS = ["base", "a", "b", "b_end", "panic"]
-
-
-def fit_skeleton(history: DataFrame, contests: DataFrame) -> DataFrame:
-    """(contest_id, tier, base, a, b, b_end, panic, mse): the growth curve of each series of five finite points or more; each distinct series is fitted once."""
-    total = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h"))
-    rows = history.where("skeleton_speed is not null and not isnan(skeleton_speed)").select(*K, "hours", "skeleton_speed").join(total, "contest_id")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 5:
-            return pd.DataFrame(columns=[*K, *PARAMS, "mse"])
-        pdf = pdf.sort_values("hours")
-        p, mse = numeric.fit_skeleton(pdf["hours"].to_numpy(), pdf["skeleton_speed"].to_numpy(), float(pdf["total_h"].iloc[0]))
-        return pd.DataFrame([[pdf["contest_id"].iloc[0], pdf["tier"].iloc[0], *p, mse]], columns=[*K, *PARAMS, "mse"])
-
-    return rows.groupBy(*K).applyInPandas(fit, "contest_id long, tier int, base double, a double, b double, b_end double, panic double, mse double")
-
-
 def align_duration(params: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """params (.., base .. panic, target_h, history_h, ratio): a and b brought to the target's duration, then all to its strength."""
     w = duration_weight(F.col("target_h"), F.col("history_h"), config["duration_param_align_max_weight"], config)
@@ -286,48 +258,6 @@ def align_duration(params: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     return params.withColumns({"base": F.col("base") * q, "a": F.col("a") / r * q, "b": F.col("b") / (r * r) * q, "b_end": F.col("b_end") * F.pow(q, 1.1)})
 
 
-def refit_local(window: DataFrame, prior: DataFrame, config: dict = DEFAULTS) -> DataFrame:
-    """prior (contest_id, tier, base .. panic, total_h) refitted to the target's own recent rows and blended by their confidence.
-
-    window: refit_window's rows (hours, norm_speed, skeleton_speed, conf). Moments are summed in Spark; the
-    helper solves three bounded unknowns. Under ten points the prior stays. Exact while the curve is above 0.
-    """
-    j = window.join(prior.select(*K, *PARAMS, "total_h"), K)
-    bare = skeleton_shape(F.col("hours"), [F.lit(1e6), F.lit(0.0), F.lit(0.0), F.col("b_end"), F.col("panic")], F.col("total_h")) - 1e6
-    j = j.withColumns({"y": F.col("skeleton_speed") - bare, "q": F.log1p(F.greatest(F.col("norm_speed"), F.lit(0.0)) * config["refit_weight_scale"])})
-    t, q = F.col("hours"), F.col("q")
-    m = j.groupBy(*K).agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.avg("q").alias("mq"), F.avg(F.col("skeleton_speed") * F.col("skeleton_speed")).alias("vv"), *[F.avg(q * F.pow(t, k)).alias(f"t{k}") for k in range(5)], *[F.avg(q * F.col("y") * F.pow(t, k)).alias(f"y{k}") for k in range(3)])
-    rows = prior.join(m, K, "left")
-
-    def solve(batches):
-        for pdf in batches:
-            out = pdf[[*K, *PARAMS]].copy()
-            for i, r in enumerate(pdf.itertuples(index=False)):
-                if not r.n >= config["refit_min_points"]:
-                    continue
-                p = np.array([r.base, r.a, r.b])
-                mq = r.mq if r.mq > 0 else 1.0
-                t_ = [getattr(r, f"t{k}") / mq for k in range(5)]
-                gram = np.array([[t_[i_ + j_] for j_ in range(3)] for i_ in range(3)])
-                lam = 2 * config["refit_lambda"] * (r.vv + 1e-6) / (p * p + 1e-9)
-                lo, hi = _refit_bounds(p, config)
-                x = numeric.box_least_squares(gram + np.diag(lam), np.array([r.y0, r.y1, r.y2]) / mq + lam * p, lo, hi)
-                for c, new, old in zip(("base", "a", "b"), x, p, strict=True):
-                    out.iloc[i, out.columns.get_loc(c)] = (1 - r.conf) * old + r.conf * new
-            yield out
-
-    return rows.mapInPandas(solve, "contest_id long, tier int, base double, a double, b double, b_end double, panic double")
-
-
-def _refit_bounds(p: np.ndarray, config: dict = DEFAULTS) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds around the prior that keep its signs."""
-    lo0, zero_ratio = max(0.0, config["refit_base_min_ratio"] * p[0]), config["refit_linear_zero_ratio"]
-    signed = lambda v, near, far, zero: (v * far, min(v * zero_ratio, -1e-9)) if v < 0 else (max(v * near, 1e-9), v * far) if v > 0 else zero
-    a = signed(p[1], zero_ratio, config["refit_linear_bound_scale"], (-1e-4, 1e-4))
-    b = signed(p[2], config["refit_quad_min_ratio"], config["refit_quad_max_ratio"], (0.0, 1e-4))
-    return np.array([lo0, a[0], b[0]]), np.array([max(lo0 + 1e-9, config["refit_base_max_ratio"] * p[0]), a[1], b[1]])
-
-
 def apply_season(grid: DataFrame, factors: DataFrame, config: dict = DEFAULTS) -> DataFrame:
     """grid (contest_id, tier, hours, start_at, total_h, panic, skeleton) with `speed_norm`: times the hour's factor, more so towards the end."""
     g = with_day_type(grid.withColumn("time_ms", (F.col("start_at") + F.col("hours") * HOUR_MS).cast("long"))).join(F.broadcast(factors), ["day_type", "hour"], "left")

@@ -162,6 +162,16 @@ def mass_basis(points: DataFrame, contests: DataFrame) -> DataFrame:
     return p.withColumn("basis", F.array(*out)).drop("__T", "__h0", "__x")
 
 
+def mass_rate(points: DataFrame, contests: DataFrame) -> DataFrame:
+    """points with `rate`: how fast each entry of mass_basis grows, an hour."""
+    c = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("__T"), _start_local(F.col("start_at")).alias("__h0"))
+    whole = _available(F.col("__T"), F.col("__h0"))
+    p = points.join(c, "contest_id").withColumns({"__x": _available(F.col("hours"), F.col("__h0")) / whole, "__v": (1 + AMPLITUDE * F.cos((F.col("hours") + F.col("__h0") - PEAK) * (2 * math.pi / 24))) / whole})
+    grow = lambda x, tau: F.exp(x / tau) / tau / (1 - math.exp(-1 / tau))
+    out = [F.lit(1.0)] + [grow(-F.col("__x"), tau) for tau in (0.05, 0.20)] + [grow(F.col("__x") - 1, tau) for tau in (0.03, 0.10, 0.30)]
+    return p.withColumn("rate", F.array(*[F.col("__v") * x for x in out])).drop("__T", "__h0", "__x", "__v")
+
+
 def pace_basis(points: DataFrame, contests: DataFrame, pressure: DataFrame) -> DataFrame:
     """points with `basis`: the three pace components, each divided by its value at the end."""
     ends = points.select(*K).distinct().join(contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("hours")), "contest_id")
@@ -199,9 +209,12 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, strength: float = 16.0, same_type: bool = False, transfer: bool = False, bandwidth: float = math.log(2)) -> DataFrame:
+def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, strength: float = 16.0, same_type: bool = False, transfer: bool = False, bandwidth: float = math.log(2), dims: int = 0) -> DataFrame:
     """(contest_id, tier, origin_h, anchor, final, templates, effective): posterior mean over earlier contests' cohort masses.
 
+    With dims, the number of masses, also `shape`: their posterior mean, each over its curve at the anchor, so that the
+    score at any hour is anchor times the basis there times shape.
+
     knots: rows of a prefix (contest_id, tier, origin_h, i, share, basis, anchor_h, anchor, end_basis, start_at,
     contest_type, pressure), i from 0 (share 0) up to the anchor; templates: (contest_id, end_at, contest_type,
     tier, mass, pressure). Only templates that ended before the contest began count.
@@ -236,18 +249,50 @@ def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame,
     kl = F.aggregate(bins, F.lit(0.0), lambda s, b: s + F.when(b["p"] > 0, b["p"] * (F.ln(b["p"]) - F.ln(F.greatest(b["q"], F.lit(1e-300))))).otherwise(0.0))
     prior = -0.5 * F.pow(F.ln(F.col("t_tier") / F.col("tier")) / bandwidth, 2)
     # the arrays end here; a row has the logarithms of the prior (u) and of the posterior (v), and the growth
-    j = j.select(*key, "t_id", "anchor", prior.alias("u"), (prior - strength * F.col("anchor_h") / 24 * kl).alias("v"), (F.col("f_end") / F.col("f_anchor")).alias("g"))
-    one = j.groupBy(*key, "t_id").agg(F.max("anchor").alias("anchor"), F.collect_list(F.struct("u", "v", "g")).alias("x"))  # a contest's tiers, 24 at most
+    j = j.select(*key, "t_id", "anchor", prior.alias("u"), (prior - strength * F.col("anchor_h") / 24 * kl).alias("v"), (F.col("f_end") / F.col("f_anchor")).alias("g"), *([F.transform(mass, lambda m: m / F.col("f_anchor")).alias("h")] if dims else []))
+    one = j.groupBy(*key, "t_id").agg(F.max("anchor").alias("anchor"), F.collect_list(F.struct("u", "v", "g", *["h"] * bool(dims))).alias("x"))  # a contest's tiers, 24 at most
     total = lambda f: F.aggregate("x", F.lit(0.0), lambda s, r: s + f(r))
     one = one.withColumn("m", F.array_max(F.transform("x", lambda r: r["v"])))
     one = one.select(
         *key, "anchor", (F.col("m") - F.ln(total(lambda r: F.exp(r["u"])))).alias("m"), total(lambda r: F.exp(r["v"] - F.col("m"))).alias("w"),
         total(lambda r: F.exp(r["v"] - F.col("m")) * r["g"]).alias("wg"), total(lambda r: F.exp(2 * (r["v"] - F.col("m")))).alias("ww"), F.size("x").cast("long").alias("n"),
+        *[total(lambda r, i=i: F.exp(r["v"] - F.col("m")) * r["h"][i]).alias(f"wh{i}") for i in range(dims)],
     )
     # contests weigh alike, so their common factor goes; the greatest logarithm keeps the sums from vanishing
     one = one.withColumn("up", F.exp(F.col("m") - F.max("m").over(W.partitionBy(*key))))
-    g = one.groupBy(*key).agg(F.max("anchor").alias("anchor"), F.sum(F.col("up") * F.col("w")).alias("w"), F.sum(F.col("up") * F.col("wg")).alias("wg"), F.sum(F.col("up") * F.col("up") * F.col("ww")).alias("ww"), F.sum("n").alias("templates"))
-    return g.select(*key, "anchor", (F.col("anchor") * F.col("wg") / F.col("w")).alias("final"), "templates", (F.col("w") * F.col("w") / F.col("ww")).alias("effective"))
+    g = one.groupBy(*key).agg(F.max("anchor").alias("anchor"), F.sum(F.col("up") * F.col("w")).alias("w"), F.sum(F.col("up") * F.col("wg")).alias("wg"), F.sum(F.col("up") * F.col("up") * F.col("ww")).alias("ww"), F.sum("n").alias("templates"), *[F.sum(F.col("up") * F.col(f"wh{i}")).alias(f"wh{i}") for i in range(dims)])
+    shape = [F.array(*[F.col(f"wh{i}") / F.col("w") for i in range(dims)]).alias("shape")] if dims else []
+    return g.select(*key, "anchor", (F.col("anchor") * F.col("wg") / F.col("w")).alias("final"), "templates", (F.col("w") * F.col("w") / F.col("ww")).alias("effective"), *shape)
+
+
+def cohort_paths(prefixes: DataFrame, templates: DataFrame, contests: DataFrame, pressure: DataFrame, expected: DataFrame | None = None, step_h: int = 1, knot_h: int = 6, **options) -> tuple[DataFrame, DataFrame]:
+    """(paths, rejects) as pace_paths has them, by cohorts: (contest_id, tier, origin_ms, anchor_h, anchor, hours, score, speed, effective), and (contest_id, tier, origin_ms, reason).
+
+    prefixes and expected: as pace_paths takes them, none repaired. templates and options: as forecast_cohort takes them; a
+    sound prefix that no earlier contest explains has the reason no_history. The posterior is found once a prefix; hours
+    cost a product of six numbers each. pressure: (contest_id, tier, pressure).
+    """
+    keys = [*K, "origin_ms"]
+    at = contests.select("contest_id", "start_at", "end_at", "contest_type")
+    rows = cut(prefixes.select(*keys, "time_ms", "score").join(at, "contest_id"))
+    gate = cut(prefix_gate(rows, expected))
+    hour = lambda c: (F.col(c) - F.col("start_at")) / float(HOUR_MS)
+    sound = rows.join(gate.where("valid").select(*keys), keys, "left_semi").withColumn("hours", hour("time_ms"))
+    last = sound.groupBy(*keys).agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor"), *[F.max(c).alias(c) for c in ("start_at", "end_at", "contest_type")]).where("anchor_h > 0")
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.col("anchor_h") / knot_h).cast("int") - 1), lambda i: (i * knot_h).cast("double"))
+    knots = lookup_curve(last.select("*", F.explode(F.concat(steps, F.array("anchor_h"))).alias("hours")), sound, keys)
+    w = W.partitionBy(*keys).orderBy("hours")
+    share = F.coalesce((F.col("interpolated") - F.lag("interpolated").over(w)) / F.col("anchor"), F.lit(0.0))
+    knots = knots.withColumns({"i": F.row_number().over(w) - 1, "share": share, "end_basis": F.array(*[F.lit(1.0)] * 6)})
+    knots = cut(mass_basis(knots, contests).join(pressure, K).withColumnRenamed("origin_ms", "origin_h"))
+    about = knots.where("i = 0").select(*K, F.col("origin_h").alias("origin_ms"), "anchor_h", "start_at", "end_at")
+    found = cut(forecast_cohort(knots, templates, contests, dims=6, **options).withColumnRenamed("origin_h", "origin_ms").select(*keys, "anchor", "effective", "shape").join(about, keys))
+    first, end = hour("origin_ms"), hour("end_at")
+    grid = F.transform(F.sequence(F.lit(0), F.ceil((end - first) / step_h).cast("int")), lambda k: F.least(first + k * float(step_h), end))
+    path = mass_rate(mass_basis(found.withColumn("hours", F.explode(grid)).drop("start_at", "end_at"), contests), contests)
+    path = path.select(*keys, "anchor_h", "anchor", "hours", (F.col("anchor") * _dot(F.col("basis"), F.col("shape"))).alias("score"), (F.col("anchor") * _dot(F.col("rate"), F.col("shape"))).alias("speed"), "effective")
+    alone = gate.where("valid").select(*keys).join(found, keys, "left_anti").withColumn("reason", F.lit("no_history"))
+    return path, gate.where("not valid").select(*keys, "reason").unionByName(alone)
 
 
 def align_duration(params: DataFrame, config: dict = DEFAULTS) -> DataFrame:

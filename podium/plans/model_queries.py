@@ -302,11 +302,50 @@ en AS (SELECT contest_id, b AS eb FROM {basis_sql(f"SELECT contest_id, {HOURS} A
 SELECT pw.contest_id, tier, max(sc) AS anchor, round(max(sc) * sum(w * list_dot_product(eb, mass) / fa) / sum(w), 3) AS final, count(*) AS templates,
   round(sum(w) ** 2 / sum(w * w), 4) AS effective FROM pw JOIN en ON en.contest_id = pw.contest_id GROUP BY pw.contest_id, tier""", extra=CANON)
 def m8_fixed(spark, d):
+    out = M.forecast_cohort(knots(spark, d), stated_templates(spark, d), A.contests(spark, d))
+    return out.select(*K, "anchor", F.round("final", 3).alias("final"), "templates", F.round("effective", 4).alias("effective"))
+
+
+_COHORT_PATHS = f"""WITH {_SEEN}, px2 AS (SELECT px.contest_id, px.tier, px.origin_ms, (px.time_ms - px.start_at) / 3600000.0 AS h, px.score FROM px JOIN ga ON ga.contest_id = px.contest_id
+  AND ga.tier = px.tier AND ga.origin_ms = px.origin_ms WHERE reason IS NULL),
+an AS (SELECT contest_id, tier, origin_ms, origin_h, sc, start_at, (at_ms - start_at) / 3600000.0 AS ah, (end_at - start_at) / 3600000.0 AS dur FROM ga WHERE reason IS NULL AND at_ms > start_at),
+kn AS (SELECT contest_id, tier, origin_ms, sc, ah, start_at, i * 6.0::DOUBLE AS hours FROM an, LATERAL (SELECT unnest(range(0, CAST(ceil(ah / 6) AS BIGINT))) AS i)
+  UNION ALL SELECT contest_id, tier, origin_ms, sc, ah, start_at, ah FROM an),
+lo AS (SELECT kn.*, p.h AS h0, p.score AS s0 FROM kn ASOF LEFT JOIN px2 p ON kn.contest_id = p.contest_id AND kn.tier = p.tier AND kn.origin_ms = p.origin_ms AND kn.hours >= p.h),
+kv AS (SELECT lo.*, CASE WHEN h0 IS NULL THEN p.score WHEN p.h IS NULL OR p.h = h0 THEN s0 ELSE s0 + (p.score - s0) * (lo.hours - h0) / (p.h - h0) END AS v
+  FROM lo ASOF LEFT JOIN px2 p ON lo.contest_id = p.contest_id AND lo.tier = p.tier AND lo.origin_ms = p.origin_ms AND lo.hours <= p.h),
+kb AS (SELECT * FROM {basis_sql("SELECT contest_id, tier, origin_ms, sc, ah, start_at, hours, v FROM kv")}),
+tp AS (SELECT contest_id AS t_id, end_at AS t_end, t.tier AS t_tier, {_MASS} AS mass FROM contests, (VALUES (100), (1000)) t(tier)),
+pt AS (SELECT kb.*, t_id, t_tier, mass, list_dot_product(b, mass) AS f FROM kb JOIN tp ON t_end < start_at),
+q AS (SELECT *, (f - lag(f) OVER w) / max(f) OVER (PARTITION BY contest_id, tier, origin_ms, t_id, t_tier) AS q, (v - lag(v) OVER w) / sc AS p,
+  max(f) OVER (PARTITION BY contest_id, tier, origin_ms, t_id, t_tier) AS fa FROM pt WINDOW w AS (PARTITION BY contest_id, tier, origin_ms, t_id, t_tier ORDER BY hours)),
+kl AS (SELECT contest_id, tier, origin_ms, t_id, t_tier, max(mass) AS mass, max(ah) AS ah, max(sc) AS sc, max(fa) AS fa, sum(CASE WHEN p > 0 THEN p * (ln(p) - ln(greatest(q, 1e-300))) ELSE 0 END) AS kl,
+  -0.5 * (ln(t_tier / tier) / ln(2)) ** 2 AS l0 FROM q GROUP BY ALL),
+po AS (SELECT *, l0 - ln(sum(exp(l0)) OVER (PARTITION BY contest_id, tier, origin_ms, t_id)) - 16 * ah / 24 * kl AS lp FROM kl),
+pw AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY contest_id, tier, origin_ms)) AS w FROM po),
+ps AS (SELECT contest_id, tier, origin_ms, dur AS whole, {LOCAL0} AS local0, least(origin_h + k, dur)::DOUBLE AS hours FROM an, range(0, 80) t(k) WHERE k <= ceil(dur - origin_h)),
+ph AS (SELECT *, {_RATE.format(s="hours")} / {_AVAIL.format(t="dur")} AS rate FROM (SELECT *, whole AS dur, local0 AS h0 FROM {basis_sql("SELECT * FROM ps")}))
+SELECT ph.contest_id, ph.tier, ph.origin_ms, CAST(round(hours * 3600000) AS BIGINT) AS offset_ms, round(max(sc) * sum(w * list_dot_product(b, mass) / fa) / sum(w), 3) AS score,
+  round(max(sc) * sum(w * rate * (mass[1] + mass[2] * exp(-x / 0.05) / 0.05 / (1 - exp(-20)) + mass[3] * exp(-x / 0.2) / 0.2 / (1 - exp(-5)) + mass[4] * exp((x - 1) / 0.03) / 0.03 / (1 - exp(-1 / 0.03::DOUBLE))
+  + mass[5] * exp((x - 1) / 0.1) / 0.1 / (1 - exp(-10)) + mass[6] * exp((x - 1) / 0.3) / 0.3 / (1 - exp(-1 / 0.3::DOUBLE))) / fa) / sum(w), 3) AS speed, NULL AS reason
+FROM ph JOIN pw ON pw.contest_id = ph.contest_id AND pw.tier = ph.tier AND pw.origin_ms = ph.origin_ms GROUP BY ph.contest_id, ph.tier, ph.origin_ms, hours
+UNION ALL SELECT contest_id, tier, origin_ms, NULL, NULL, NULL, reason FROM gt WHERE reason IS NOT NULL
+UNION ALL SELECT contest_id, tier, origin_ms, NULL, NULL, NULL, 'no_history' FROM gt WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM pw WHERE pw.contest_id = gt.contest_id AND pw.tier = gt.tier AND pw.origin_ms = gt.origin_ms)"""
+
+
+@query("m8_cohort_paths", _COHORT_PATHS, extra=CANON)
+def m8_paths(spark, d):
+    """Hourly paths with stated masses, and the prefixes that have none, with the reason."""
+    rows, keys = seen_prefixes(spark, d)
+    paths, bad = M.cohort_paths(rows, stated_templates(spark, d), A.contests(spark, d), pressure(spark, d), keys)
+    paths = paths.select(*K, "origin_ms", F.round(F.col("hours") * 3_600_000).cast("long").alias("offset_ms"), F.round("score", 3).alias("score"), F.round("speed", 3).alias("speed"), F.lit(None).cast("string").alias("reason"))
+    return paths.unionByName(bad, allowMissingColumns=True)
+
+
+def stated_templates(spark, d):
     step = 0.05 * (F.col("contest_id") % 4)
     mass = F.array(0.1 + step, F.lit(0.2), F.lit(0.1), 0.2 - step, F.lit(0.25), F.lit(0.15))
-    t = A.contests(spark, d).select("contest_id", "end_at", "contest_type", F.explode(F.array(F.lit(100), F.lit(1000))).alias("tier"), mass.alias("mass"), F.lit(1.0).alias("pressure"))
-    out = M.forecast_cohort(knots(spark, d), t, A.contests(spark, d))
-    return out.select(*K, "anchor", F.round("final", 3).alias("final"), "templates", F.round("effective", 4).alias("effective"))
+    return A.contests(spark, d).select("contest_id", "end_at", "contest_type", F.explode(F.array(F.lit(100), F.lit(1000))).alias("tier"), mass.alias("mass"), F.lit(1.0).alias("pressure"))
 
 
 SHAPE = "greatest(0, base + a * t + b * t * t + CASE WHEN t > dur - panic THEN b_end * pow(sin(least(1, greatest(0, (t - dur + panic) / panic)) * pi() / 2), 2.5) * pow(least(1, greatest(0, (least(1, greatest(0, (t - dur + panic) / panic)) - 0.5) / 0.5)), 3) ELSE 0 END * least(1, greatest(0, (t - (dur - panic - 4)) / greatest(1e-6, panic / 2 + 4))))"

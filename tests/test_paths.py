@@ -46,3 +46,33 @@ def test_paths_are_hourly_rise_and_end_at_the_forecast(spark):
     # the speed is the slope of the score
     fine = M.pace_paths(p, w, c, pressure, keys)[0].where("hours in (30.0, 31.0)").orderBy("hours").collect()
     assert fine[1]["score"] - fine[0]["score"] == pytest.approx((fine[0]["speed"] + fine[1]["speed"]) / 2, rel=0.02)
+
+
+def test_cohort_paths_end_at_the_forecast_and_say_why_there_is_none(spark):
+    p, _, c, pressure, keys = inputs(spark)
+    old = spark.createDataFrame([(0, -END, -H, -H, "a"), (1, 0, END, END, "a")], "contest_id long, start_at long, end_at long, aggregate_at long, contest_type string")
+    t = spark.createDataFrame([(0, -H, "a", 100, [0.3, 0.1, 0.1, 0.2, 0.2, 0.1], 1.0), (0, -H, "a", 1000, [0.1, 0.2, 0.3, 0.1, 0.1, 0.2], 1.0)], "contest_id long, end_at long, contest_type string, tier int, mass array<double>, pressure double")
+    paths, bad = M.cohort_paths(p, t, old, pressure, keys)
+    assert {r["tier"]: r["reason"] for r in bad.collect()} == {k: why for k, (_, why) in PREFIXES.items() if why}
+    path = paths.orderBy("hours").collect()
+    assert [r["hours"] for r in path] == [float(h) for h in range(24, 61)] and {r["tier"] for r in path} == {500}
+    scores = [r["score"] for r in path]
+    assert scores == sorted(scores) and scores[0] > 120
+    # by hand: knots at 0, 6, 12, 18 and 20 h, the posterior over two templates of one contest
+    import numpy as np
+
+    full = lambda h: h + 0.3 / (2 * np.pi / 24) * (np.sin((h + 8 - 21) * 2 * np.pi / 24) - np.sin((8 - 21) * 2 * np.pi / 24))
+    x = lambda h: full(h) / full(60.0)
+    basis = lambda h: np.array([x(h)] + [(1 - np.exp(-x(h) / u)) / (1 - np.exp(-1 / u)) for u in (0.05, 0.2)] + [(np.exp((x(h) - 1) / u) - np.exp(-1 / u)) / (1 - np.exp(-1 / u)) for u in (0.03, 0.1, 0.3)])
+    at = [0, 6, 12, 18, 20]
+    share = np.diff(np.interp(at, [0, 10, 20], [0, 50, 120])) / 120
+    mass = np.array([[0.3, 0.1, 0.1, 0.2, 0.2, 0.1], [0.1, 0.2, 0.3, 0.1, 0.1, 0.2]])
+    curve = np.array([[basis(h) @ m for h in at] for m in mass])
+    q = np.diff(curve, axis=1) / curve[:, -1:]
+    prior = np.exp(-0.5 * (np.log(np.array([100, 1000]) / 500) / np.log(2)) ** 2)
+    w = prior * np.exp(-16 * 20 / 24 * (share * np.log(share / q)).sum(1))
+    at_hour = lambda h: 120 * (w * (mass @ basis(h)) / curve[:, -1]).sum() / w.sum()
+    assert scores == pytest.approx([at_hour(h) for h in range(24, 61)], rel=1e-9)
+    assert [r["speed"] for r in path] == pytest.approx([(at_hour(h + 1e-4) - at_hour(h - 1e-4)) / 2e-4 for h in range(24, 61)], rel=1e-5)
+    none, why = M.cohort_paths(p.where("tier = 500"), t.where("false"), old, pressure)
+    assert none.count() == 0 and [r["reason"] for r in why.collect()] == ["no_history"]

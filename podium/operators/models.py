@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -209,12 +210,16 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, strength: float = 16.0, same_type: bool = False, transfer: bool = False, bandwidth: float = math.log(2), dims: int = 0) -> DataFrame:
+def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, strength: float = 16.0, same_type: bool = False, transfer: bool = False, bandwidth: float = math.log(2), dims: int = 0, configs: list[dict] | None = None) -> DataFrame:
     """(contest_id, tier, origin_h, anchor, final, templates, effective): posterior mean over earlier contests' cohort masses.
 
     With dims, the number of masses, also `shape`: their posterior mean, each over its curve at the anchor, so that the
     score at any hour is anchor times the basis there times shape.
 
+    configs: settings (config_id, strength, same_type, transfer) to try in place of the three arguments; rows then have
+    config_id. They are one column of the plan, which is the same however many there are: a prefix meets a template once,
+    and the divergence is found once with transfer and once without.
+
     knots: rows of a prefix (contest_id, tier, origin_h, i, share, basis, anchor_h, anchor, end_basis, start_at,
     contest_type, pressure), i from 0 (share 0) up to the anchor; templates: (contest_id, end_at, contest_type,
     tier, mass, pressure). Only templates that ended before the contest began count.
@@ -236,18 +241,26 @@ def forecast_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame,
         on = ["block"]
     j = p.join(F.broadcast(t) if blocks == 1 else t, on).where("t_end < start_at")
     mass = F.col("mass")
-    if transfer:
+    if configs is not None:
+        groups = [{"transfer": x, "runs": [{"config_id": c["config_id"], "strength": float(c["strength"]), "same_type": bool(c.get("same_type", False))} for c in configs if bool(c.get("transfer", False)) == x]} for x in (False, True)]
+        kind = "array<struct<transfer: boolean, runs: array<struct<config_id: string, strength: double, same_type: boolean>>>>"
+        j = j.withColumn("cfg", F.explode(F.from_json(F.lit(json.dumps([g for g in groups if g["runs"]])), kind)))
+    if transfer or configs is not None:
         size = F.size("mass")
         first = F.when(size == 3, 2).otherwise(3)
         moved = F.transform(mass, lambda m, i: F.when(i >= first, m * F.col("pressure") / F.col("t_pressure")).otherwise(m))
-        j = j.withColumn("mass", moved)
-        j = j.withColumn("mass", F.transform("mass", lambda m: m / F.aggregate("mass", F.lit(0.0), lambda s, v: s + v)))
+        j = j.withColumn("moved", moved)
+        moved = F.transform("moved", lambda m: m / F.aggregate("moved", F.lit(0.0), lambda s, v: s + v))
+        j = j.withColumn("mass", moved if configs is None else F.when(F.col("cfg.transfer"), moved).otherwise(mass))
         mass = F.col("mass")
     j = j.withColumn("curve", F.transform("k", lambda s: _dot(s["basis"], mass)))
     j = j.withColumns({"f_anchor": F.element_at("curve", -1), "f_end": _dot(F.col("end_basis"), mass)}).where("f_anchor > 0")
     bins = F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(F.col("k")[i]["share"].alias("p"), ((F.col("curve")[i] - F.col("curve")[i - 1]) / F.col("f_anchor")).alias("q")))
     kl = F.aggregate(bins, F.lit(0.0), lambda s, b: s + F.when(b["p"] > 0, b["p"] * (F.ln(b["p"]) - F.ln(F.greatest(b["q"], F.lit(1e-300))))).otherwise(0.0))
     prior = -0.5 * F.pow(F.ln(F.col("t_tier") / F.col("tier")) / bandwidth, 2)
+    if configs is not None:
+        j = j.withColumn("kl", kl).withColumn("run", F.explode("cfg.runs")).where(~F.col("run.same_type") | (F.col("t_type") == F.lower("contest_type")))
+        j, key, kl, strength = j.withColumn("config_id", F.col("run.config_id")), [*key, "config_id"], F.col("kl"), F.col("run.strength")
     # the arrays end here; a row has the logarithms of the prior (u) and of the posterior (v), and the growth
     j = j.select(*key, "t_id", "anchor", prior.alias("u"), (prior - strength * F.col("anchor_h") / 24 * kl).alias("v"), (F.col("f_end") / F.col("f_anchor")).alias("g"), *([F.transform(mass, lambda m: m / F.col("f_anchor")).alias("h")] if dims else []))
     one = j.groupBy(*key, "t_id").agg(F.max("anchor").alias("anchor"), F.collect_list(F.struct("u", "v", "g", *["h"] * bool(dims))).alias("x"))  # a contest's tiers, 24 at most

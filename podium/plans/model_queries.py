@@ -600,10 +600,9 @@ def e7_cohorts(spark, d):
     for name, (basis, end, masses) in bases.items():
         t = cut(masses.join(c.select("contest_id", "end_at", "contest_type"), "contest_id").join(p, K))
         k = cut(R.unrun(prefix_knots(seen, about, basis)).join(p, K).join(end, "contest_id"))
-        for same_type in (False, True):
-            for strength in (0.0, 16.0, 64.0):
-                own = M.forecast_cohort(k, t, c, strength, same_type).select(*K, "origin_h", F.lit(f"{name}/{'type' if same_type else 'all'}/{strength:g}").alias("method"), F.col("final").alias("prediction"))
-                f = own if f is None else f.unionByName(own)
+        tried = [{"config_id": f"{name}/{'type' if same else 'all'}/{x:g}", "strength": x, "same_type": same} for same in (False, True) for x in (0.0, 16.0, 64.0)]
+        own = M.forecast_cohort(k, t, c, configs=tried).select(*K, "origin_h", F.col("config_id").alias("method"), F.col("final").alias("prediction"))
+        f = own if f is None else f.unionByName(own)
     # every planned row of every candidate, forecast or not
     methods = [f"{name}/{kind}/{strength:g}" for name in bases for kind in ("all", "type") for strength in (0.0, 16.0, 64.0)]
     o, at = A.obs(spark, d), r.select(F.col("of").alias("contest_id"), "origin_h", "origin_ms")

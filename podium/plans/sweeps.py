@@ -15,15 +15,13 @@ from podium.session import cut
 
 
 def sweep_cohort(knots: DataFrame, templates: DataFrame, contests: DataFrame, truth: DataFrame, configs: list[tuple[float, bool]], holdout_from: int = 7, curve_weight: float = 0.5) -> DataFrame:
-    """(config_id, split, objective): losses of cohort configurations (strength, transfer); what they share is made once. A negative strength is rejected without a run.
+    """(config_id, split, objective): losses of cohort configurations (strength, transfer), all in one plan. A negative strength is rejected without a run.
 
     knots and truth meet by contest, tier and origin_h, a struct (origin, check): -1 is the end, others are places of the
     curve. The objective is snapshot_metrics': the mean over snapshots at the end, plus the weighted mean of the curve's.
     """
-    knots, templates = cut(knots), cut(templates)
-    good = [(s, t) for s, t in configs if s >= 0]
-    runs = [M.forecast_cohort(knots, templates, contests, strength=s, transfer=t).withColumn("config_id", F.lit(f"k{s:g}" + "t" * t)) for s, t in good]
-    rows = reduce(DataFrame.unionByName, runs).join(truth, [*K, "origin_h"]).withColumn("split", F.when(F.col("contest_id") >= holdout_from, "holdout").otherwise("train"))
+    good = [{"config_id": f"k{s:g}" + "t" * t, "strength": s, "transfer": t} for s, t in configs if s >= 0]
+    rows = M.forecast_cohort(cut(knots), cut(templates), contests, configs=good).join(truth, [*K, "origin_h"]).withColumn("split", F.when(F.col("contest_id") >= holdout_from, "holdout").otherwise("train"))
     rel = (F.col("final") - F.col("actual")) / F.greatest(F.col("actual"), F.lit(1.0))
     last = F.col("origin_h.check") < 0
     snap = rows.groupBy("config_id", "split", *K, "origin_h.origin").agg(F.avg(F.when(last, rel * rel)).alias("end"), F.avg(F.when(~last, rel * rel)).alias("curve"))

@@ -154,12 +154,13 @@ def refit_local(window: DataFrame, prior: DataFrame, config: dict = DEFAULTS) ->
     where the curve is below its floor pull no unknown; which these are follows from the solution, so where there are any
     the sums are made again for the places between one solution and the next, and the least loss stays.
     """
-    j = window.join(prior.select(*K, *PARAMS, "total_h"), K)
+    prior = cut(prior.select(*K, *PARAMS, "total_h"))
+    j = window.join(prior, K)
     bare = F.col("b_end") * rise_shape(F.col("hours"), F.col("panic"), F.col("total_h"))
     q = F.log1p(F.greatest(F.col("norm_speed"), F.lit(0.0)) * config["refit_weight_scale"])
     rows = cut(j.select(*K, "hours", "skeleton_speed", "conf", bare.alias("bare"), (F.col("skeleton_speed") - bare).alias("y"), q.alias("q")))
     about = rows.groupBy(*K).agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.avg("q").alias("mq"), F.avg(F.col("skeleton_speed") * F.col("skeleton_speed")).alias("vv"))
-    about = cut(about.where(F.col("n") >= config["refit_min_points"]).join(prior.select(*K, "base", "a", "b"), K))
+    about = about.where(F.col("n") >= config["refit_min_points"]).join(prior.select(*K, "base", "a", "b"), K)
 
     def step(kind: str):
         def run(batches):
@@ -188,16 +189,16 @@ def refit_local(window: DataFrame, prior: DataFrame, config: dict = DEFAULTS) ->
     blank = about.withColumns({"starts": none, "loss": F.lit(math.inf), "best": none, "next": none})
     state = cut(blank.join(_refit_sums(rows, None), K).mapInPandas(step("first"), _REFIT))
     curve = F.get("starts", F.lit(0)) + F.get("starts", F.lit(1)) * F.col("hours") + F.get("starts", F.lit(2)) * F.col("hours") * F.col("hours") + F.col("bare")
-    floored = cut(rows.join(state.select(*K, "starts"), K).where(curve <= 0).select(*K).distinct())
-    found = state.join(floored, K, "left_anti").select(*K, F.col("starts").alias("x"))
-    more = state.join(floored, K, "left_semi")
+    floored = rows.join(state.select(*K, "starts"), K).where(curve <= 0).select(*K).distinct()
+    found = state.select(*K, F.col("starts").alias("x"))
     if not floored.isEmpty():
-        kept = cut(rows.join(floored, K, "left_semi"))
+        floored = cut(floored)
+        kept, more = cut(rows.join(floored, K, "left_semi")), state.join(floored, K, "left_semi")
         for _ in range(4):
             more = cut(more.join(about, K).join(_refit_sums(kept, more), K).mapInPandas(step("line"), _REFIT))
-        found = found.unionByName(more.select(*K, F.col("best").alias("x")))
+        found = found.join(floored, K, "left_anti").unionByName(more.select(*K, F.col("best").alias("x")))
     new = found.join(about.select(*K, "conf"), K)
-    out = prior.select(*K, *PARAMS).join(new, K, "left")
+    out = prior.drop("total_h").join(new, K, "left")
     blend = lambda c, k: F.when(F.col("x").isNull(), F.col(c)).otherwise((1 - F.col("conf")) * F.col(c) + F.col("conf") * F.get("x", F.lit(k))).alias(c)
     return out.select(*K, *[blend(c, k) for k, c in enumerate(PARAMS[:3])], "b_end", "panic")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from podium.schema import GRACE_MS, HOUR_MS, TIERS, TRAINING_TIERS, ZONE_MS, K
 
+#: The names that score and time columns go by, in order of preference.
 SCORE_NAMES, TIME_NAMES = ("value", "ep", "points", "score", "pt"), ("time", "timestamp", "time_ms")
 
 

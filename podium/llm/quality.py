@@ -2,29 +2,37 @@
 
 A labelled document of quality 1 is preferred to one of quality 0. The probability that i is preferred to
 j is sigmoid(w . (x_i - x_j)), so w comes from a logistic regression without intercept on feature
-differences (Spark ML). The decision threshold is the quantile of training scores at the share of label 0.
+differences, over all pairs of a training document of quality 1 and one of quality 0. The decision threshold is
+the quantile of training scores at the share of label 0.
 
-Only the fit uses a bounded sample (`per_class` labelled rows of each class and `pairs_each` pairs for each
-of these, taken by hash); the share of label 0 counts all training labels, and every document is scored
-over its whole text.
+Nothing is sampled: every labelled training document is in every pair that it can be in, and in the quantile. Pairs
+are not written out. A pair's terms depend on the difference of two scores alone, and are smooth in each, so a pass of
+Spark over the documents leaves sums at a few nodes of each cell of the score line (`_cells`), and pairs of
+nodes stand for all pairs of documents, to about 1e-11 of a term. Newton steps take a pass each.
 
 Null and empty texts have zeros for features and a score like others. Repeated rows and ids keep a row each, a null
-doc_id too; for the fit a repeated id counts once, by its least text and lower label. Equal texts have equal
-scores; equal training scores share the quantile. Without labels of both classes every score is 0.5. Empty tables
-give empty results; other columns are not read.
+doc_id too; for the fit a repeated id counts once, by its least features and lower label. Equal texts have equal
+scores; equal training scores share the quantile. Without labelled documents of both classes every score is 0.5. Empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from numpy.polynomial.chebyshev import chebvander
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.llm.common import arrow_schema, batch_of, checkpoint, held_out, join_bytes, mix, span_hashes, text_chunks
+from podium.llm.common import arrow_schema, batch_of, checkpoint, held_out, join_bytes, mix, running, span_hashes, text_chunks
 
 FEATURES = ("log_words", "word_bytes", "upper", "symbols", "exclaims", "bars", "repeats_previous", "repeated_words", "repeated_pairs", "digits", "stops", "commas", "lines", "beyond_ascii", "capitalised")
 THRESHOLD = 0.3
+PENALTY = 1e-3  # ridge on the weights of differences scaled to unit variance
+WIDTH = 0.5  # of a cell of the score line; a sigmoid's nearest pole is pi away
+_NODES = np.cos((np.arange(8) + 0.5) * np.pi / 8)  # Chebyshev nodes of a cell, -1 to 1
+_TO_NODES = np.linalg.inv(chebvander(_NODES, len(_NODES) - 1))
+_UPPER_HALF = np.triu_indices(len(FEATURES) + 1)
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -86,79 +94,138 @@ def with_features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
-def _training_sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """Up to per_class training ids of each class by hash, and the counts of all training labels by class.
+def _training(x: DataFrame, labels: DataFrame) -> DataFrame:
+    """(quality 0 or 1, x) of every labelled training document.
 
     Null ids or qualities are left out; a document labelled more than once takes the lower label.
     """
-    train = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    train = checkpoint(train.select("doc_id", (F.col("quality") > 0).cast("int").alias("quality")))
-    counts = {r["quality"]: r["n"] for r in train.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    of = lambda q: train.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class)
-    return of(0).unionByName(of(1)), counts
+    train = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    train = train.select("doc_id", (F.col("quality") > 0).cast("int").alias("quality"))
+    return checkpoint(x.where("doc_id is not null").join(train, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("quality", "x"))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = 4000, pairs_each: int = 6) -> dict:
-    """{"w", "tau"}: Bradley-Terry weights of the features, and the score at the quantile. Without two classes, w is 0."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    nothing = {"w": np.zeros(len(FEATURES)), "tau": 0.0, "flat": True}
-    sample, counts = _training_sample(labels, per_class)
-    if len(counts) < 2:
-        return nothing
-    texts = docs.where("doc_id is not null").join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", "text")  # at most 2 * per_class ids
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # the least text of a repeated id
-    rows = with_features(texts).join(F.broadcast(sample.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "x")
-    rows = checkpoint(rows)
-    rank = {q: checkpoint(rows.where(F.col("quality") == q).withColumn("i", F.row_number().over(_by_id()) - 1).select("i", "x")) for q in (0, 1)}
-    n = {q: df.count() for q, df in rank.items()}
-    if not n[0] or not n[1]:
-        return nothing
-    # each sampled document of either class meets pairs_each of the other: at most 2 * per_class * pairs_each pairs
-    def meet(q: int) -> DataFrame:
-        other = rank[1 - q].select(F.col("i").alias("j"), F.col("x").alias("y"))
-        left = rank[q].select("x", F.explode(F.sequence(F.lit(0), F.lit(pairs_each - 1))).alias("k"), "i")
-        left = left.withColumn("j", F.pmod(F.xxhash64("i", "k", F.lit(q)), F.lit(n[1 - q])))
-        return left.join(F.broadcast(other), "j").select(*(("x", "y") if q else (F.col("y").alias("x"), F.col("x").alias("y"))), F.xxhash64("i", "k", F.lit(q)).alias("h"))
-
-    pairs = meet(1).unionByName(meet(0))
-    up = F.col("h") % 2 == 0  # half of the differences stand the other way round
-    diff = F.when(up, F.zip_with("x", "y", lambda p, q: p - q)).otherwise(F.zip_with("y", "x", lambda p, q: p - q))
-    data = checkpoint(pairs.select(F.when(up, 1.0).otherwise(0.0).alias("label"), array_to_vector(diff).alias("features")).repartition(6))
-    model = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=40).fit(data)
-    w = model.coefficients.toArray()
-    seen = rows.select("quality", "x").collect()  # at most 2 * per_class rows
-    s, q = np.array([r["x"] for r in seen]) @ w, np.array([r["quality"] for r in seen])
-    weight = np.where(q == 1, counts[1] / n[1], counts[0] / n[0])
-    order = np.argsort(s, kind="stable")
-    share = np.cumsum(weight[order]) / weight.sum()
-    at = min(np.searchsorted(share, counts[0] / (counts[0] + counts[1])), len(s) - 2) if len(s) > 1 else 0
-    return {"w": w, "tau": float(s[order[at : at + 2]].mean()), "flat": False}
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("doc_id")  # over the bounded sample only
+def _cells(rows: DataFrame, centre: np.ndarray, scale: np.ndarray, w: np.ndarray) -> list:
+    """(quality, cell, sums) of each cell that holds scores w . z, z = (x - centre) / scale, of that quality.
 
+    With u = (1, z): `sums` holds, for each node of the cell, the sum of u weighted by the polynomial that is 1 there and 0
+    at the cell's other nodes; then the upper half of the sum of u u^T.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score, predicted): sigmoid of the distance to the quantile, moved so that the quantile scores 0.3."""
-    w, tau, flat = model["w"], model["tau"], model["flat"]
-    ddl = "doc_id long, score double, predicted int"
+    ddl = "quality int, cell long, sums array<double>"
     schema = arrow_schema(ddl)
 
     def run(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             if b.num_rows:
-                z = np.clip(features(b.column(1).to_pylist()) @ w - tau, -60, 60) + np.log(THRESHOLD / (1 - THRESHOLD))
-                p = np.full(b.num_rows, 0.5) if flat else 1 / (1 + np.exp(-z))
-                yield batch_of(schema, [b.column(0), p, (p >= THRESHOLD).astype(np.int32)])
+                z = (b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) - centre) / scale
+                u = np.column_stack([np.ones(len(z)), z])
+                at = z @ w / WIDTH
+                cell = np.floor(at)
+                node = chebvander(2 * (at - cell) - 1, len(_NODES) - 1) @ _TO_NODES
+                keys, place = np.unique(np.stack([b.column(0).to_numpy(), cell.astype(np.int64)]), axis=1, return_inverse=True)
+                for k, key in enumerate(keys.T.tolist()):
+                    i = np.flatnonzero(place.ravel() == k)
+                    total[tuple(key)] = total.get(tuple(key), 0) + np.concatenate([(node[i].T @ u[i]).ravel(), (u[i].T @ u[i])[_UPPER_HALF]])
+        if total:
+            yield batch_of(schema, [[q for q, _ in total], [c for _, c in total], list(total.values())])
+
+    sums = rows.select("quality", "x").mapInArrow(run, ddl).groupBy("quality", "cell").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    return sums.collect()  # a row of 264 numbers for each cell that holds scores
+
+
+def _side(cells: list, quality: int) -> tuple[np.ndarray, ...]:
+    """Of one class: node scores and sums of u there; middles of cells and sums of u u^T there."""
+    mine = sorted((r["cell"], r["sums"].toArray()) for r in cells if r["quality"] == quality)
+    middle = (np.array([c for c, _ in mine]) + 0.5) * WIDTH
+    k = len(FEATURES) + 1
+    square = np.zeros((len(mine), k, k))
+    square[:, *_UPPER_HALF] = [v[len(_NODES) * k :] for _, v in mine]
+    square += np.triu(square, 1).transpose(0, 2, 1)
+    nodes = (middle[:, None] + _NODES * WIDTH / 2).ravel()
+    return nodes, np.array([v[: len(_NODES) * k] for _, v in mine]).reshape(-1, k), middle, square
+
+
+def _objective(cells: list, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss over all pairs with the penalty, its gradient, and its curvature as if scores stood in the middle of cells."""
+    at1, u1, middle1, square1 = _side(cells, 1)
+    at0, u0, middle0, square0 = _side(cells, 0)
+    pairs = square1[:, 0, 0].sum() * square0[:, 0, 0].sum()
+    loss, gradient, curvature = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+    step = 32  # cells of class 1 that meet all of class 0 at once
+    for i in range(0, len(middle1), step):
+        n = slice(i * len(_NODES), (i + step) * len(_NODES))
+        away = at0 - at1[n, None]
+        p = np.exp(-np.logaddexp(0, -away))
+        loss += u1[n, 0] @ np.logaddexp(0, away) @ u0[:, 0]
+        gradient += (u1[n, 0] @ p) @ u0[:, 1:] - (p @ u0[:, 0]) @ u1[n, 1:]
+        away, s = middle0 - middle1[i : i + step, None], square1[i : i + step]
+        v = np.exp(-np.logaddexp(0, -away) - np.logaddexp(0, away))
+        crossed = s[:, 0, 1:].T @ v @ square0[:, 0, 1:]
+        curvature += np.tensordot(v @ square0[:, 0, 0], s[:, 1:, 1:], 1) + np.tensordot(s[:, 0, 0] @ v, square0[:, 1:, 1:], 1) - crossed - crossed.T
+    return loss / pairs + PENALTY * w @ w / 2, gradient / pairs + PENALTY * w, curvature / pairs + PENALTY * np.eye(len(w))
+
+
+def _weights(rows: DataFrame, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Newton steps, halved while the loss rises, until they are below 1e-8 of the weights."""
+    w, step, last = np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), np.inf
+    for _ in range(100):
+        loss, gradient, curvature = _objective(_cells(rows, centre, scale, w), w)
+        if loss > last + 1e-10:
+            step = step / 2
+            w = w - step
+            continue
+        step = -np.linalg.solve(curvature, gradient)
+        last, w = loss, w + step
+        if np.abs(step).max() <= 1e-8 * (1 + np.abs(w).max()):
+            return w
+    raise RuntimeError("weights did not settle")
+
+
+def _linear(w: np.ndarray):
+    """w . x as a column: added in one order, so that equal features have equal scores."""
+    return sum((F.col("x")[k] * float(v) for k, v in enumerate(w)), F.lit(0.0))
+
+
+def learn(x: DataFrame, labels: DataFrame) -> dict:
+    """{"w", "tau"}: Bradley-Terry weights of the features (doc_id, x), and the score at the quantile. Without two classes, w is 0."""
+    rows = _training(x, labels)
+    entries = [F.col("x")[k] for k in range(len(FEATURES))]
+    found = rows.groupBy("quality").agg(F.count("*").alias("n"), F.array([F.avg(e) for e in entries]).alias("mean"), F.array([F.var_pop(e) for e in entries]).alias("spread")).collect()
+    if len(found) < 2:
+        return {"w": np.zeros(len(FEATURES)), "tau": 0.0, "flat": True}
+    n, (mean0, mean1) = {r["quality"]: r["n"] for r in found}, (np.array(r["mean"]) for r in sorted(found, key=lambda r: r["quality"]))
+    scale = np.sqrt(sum(np.array(r["spread"]) for r in found) + (mean1 - mean0) ** 2)  # of the differences over all pairs
+    w = _weights(rows, (mean0 + mean1) / 2, np.where(scale > 0, scale, 1)) / np.where(scale > 0, scale, 1)
+    ranked = running(rows.groupBy(_linear(w).alias("s")).agg(F.count("*").alias("n")), [], [F.col("s")], before="n")
+    # the scores of rank n[0] and n[0] + 1
+    low, high = ranked.agg(F.max(F.when(F.col("before") < n[0], F.col("s"))), F.max(F.when(F.col("before") <= n[0], F.col("s")))).first()
+    return {"w": w, "tau": (low + high) / 2, "flat": False}
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
+    """The model of `learn`, from texts."""
+    return learn(with_features(docs), labels)
+
+
+def scored(x: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score, predicted) of (doc_id, x): sigmoid of the distance to the quantile, moved so that the quantile scores 0.3."""
+    tau = float(model["tau"])
+    away = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("s") - tau))
+    p = 1 / (1 + F.exp(-(away + float(np.log(THRESHOLD / (1 - THRESHOLD))))))
+    p = F.when(F.col("s") >= tau, F.greatest(p, F.lit(THRESHOLD))).otherwise(p)  # whatever rounding does to the quantile itself
+    x = x.select("doc_id", _linear(model["w"]).alias("s")).select("doc_id", (F.lit(0.5) if model["flat"] else p).alias("score"))
+    return x.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score, predicted) of each document."""
+    return scored(with_features(docs), model)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, fit(spark, docs, labels)).select("doc_id", held_out().alias("held_out"), "score", F.col("predicted").cast(T.IntegerType()))
+    x = checkpoint(with_features(spark.read.parquet(f"{sf_dir}/documents.parquet")))  # each text is read once
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return scored(x, learn(x, labels)).select("doc_id", held_out().alias("held_out"), "score", F.col("predicted").cast(T.IntegerType()))

@@ -116,6 +116,40 @@ def test_quality_on_odd_rows(spark, docs, empty):
     assert np.allclose(quality.features([BASE, "x y"])[0], quality.features(["other text first", BASE])[1])
 
 
+def test_quality_fit_equals_newton_over_all_pairs(spark):
+    rnd = random.Random(21)
+    noisy = lambda bad: " ".join(w.upper() if rnd.random() < 0.2 + 0.2 * bad else w + rnd.choice([".", ",", "1", "|", "\n", "é", ""]) for w in prose(rnd.randint(3, 40), rnd).split())
+    data = [(i, noisy(i % 3 == 0), int(i % 3 > 0) if rnd.random() < 0.8 else int(i % 3 == 0)) for i in range(500)]
+    train = [(t, q) for i, t, q in data if zlib.crc32(str(i).encode()) % 5]
+    labels = [(i, q if zlib.crc32(str(i).encode()) % 5 else 1 - q) for i, _, q in data]  # labels held out say the reverse
+    d = spark.createDataFrame([(i, t) for i, t, _ in data] + [(None, "no id"), (777, "no label")], "doc_id long, text string").repartition(5)
+    got = quality.fit(spark, d, spark.createDataFrame([*labels, *((i, 1) for i, _ in labels), (9999, 0), (3, None)], "doc_id long, quality int"))
+    x, q = quality.features([t for t, _ in train]), np.array([q for _, q in train])
+    diff = (x[q == 1][:, None] - x[q == 0][None]).reshape(-1, x.shape[1])
+    scale = np.sqrt((diff**2).mean(axis=0))
+    scale[scale == 0] = 1
+    diff, w = diff / scale, np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        w = w - np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-3 * np.eye(len(w)), 1e-3 * w - p @ diff / len(diff))
+    assert np.abs(got["w"] * scale - w).max() < 1e-7 * np.abs(w).max()
+    s = np.sort(x @ (w / scale))
+    zeros = int((q == 0).sum())
+    assert abs(got["tau"] - s[zeros - 1 : zeros + 1].mean()) < 1e-6
+
+
+def test_quality_fit_has_every_labelled_document(spark):
+    n = 12000  # more than 4000 of each class
+    ids = [i for i in range(n * 5 // 4 + 200) if zlib.crc32(str(i).encode()) % 5][:n]
+    d = spark.createDataFrame([(i, "a " * (k // 30 + 1) + "B" * (k % 2) + "!" * (k % 30)) for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 2 == 0 or k % 7 == 0)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    got = quality.score(d, quality.fit(spark, d, labels))
+    zeros = sum(not (k % 2 == 0 or k % 7 == 0) for k in range(n))
+    scores = [r["score"] for r in got.orderBy("score").collect()]
+    assert scores[zeros - 1] <= 0.3 + 1e-12 and scores[zeros] >= 0.3 - 1e-12
+    assert abs(sum(math.log(p / (1 - p)) for p in scores[zeros - 1 : zeros + 1]) / 2 - math.log(0.3 / 0.7)) < 1e-9
+
+
 # -- 3 language
 
 

@@ -35,9 +35,11 @@ def scan(df: DataFrame, keys: list[str], order: list[str], runs: dict[str, Run],
     at = F.struct(*[x for c in order for x in (F.col(c).isNotNull(), F.col(c))])
     held, carried, here = [], [], {}
     part = W.partitionBy(*keys).orderBy("__segment")
-    before, after = part.rowsBetween(W.unboundedPreceding, -1), part.rowsBetween(1, W.unboundedFollowing)
     own = W.partitionBy(*keys, "__segment").orderBy(*order)
-    so_far, from_here = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(0, W.unboundedFollowing)
+    # what is next is what was last in the reverse order: frames up to the end would be read again for each row
+    back, own_back = W.partitionBy(*keys).orderBy(F.desc("__segment")), W.partitionBy(*keys, "__segment").orderBy(*[F.desc(c) for c in order])
+    before, after = (w.rowsBetween(W.unboundedPreceding, -1) for w in (part, back))
+    so_far, from_here = (w.rowsBetween(W.unboundedPreceding, 0) for w in (own, own_back))
     for out, run in runs.items():
         v, c = F.col(f"__v_{out}"), f"__c_{out}"
         some = F.when(v.isNotNull(), F.struct(v.alias("x")))
@@ -51,8 +53,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], runs: dict[str, Run],
             here[out] = F.coalesce(F.last(v, True).over(so_far), F.col(f"{c}.x"))
         elif run.kind == "next":
             held.append(F.min_by(some, F.when(v.isNotNull(), at)).alias(c))
-            carried.append(F.first(c, True).over(after).alias(c))
-            here[out] = F.coalesce(F.first(v, True).over(from_here), F.col(f"{c}.x"))
+            carried.append(F.last(c, True).over(after).alias(c))
+            here[out] = F.coalesce(F.last(v, True).over(from_here), F.col(f"{c}.x"))
         elif run.kind == "max":
             held.append(F.max(v).alias(c))
             carried.append(F.max(c).over(before).alias(c))

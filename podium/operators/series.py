@@ -21,6 +21,11 @@ def _by_time(keys: list[str] = K, *more: str):
     return W.partitionBy(*keys).orderBy("time_ms", *more)
 
 
+def _both_ways(*order: str):
+    """An order and its reverse: what comes next is what came last the other way. A frame up to the end of a series would be read again for each row."""
+    return list(order), [F.desc(c) for c in order]
+
+
 def interval_speed(obs: DataFrame, policy: str = "zero", keys: list[str] = K, spread: bool = False) -> DataFrame:
     """`speed` in points a minute to the row before. zero: unusable and negative speeds are 0; drop: such rows go."""
     if spread:
@@ -138,9 +143,7 @@ def interpolate_tier_asof(obs: DataFrame, target: int, lower: int, upper: int, t
     if spread:
         rows = scan(rows, ["contest_id"], ["time_ms", "q"], {"b": Run("last", other), "a": Run("next", other)}).where("q = 1")
     else:
-        w = W.partitionBy("contest_id").orderBy("time_ms", "q")
-        back = F.last(other, True).over(w.rowsBetween(*_UP))
-        ahead = F.first(other, True).over(w.rowsBetween(0, W.unboundedFollowing))
+        back, ahead = (F.last(other, True).over(W.partitionBy("contest_id").orderBy(*o).rowsBetween(*_UP)) for o in _both_ways("time_ms", "q"))
         rows = rows.withColumns({"b": back, "a": ahead}).where("q = 1")
     gap_b, gap_a = F.col("time_ms") - F.col("b.time_ms"), F.col("a.time_ms") - F.col("time_ms")
     near = F.when(F.col("b").isNull() | (gap_a < gap_b), F.col("a")).otherwise(F.col("b"))

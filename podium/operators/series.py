@@ -113,8 +113,8 @@ def between(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column
 def lookup_curve(points: DataFrame, curve: DataFrame, keys: list[str] = K, at: str = "hours", value: str = "score", out: str = "interpolated", spread: bool = False) -> DataFrame:
     """points with the curve's value at `at`: linear between its neighbours, the end values beyond them.
 
-    Both sides go through one window, so a task handles one key's rows in order and nothing is expanded.
-    Curves have one value for each place.
+    Both sides are sorted by key once each way, so a task handles one key's rows in order and nothing is expanded. Of
+    several values of a curve at one place the least ends what comes before it, and the greatest begins what follows.
     """
     rest = [c for c in points.columns if c not in (*keys, at)]
     a = points.select(*keys, F.col(at).alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q"), F.struct(*rest).alias("__rest") if rest else F.struct(F.lit(0).alias("z")).alias("__rest"))
@@ -122,11 +122,10 @@ def lookup_curve(points: DataFrame, curve: DataFrame, keys: list[str] = K, at: s
     both = a.unionByName(b, allowMissingColumns=True)
     known = F.when(F.col("__q") == 0, F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
     if spread:
-        both = scan(both, keys, ["__x", "__q"], {"__lo": Run("last", known), "__hi": Run("next", known)}).where("__q = 1")
+        both = scan(both, keys, ["__x", "__q", "__y"], {"__lo": Run("last", known), "__hi": Run("next", known)}).where("__q = 1")
     else:
-        w = W.partitionBy(*keys).orderBy("__x", "__q")
-        down, up = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-        both = both.withColumns({"__lo": F.last(known, True).over(down), "__hi": F.first(known, True).over(up)}).where("__q = 1")
+        down, up = (W.partitionBy(*keys).orderBy(*o).rowsBetween(*_UP) for o in _both_ways("__x", "__q", "__y"))
+        both = both.withColumns({"__lo": F.last(known, True).over(down), "__hi": F.last(known, True).over(up)}).where("__q = 1")
     v = between(F.col("__x"), F.col("__lo.x"), F.col("__lo.y"), F.col("__hi.x"), F.col("__hi.y"))
     return both.select(*keys, F.col("__x").alias(at), *[F.col(f"__rest.{c}").alias(c) for c in rest], v.alias(out))
 

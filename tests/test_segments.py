@@ -55,3 +55,20 @@ def test_one_long_series_is_spread_over_tasks(spark):
     assert sum(sizes) == n and max(sizes) <= n // 2
     assert out.where("not (b <=> nullif(seq, 0) - 1)").count() == 0
     assert out.where("seq >= 1009 and m <> 1008").count() == 0
+
+
+def test_no_row_reads_the_rest_of_its_series_again(spark):
+    """A frame from the current row to the end of a series is evaluated anew for each row: the square of its length."""
+    one = spark.createDataFrame([(1, t, 1000 * i, i, float(i)) for i in range(20) for t in (10, 100)], "contest_id long, tier int, time_ms long, seq long, score double").withColumn("hours", F.col("time_ms") / float(H))
+    points = one.select("contest_id", "tier", (F.col("hours") + 0.1).alias("hours"))
+    for spread in (False, True):
+        for df in (S.lookup_curve(points, one, spread=spread), S.interpolate_tier_asof(one, 50, 10, 100, spread=spread)):
+            assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_several_values_of_a_curve_at_one_place(spark):
+    curve = spark.createDataFrame([(1, 10, 0.0, 0.0), (1, 10, 1.0, 20.0), (1, 10, 1.0, 10.0), (1, 10, 2.0, 30.0)], "contest_id long, tier int, hours double, score double")
+    points = spark.createDataFrame([(1, 10, x) for x in (0.5, 1.0, 1.5)], "contest_id long, tier int, hours double")
+    for spread in (False, True):
+        got = S.lookup_curve(points, curve, spread=spread).orderBy("hours").collect()
+        assert [r["interpolated"] for r in got] == [5.0, 20.0, 25.0]

@@ -68,7 +68,7 @@ def pace_components(points: DataFrame, contests: DataFrame, pressure: DataFrame)
 
 def fit_pace_weights(series: DataFrame, contests: DataFrame, pressure: DataFrame) -> DataFrame:
     """(contest_id, w1, w2, w3, loss, n_series): weights of the pace components; 13 sums for each series reach the helper."""
-    w = W.partitionBy(*K).orderBy("hours")
+    w = W.partitionBy(*K).orderBy("hours", "score")
     x = pace_components(series, contests, pressure)
     dt = F.col("hours") - F.lag("hours").over(w)
     d = x.select(*K, dt.alias("dt"), *[(F.col(c) - F.lag(c).over(w)).alias(c) for c in ("c1", "c2", "c3")], (F.col("score") - F.lag("score").over(w)).alias("y")).where("dt > 0")
@@ -141,7 +141,7 @@ def forecast_pace(prefix: DataFrame, prior: DataFrame, contests: DataFrame, pres
 
     prefix: valid prefixes (contest_id, tier, origin_h, hours, score); prior: w1..w3 (one row, or one a contest).
     """
-    a = prefix.groupBy(*K, "origin_h").agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor")).where("anchor > 0 and anchor_h > 0")
+    a = prefix.groupBy(*K, "origin_h").agg(F.max("hours").alias("anchor_h"), F.max_by("score", F.struct("hours", "score")).alias("anchor")).where("anchor > 0 and anchor_h > 0")
     total = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("total_h"))
     a = a.join(total, "contest_id")
     places = a.select(*K, F.explode(F.array("anchor_h", "total_h")).alias("hours")).distinct()
@@ -182,7 +182,7 @@ def pace_basis(points: DataFrame, contests: DataFrame, pressure: DataFrame) -> D
 
 def fit_cohort_mass(series: DataFrame, contests: DataFrame, dims: int = 6) -> DataFrame:
     """(contest_id, tier, mass, rmse): masses on the simplex, least squares weighted by time. series: with basis, and a row at the end."""
-    w = W.partitionBy(*K).orderBy("hours")
+    w = W.partitionBy(*K).orderBy("hours", "score")
     total = contests.select("contest_id", ((F.col("end_at") - F.col("start_at")) / float(HOUR_MS)).alias("__T"))
     s = series.join(total, "contest_id").withColumns({"__prev": F.lag("hours").over(w), "__next": F.lead("hours").over(w), "__last": F.max(F.struct("hours", "score")).over(W.partitionBy(*K))})
     s = s.where("abs(__last.hours - __T) < 1e-8 and __last.score > 0")
@@ -291,7 +291,7 @@ def cohort_paths(prefixes: DataFrame, templates: DataFrame, contests: DataFrame,
     gate = cut(prefix_gate(rows, expected))
     hour = lambda c: (F.col(c) - F.col("start_at")) / float(HOUR_MS)
     sound = rows.join(gate.where("valid").select(*keys), keys, "left_semi").withColumn("hours", hour("time_ms"))
-    last = sound.groupBy(*keys).agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor"), *[F.max(c).alias(c) for c in ("start_at", "end_at", "contest_type")]).where("anchor_h > 0")
+    last = sound.groupBy(*keys).agg(F.max("hours").alias("anchor_h"), F.max_by("score", F.struct("hours", "score")).alias("anchor"), *[F.max(c).alias(c) for c in ("start_at", "end_at", "contest_type")]).where("anchor_h > 0")
     steps = F.transform(F.sequence(F.lit(0), F.ceil(F.col("anchor_h") / knot_h).cast("int") - 1), lambda i: (i * knot_h).cast("double"))
     knots = lookup_curve(last.select("*", F.explode(F.concat(steps, F.array("anchor_h"))).alias("hours")), sound, keys)
     w = W.partitionBy(*keys).orderBy("hours")

@@ -62,21 +62,22 @@ def canonical_training_series(obs: DataFrame, contests: DataFrame) -> DataFrame:
 
     Rows in the window; the first row after the end, if within 20 minutes, stands for the end and replaces a
     row there; the running maximum; (0, 0) in front where the first row is later. A score at hour 0 that is
-    not 0 excludes the series. One row for each time is expected (latest_revision).
+    not 0 excludes the series. Rows of one time all stay, by seq where there is one: latest_revision leaves one.
     """
-    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id").select(*K, "time_ms", "score", "start_at", "end_at")
+    tie = ["seq"] if "seq" in obs.columns else []
+    rows = obs.join(contests.select("contest_id", "start_at", "end_at"), "contest_id").select(*K, "time_ms", *tie, "score", "start_at", "end_at")
     rows = rows.where(F.col("time_ms").between(F.col("start_at"), F.col("end_at") + GRACE_MS))
     # every window is one series': rows are dealt out and sorted once
-    own, at = W.partitionBy(*K), F.struct("time_ms", "score")
+    own, at = W.partitionBy(*K), F.struct("time_ms", *tie, "score")
     after = F.col("time_ms") > F.col("end_at")
     rows = rows.withColumn("closing", F.min(F.when(after, at)).over(own))
     rows = rows.where(F.when(after, at == F.col("closing")).otherwise(F.col("closing").isNull() | (F.col("time_ms") < F.col("end_at"))))
     rows = rows.withColumn("time_ms", F.least("time_ms", "end_at"))
-    up = _by_time().rowsBetween(*_UP)
-    rows = rows.withColumns({"score": F.max("score").over(up), "first": F.min(at).over(own)}).where("first.time_ms > start_at or first.score = 0")
+    w = _by_time(K, *tie, "score")
+    rows = rows.withColumns({"score": F.max("score").over(w.rowsBetween(*_UP)), "first": F.min(at).over(own), "place": F.row_number().over(w)}).where("first.time_ms > start_at or first.score = 0")
     here = F.struct(((F.col("time_ms") - F.col("start_at")) / float(HOUR_MS)).alias("hours"), "score")
     zero = F.struct(F.lit(0.0).alias("hours"), F.lit(0.0).alias("score"))
-    begins = (F.col("time_ms") == F.col("first.time_ms")) & (F.col("time_ms") > F.col("start_at"))
+    begins = (F.col("place") == 1) & (F.col("time_ms") > F.col("start_at"))
     return rows.select(*K, F.explode(F.when(begins, F.array(zero, here)).otherwise(F.array(here))).alias("r")).select(*K, "r.hours", "r.score")
 
 
@@ -92,12 +93,14 @@ def training_diagnostics(obs: DataFrame, contests: DataFrame) -> DataFrame:
     )
 
 
-def history_series(obs: DataFrame, contests: DataFrame) -> DataFrame:
-    """(contest_id, tier, hours, score): the last arrival of each time, the first row after the end at any delay put at the end, no repair, two rows or more."""
-    w = W.partitionBy(*K, "time_ms").orderBy(F.desc("seq"))
+def history_series(obs: DataFrame, contests: DataFrame, keep_last: bool = True) -> DataFrame:
+    """(contest_id, tier, hours, score): the last arrival of each time (else all its rows), the first row after the end at any delay put at the end, no repair, two rows or more."""
     c = contests.select("contest_id", "start_at", "end_at")
-    rows = obs.withColumn("__r", F.row_number().over(w)).where("__r = 1").join(c, "contest_id")
-    post = rows.where("time_ms > end_at").groupBy(*K).agg(F.min_by("score", "time_ms").alias("score")).join(c, "contest_id").select(*K, F.col("end_at").alias("time_ms"), "score", "start_at")
+    rows = obs.join(c, "contest_id")
+    if keep_last:
+        w = W.partitionBy(*K, "time_ms").orderBy(F.desc("seq"))
+        rows = rows.withColumn("__r", F.row_number().over(w)).where("__r = 1")
+    post = rows.where("time_ms > end_at").groupBy(*K).agg(F.min_by("score", F.struct("time_ms", "seq")).alias("score")).join(c, "contest_id").select(*K, F.col("end_at").alias("time_ms"), "score", "start_at")
     inside = rows.where("time_ms between start_at and end_at").join(post.select(*K, F.lit(True).alias("__post")), K, "left").where("__post is null or time_ms < end_at")
     s = inside.select(*K, "time_ms", "score", "start_at").unionByName(post)
     n = F.count("*").over(W.partitionBy(*K))
@@ -238,7 +241,7 @@ def baseline_forecasts(prefix: DataFrame, contests: DataFrame) -> DataFrame:
 def prefix_increments(series: DataFrame, origin_h: int, step_h: int = 6) -> DataFrame:
     """(contest_id, tier, knot, share): increments between knots 0, step, .. and the last visible hour, as shares of the score there."""
     seen = series.where(F.col("hours") <= origin_h)
-    anchor = seen.groupBy(*K).agg(F.max("hours").alias("anchor_h"), F.max_by("score", "hours").alias("anchor")).where("anchor > 0 and anchor_h > 0")
+    anchor = seen.groupBy(*K).agg(F.max("hours").alias("anchor_h"), F.max_by("score", F.struct("hours", "score")).alias("anchor")).where("anchor > 0 and anchor_h > 0")
     n = F.ceil(F.col("anchor_h") / step_h).cast("int") - 1
     knots = anchor.select(*K, "anchor", F.explode(F.concat(F.transform(F.sequence(F.lit(0), n), lambda i: (i * step_h).cast("double")), F.array("anchor_h"))).alias("hours"))
     at = lookup_curve(knots, seen)
